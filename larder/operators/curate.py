@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder import config as C
@@ -105,8 +105,6 @@ def curate_diverse(pool: DataFrame, rules: C.CurateRules = C.CurateRules()) -> D
     ordered = ranked.withColumn(
         "pool_rank", F.struct("_s", "band", "n_required", "title", "ordinal")
     )
-    from pyspark.sql import Window
-
     numbered = ordered.withColumn("one", F.lit(1)).withColumn(
         "pool_rank", F.row_number().over(Window.partitionBy("one").orderBy("pool_rank"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.config import TITLE_WORDS_INSPECT
-from larder.functions.js import trim
+from larder.functions.js import let, trim
 from larder.functions.text import normalize_title
 from larder.operators.dedupe import near_duplicate_estimate
 from larder.operators.normalize import normalize_text
@@ -76,8 +76,6 @@ def inspect_rare_ingredients(lines: DataFrame, limit: int = 25) -> DataFrame:
 def concept_combos(df: DataFrame, concepts: tuple[Concept, ...]) -> DataFrame:
     """``ordinal, combo``: the first four concepts of a row in sorted order. Map-only."""
     def name(line: Column) -> Column:
-        from larder.functions.js import let
-
         return let(
             normalize_text(line, concepts)["normalized_name"],
             lambda n: F.when(n != "", n).otherwise(F.lower(line)),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.config import PREFERRED_SOURCES
-from larder.functions.text import is_preferred_source, unit_hash
+from larder.functions.text import is_preferred_source, random_order_key, unit_hash
 from larder.operators.common import ordered_index
 
 # A sample up to this many rows is broadcast when its full rows are looked up.
@@ -73,6 +73,4 @@ def sample_metrics(df: DataFrame, sample: DataFrame, labels: Iterable[str] = PRE
 
 def random_recipes(df: DataFrame, key: str, n: int = 5, seed: int = 0) -> DataFrame:
     """A reproducible uniform pick of 1 to 12 rows."""
-    from larder.functions.text import random_order_key
-
     return df.orderBy(random_order_key(F.col(key), seed), F.col(key)).limit(max(1, min(int(n) or 5, 12)))
