@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from larder.session import materialize
 
 
+def evaluate(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that are computed once per row.
+
+    The optimizer moves filters below projections by putting the column's expression into the
+    condition, and so computes long array expressions several times. It does not look through a
+    generator, so the columns come from one.
+    """
+    one = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(one)))
+
+
 def first_per(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key; Spark cuts each partition to ``n`` before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.config import MatchRules
-from larder.functions.js import among
+from larder.operators.common import evaluate
 
 # Kitchens per salt of an atom in the candidate join.
 SALT_ROWS = 20_000
+# Items a kitchen may own for its pairs to carry them as arrays; larger kitchens are joined per line.
+MAX_ARRAY_ITEMS = 2_000
 ANYTHING = "\u0001any"
 FAMILY = "\u0001family"
 
@@ -33,35 +35,64 @@ def fat_equivalence(slug: Column, rules: MatchRules) -> Column:
     return F.coalesce(F.when(slug.isin(list(rules.family)), F.lit(FAMILY)), name, slug)
 
 
-def recipe_lines(recipe_items: DataFrame, rules: MatchRules) -> DataFrame:
-    """Recipe items with their role; recipes of the family also probe both of its forms."""
+def recipe_profiles(recipe_items: DataFrame, rules: MatchRules) -> DataFrame:
+    """``(recipe_id, lines, atoms)``: a recipe's lines in order and what a kitchen must satisfy.
+
+    A recipe that lists the family probes both of its forms, and needs one of them even if it
+    lists them as optional only. Without any requirement the one atom is ``ANYTHING``.
+    """
+    family = rules.family
     role = (
         F.when(F.col("optional"), "opt")
         .when(F.col("slug").isin(list(rules.pantry_ignore)), "ignored")
         .otherwise("req")
     )
-    lines = recipe_items.select("recipe_id", "slug", role.alias("role"), F.col("ordinal").cast("int").alias("pos"))
-    probes = (
-        recipe_items.where(F.col("slug").isin(list(rules.family)))
-        .groupBy("recipe_id")
-        .agg(F.lit(-1).alias("pos"))
-        .select(
-            "recipe_id", F.explode(F.array(*[F.lit(s) for s in rules.family])).alias("slug"),
-            F.lit("probe").alias("role"), "pos",
-        )
+    line = F.struct(F.col("ordinal").cast("int").alias("pos"), "slug", role.alias("role"))
+    listed = recipe_items.groupBy("recipe_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    probes = F.array(
+        *[F.struct(F.lit(-1).alias("pos"), F.lit(s).alias("slug"), F.lit("probe").alias("role")) for s in family]
+    )
+    lists_family = F.exists("lines", lambda x: x["slug"].isin(list(family)))
+    needed = F.filter("lines", lambda x: (x["role"] == "req") | x["slug"].isin(list(family)))
+    atoms = F.array_distinct(F.transform(needed, lambda x: fat_equivalence(x["slug"], rules)))
+    return listed.select(
+        "recipe_id",
+        F.when(lists_family, F.concat(probes, "lines")).otherwise(F.col("lines")).alias("lines"),
+        F.when(F.size(atoms) == 0, F.array(F.lit(ANYTHING))).otherwise(atoms).alias("atoms"),
     )
-    return lines.unionByName(probes)
 
 
 def requirement_atoms(recipe_items: DataFrame, rules: MatchRules) -> DataFrame:
-    """Distinct ``(recipe_id, atom)`` that a kitchen must satisfy; ``ANYTHING`` when there is none."""
-    required = ~F.col("optional") & ~F.col("slug").isin(list(rules.pantry_ignore))
-    # Listing the family at all implies that one of its forms is needed.
-    needed = required | F.col("slug").isin(list(rules.family))
-    atom = F.when(needed, fat_equivalence(F.col("slug"), rules))
-    grouped = recipe_items.groupBy("recipe_id").agg(F.collect_set(atom).alias("atoms"))
-    atoms = F.when(F.size("atoms") == 0, F.array(F.lit(ANYTHING))).otherwise(F.col("atoms"))
-    return grouped.select("recipe_id", atoms.alias("atoms"))
+    return recipe_profiles(recipe_items, rules).select("recipe_id", "atoms")
+
+
+def large_kitchens(items: DataFrame) -> DataFrame | None:
+    """Kitchens that own too many items to carry them as one array, or None when there are none."""
+    large = items.groupBy("kitchen_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_ARRAY_ITEMS)
+    large = large.select("kitchen_id")
+    return None if large.isEmpty() else large
+
+
+def kitchen_profiles(kitchens: DataFrame, items: DataFrame, rules: MatchRules) -> DataFrame:
+    """``(kitchen_id, owned, held, expiring, atoms)`` of kitchens with a bounded number of items."""
+    grouped = items.groupBy("kitchen_id").agg(
+        F.collect_list("slug").alias("owned"),
+        F.collect_list(F.when(F.col("expiring"), F.col("slug"))).alias("expiring"),
+    )
+    none = F.array().cast("array<string>")
+    mates = [
+        F.when(F.exists("owned", lambda s: s.isin(list(members))), F.array(*[F.lit(m) for m in members])).otherwise(none)
+        for members in rules.classes
+    ]
+    atoms = F.array_distinct(F.transform("owned", lambda s: fat_equivalence(s, rules)))
+    return (
+        kitchens.select("kitchen_id").join(grouped, "kitchen_id", "left")
+        .select("kitchen_id", F.coalesce("owned", none).alias("owned"), F.coalesce("expiring", none).alias("expiring"))
+        .select(
+            "kitchen_id", "owned", "expiring", F.concat("owned", *mates).alias("held"),
+            F.concat(atoms, F.array(F.lit(ANYTHING))).alias("atoms"),
+        )
+    )
 
 
 def kitchen_atoms(kitchens: DataFrame, items: DataFrame, rules: MatchRules) -> DataFrame:
@@ -70,42 +101,49 @@ def kitchen_atoms(kitchens: DataFrame, items: DataFrame, rules: MatchRules) -> D
     return owned.unionByName(everyone).distinct()
 
 
-def match_candidates(
-    kitchens: DataFrame, items: DataFrame, recipe_items: DataFrame, rules: MatchRules = MatchRules()
-) -> DataFrame:
-    """``(kitchen_id, recipe_id)`` pairs that lack at most one requirement and meet at least one.
-
-    A kitchen that lacks at most one atom of a recipe owns at least one of any two of its atoms.
-    So a recipe is indexed under its two rarest atoms only (rarest among the kitchens), which
-    leaves hot items such as onions out of the join unless a recipe has nothing else. Atoms that
-    very many kitchens own are salted on top.
-    """
-    owned = kitchen_atoms(kitchens, items, rules)
-    freq = owned.groupBy("atom").agg(F.count(F.lit(1)).alias("freq")).withColumn(
-        "salts", F.ceil(F.col("freq") / SALT_ROWS).cast("int")
-    )
-    recipes = requirement_atoms(recipe_items, rules)
+def _candidate_index(profiles: DataFrame, freq: DataFrame) -> DataFrame:
+    """Recipes under their two rarest atoms; ``prior`` is the rarer one for the second entry."""
+    entry = F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "atom", "salts")
     ranked = (
-        recipes.select("recipe_id", F.explode("atoms").alias("atom"))
+        profiles.select("recipe_id", F.explode("atoms").alias("atom"))
         .join(freq, "atom", "left")
         .groupBy("recipe_id")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "atom", "salts"))
-            ).alias("r")
-        )
+        .agg(F.array_sort(F.collect_list(entry)).alias("r"))
     )
-    index = (
-        ranked.select("recipe_id", F.explode(F.slice("r", 1, 2)).alias("p"))
-        .where("p.freq > 0")
-        .select("recipe_id", "p.atom", F.explode(F.sequence(F.lit(0), F.col("p.salts") - 1)).alias("salt"))
+    entries = ranked.select("recipe_id", F.posexplode(F.slice("r", 1, 2)).alias("at", "p"), "r").where("p.freq > 0")
+    prior = F.when(F.col("at") == 1, F.col("r")[0]["atom"])
+    salts = F.sequence(F.lit(0), F.col("p.salts") - 1)
+    return entries.select("recipe_id", "p.atom", prior.alias("prior"), F.explode(salts).alias("salt"))
+
+
+def _candidates(
+    kitchens: DataFrame, items: DataFrame, profiles: DataFrame, rules: MatchRules
+) -> DataFrame:
+    owned = kitchen_atoms(kitchens, items, rules)
+    freq = owned.groupBy("atom").agg(F.count(F.lit(1)).alias("freq")).withColumn(
+        "salts", F.ceil(F.col("freq") / SALT_ROWS).cast("int")
     )
+    index = _candidate_index(profiles, freq)
     hot = freq.where("salts > 1").select("atom", "salts")
     salted = owned.join(hot, "atom", "left").select(
         "kitchen_id", "atom",
         F.coalesce(F.pmod(F.xxhash64("kitchen_id"), F.col("salts")), F.lit(0)).cast("int").alias("salt"),
     )
-    return index.join(salted, ["atom", "salt"]).select("kitchen_id", "recipe_id").distinct()
+    return index.join(salted, ["atom", "salt"]).select("kitchen_id", "recipe_id", "prior")
+
+
+def match_candidates(
+    kitchens: DataFrame, items: DataFrame, recipe_items: DataFrame, rules: MatchRules = MatchRules()
+) -> DataFrame:
+    """``(kitchen_id, recipe_id)`` pairs that lack at most one requirement and meet at least one.
+
+    A kitchen that lacks at most one atom of a recipe owns at least one of any two of its atoms.
+    So a recipe is indexed under its two rarest atoms only (rarest among the kitchens), which
+    leaves hot items such as onions out of the join unless a recipe has nothing else. Atoms that
+    very many kitchens own are salted on top.
+    """
+    found = _candidates(kitchens, items, recipe_profiles(recipe_items, rules), rules)
+    return found.select("kitchen_id", "recipe_id").distinct()
 
 
 def holdings(items: DataFrame, rules: MatchRules) -> DataFrame:
@@ -125,12 +163,10 @@ def holdings(items: DataFrame, rules: MatchRules) -> DataFrame:
     )
 
 
-def pair_lines(
-    pairs: DataFrame, items: DataFrame, recipe_items: DataFrame, rules: MatchRules = MatchRules()
-) -> DataFrame:
-    """One row per pair with ``lines``: the recipe's lines and what the kitchen holds of them."""
-    lines = pairs.select("kitchen_id", "recipe_id").join(recipe_lines(recipe_items, rules), "recipe_id")
-    held = lines.join(holdings(items, rules), ["kitchen_id", "slug"], "left")
+def _lines_by_join(pairs: DataFrame, items: DataFrame, profiles: DataFrame, rules: MatchRules) -> DataFrame:
+    """Pair lines for kitchens of any size: one row per line, joined on (kitchen, slug)."""
+    lines = pairs.join(profiles, "recipe_id").select("kitchen_id", "recipe_id", F.explode("lines").alias("x"))
+    held = lines.select("kitchen_id", "recipe_id", "x.*").join(holdings(items, rules), ["kitchen_id", "slug"], "left")
     line = F.struct(
         "pos", "slug", "role", F.col("direct").isNotNull().alias("held"),
         F.coalesce("direct", F.lit(False)).alias("direct"),
@@ -139,6 +175,52 @@ def pair_lines(
     return held.groupBy("kitchen_id", "recipe_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
 
 
+def _lines_by_array(pairs: DataFrame, profiles: DataFrame, kitchen: DataFrame) -> DataFrame:
+    """Pair lines from the kitchen's arrays; a pair found under both atoms counts under the rarer."""
+    joined = pairs.join(profiles.drop("atoms"), "recipe_id").join(kitchen, "kitchen_id")
+    if "prior" in pairs.columns:
+        joined = joined.where(F.col("prior").isNull() | ~F.array_contains("atoms", F.col("prior")))
+    lines = F.transform(
+        "lines",
+        lambda x: F.struct(
+            x["pos"].alias("pos"), x["slug"].alias("slug"), x["role"].alias("role"),
+            F.array_contains("held", x["slug"]).alias("held"), F.array_contains("owned", x["slug"]).alias("direct"),
+            F.array_contains("expiring", x["slug"]).alias("expiring"),
+        ),
+    )
+    return evaluate(joined, lines=lines).select("kitchen_id", "recipe_id", "lines")
+
+
+def _lines(pairs, kitchens, items, profiles, rules) -> DataFrame:
+    large = large_kitchens(items)
+    if large is None:
+        return _lines_by_array(pairs, profiles, kitchen_profiles(kitchens, items, rules))
+    few = items.join(large, "kitchen_id", "left_anti")
+    many = items.join(large, "kitchen_id", "left_semi")
+    small = kitchens.join(large, "kitchen_id", "left_anti")
+    by_array = _lines_by_array(pairs, profiles, kitchen_profiles(small, few, rules))
+    rest = pairs.join(large, "kitchen_id", "left_semi").select("kitchen_id", "recipe_id").distinct()
+    return by_array.unionByName(_lines_by_join(rest, many, profiles, rules))
+
+
+def pair_lines(
+    pairs: DataFrame, items: DataFrame, recipe_items: DataFrame, rules: MatchRules = MatchRules()
+) -> DataFrame:
+    """Requested pairs with ``lines``: the recipe's lines and what the kitchen holds of them."""
+    wanted = pairs.select("kitchen_id", "recipe_id")
+    kitchens = wanted.select("kitchen_id").distinct()
+    return _lines(wanted, kitchens, items, recipe_profiles(recipe_items, rules), rules)
+
+
+def match_lines(
+    kitchens: DataFrame, items: DataFrame, recipe_items: DataFrame, rules: MatchRules = MatchRules()
+) -> DataFrame:
+    """``match_candidates`` with their lines; no pair is shuffled for being found twice."""
+    profiles = recipe_profiles(recipe_items, rules)
+    found = _candidates(kitchens, items, profiles, rules)
+    return _lines(found, kitchens, items, profiles, rules)
+
+
 def _slugs(condition) -> Column:
     return F.transform(F.filter("lines", condition), lambda x: x["slug"])
 
@@ -154,27 +236,21 @@ def coverage_columns(df: DataFrame, rules: MatchRules = MatchRules()) -> DataFra
         return (x["role"] == "probe") & x["direct"]
 
     none = F.array().cast("array<string>")
-    staged = (
-        df.withColumn("_avail", _slugs(lambda x: (x["role"] == "req") & x["held"]))
-        .withColumn("_miss", _slugs(lambda x: (x["role"] == "req") & ~x["held"]))
-        .withColumn("available_optional", _slugs(lambda x: (x["role"] == "opt") & x["held"]))
-        .withColumn("missing_optional", _slugs(lambda x: (x["role"] == "opt") & ~x["held"]))
-        .withColumn("_family", F.exists("lines", probe))
-        .withColumn("_quick", F.exists("lines", lambda x: probe(x) & (x["slug"] == quick)))
-        .withColumn("n_required", F.size("_avail") + F.size("_miss"))
-        .withColumn(
-            "_needs",
-            F.exists("lines", lambda x: x["role"] == "probe")
-            & ~F.exists("lines", lambda x: (x["role"] == "req") & in_family(x)),
-        )
-        .withColumn(
-            "_soft",
-            (F.col("n_required") == 0) & F.exists("lines", lambda x: (x["role"] == "opt") & in_family(x)),
-        )
-        .withColumn("uses_expiring", F.exists("lines", lambda x: (x["role"] != "probe") & x["expiring"]))
-    )
-    extra = F.col("_needs").cast("int") + F.col("_soft").cast("int")
-    wanted = F.col("n_required") + extra
+    facts = {
+        "_avail": _slugs(lambda x: (x["role"] == "req") & x["held"]),
+        "_miss": _slugs(lambda x: (x["role"] == "req") & ~x["held"]),
+        "available_optional": _slugs(lambda x: (x["role"] == "opt") & x["held"]),
+        "missing_optional": _slugs(lambda x: (x["role"] == "opt") & ~x["held"]),
+        "uses_expiring": F.exists("lines", lambda x: (x["role"] != "probe") & x["expiring"]),
+        "_family": F.exists("lines", probe),
+        "_quick": F.exists("lines", lambda x: probe(x) & (x["slug"] == quick)),
+        "_needs": F.exists("lines", lambda x: x["role"] == "probe")
+        & ~F.exists("lines", lambda x: (x["role"] == "req") & in_family(x)),
+    }
+    n_required = F.size("_avail") + F.size("_miss")
+    # The family is listed as optional only, and nothing else is required.
+    soft = F.col("_needs") & (n_required == 0) & F.exists("lines", lambda x: (x["role"] == "opt") & in_family(x))
+    extra = F.col("_needs").cast("int") + soft.cast("int")
     met = F.size("_avail") + F.when(F.col("_family"), extra).otherwise(0)
     form = F.when(F.col("_quick"), F.lit(quick)).otherwise(F.lit(base))
     missing = F.concat(
@@ -184,13 +260,19 @@ def coverage_columns(df: DataFrame, rules: MatchRules = MatchRules()) -> DataFra
     available = F.when(
         F.col("_needs") & F.col("_family"), F.array_distinct(F.concat("_avail", F.array(form)))
     ).otherwise(F.col("_avail"))
+    results = {
+        "n_required": n_required,
+        "available_required": available,
+        "missing_required": F.array_distinct(missing),
+        "availability_pct": F.when(n_required + extra == 0, 1.0).otherwise(
+            met / F.greatest(n_required + extra, F.lit(1))
+        ),
+    }
     return (
-        staged.withColumn("available_required", available)
-        .withColumn("missing_required", F.array_distinct(missing))
-        .withColumn("availability_pct", F.when(wanted == 0, 1.0).otherwise(met / F.greatest(wanted, F.lit(1))))
+        evaluate(evaluate(df, **facts), **results)
         .withColumn("make_now", make_now())
         .withColumn("almost_there", almost_there())
-        .drop("_avail", "_miss", "_soft", "_quick")
+        .drop("_avail", "_miss", "_quick")
     )
 
 

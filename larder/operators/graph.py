@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from larder import config as C
 from larder.functions.js import let, words
 from larder.functions.text import normalize_title
+from larder.operators.common import evaluate
 from larder.sources.rules import Transform
 
 
@@ -97,7 +98,7 @@ def derived_state(
     kitchens: DataFrame, items: DataFrame, transforms: tuple[Transform, ...], max_depth: int = 4
 ) -> DataFrame:
     state = kitchen_graph_state(kitchens, items, transforms)
-    return state.withColumn("derived", _derived(F.col("owned"), F.col("equipment"), transforms, max_depth))
+    return evaluate(state, derived=_derived(F.col("owned"), F.col("equipment"), transforms, max_depth))
 
 
 def derive_components(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larder.config import TITLE_WORDS_INSPECT
 from larder.functions.js import let, trim
 from larder.functions.text import normalize_title
+from larder.operators.common import evaluate
 from larder.operators.dedupe import near_duplicate_estimate
 from larder.operators.normalize import normalize_text
 from larder.sources.rules import Concept
@@ -52,7 +53,7 @@ def concept_lines(df: DataFrame, concepts: tuple[Concept, ...]) -> DataFrame:
     """One row per line: ``ordinal, pos, concept``."""
     lines = df.select("ordinal", F.posexplode("ingredients").alias("pos", "line"))
     name = normalize_text(F.col("line"), concepts)["normalized_name"]
-    return lines.withColumn("name", name).select(
+    return evaluate(lines, name=name).select(
         "ordinal", "pos", F.when(F.col("name") != "", F.col("name")).otherwise(F.lower("line")).alias("concept")
     )
 

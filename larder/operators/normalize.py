@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.js import has, let
 from larder.functions.text import strip_quantity
+from larder.operators.common import evaluate
 from larder.sources.rules import Concept, alias_literal, meta_literal
 
 NORMALIZED = (
@@ -133,7 +134,7 @@ def normalize_lines(
     df: DataFrame, text: str, concepts: tuple[Concept, ...], out: str = "normalized"
 ) -> DataFrame:
     """One normalized item per row of a long table of lines."""
-    return df.withColumn(out, normalize_text(F.col(text), concepts))
+    return evaluate(df, **{out: normalize_text(F.col(text), concepts)})
 
 
 def alias_match_joined(strings: DataFrame, column: str, concepts: DataFrame) -> DataFrame:

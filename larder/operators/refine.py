@@ -10,7 +10,7 @@ from larder.functions import keys as K
 from larder.functions.equipment import normalize_equipment
 from larder.functions.js import among, let, words
 from larder.functions.scoring import map_difficulty
-from larder.operators.common import first_per
+from larder.operators.common import evaluate, first_per
 from larder.operators.graph import infer_graph_path
 from larder.session import share
 from larder.sources.rules import MAX_LITERAL_ROWS, Transform
@@ -120,30 +120,21 @@ def to_refined(
     """Candidates flattened to recipes with path, tags, cost and signature."""
     col = F.col
     band_tag = F.concat(F.lit("struggle-"), col("band").cast("string"))
-    staged = (
-        df.withColumn("ingredients", distinct_ordered(col("ingredients")))
-        .withColumn("_slugs", F.transform("ingredients", lambda i: i["slug"]))
-        .withColumn(
-            "_path",
-            infer_graph_path(col("_slugs"), col("title"), col("steps"), F.array(col("level"), band_tag), transforms, rules),
-        )
-        .withColumn("graph_path", col("_path.path"))
-        .withColumn("component_slugs", col("_path.components"))
-        .withColumn(
-            "tags",
-            F.array_distinct(
-                F.concat(
-                    words(("corpus",)), F.array(col("level"), band_tag), F.slice("_slugs", 1, 4),
-                    F.slice("component_slugs", 1, 2),
-                )
-            ),
-        )
-        .withColumn("equipment", normalize_equipment(col("equipment")))
-        .withColumn(
-            "signature",
-            K.signature(col("title"), col("ingredients"), col("graph_path"), col("tags"), col("equipment"), col("component_slugs")),
-        )
+    staged = evaluate(df, ingredients=distinct_ordered(col("ingredients")))
+    staged = staged.withColumn("_slugs", F.transform("ingredients", lambda i: i["slug"]))
+    path = infer_graph_path(
+        col("_slugs"), col("title"), col("steps"), F.array(col("level"), band_tag), transforms, rules
+    )
+    staged = evaluate(staged, _path=path, equipment=normalize_equipment(col("equipment")))
+    staged = staged.withColumn("graph_path", col("_path.path")).withColumn("component_slugs", col("_path.components"))
+    tags = F.concat(
+        words(("corpus",)), F.array(col("level"), band_tag), F.slice("_slugs", 1, 4), F.slice("component_slugs", 1, 2)
+    )
+    staged = staged.withColumn("tags", F.array_distinct(tags))
+    signed = K.signature(
+        col("title"), col("ingredients"), col("graph_path"), col("tags"), col("equipment"), col("component_slugs")
     )
+    staged = evaluate(staged, signature=signed)
     priced = estimate_cost(staged, catalog, "candidate_id", "_slugs")
     return priced.select(
         "candidate_id", "ordinal", "source_id", "title", "description", "steps",

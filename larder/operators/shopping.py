@@ -15,9 +15,9 @@ from larder.config import MatchRules
 from larder.functions import scoring as S
 from larder.operators.common import first_per, ordered_index
 from larder.operators.coverage import (
-    FAMILY, class_of, coverage_columns, fat_equivalence, match_candidates, pair_lines, requirement_atoms,
+    FAMILY, class_of, coverage_columns, fat_equivalence, match_lines, requirement_atoms,
 )
-from larder.session import share
+from larder.session import materialize
 
 COUNTERS = ("unlocked", "improved", "fancied")
 TITLE_SAMPLES = {"unlocked": 6, "improved": 4, "fancied": 4}
@@ -113,7 +113,7 @@ def pair_effects(lined: DataFrame, rules: MatchRules) -> DataFrame:
 
 
 class PurchaseModel:
-    """Counters of purchases for a set of kitchens, kept as a handful of lazy DataFrames."""
+    """Counters of purchases for a set of kitchens, kept as a handful of written tables."""
 
     def __init__(
         self, kitchens: DataFrame, items: DataFrame, recipe_items: DataFrame, catalog: DataFrame,
@@ -122,14 +122,13 @@ class PurchaseModel:
         self.rules, self.kitchens, self.items = rules, kitchens, items
         self.recipe_items, self.catalog = recipe_items, catalog
         if lined is None:
-            pairs = match_candidates(kitchens, items, recipe_items, rules)
-            lined = coverage_columns(pair_lines(pairs, items, recipe_items, rules), rules)
-        self.helpful = share(improvable(recipe_items, rules))
-        self.base = share(item_base(catalog, self.helpful, rules))
+            lined = coverage_columns(match_lines(kitchens, items, recipe_items, rules), rules)
+        self.helpful = materialize(improvable(recipe_items, rules))
+        self.base = materialize(item_base(catalog, self.helpful, rules))
         # An effect of an item on a recipe that the common counters already hold is left out.
         effects = pair_effects(lined, rules)
-        self.effects = share(effects)
-        self.sparse = share(
+        self.effects = materialize(effects)
+        self.sparse = materialize(
             effects.groupBy("kitchen_id", "slug").agg(
                 F.count_if(F.col("effect") == "unlocked").alias("pair_unlocked"),
                 F.count_if(F.col("effect") == "fancied").alias("pair_fancied"),
@@ -192,7 +191,7 @@ class PurchaseModel:
         kitchen ranked, the j-th free position is j plus the excluded ones that have fewer than j
         free positions before them.
         """
-        listed = share(self._global_list(order, super_only))
+        listed = materialize(self._global_list(order, super_only))
         covered = self.covered_slugs()
         excluded = (
             self.sparse.select("kitchen_id", "slug")
@@ -317,8 +316,8 @@ def _pick_bundle(best: DataFrame, held: DataFrame, rules: MatchRules, count: int
 
 def essentials_bundle(model: PurchaseModel, count: int = 3, pool: int = 20) -> DataFrame:
     """Three purchases per kitchen, each scored as if the earlier ones were owned."""
-    best = share(model.top(pool))
-    picks = share(_pick_bundle(best, model.items, model.rules, count))
+    best = materialize(model.top(pool))
+    picks = materialize(_pick_bundle(best, model.items, model.rules, count))
     first = best.join(picks.where("step = 0"), ["kitchen_id", "slug"])
     # One virtual kitchen per later step: what is owned plus the picks before it.
     later = picks.where("step > 0").select(

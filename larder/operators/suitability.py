@@ -9,6 +9,7 @@ from larder import config as C
 from larder.functions import text as X
 from larder.functions.equipment import detect_equipment
 from larder.functions.js import among, has, let
+from larder.operators.common import evaluate
 from larder.operators.normalize import lookup_meta, normalize_recipe
 from larder.sources.rules import Concept
 
@@ -78,14 +79,13 @@ def score_suitability(
 
 
 def with_normalized(df: DataFrame, concepts: tuple[Concept, ...], out: str = "normalized") -> DataFrame:
-    return df.withColumn(out, normalize_recipe(F.col("ingredients"), F.col("ner"), concepts))
+    return evaluate(df, **{out: normalize_recipe(F.col("ingredients"), F.col("ner"), concepts)})
 
 
 def with_suitability(df: DataFrame, concepts: tuple[Concept, ...], out: str = "suitability") -> DataFrame:
     """Adds the score struct; needs the ``normalized`` column."""
-    return df.withColumn(
-        out, score_suitability(F.col("ingredients"), F.col("directions"), F.col("normalized"), concepts)
-    )
+    score = score_suitability(F.col("ingredients"), F.col("directions"), F.col("normalized"), concepts)
+    return evaluate(df, **{out: score})
 
 
 def basic_validity(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from larder import config as C
 from larder.functions import equipment as E
 from larder.functions import text as X
 from larder.functions.js import among, collapse, has, let, rx, swap
+from larder.operators.common import evaluate
 from larder.operators.normalize import normalize_recipe
 from larder.operators.suitability import score_suitability
 from larder.sources.rules import Concept
@@ -155,21 +156,22 @@ def make_variant(df: DataFrame, concepts: tuple[Concept, ...], rules: C.VariantR
     """
     col = F.col
     level = col("level")
-    staged = (
-        df.where(F.size("normalized") >= 2)
-        .withColumn("_pass", substitute_ingredients(col("normalized"), level, rules))
-        .where(F.size("_pass.items") >= 2)
-        .withColumn("_tools", E.simplify_equipment(E.rewrite_steps(col("directions"), col("_pass.audit"))))
-        .withColumn("_steps", E.collapse_steps(col("_tools.steps")))
-        .withColumn("_names", F.transform("_pass.items", lambda i: i["normalized_name"]))
-        .withColumn("_title", variant_title(col("title"), level, col("_names")))
-        .withColumn(
-            "_minutes",
-            F.least(
-                X.estimate_minutes(col("directions")),
-                F.when(level == "struggle", 15.0).when(level == "student", 30.0).otherwise(45.0),
-            ),
-        )
+    rewritten = evaluate(
+        df.where(F.size("normalized") >= 2), _pass=substitute_ingredients(col("normalized"), level, rules)
+    ).where(F.size("_pass.items") >= 2)
+    staged = evaluate(
+        rewritten,
+        _tools=E.simplify_equipment(E.rewrite_steps(col("directions"), col("_pass.audit"))),
+        _names=F.transform("_pass.items", lambda i: i["normalized_name"]),
+        _minutes=F.least(
+            X.estimate_minutes(col("directions")),
+            F.when(level == "struggle", 15.0).when(level == "student", 30.0).otherwise(45.0),
+        ),
+    )
+    staged = evaluate(
+        staged,
+        _steps=E.collapse_steps(col("_tools.steps")),
+        _title=variant_title(col("title"), level, col("_names")),
     )
     band = E.classify_band(
         F.size("_pass.items"), col("_minutes"), col("_tools.equipment"),
@@ -182,10 +184,10 @@ def make_variant(df: DataFrame, concepts: tuple[Concept, ...], rules: C.VariantR
             i["normalized_name"]
         ),
     )
-    scored = (
-        staged.withColumn("_lines", lines)
-        .withColumn("_again", normalize_recipe(col("_lines"), col("_names"), concepts))
-        .withColumn("_score", score_suitability(col("_lines"), col("_steps.steps"), col("_again"), concepts))
+    scored = evaluate(staged, _lines=lines)
+    scored = evaluate(scored, _again=normalize_recipe(col("_lines"), col("_names"), concepts))
+    scored = evaluate(
+        scored, _score=score_suitability(col("_lines"), col("_steps.steps"), col("_again"), concepts)
     )
     nudge = F.when(level == "struggle", 4.0).when(level == "student", 2.0).otherwise(0.0)
     total = F.round(col("_score.total") + nudge, 2)

@@ -35,8 +35,8 @@ def score_candidates(
     transforms: tuple[Transform, ...] = (), options: RecommendOptions = RecommendOptions(),
 ) -> tuple[DataFrame, DataFrame]:
     """Diversified scores of the pairs worth showing, and their lines for purchase analysis."""
-    pairs = cov.match_candidates(kitchens, items, recipe_items, options.rules)
-    lined = share(cov.coverage_columns(cov.pair_lines(pairs, items, recipe_items, options.rules), options.rules))
+    lines = cov.match_lines(kitchens, items, recipe_items, options.rules)
+    lined = materialize(cov.coverage_columns(lines, options.rules))
     shown = lined.where("make_now or almost_there").drop("lines", "_family", "_needs")
     profile = rk.recipe_profile(recipes, recipe_items, options.weights, options.rules)
     derived = gr.derived_state(kitchens, items, transforms) if transforms else None
@@ -70,7 +70,7 @@ def recommend(
 ) -> dict[str, DataFrame]:
     """The six lists of every kitchen, from one pass over the candidate pairs."""
     scored, lined = score_candidates(kitchens, items, recipes, recipe_items, transforms, options)
-    scored = share(scored)
+    scored = materialize(scored)
     out = {name: rk.present_candidate(df) for name, df in rk.sections(scored).items()}
     model = sh.PurchaseModel(kitchens, items, recipe_items, catalog, options.rules, lined)
     out["good_next_buys"] = sh.good_next_buys(model)
