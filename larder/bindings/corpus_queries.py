@@ -182,13 +182,13 @@ def _decode_json(spark, sf):
 
 @query("alias_match", with_("SELECT cleaned, alias, concept, slug FROM norm_h JOIN aliases USING (ord, alias, concept)", "norm_h", "aliases"))
 def _alias(spark, sf):
-    cleaned = lines(spark, sf).select(X.strip_quantity(F.col("line")).alias("cleaned"))
+    cleaned = evaluate(lines(spark, sf), cleaned=X.strip_quantity(F.col("line")))
     return nm.alias_match(cleaned, "cleaned", R.CONCEPTS)
 
 
 @query("alias_match_joined", with_("SELECT cleaned, alias, concept, slug FROM norm_h JOIN aliases USING (ord, alias, concept)", "norm_h", "aliases"))
 def _alias_joined(spark, sf):
-    cleaned = lines(spark, sf).select(X.strip_quantity(F.col("line")).alias("cleaned"))
+    cleaned = evaluate(lines(spark, sf), cleaned=X.strip_quantity(F.col("line")))
     return nm.alias_match_joined(cleaned, "cleaned", concepts_df(spark, R.CONCEPTS))
 
 

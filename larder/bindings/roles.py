@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from larder import config as C
 from larder.functions.js import words
 from larder.functions.keys import signature
+from larder.operators.common import spread
 from larder.operators.drafts import Choice, DraftItem, DraftTemplate
 from larder.sources.rules import Concept, Input, Transform
 
@@ -282,10 +283,10 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
 
     def pieces(sep: str) -> Column:
-        return F.filter(F.transform(F.split(text, sep), F.btrim), lambda x: x != "")
+        return F.filter(F.transform(F.split(text, sep), lambda x: F.btrim(x)), lambda x: x != "")
 
     title = F.get(F.split(text, "\n"), F.lit(0))
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "source")).select(
         F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("id"), title.alias("title"),
         pieces(",").alias("ingredients"), pieces("\n").alias("directions"),
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("link"), F.col("source"),

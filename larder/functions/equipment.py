@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larder import config as C
-from larder.functions.js import among, escape_regex, has, let, rx, swap, trim, words
+from larder.functions.js import ANY_BOUNDARY, among, escape_regex, fold, has, let, rx, swap, trim, words
 
 AUDIT = "array<struct<kind:string,from:string,to:string,reason:string>>"
 
@@ -41,10 +41,10 @@ def detect_equipment(directions: Column) -> Column:
             ("knife", r"\bknife\b|\bchop\b|\bslice\b"),
         )
         hinted = [_when_array(has(text, pattern), item) for item, pattern in hints]
-        many = F.regexp_count(text, F.lit(rx(r"\b(pan|skillet|saucepan|pot)\b"))) >= 3
+        many = F.regexp_count(text, F.lit(r"\b(pan|skillet|saucepan|pot)\b")) >= 3
         return F.array_distinct(F.concat(named, *hinted, _when_array(many, "multiple pans")))
 
-    return let(F.lower(F.array_join(directions, " ")), body)
+    return let(fold(F.lower(F.array_join(directions, " "))), body)
 
 
 def normalize_equipment(equipment: Column) -> Column:
@@ -83,7 +83,7 @@ def normalize_equipment(equipment: Column) -> Column:
 def simplify_equipment(steps: Column) -> Column:
     """Struct ``(steps, equipment, audit)`` with special tools replaced by common ones."""
     def swap_one(state: Column, pattern: str, to: str, reason: str) -> Column:
-        used = F.exists(state["steps"], lambda s: has(s, pattern, True))
+        used = F.exists(state["steps"], lambda s: s.rlike(rx(pattern, True)))
         row = audit_row("equipment_simplify", pattern, to, reason)
         return F.struct(
             F.transform(state["steps"], lambda s: swap(s, pattern, to, True)).alias("steps"),
@@ -91,9 +91,9 @@ def simplify_equipment(steps: Column) -> Column:
         )
 
     def one_pan(state: Column) -> Column:
-        baked = has(F.lower(F.array_join(state["steps"], " ")), r"\boven\b|\bbake\b")
+        baked = has(fold(F.lower(F.array_join(state["steps"], " "))), r"\boven\b|\bbake\b")
         parallel = F.exists(
-            state["steps"], lambda s: has(s, r"\bin another (pan|pot|skillet)\b|\bmeanwhile\b", True)
+            state["steps"], lambda s: has(fold(s), r"\bin another (pan|pot|skillet)\b|\bmeanwhile\b", True)
         )
         merged = F.transform(
             state["steps"],
@@ -124,7 +124,7 @@ def simplify_equipment(steps: Column) -> Column:
             found = [_when_array(has(text, pattern), item) for item, pattern in hints]
             return F.array_distinct(F.concat(words(("bowl", "knife")), *found, left))
 
-        equipment = let(F.lower(F.array_join(state["steps"], " ")), body)
+        equipment = let(fold(F.lower(F.array_join(state["steps"], " "))), body)
         return F.struct(
             state["steps"].alias("steps"), equipment.alias("equipment"), state["audit"].alias("audit")
         )
@@ -182,7 +182,7 @@ def rewrite_steps(steps: Column, audit: Column) -> Column:
     changes = F.filter(audit, lambda a: a["kind"] == "ingredient_substitute")
 
     def substitute(out: Column, change: Column) -> Column:
-        boundary = F.lit(rx(r"\b"))
+        boundary = F.lit(ANY_BOUNDARY)
         pattern = F.concat(F.lit("(?i)"), boundary, escape_regex(change["from"]), boundary)
         return F.transform(out, lambda s: F.regexp_replace(s, pattern, change["to"]))
 

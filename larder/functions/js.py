@@ -8,8 +8,12 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# `\b` in Java treats accented letters as word characters; the corpus rules mean ASCII words.
-_BOUNDARY = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+# `\b` in Java treats accented letters as word characters; the corpus rules mean ASCII words. Text
+# that is only searched is folded to ASCII first and then takes a plain `\b`. Text that is kept
+# gets look-arounds, which are cheap where the pattern has a word character on the inner side.
+_NOT_AFTER = "(?<![A-Za-z0-9_])"
+_NOT_BEFORE = "(?![A-Za-z0-9_])"
+ANY_BOUNDARY = f"(?:(?<=[A-Za-z0-9_]){_NOT_BEFORE}|{_NOT_AFTER}(?=[A-Za-z0-9_]))"
 
 SPACES = " \t\n\r\x0b\x0c\u00a0\ufeff\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
     chr(c) for c in range(0x2000, 0x200B)
@@ -17,8 +21,17 @@ SPACES = " \t\n\r\x0b\x0c\u00a0\ufeff\u1680\u2028\u2029\u202f\u205f\u3000" + "".
 
 
 def rx(pattern: str, ignore_case: bool = False) -> str:
-    """A Java pattern whose ``\\b`` is an ASCII word boundary."""
-    return ("(?i)" if ignore_case else "") + pattern.replace(r"\b", _BOUNDARY)
+    """A Java pattern whose ``\\b`` is an ASCII boundary, on text of any alphabet.
+
+    A ``\\b`` at the start of an alternative opens a word, any other closes one.
+    """
+    opened = re.sub(r"(^|\|)\\b", lambda m: m.group(1) + _NOT_AFTER, pattern)
+    return ("(?i)" if ignore_case else "") + opened.replace(r"\b", _NOT_BEFORE)
+
+
+def fold(column: Column) -> Column:
+    """Runs of other than ASCII characters as one character that is neither word nor space."""
+    return F.regexp_replace(column, r"[^\x00-\x7F]+", "\u0001")
 
 
 def swap(column: Column, pattern: str, to: str, ignore_case: bool = False) -> Column:
@@ -26,7 +39,8 @@ def swap(column: Column, pattern: str, to: str, ignore_case: bool = False) -> Co
 
 
 def has(column: Column, pattern: str, ignore_case: bool = False) -> Column:
-    return F.coalesce(column.rlike(rx(pattern, ignore_case)), F.lit(False))
+    """Whether the pattern occurs; a ``\\b`` in it needs folded text."""
+    return F.coalesce(column.rlike(("(?i)" if ignore_case else "") + pattern), F.lit(False))
 
 
 def trim(column: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larder.config import PREFERRED_SOURCES, TITLE_WORDS_DEDUPE
-from larder.functions.js import collapse, has, let, swap, trim, word_pattern
+from larder.functions.js import collapse, fold, has, let, rx, swap, trim, word_pattern
 
 # Quantity, cup and descriptor wording that is not part of an item's name.
 QUANTITY = (
@@ -27,14 +27,14 @@ _STRICT_JSON = {"allowSingleQuotes": "false", "allowNumericLeadingZeros": "false
 
 def strip_quantity(text: Column) -> Column:
     """The bare item name of an ingredient line."""
-    out = F.regexp_replace(F.lower(text), "[()]", " ")
+    out = F.regexp_replace(fold(F.lower(text)), "[()]", " ")
     for pattern in (QUANTITY, CUPS, DESCRIPTORS):
-        out = swap(out, pattern, " ")
+        out = F.regexp_replace(out, pattern, " ")
     return collapse(F.regexp_replace(out, r"[^a-z0-9\s-]", " "))
 
 
 def normalize_title(title: Column, stop_words: Iterable[str] = TITLE_WORDS_DEDUPE) -> Column:
-    bare = swap(F.lower(title), word_pattern(stop_words), "")
+    bare = F.regexp_replace(fold(F.lower(title)), word_pattern(stop_words), "")
     return collapse(F.regexp_replace(bare, r"[^a-z0-9\s]", " "))
 
 
@@ -117,7 +117,7 @@ def real_steps(steps: Column, verb: str, placeholders: str) -> Column:
         joined = F.array_join(parts, " ")
         return (
             (F.length(joined) >= 80)
-            & has(joined, verb, True)
+            & F.coalesce(joined.rlike(rx(verb, True)), F.lit(False))
             & ~has(joined, placeholders, True)
             & F.exists(parts, lambda s: F.length(s) >= 25)
         )

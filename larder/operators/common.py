@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from larder.session import materialize
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for costly per-row work when the input has fewer splits than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def evaluate(df: DataFrame, **columns: Column) -> DataFrame:
     """Add costly columns that are computed once per row.
 

@@ -114,7 +114,7 @@ def apply_equipment_events(kitchens: DataFrame, events: DataFrame) -> DataFrame:
     sets = events.where(F.col("op") == EQUIPMENT).groupBy("kitchen_id").agg(
         F.max_by("equipment", F.struct("ts", "event_id")).alias("_equipment")
     )
-    cleaned = F.filter(F.transform("_equipment", F.trim), lambda e: e != "")
+    cleaned = F.filter(F.transform("_equipment", lambda e: F.trim(e)), lambda e: e != "")
     return kitchens.join(sets, "kitchen_id", "left").withColumn(
         "equipment", F.when(F.col("_equipment").isNotNull(), cleaned).otherwise(F.col("equipment"))
     ).drop("_equipment")

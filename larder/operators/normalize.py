@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.js import has, let
+from larder.functions.js import fold, has, let
 from larder.functions.text import strip_quantity
 from larder.operators.common import evaluate
 from larder.sources.rules import Concept, alias_literal, meta_literal
@@ -71,7 +71,7 @@ def normalize_text(text: Column, concepts: tuple[Concept, ...]) -> Column:
         return (
             F.when(water, _item(text, "water", None, 1.0, _note("ignored always-available water")))
             .when(
-                has(F.lower(text), _TINNED_TOMATO),
+                has(fold(F.lower(text)), _TINNED_TOMATO),
                 _item(text, "tinned tomato", "chopped-tomatoes", 0.95, _note("tinned/canned tomato priority match")),
             )
             .when(cleaned == "", _item(text, "", None, 0.0, _note("empty after cleaning")))
@@ -174,5 +174,5 @@ def alias_match_joined(strings: DataFrame, column: str, concepts: DataFrame) ->
 def alias_match(strings: DataFrame, column: str, concepts: tuple[Concept, ...]) -> DataFrame:
     """Distinct cleaned strings with the longest alias they contain."""
     distinct = strings.select(column).where(F.col(column) != "").distinct()
-    hit = distinct.withColumn("hit", alias_hit(F.col(column), concepts)).where("hit is not null")
+    hit = evaluate(distinct, hit=alias_hit(F.col(column), concepts)).where("hit is not null")
     return hit.select(column, "hit.alias", "hit.concept", "hit.slug")

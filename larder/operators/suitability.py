@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larder import config as C
 from larder.functions import text as X
 from larder.functions.equipment import detect_equipment
-from larder.functions.js import among, has, let
+from larder.functions.js import among, fold, has, let
 from larder.operators.common import evaluate
 from larder.operators.normalize import lookup_meta, normalize_recipe
 from larder.sources.rules import Concept
@@ -73,7 +73,7 @@ def score_suitability(
     metas = F.transform(normalized, lambda i: lookup_meta(i["normalized_name"], i["slug"], concepts))
     inputs = F.struct(
         metas.alias("m"), detect_equipment(directions).alias("e"),
-        X.estimate_minutes(directions).alias("t"), F.lower(F.array_join(directions, " ")).alias("x"),
+        X.estimate_minutes(directions).alias("t"), fold(F.lower(F.array_join(directions, " "))).alias("x"),
     )
     return let(let(inputs, lambda v: ladder(v["m"], v["e"], v["t"], v["x"])), with_total)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larder import config as C
 from larder.functions import equipment as E
 from larder.functions import text as X
-from larder.functions.js import among, collapse, has, let, rx, swap
+from larder.functions.js import ANY_BOUNDARY, among, collapse, has, let, swap
 from larder.operators.common import evaluate
 from larder.operators.normalize import normalize_recipe
 from larder.operators.suitability import score_suitability
@@ -143,7 +143,7 @@ def variant_title(title: Column, level: Column, concepts: Column) -> Column:
     named = F.when(has(bare, "student|quick|easy|lazy", True), bare).otherwise(F.concat(F.lit("Student "), bare))
     core = F.array_join(F.slice(concepts, 1, 3), " ")
     broke = F.concat(F.lit("Broke "), F.when(core != "", core).otherwise(bare))
-    broke = F.regexp_replace(broke, rx(r"(?s)^(.*?)\bBroke Broke\b", True), "$1Broke")
+    broke = F.regexp_replace(broke, f"(?is)^(.*?){ANY_BOUNDARY}Broke Broke{ANY_BOUNDARY}", "$1Broke")
     return collapse(
         F.when(level == "practical", cheesy).when(level == "student", named).otherwise(broke)
     )

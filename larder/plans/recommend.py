@@ -19,6 +19,7 @@ from larder.sources.tables import bridge_items
 from larder.session import materialize, share
 from larder.sources.rules import Transform, transforms_df
 
+LISTS = ("make_now", "almost_there", "use_soon", "good_next_buys", "super_foods", "bundle_buys")
 Generator = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 
 
@@ -67,15 +68,17 @@ def generate_drafts(
 def recommend(
     kitchens: DataFrame, items: DataFrame, recipes: DataFrame, recipe_items: DataFrame, catalog: DataFrame,
     transforms: tuple[Transform, ...] = (), options: RecommendOptions = RecommendOptions(),
+    lists: tuple[str, ...] = LISTS,
 ) -> dict[str, DataFrame]:
-    """The six lists of every kitchen, from one pass over the candidate pairs."""
+    """The six lists of every kitchen (or those named), from one pass over the candidate pairs."""
     scored, lined = score_candidates(kitchens, items, recipes, recipe_items, transforms, options)
     scored = materialize(scored)
-    out = {name: rk.present_candidate(df) for name, df in rk.sections(scored).items()}
-    model = sh.PurchaseModel(kitchens, items, recipe_items, catalog, options.rules, lined)
-    out["good_next_buys"] = sh.good_next_buys(model)
-    out["super_foods"] = sh.super_foods(model)
-    out["bundle_buys"] = sh.essentials_bundle(model)
+    out = {name: rk.present_candidate(df) for name, df in rk.sections(scored).items() if name in lists}
+    buys = {"good_next_buys": sh.good_next_buys, "super_foods": sh.super_foods, "bundle_buys": sh.essentials_bundle}
+    wanted = [name for name in buys if name in lists]
+    if wanted:
+        model = sh.PurchaseModel(kitchens, items, recipe_items, catalog, options.rules, lined)
+        out.update({name: buys[name](model) for name in wanted})
     return out
 
 
@@ -108,7 +111,7 @@ def recommend_many(
     spark: SparkSession, inventories: Mapping[str, tuple[str, ...]], expiring: tuple[str, ...],
     recipes: DataFrame, recipe_items: DataFrame, catalog: DataFrame,
     transforms: tuple[Transform, ...] = (), equipment: tuple[str, ...] = C.BASIC_EQUIPMENT,
-    options: RecommendOptions = RecommendOptions(),
+    options: RecommendOptions = RecommendOptions(), lists: tuple[str, ...] = LISTS,
 ) -> dict[str, DataFrame]:
     """``recommend`` over a set of named inventories."""
     kitchens = spark.createDataFrame([(n, list(equipment)) for n in inventories], "kitchen_id string, equipment array<string>")
@@ -116,4 +119,4 @@ def recommend_many(
         [(n, s, s in expiring) for n, slugs in inventories.items() for s in dict.fromkeys(slugs)],
         "kitchen_id string, slug string, expiring boolean",
     )
-    return recommend(kitchens, items, recipes, recipe_items, catalog, transforms, options)
+    return recommend(kitchens, items, recipes, recipe_items, catalog, transforms, options, lists)

@@ -52,7 +52,10 @@ def write_candidates(df: DataFrame, path: str, reports: Mapping[str, DataFrame]
 def publish_tables(tables: Mapping[str, DataFrame], path: str) -> None:
     """Full refresh of every table. Later batches lie next to the seed as further partitions."""
     for name, df in tables.items():
-        df.withColumn("batch", F.lit(SEED_BATCH)).write.mode("overwrite").partitionBy("batch").parquet(f"{path}/{name}")
+        spark = df.sparkSession
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+        df.write.parquet(f"{path}/{name}/batch={SEED_BATCH}")
 
 
 def load_graph(spark: SparkSession, path: str) -> FoodGraph:
@@ -106,10 +109,10 @@ def with_signature(df: DataFrame) -> DataFrame:
 
 
 def bridge_items(df: DataFrame, id_column: str = "recipe_id") -> DataFrame:
-    rows = df.select(id_column, F.posexplode("ingredients").alias("ordinal", "i"))
+    rows = df.select(F.col(id_column).alias("recipe_id"), F.posexplode("ingredients").alias("pos", "i"))
     return rows.select(
-        F.col(id_column).alias("recipe_id"), F.col("i.slug").alias("slug"),
-        F.coalesce("i.optional", F.lit(False)).alias("optional"), "ordinal",
+        "recipe_id", F.col("i.slug").alias("slug"), F.coalesce("i.optional", F.lit(False)).alias("optional"),
+        F.col("pos").alias("ordinal"),
     )
 
 
