@@ -527,8 +527,8 @@ SELECT slug, unlock, fancy, low_effort, super_score, roles FROM (
       greatest(coalesce(sole, 0) * 3, coalesce(hits, 0)) AS unlock, coalesce(opt, 0) + coalesce(classic, 0) AS fancy
     FROM name_cat c
     LEFT JOIN (SELECT slug, count_if(req) AS hits, count_if(opt) AS opt,
-          count_if(req AND full AND slug IN {lit(R.FANCY_UP)}) AS classic FROM (
-        SELECT cand, i.slug AS slug, bool_or(NOT i.optional) AS req, bool_or(i.optional) AS opt, any_value(status = 'fully_represented') AS full
+          count_if(req AND complete AND slug IN {lit(R.FANCY_UP)}) AS classic FROM (
+        SELECT cand, i.slug AS slug, bool_or(NOT i.optional) AS req, bool_or(i.optional) AS opt, any_value(status = 'fully_represented') AS complete
         FROM (SELECT cand, status, unnest(items) AS i FROM v_checked WHERE status <> 'unrepresentable') WHERE i.slug IS NOT NULL GROUP BY 1, 2)
       GROUP BY 1) h ON h.slug = c.slug
     LEFT JOIN (SELECT lacking[1] AS slug, count(*) AS sole FROM v_checked WHERE status NOT IN ('unrepresentable', 'fully_represented')
