@@ -58,13 +58,19 @@ def _is_header() -> Column:
     return line.rlike(r"(?i)^,?(id|title)")
 
 
+def _part_header() -> Column:
+    """Header of a further file of the same folder."""
+    names = F.concat_ws(",", *[F.lower(F.coalesce(c, F.lit(""))) for c in ("_c1", "_c2", "_c3")])
+    return names == "title,ingredients,directions"
+
+
 def scan_corpus(
     spark: SparkSession, path: str, limit: int | None = None, skip_header: bool = True
 ) -> DataFrame:
     """Canonical corpus CSV as rows with ``ordinal``; the first record drops only if it is a header."""
     raw = _file_order(_positional(spark, path, 7))
     if skip_header:
-        raw = raw.where(~((F.col("ordinal") == 0) & _is_header()))
+        raw = raw.where(~((F.col("ordinal") == 0) & _is_header()) & ~_part_header())
     rows = canonical_rows(raw)
     return rows if limit is None else rows.orderBy("ordinal").limit(limit)
 
@@ -179,7 +185,7 @@ def import_corpus(
 ) -> tuple[DataFrame, DataFrame]:
     """A corpus of any supported format as canonical rows, and the import counters."""
     if fmt == "recipenlg":
-        raw = _file_order(_positional(spark, path, 7)).where("ordinal > 0")
+        raw = _file_order(_positional(spark, path, 7)).where((F.col("ordinal") > 0) & ~_part_header())
     else:
         raw = _file_order(spark.read.csv(path, header=True, inferSchema=False, **_CSV))
     flagged = keep_mapped(map_format(raw, fmt), fmt, preferred_only)
@@ -189,7 +195,7 @@ def import_corpus(
 def to_csv_columns(df: DataFrame) -> DataFrame:
     """The seven canonical text columns, lists as JSON."""
     return df.select(
-        F.col("id").alias("_id"), "title", F.to_json("ingredients").alias("ingredients"),
+        "id", "title", F.to_json("ingredients").alias("ingredients"),
         F.to_json("directions").alias("directions"), "link", "source", F.to_json("ner").alias("NER"),
     )
 
