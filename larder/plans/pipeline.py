@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder import config as C
@@ -94,7 +94,7 @@ def sample_pipeline(
 ) -> PipelineRun:
     """Corpus to validated candidates. Map-only from the sample up to the dedupe."""
     sample = share(sm.reservoir_sample(corpus, options.limit, options.prefer, options.only, options.preferred))
-    in_order = sample.drop("sample_rank", "ordinal").withColumn("ordinal", _sample_position(sample))
+    in_order = sample.withColumn("ordinal", _sample_position()).drop("sample_rank")
     staged = share(staged_rows(in_order, concepts, options.threshold))
     made = materialize(accepted_variants(staged, concepts, options.rules))
     deduped = share(va.validate_candidates(dd.dedupe(made, options.pairwise_limit), catalog))
@@ -107,7 +107,7 @@ def sample_pipeline(
     )
 
 
-def _sample_position(sample: DataFrame):
+def _sample_position() -> Column:
     """One sortable number for ``sample_rank``: preferred slots, then the others."""
     return F.col("sample_rank.sample_class").cast("long") * F.lit(1 << 40) + F.col("sample_rank.slot")
 
