@@ -158,7 +158,7 @@ def decode_documents(
     return map_batches(docs, [ids_col], run, f"`{out}` binary", [c for c in docs.columns if c != out])
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, from ids and bytes of the operators above."""
     coded = encode_documents(docs.select("doc_id", "text"), path).drop("text")
     decoded = decode_documents(coded, path)
@@ -167,4 +167,5 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["token_ids"] if with_ids else []),
     )

@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larder.llm import byte_bpe, decontaminate, exact_dedup, planes, simhash, toxicity, url_reputation
+import corpus_pipeline
+from larder.llm import (
+    byte_bpe, decontaminate, exact_dedup, layout, licences, planes, simhash, toxicity, url_reputation, warc,
+)
 from larder.llm.common import table
+from larder.llm.licences import STEPS, covering_rules, known_sentences, path_of
 from larder.llm.url_reputation import DEVIATIONS, FLOOR, LEAST_RHO, MOST_RHO, RULES, SUFFIXES
 
 
@@ -15,6 +20,15 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
+    return found.select(
+        "record_id", "url", "warc_type", "outcome", "refers_to", headers.alias("headers"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -23,6 +37,10 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op5_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,6 +53,10 @@ def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.stored(table(spark, sf_dir, "documents"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,10 +64,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_exact_dedup, op3_byte_bpe, op4_url_reputation, op6_simhash, op7_toxicity, op8_token_planes,
-        op10_decontaminate,
+        op1_exact_dedup, op2_warc_revisits, op3_byte_bpe, op4_url_reputation, op5_layout, op6_simhash, op7_toxicity,
+        op8_token_planes, op9_licences, op10_decontaminate,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 
 _OP1 = r"""
 with rows as (
@@ -113,4 +136,40 @@ select page_id, host, path,
 from parsed
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": _OP1, "op4_url_reputation": _OP4}
+
+def _licence_sql() -> str:
+    body = "lower(coalesce(text, ''))"
+    for pattern, to in STEPS:
+        body = f"regexp_replace({body}, '{pattern}', {'chr(30)' if to == chr(30) else 'chr(10)' if to == chr(10) else repr(to)}, 'g')"
+    known = " ".join(f"when '{sentence}' then '{name}'" for sentence, name in known_sentences().items())
+    longer, hits = covering_rules(licences.RULES), []
+    for licence, rule, names in licences.RULES:
+        clear = "".join(f" and not contains(path, '{q}')" for q in longer[path_of(names)])
+        hits.append(f"select doc_id, '{licence}' as licence, '{licence}/{rule}' as rule from paths "
+                    f"where contains(path, '{path_of(names)}'){clear}")
+    return f"""
+with sentences as (
+    select doc_id, unnest(string_split({body}, chr(30))) as sentence, generate_subscripts(string_split({body}, chr(30)), 1) as i
+    from documents
+), known as (
+    select doc_id, i, case trim(sentence, ' .-') {known} end as name from sentences
+), joined as (
+    select doc_id, count(name) as n_known, string_agg(name || '>', '' order by i) as tail
+    from known where name is not null group by doc_id
+), paths as (
+    select doc_id, coalesce(n_known, 0) as n_known, '>' || coalesce(tail, '') as path
+    from documents left join joined using (doc_id)
+), hits as ({" union all ".join(hits)}
+), named as (
+    select doc_id, string_agg(distinct rule, ',' order by rule) as rules,
+        string_agg(distinct licence, ',' order by licence) as licences
+    from hits group by doc_id
+)
+select doc_id, n_known, path, coalesce(rules, '') as rules, coalesce(licences, '') as licences
+from paths left join named using (doc_id)
+"""
+
+
+ORACLES: dict[str, str] = {"op1_exact_dedup": _OP1, "op4_url_reputation": _OP4, "op9_licences": _licence_sql()}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
