@@ -9,8 +9,9 @@ documents of similarity J agree in a view of three shingles with a chance of abo
 pair at 0.8 is missed by all eight in 3 of 1000 cases. Every proposed pair is checked exactly.
 
 A bucket of at most ``PAIRED`` documents proposes all its pairs. In a larger one each document is
-paired with the bucket's centre: the member that shares most buckets with most others, which is
-the text that the others were copied from.
+paired with two members: the bucket's centre, whose fingerprints are nearest to the majority of
+each bit over the bucket, as those of a text are from which the others were copied; and the member
+that shares most buckets with most others.
 
 Texts with the same words are one node, whatever their white space and case; null and empty texts
 are such a node. Of a group the smallest doc_id stays, a null id only where there's no other; rows
@@ -52,22 +53,44 @@ def views(hashes: np.ndarray, n_views: int = VIEWS, sample: int = SAMPLE) -> lis
 
 def _marks(rows: DataFrame, n: int) -> DataFrame:
     def run(texts: list) -> list:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         for text in texts:
             hashes = shingle_hashes(words(text), n)
             out[0].append(fingerprint(hashes))
             hashes = np.unique(hashes)
-            out[1].append(views(hashes))
-            out[2].append(len(hashes))
+            out[1].append(fingerprint((hashes ^ _MIX[0, -1]) * _MIX[1, -1]))
+            out[2].append(views(hashes))
+            out[3].append(len(hashes))
         return out
 
-    return map_batches(rows, ["text"], run, "fp long, views array<long>, size int", ["node", "doc_id"])
+    return map_batches(rows, ["text"], run, "fp long, second long, views array<long>, size int", ["node", "doc_id"])
+
+
+def _centres(members: DataFrame) -> DataFrame:
+    """Per bucket (t, key): the members ``near`` its majority and ``well`` connected. Every step is an aggregate."""
+    bits = [(c, k) for c in ("fp", "second") for k in range(64)]
+    ones = [F.sum(F.shiftrightunsigned(c, k).bitwiseAND(1)).alias(f"{c}{k}") for c, k in bits]
+    counted = members.groupBy("t", "key").agg(F.count(F.lit(1)).alias("of"), *ones)
+    majority = []
+    for column in ("fp", "second"):
+        value = F.lit(0).cast("long")
+        for k in range(64):
+            value = value.bitwiseOR(F.when(2 * F.col(f"{column}{k}") > F.col("of"), F.lit(_signed(1 << k))).otherwise(F.lit(0).cast("long")))
+        majority.append(value.alias(f"m_{column}"))
+    counted = materialize(counted.select("t", "key", *majority))
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    away = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"m_{c}"))) for c in ("fp", "second"))
+    judged = members.join(weight, "node").join(counted, ["t", "key"])
+    return judged.groupBy("t", "key").agg(
+        F.min(F.struct(away.alias("away"), (-F.col("weight")).alias("weight"), "node")).alias("near"),
+        F.max(F.struct("weight", "node")).alias("well"),
+    ).select("t", "key", F.array_distinct(F.array("near.node", "well.node")).alias("centres"))
 
 
 def candidate_pairs(nodes: DataFrame, radius: int = RADIUS, paired: int = PAIRED) -> DataFrame:
-    """a, b: distinct pairs of nodes with a < b that meet in a bucket, from node, fp and views."""
+    """a, b: distinct pairs of nodes with a < b that meet in a bucket, from node, fp, second and views."""
     covering = [F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in covering_masks(radius)]
-    spread = nodes.select("node", F.posexplode(F.concat("views", F.array(*covering))).alias("t", "key"))
+    spread = nodes.select("node", "fp", "second", F.posexplode(F.concat("views", F.array(*covering))).alias("t", "key"))
     company = spread.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(spread.join(company, ["t", "key"]))
     few = members.where(F.col("n") <= paired).groupBy("t", "key").agg(F.sort_array(F.collect_list("node")).alias("all"))
@@ -76,11 +99,8 @@ def candidate_pairs(nodes: DataFrame, radius: int = RADIUS, paired: int = PAIRED
     )
     few = few.select(F.explode(after).alias("x")).select("x.a", F.explode("x.later").alias("b"))
     many = members.where(F.col("n") > paired)
-    weight = many.groupBy("node").agg(F.sum("n").alias("weight"))
-    centre = many.join(weight, "node").groupBy("t", "key").agg(
-        F.max(F.struct(F.col("weight"), F.col("node"))).alias("top")
-    )
-    many = many.join(centre, ["t", "key"]).select("node", F.col("top.node").alias("other")).where("node != other")
+    many = many.select("t", "key", "node").join(_centres(many), ["t", "key"])
+    many = many.select("node", F.explode("centres").alias("other")).where("node != other")
     many = many.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     return few.union(many).distinct()
 
@@ -89,7 +109,7 @@ def near_copy_links(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR
     """The rows' marks (node, doc_id) and the links (a, b) of nodes whose similarity was computed and suffices."""
     rows = docs.select(node_of(F.col("text")).alias("node"), "doc_id", "text")
     marks = materialize(_marks(rows, n))
-    nodes = marks.groupBy("node").agg(F.first("fp").alias("fp"), F.first("views").alias("views"), F.first("size").alias("size"))
+    nodes = marks.groupBy("node").agg(F.first("fp").alias("fp"), F.first("second").alias("second"), F.first("views").alias("views"), F.first("size").alias("size"))
     pairs = candidate_pairs(nodes)
     sizes = nodes.select("node", "size")
     pairs = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
