@@ -44,11 +44,18 @@ def pieces(sep: str) -> str:
     return f"list_filter(list_transform(string_split(text, {sep}), lambda x: trim(x, ' ')), lambda x: x <> '')"
 
 
+def reworded(expr: str) -> str:
+    for old, new in R.REWORDS:
+        expr = f"replace({expr}, {q(old)}, {' || chr(10) || '.join(q(x) for x in new.split(chr(10)))})"
+    return expr
+
+
 add(
     "corpus",
-    f"""SELECT doc_id AS ordinal, doc_id::VARCHAR AS id, string_split(text, chr(10))[1] AS title,
-        {pieces("','")} AS ings, {pieces("chr(10)")} AS dirs, source,
-        list_filter(string_split(lower(string_split(text, chr(10))[1]), ' '), lambda x: x <> '') AS ner FROM documents""",
+    f"""SELECT doc_id AS ordinal, doc_id::VARCHAR AS id, title, {pieces("','")} AS ings, {pieces("chr(10)")} AS dirs, source,
+        list_filter(string_split(lower(title), ' '), lambda x: x <> '') AS ner
+    FROM (SELECT *, string_split(text, chr(10))[1] || CASE WHEN doc_id % 3 = 0 THEN {q(R.TITLE_TAIL)} ELSE '' END AS title
+          FROM (SELECT doc_id, source, {reworded("text")} AS text FROM documents))""",
 )
 add("aliases", "SELECT * FROM (VALUES " + ", ".join(
     f"({n}, {q(a)}, {q(c.concept)}, {q(c.slug)})" for n, (a, c) in enumerate(aliases(R.CONCEPTS))
@@ -181,11 +188,12 @@ add(
 add(
     "v_swapped",
     f"""SELECT ordinal, lvl, level, seq, line, coalesce(to_name, name) AS name,
-            CASE WHEN to_name IS NULL THEN slug ELSE to_slug END AS slug, to_name IS NOT NULL AS swapped
+            CASE WHEN to_name IS NULL THEN slug ELSE to_slug END AS slug, to_name IS NOT NULL AS swapped,
+            CASE WHEN to_name IS NOT NULL THEN name END AS from_name
         FROM v_all LEFT JOIN swaps ON swaps.concept = name AND swaps.level = v_all.level WHERE NOT removed
     UNION ALL
-    SELECT ordinal, lvl, level, min(seq) - 1, 'cheese (for creaminess)', 'cheese', {q(R.VARIANT.creamy_slug)}, true
-    FROM v_all WHERE name = 'cream' AND NOT removed AND level <> 'practical' AND ordinal NOT IN (
+    SELECT ordinal, lvl, level, min(seq) - 1, {q(R.VARIANT.creamy_text)}, {q(R.VARIANT.creamy_name)}, {q(R.VARIANT.creamy_slug)}, true, NULL
+    FROM v_all WHERE name = {q(R.VARIANT.creamy)} AND NOT removed AND level <> 'practical' AND ordinal NOT IN (
         SELECT ordinal FROM v_all WHERE name IN {lit(R.VARIANT.creamy_present)}) GROUP BY 1, 2, 3""".replace(
         "LEFT JOIN swaps ON swaps.concept = name AND swaps.level = v_all.level",
         "LEFT JOIN (SELECT concept, level AS at, to_name, to_slug FROM swaps) s ON s.concept = name AND s.at = v_all.level"),
@@ -223,20 +231,69 @@ add(
 
 
 def swap_tools(expr: str) -> str:
-    for pattern, to, _ in C.EQUIPMENT_SWAPS:
+    for pattern, to in C.EQUIPMENT_SWAPS:
+        expr = sub(expr, pattern, to, "gi")
+    return expr
+
+
+def phrases(expr: str, rules) -> str:
+    for pattern, to in rules:
         expr = sub(expr, pattern, to, "gi")
     return expr
 
 
-# The invented texts hold no step that is only a holding or stirring word, so steps merge nowhere.
+def renamed(expr: str) -> str:
+    """The recipe's own substitutions, from its list ``froms``; a word it does not replace stays itself."""
+    for s_ in R.VARIANT.substitutions:
+        to = f"CASE WHEN list_contains(froms, {q(s_.concept)}) THEN {q(s_.to_concept)} ELSE '\\1' END"
+        expr = f"regexp_replace({expr}, {q(rf'\b({s_.concept})\b')}, {to}, 'gi')"
+    return expr
+
+
+def step_ctes(name: str, source: str) -> None:
+    """CTE ``name(ordinal, lvl, dirs, all_text)``: tools simplified and steps collapsed, from ``source(ordinal, lvl, s1)``."""
+    parallel = r"\bin another (pan|pot|skillet)\b|\bmeanwhile\b"
+    merged = sub(sub("d", r"\bin another (pan|pot|skillet)\b", "in the same pan", "gi"), r"\bMeanwhile,\s*", "", "gi")
+    add(f"{name}_a", f"SELECT ordinal, lvl, list_transform(s1, lambda d: {swap_tools('d')}) AS s2 FROM {source}", source)
+    add(
+        f"{name}_b",
+        f"""SELECT ordinal, lvl, CASE WHEN NOT {has("lower(array_to_string(s2, ' '))", r'\boven\b|\bbake\b')}
+                AND len(list_filter(s2, lambda d: {has('d', parallel, 'i')})) > 0
+            THEN list_transform(s2, lambda d: {merged}) ELSE s2 END AS s3 FROM {name}_a""",
+        f"{name}_a",
+    )
+    waiting, stirring = r"^(set aside|reserve|keep warm)\.?$", r"^(stir|mix|combine)( well)?\.?$"
+    add(
+        name,
+        f"""SELECT ordinal, lvl, s3, lower(array_to_string(s3, ' ')) AS all_text, list_reduce(
+            list_transform(list_filter(list_transform(s3, lambda d: trim(d, {WIDE})),
+                lambda d: d <> '' AND NOT {has('d', waiting, 'i')}), lambda d: [d]),
+            lambda acc, x: CASE WHEN len(acc) > 0 AND {has('x[1]', stirring, 'i')} AND length(acc[len(acc)]) < 120
+                THEN list_concat(acc[1:len(acc) - 1], [regexp_replace(acc[len(acc)], '\\.$', '') || '; ' || x[1]])
+                ELSE list_concat(acc, x) END, []::VARCHAR[])[1:8] AS dirs FROM {name}_b""",
+        f"{name}_b",
+    )
+
+
+add(
+    "v_raw",
+    f"""SELECT u.ordinal, l.lvl, l.level, u.id, u.title, u.source, u.minutes,
+        list_transform(u.dirs, lambda d: {phrases(renamed(phrases('d', C.STEP_PHRASES)), C.STEP_TONE)}) AS s1
+    FROM (SELECT u.*, l.lvl, l.level, coalesce(f.froms, []::VARCHAR[]) AS froms FROM usable u CROSS JOIN levels l
+        LEFT JOIN (SELECT ordinal, lvl, list(DISTINCT from_name) AS froms FROM v_swapped WHERE from_name IS NOT NULL GROUP BY 1, 2) f
+          ON f.ordinal = u.ordinal AND f.lvl = l.lvl) u JOIN levels l ON l.lvl = u.lvl""",
+    "usable", "levels", "v_swapped",
+)
+step_ctes("v_steps", "v_raw")
+add("p_raw", "SELECT ordinal, 0 AS lvl, dirs AS s1 FROM usable", "usable")
+step_ctes("p_steps", "p_raw")
 add(
     "v_base",
-    f"""SELECT u.ordinal, l.lvl, l.level, u.id, u.title, u.minutes AS raw_minutes, i.n_items, i.names,
-        (list_filter(list_transform(u.dirs, lambda d: trim({swap_tools('d')}, {WIDE})), lambda d: d <> ''))[1:8] AS dirs,
-        lower(array_to_string(list_transform(u.dirs, lambda d: {swap_tools('d')}), ' ')) AS all_text
-    FROM usable u CROSS JOIN levels l JOIN (SELECT ordinal, lvl, count(*) AS n_items, list(name ORDER BY pos) AS names
-        FROM v_items GROUP BY 1, 2) i ON i.ordinal = u.ordinal AND i.lvl = l.lvl WHERE i.n_items >= 2""",
-    "usable", "levels", "v_items",
+    """SELECT r.ordinal, r.lvl, r.level, r.id, r.title, r.source, r.minutes AS raw_minutes, i.n_items, i.names, s.dirs, s.all_text
+    FROM v_raw r JOIN v_steps s ON s.ordinal = r.ordinal AND s.lvl = r.lvl
+    JOIN (SELECT ordinal, lvl, count(*) AS n_items, list(name ORDER BY pos) AS names FROM v_items GROUP BY 1, 2) i
+      ON i.ordinal = r.ordinal AND i.lvl = r.lvl WHERE i.n_items >= 2""",
+    "v_raw", "v_steps", "v_items",
 )
 add("v_lines", "SELECT ordinal, lvl, CASE WHEN line <> '' THEN line ELSE name END AS line, pos FROM v_items", "v_items")
 add("v_tokens", "SELECT ordinal, lvl, name AS line, pos FROM v_items", "v_items")
@@ -246,6 +303,11 @@ _tools = {
     "frying pan": r"\bfrying pan\b|\bpan\b|\bfry\b", "saucepan": r"\bsaucepan\b|\bboil\b|\bsimmer\b",
     "microwave": r"\bmicrowave\b", "oven": r"\boven\b|\bbake\b", "toaster": r"\btoaster\b|\btoast\b",
 }
+TOOLS_LEFT = (
+    "list_distinct(['bowl', 'knife'] || "
+    + " || ".join(f"(CASE WHEN {has('all_text', p)} THEN ['{e}'] ELSE []::VARCHAR[] END)" for e, p in _tools.items())
+    + f" || list_filter({string_list(C.SPECIALIST_EQUIPMENT)}, lambda e: contains(all_text, e)))"
+)
 add(
     "v_made",
     f"""SELECT *, CASE
@@ -256,25 +318,24 @@ add(
         least(raw_minutes, (CASE level WHEN 'struggle' THEN 15 WHEN 'student' THEN 30 ELSE 45 END)::DOUBLE) AS mins,
         round(s.total + (CASE level WHEN 'struggle' THEN 4 WHEN 'student' THEN 2 ELSE 0 END)::DOUBLE, 2) AS score,
         len(list_filter(names, lambda n: n IN {lit(C.BAND_SPECIALIST_ITEMS)})) AS special,
-        list_distinct(['bowl', 'knife'] || {" || ".join(f"(CASE WHEN {has('all_text', p)} THEN ['{e}'] ELSE []::VARCHAR[] END)" for e, p in _tools.items())}
-            || list_filter({string_list(C.SPECIALIST_EQUIPMENT)}, lambda e: contains(all_text, e))) AS tools2
+        {TOOLS_LEFT} AS tools2
         FROM v_suit s JOIN v_audit a USING (ordinal, lvl))""",
     "v_suit", "v_audit",
 )
 _bare = collapse(sub(sub("raw_title", r"\b(gourmet|authentic|restaurant[- ]style|fancy)\b", "", "gi"), r"\b(creamy|silky|luxurious)\b", "", "gi"))
 add(
     "v_titled",
-    f"""SELECT *, {collapse(f'''CASE level WHEN 'practical' THEN bare
+    f"""SELECT *, {collapse(f'''CASE level WHEN 'practical' THEN {sub(sub('bare', r'\bparmesan\b', 'cheesy', 'gi'), r'\bpecorino\b', 'cheesy', 'gi')}
             WHEN 'student' THEN CASE WHEN {has('bare', 'student|quick|easy|lazy', 'i')} THEN bare ELSE 'Student ' || bare END
             ELSE 'Broke ' || array_to_string(names[1:3], ' ') END''')} AS title,
-        ordinal * 3 + lvl AS cand, 'recipenlg-' || id || '-' || level AS candidate_id
+        ordinal * 3 + lvl AS cand, '{R.VARIANT.dataset}-' || id || '-' || level AS candidate_id
     FROM (SELECT *, {_bare} AS bare FROM v_made)
     WHERE level = 'practical' OR (subs + rems > 0 AND (level = 'student' OR (n_items <= 4 AND mins <= 15)))""",
     "v_made",
 )
 add(
     "v_final",
-    f"""SELECT t.cand, any_value(t.candidate_id) AS candidate_id, any_value(t.id) AS source_id, any_value(t.title) AS title,
+    f"""SELECT t.cand, any_value(t.source) AS source, any_value(t.candidate_id) AS candidate_id, any_value(t.id) AS source_id, any_value(t.title) AS title,
         any_value(t.level) AS level, any_value(t.lvl) AS lvl, any_value(t.band) AS band, any_value(t.mins) AS minutes, any_value(t.score) AS score,
         any_value(t.dirs) AS steps, any_value(t.subs) AS subs, any_value(t.rems) AS rems, any_value(t.names) AS names, any_value(t.tools2) AS tools,
         list(struct_pack(slug := i.slug, name := i.name, optional := i.name IN {lit(R.VARIANT.optional_concepts)}) ORDER BY i.pos) AS items
@@ -291,27 +352,54 @@ add(
         row_number() OVER (ORDER BY score DESC, cand) AS rk FROM v_final""",
     "v_final",
 )
-# Rows that share the near key share the family key here, so greedy is the first of each family.
-add("v_first", "SELECT * FROM v_keys QUALIFY row_number() OVER (PARTITION BY family ORDER BY rk) = 1", "v_keys")
-add(
-    "v_pairs",
-    """SELECT a.cand AS earlier, b.cand AS later FROM v_first a JOIN v_first b ON a.level = b.level AND a.rk < b.rk
-    WHERE (contains(a.tkey, b.tkey) OR contains(b.tkey, a.tkey)) AND len(list_intersect(a.names_set, b.names_set))
-        / len(list_distinct(a.names_set || b.names_set)) >= 0.9""".replace("a.names_set", "list_distinct(list_transform(a.items, lambda i: coalesce(i.slug, i.name)))")
-    .replace("b.names_set", "list_distinct(list_transform(b.items, lambda i: coalesce(i.slug, i.name)))"),
-    "v_first",
-)
-add(
-    "v_checked",
-    """SELECT *, CASE WHEN len(lacking) = 0 THEN 'fully_represented'
+_NAMES = "list_distinct(list_transform({}.items, lambda i: coalesce(i.slug, i.name)))"
+
+
+def dedupe_ctes(prefix: str, order: str) -> None:
+    """``{prefix}_first``, ``_pairs``, ``_deduped``: greedy by ``order``, first on keys, then on likeness.
+
+    Rows that share the near key share the family key here, so the first pass is the first of each family.
+    """
+    add(f"{prefix}_rk", f"SELECT * EXCLUDE (rk), row_number() OVER (ORDER BY {order}) AS rk FROM v_keys", "v_keys")
+    add(f"{prefix}_first", f"SELECT * FROM {prefix}_rk QUALIFY row_number() OVER (PARTITION BY family ORDER BY rk) = 1", f"{prefix}_rk")
+    a, b = _NAMES.format("a"), _NAMES.format("b")
+    add(
+        f"{prefix}_pairs",
+        f"""SELECT a.cand AS earlier, b.cand AS later, b.rk FROM {prefix}_first a JOIN {prefix}_first b ON a.level = b.level AND a.rk < b.rk
+        WHERE (contains(a.tkey, b.tkey) OR contains(b.tkey, a.tkey))
+            AND len(list_intersect({a}, {b})) / len(list_distinct({a} || {b})) >= 0.9""",
+        f"{prefix}_first",
+    )
+    # A row goes if one that it resembles came before and stayed.
+    add(
+        f"{prefix}_gone",
+        f"""SELECT unnest(list_reduce(list(x ORDER BY rk), lambda gone, x: CASE WHEN len(list_filter(x[2:], lambda e: NOT list_contains(gone, e))) > 0
+            THEN list_append(gone, x[1]) ELSE gone END, []::BIGINT[])) AS cand
+        FROM (SELECT rk, list_prepend(later, list(earlier)) AS x FROM {prefix}_pairs GROUP BY rk, later)""",
+        f"{prefix}_pairs",
+    )
+    add(f"{prefix}_deduped", f"SELECT * FROM {prefix}_first WHERE cand NOT IN (SELECT cand FROM {prefix}_gone)", f"{prefix}_first", f"{prefix}_gone")
+
+
+def checked_cte(name: str, source: str) -> None:
+    add(
+        name,
+        f"""SELECT *, CASE WHEN len(lacking) = 0 THEN 'fully_represented'
             WHEN len(lacking) <= 2 AND len(required) > len(lacking) THEN 'needs_ingredients'
             WHEN len(list_filter(required, lambda i: i.slug IS NOT NULL)) = 0 THEN 'unrepresentable' ELSE 'needs_ingredients' END AS status
     FROM (SELECT *, list_transform(list_filter(required, lambda i: i.slug IS NULL OR NOT list_contains(known, i.slug)),
             lambda i: coalesce(i.slug, i.name)) AS lacking
-        FROM (SELECT *, list_filter(items, lambda i: NOT i.optional) AS required FROM v_first),
+        FROM (SELECT *, list_filter(items, lambda i: NOT i.optional) AS required FROM {source}),
              (SELECT list(slug) AS known FROM name_cat))""",
-    "v_first", "name_cat",
-)
+        source, "name_cat",
+    )
+
+
+dedupe_ctes("v", "score DESC, cand")
+checked_cte("v_checked", "v_first")
+# The whole corpus in the order of a sample: rows of preferred sources first.
+dedupe_ctes("w", f"score DESC, NOT (lower(trim(source)) IN {lit(R.PREFERRED)}), cand")
+checked_cte("w_checked", "w_deduped")
 add(
     "missing",
     """SELECT name, count(DISTINCT cand) AS recipe_coverage, min({'c': cand, 'i': ix}) AS first_seen FROM

@@ -136,14 +136,15 @@ _BODY = "replace(array_to_string(" + _QUOTE + ", ', '), chr(10), ' ')"
 _SPLIT = r"""","|',\s*'|",\s*'|',\s*\""""
 
 
-def _literal_cells(spark: SparkSession, sf: str) -> DataFrame:
+def _literal_cells(spark: SparkSession, sf: str, broken: Column | None = None) -> DataFrame:
     bare = F.transform(
         F.split("text", ","),
         lambda x: F.concat(F.lit('"'), F.replace(F.replace(F.btrim(x), F.lit("\\"), F.lit("")), F.lit('"'), F.lit("")), F.lit('"')),
     )
     body = F.replace(F.array_join(bare, ", "), F.lit("\n"), F.lit(" "))
     # Every third cell breaks off, as malformed cells do.
-    cut = F.when(F.col("n_chars") % 3 == 0, F.concat(F.lit("["), body)).otherwise(F.concat(F.lit("["), body, F.lit("]")))
+    broken = F.col("n_chars") % 3 == 0 if broken is None else broken
+    cut = F.when(broken, F.concat(F.lit("["), body)).otherwise(F.concat(F.lit("["), body, F.lit("]")))
     return R.table(spark, sf, "documents").select("doc_id", cut.alias("cell"))
 
 
@@ -161,12 +162,18 @@ def _decode(spark, sf):
     return decoded.select("doc_id", F.size("items").cast("long").alias("n"), F.md5(F.array_join("items", "|")).alias("digest"))
 
 
-@query("decode_list_or_comma", f"""SELECT doc_id, len(l) AS n, md5(array_to_string(l, '|')) AS digest FROM (SELECT doc_id,
-    list_filter(list_transform(string_split(trim(text, {O.WIDE}), ','), lambda x: trim(x, {O.WIDE})), lambda x: x <> '') AS l FROM documents
-    WHERE NOT starts_with(trim(text, {O.WIDE}), '['))""")
+@query("decode_list_or_comma", f"""
+WITH cells AS (SELECT doc_id, '[' || {_BODY} || ']' AS cell, text FROM documents),
+js AS (SELECT *, replace(trim(cell, {O.WIDE}), '''', '"') AS j FROM cells)
+SELECT doc_id, len(l) AS n, md5(array_to_string(l, '|')) AS digest FROM (SELECT doc_id, CASE
+    WHEN doc_id % 2 = 0 AND json_valid(j) THEN from_json(j, '["VARCHAR"]')
+    WHEN doc_id % 2 = 0 THEN list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(trim(cell, {O.WIDE}), '^\\[', ''), '\\]$', ''), {O.q(_SPLIT)}),
+        lambda p: trim(regexp_replace(p, '^["'']|["'']$', '', 'g'), {O.WIDE})), lambda p: p <> '')
+    ELSE list_filter(list_transform(string_split(trim(text, {O.WIDE}), ','), lambda x: trim(x, {O.WIDE})), lambda x: x <> '') END AS l FROM js)""")
 def _decode_comma(spark, sf):
-    docs = R.table(spark, sf, "documents").where(~F.btrim("text").startswith("["))
-    decoded = evaluate(docs, items=X.decode_list_or_comma(F.col("text")))
+    # Every other cell is a list literal, the others are plain texts.
+    cells = _literal_cells(spark, sf, F.lit(False)).join(R.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    decoded = evaluate(cells, items=X.decode_list_or_comma(F.when(F.col("doc_id") % 2 == 0, F.col("cell")).otherwise(F.col("text"))))
     return decoded.select("doc_id", F.size("items").cast("long").alias("n"), F.md5(F.array_join("items", "|")).alias("digest"))
 
 
@@ -240,7 +247,7 @@ def _stage_counts(spark, sf):
     return su.filter_stage_counts(R.corpus(spark, sf), R.CONCEPTS)
 
 
-@query("classify_band", """SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 OR n > 10 OR mins > 45 OR tools >= 5 THEN 4
+@query("classify_band", """SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 OR o_custkey % 11 = 0 OR n > 10 OR mins > 45 OR tools >= 5 THEN 4
     WHEN n <= 4 AND mins <= 15 AND tools <= 2 THEN 1 WHEN n <= 7 AND mins <= 30 AND tools <= 3 THEN 2
     WHEN n <= 10 AND mins <= 45 THEN 3 ELSE 4 END AS band
     FROM (SELECT o_orderkey, o_custkey, count(*) AS n, o_orderkey % 50 AS mins, least(count(*), 7) AS tools
@@ -249,7 +256,7 @@ def _band(spark, sf):
     size = R.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
     tools = F.slice(F.array(*[F.lit(t) for t in C.BAND_PAN_LIKE]), F.lit(1), F.least("n", F.lit(7)).cast("int"))
     rows = R.table(spark, sf, "orders").join(size, "o_orderkey")
-    band = E.classify_band(F.col("n"), F.col("o_orderkey") % 50, tools, F.lit(False), (F.col("o_custkey") % 7 == 0).cast("int"))
+    band = E.classify_band(F.col("n"), F.col("o_orderkey") % 50, tools, F.col("o_custkey") % 11 == 0, (F.col("o_custkey") % 7 == 0).cast("int"))
     return rows.select("o_orderkey", band.alias("band"))
 
 
@@ -289,7 +296,9 @@ def _metrics(spark, sf):
     return sm.sample_metrics(R.corpus(spark, sf), _sample(spark, sf), R.PREFERRED)
 
 
-@query("random_recipes")
+@query("random_recipes", with_(f"""SELECT recipe_id, title FROM (SELECT recipe_id, title, list_reduce(list_transform(
+        list_filter(string_split('7:' || recipe_id, ''), lambda c: c <> ''), lambda c: ascii(c)::HUGEINT),
+        lambda h, c: (xor(h, c) * 16777619) % 4294967296, 2166136261::HUGEINT) AS turn FROM recipes) ORDER BY turn, recipe_id LIMIT 5""", "recipes"))
 def _random(spark, sf):
     return sm.random_recipes(R.recipes(spark, sf).select("recipe_id", "title"), "recipe_id", 5, seed=7)
 
@@ -394,16 +403,22 @@ def _substitute(spark, sf):
 def _trim(spark, sf):
     rows = pl.staged_rows(R.corpus(spark, sf), R.CONCEPTS, 12.0).where("usable")
     out = evaluate(rows, p=vr.substitute_ingredients(F.col("normalized"), F.lit("struggle"), R.VARIANT))
-    cut = F.exists("p.audit", lambda a: a["reason"].startswith("Struggle trim"))
+    cut = F.exists("p.audit", lambda a: a["reason"] == vr.TRIMMED)
     return out.where(cut).select("ordinal", names("p.items").alias("kept"))
 
 
+PRACTICAL = "p_steps JOIN (SELECT ordinal FROM v_base WHERE level = 'practical') USING (ordinal)"
+
+
 @query("simplify_equipment", with_(
-    "SELECT ordinal, array_to_string(list_sort(tools2), ',') AS tools FROM v_made WHERE level = 'practical'", "v_made"))
+    f"SELECT ordinal, array_to_string(list_sort({O.TOOLS_LEFT}), ',') AS tools, md5(array_to_string(s3, '|')) AS digest FROM {PRACTICAL}",
+    "p_steps", "v_base"))
 def _simplify(spark, sf):
     rows = _practical(spark, sf)
     out = evaluate(rows, t=E.simplify_equipment(F.col("directions")))
-    return out.select("ordinal", F.array_join(F.sort_array("t.equipment"), ",").alias("tools"))
+    return out.select(
+        "ordinal", F.array_join(F.sort_array("t.equipment"), ",").alias("tools"), F.md5(F.array_join("t.steps", "|")).alias("digest")
+    )
 
 
 def _practical(spark, sf) -> DataFrame:
@@ -413,7 +428,7 @@ def _practical(spark, sf) -> DataFrame:
 
 
 @query("collapse_steps", with_(
-    "SELECT ordinal, len(dirs) AS n, md5(array_to_string(dirs, '|')) AS digest FROM v_base WHERE level = 'practical'", "v_base"))
+    f"SELECT ordinal, len(dirs) AS n, md5(array_to_string(dirs, '|')) AS digest FROM {PRACTICAL}", "p_steps", "v_base"))
 def _collapse(spark, sf):
     out = evaluate(_practical(spark, sf), t=E.simplify_equipment(F.col("directions")))
     out = evaluate(out, s=E.collapse_steps(F.col("t.steps")))
@@ -421,7 +436,7 @@ def _collapse(spark, sf):
 
 
 @query("rewrite_steps", with_(
-    "SELECT ordinal, md5(array_to_string(dirs, '|')) AS digest FROM usable", "usable"))
+    "SELECT ordinal, md5(array_to_string(s1, '|')) AS digest FROM v_raw WHERE level = 'student'", "v_raw"))
 def _rewrite(spark, sf):
     rows = pl.staged_rows(R.corpus(spark, sf), R.CONCEPTS, 12.0).where("usable")
     out = evaluate(rows, p=vr.substitute_ingredients(F.col("normalized"), F.lit("student"), R.VARIANT))
@@ -481,12 +496,12 @@ def _similar(spark, sf):
     return dd.similar_pairs(_narrow(deduped(spark, sf)))
 
 
-@query("pairwise_jaccard_dupes")
+@query("pairwise_jaccard_dupes", with_("SELECT candidate_id FROM v_deduped", "v_deduped"))
 def _pairwise(spark, sf):
     return dd.pairwise_jaccard_dupes(materialize(deduped(spark, sf))).select("candidate_id")
 
 
-@query("dedupe")
+@query("dedupe", with_("SELECT candidate_id FROM v_deduped", "v_deduped"))
 def _dedupe(spark, sf):
     return dd.dedupe(materialize(made(spark, sf))).select("candidate_id")
 
@@ -686,9 +701,9 @@ def _subset(spark, sf):
     return cu.required_subset_of(quality(spark, sf), R.CURATE.demo_slugs).select("candidate_id")
 
 
-@query("sample_pipeline")
+@query("sample_pipeline", with_("SELECT candidate_id, status, round(score, 2) AS score FROM w_checked", "w_checked"))
 def _pipeline(spark, sf):
-    options = pl.PipelineOptions(limit=300, preferred=R.PREFERRED, rules=R.VARIANT)
+    options = pl.PipelineOptions(preferred=R.PREFERRED, rules=R.VARIANT)
     run = pl.sample_pipeline(R.corpus(spark, sf), R.CONCEPTS, R.name_catalog(spark, sf), options)
     return run.candidates.select("candidate_id", "status", F.round("score.total", 2).alias("score"))
 

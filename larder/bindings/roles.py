@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from larder import config as C
 from larder.functions.js import words
 from larder.functions.keys import signature
-from larder.operators.common import spread
+from larder.operators.common import evaluate, spread
 from larder.operators.drafts import Choice, DraftItem, DraftTemplate
 from larder.sources.rules import Concept, Input, Transform
 
@@ -53,46 +53,59 @@ def _c(name, slug, reward, penalty, rarity, *aliases) -> Concept:
     return Concept(name, slug, float(reward), float(penalty), rarity, aliases)
 
 
+# Concepts are words of the invented languages; saffron and the like are known to the band rules.
 CONCEPTS = (
-    _c("egg", "red bolt", 8, 0, "common", "thtion", "thing"),
-    _c("rice", "blue gear", 8, 0, "common", "thble", "erst"),
-    _c("bread", "cold rod", 8, 0, "common", "thou"),
-    _c("cheese", "hot plate", 7, 0, "common", "thnd"),
-    _c("parmesan", "hot plate", 2, 3, "uncommon", "eron"),
-    _c("cream", "new ring", 1, 3, "uncommon", "erhe"),
-    _c("milk", "new ring", 6, 0, "common", "thst"),
-    _c("onion", "old anvil", 8, 0, "common", "then"),
-    _c("shallot", "old anvil", 3, 1, "uncommon", "thsh"),
-    _c("garlic", "small gizmo", 7, 0, "common", "heit"),
-    _c("garlic powder", "small rod", 6, 0, "common", "erer"),
-    _c("tomato", "large bolt", 5, 0, "common", "erin"),
-    _c("stock", "cold widget", 2, 2, "uncommon", "thti"),
-    _c("stock cube", "cold widget", 6, 0, "common", "lich"),
-    _c("salt", "blue bolt", 1, 0, "common", "thly"),
-    _c("black pepper", "red ring", 1, 0, "common", "thes"),
-    _c("dried herbs", "old plate", 3, 0, "common", "eren"),
-    _c("saffron", None, 0, 12, "luxury", "thea"),
-    _c("truffle", None, 0, 14, "luxury", "inoran"),
-    _c("gochujang", None, 0, 6, "specialist", "orantion"),
-    _c("mirin", "wild mirin", 0, 6, "specialist", "hehely"),
-    _c("potato", "large rod", 7, 0, "common", "keit"),
-    _c("chicken", "hot ring", 5, 0, "common", "ononst"),
-    _c("baked beans", "cold gear", 8, 0, "common", "thatin"),
-    _c("fresh chilli", None, 1, 2, "uncommon", "rewh"),
+    _c("thtion", "red bolt", 7, 0, "common", "thing"),
+    _c("thble", "blue gear", 6, 0, "common", "erst"),
+    _c("thou", "cold rod", 6, 0, "common"),
+    _c("thnd", "hot plate", 5, 0, "common"),
+    _c("eron", "hot plate", 2, 2, "uncommon"),
+    _c("erhe", "new ring", 1, 2, "uncommon"),
+    _c("thst", "new ring", 5, 0, "common"),
+    _c("then", "old anvil", 6, 0, "common"),
+    _c("thsh", "old anvil", 2, 1, "uncommon"),
+    _c("heit", "small gizmo", 5, 0, "common"),
+    _c("erer", "small rod", 4, 0, "common"),
+    _c("erin", "large bolt", 4, 0, "common"),
+    _c("thti", "cold widget", 2, 1, "uncommon"),
+    _c("lich", "cold widget", 4, 0, "common"),
+    _c("thly", "blue bolt", 1, 0, "common"),
+    _c("thes", "red ring", 1, 0, "common"),
+    _c("eren", "old plate", 2, 0, "common"),
+    _c("saffron", None, 0, 7, "luxury", "thea"),
+    _c("truffle", None, 0, 8, "luxury", "inoran"),
+    _c("gochujang", None, 0, 4, "specialist", "orantion"),
+    _c("mirin", "wild mirin", 0, 4, "specialist", "hehely"),
+    _c("keit", "large rod", 5, 0, "common"),
+    _c("ononst", "hot ring", 4, 0, "common"),
+    _c("thatin", "cold gear", 6, 0, "common"),
+    _c("rewh", None, 1, 1, "uncommon"),
 )
+# Parts of the texts that become words of the rules, in every document, so that each rule has work.
+REWORDS = (
+    (". In ", ".\nstir well.\nIn "), (". Be ", ".\nset aside.\nBe "), (". It ", ".\nmix.\nIt "),
+    (" reen ", " heavy cream "), (" ones ", " in another pan "), (" heat ", " wok "), (" anst ", " food processor "),
+    (" edin ", " until al dente "), (" anor ", " creamy "), (" hent ", " gourmet "), (" rent ", " julienne "),
+    (" heble ", " parmesan "), (" innd ", " shallots "), (" heing ", " fresh basil "), (" ndre ", " 12 minutes "),
+    (" ened ", " microwave "), (" sur ", " quick "),
+)
+# Every third title has a further word, so that copies of a document have titles inside each other.
+TITLE_TAIL = " again"
 VARIANT = C.VariantRules(
     substitutions=(
-        C.Substitution("parmesan", "cheese", "hot plate", "parmesan to cheese", C.LEVELS),
-        C.Substitution("shallot", "onion", "old anvil", "shallot to onion", C.LEVELS),
-        C.Substitution("garlic", "garlic powder", "small rod", "garlic to powder", C.LEVELS[1:]),
-        C.Substitution("cream", "milk", "new ring", "cream to milk", C.LEVELS),
-        C.Substitution("stock", "stock cube", "cold widget", "stock to cube", C.LEVELS),
-        C.Substitution("fresh chilli", "baked beans", "cold gear", "chilli to beans", C.LEVELS[1:]),
+        C.Substitution("eron", "thnd", "hot plate", C.LEVELS),
+        C.Substitution("thsh", "then", "old anvil", C.LEVELS),
+        C.Substitution("heit", "erer", "small rod", C.LEVELS[1:]),
+        C.Substitution("erhe", "thst", "new ring", C.LEVELS),
+        C.Substitution("thti", "lich", "cold widget", C.LEVELS),
+        C.Substitution("rewh", "thatin", "cold gear", C.LEVELS[1:]),
     ),
-    creamy_slug="hot plate",
+    luxury=("saffron", "truffle"), creamy="erhe", creamy_present=("thnd", "eron"), creamy_name="thnd",
+    creamy_slug="hot plate", core_concepts=("thble", "thou", "keit", "thtion", "thnd", "then", "thatin", "ononst"),
+    optional_concepts=("thly", "thes", "eren"), dataset="documents", version="bound-1",
 )
 REFINE = C.RefineRules(
-    limit=250, min_score=12.0, base_slugs=("red bolt", "blue gear", "cold rod", "large rod"),
+    min_score=12.0, base_slugs=("red bolt", "blue gear", "cold rod", "large rod"),
     seasoning_slugs=("blue bolt", "red ring"),
 )
 CURATE = C.CurateRules(
@@ -119,6 +132,7 @@ TRANSFORMS = (
     Transform("broken-item", "ghost", (Input("no such part"),), "none", (), (), "Ghost"),
     Transform("broken-part", "spirit", (Input(component="no such component"),), "none", (), (), "Spirit"),
 )
+# Between them the drafts break every rule of the validation.
 TEMPLATES = (
     DraftTemplate(
         "Bolt Gear Bowl", (("red bolt",), ("blue gear", "cold gear")),
@@ -141,6 +155,19 @@ TEMPLATES = (
         (DraftItem("small rod"), DraftItem("old plate"), DraftItem("mirin")),
         ("seasoned", "unheard"), ("season",), ("curry",), (), 12, "cheap", ("Season.",), "Rings.",
     ),
+    DraftTemplate(
+        "", (("red bolt",),), (DraftItem("red bolt", optional=True),), (), ("roast-bolt",), (), (), 5, "cheap", (), "Nothing.",
+    ),
+    DraftTemplate(
+        "Everything at Once", (("cold rod",), ("new ring",)),
+        tuple(DraftItem(s) for s in ("cold rod", "new ring", "red bolt", "blue gear", "cold gear", "hot plate", "small rod",
+                                     "old plate", "old anvil", "cold widget", "large bolt")),
+        (), ("stack", "box"), ("bowl",), ("tray",), 25, "cheap", ("Pile it up.",), "All of it.", difficulty="hard",
+    ),
+    DraftTemplate(
+        "Meal: 1-URGENT F!", (("blue gear",),), (DraftItem("blue gear"),), (), ("boil-gear",), (), ("hob",), 5, "cheap",
+        ("Boil.",), "As ever.",
+    ),
 )
 
 
@@ -279,14 +306,19 @@ def own_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as corpus rows: comma pieces are ingredients, lines are directions."""
+    """Documents as corpus rows: comma pieces are ingredients, lines are directions; reworded as above."""
     text = F.col("text")
 
     def pieces(sep: str) -> Column:
         return F.filter(F.transform(F.split(text, sep), lambda x: F.btrim(x)), lambda x: x != "")
 
-    title = F.get(F.split(text, "\n"), F.lit(0))
-    return spread(table(spark, sf, "documents").select("doc_id", "text", "source")).select(
+    reworded = text
+    for old, new in REWORDS:
+        reworded = F.replace(reworded, F.lit(old), F.lit(new))
+    tail = F.when(F.col("doc_id") % 3 == 0, TITLE_TAIL).otherwise("")
+    title = F.concat(F.get(F.split(text, "\n"), F.lit(0)), tail)
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    return evaluate(docs, text=reworded).select(
         F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("id"), title.alias("title"),
         pieces(",").alias("ingredients"), pieces("\n").alias("directions"),
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("link"), F.col("source"),
@@ -294,17 +326,24 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: What a click does, by the last digit of its id.
+CLICK_OPS = ("clear",) + ("staple_off",) * 4 + ("equipment",) * 5
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as inventory changes of a user's kitchen."""
+    """Events as changes of a user's kitchen; every kind of event is one."""
+    click = F.get(F.array(*[F.lit(o) for o in CLICK_OPS]), (F.col("event_id") % 10).cast("int"))
     op = (
         F.when(F.col("event_type") == "purchase", "upsert").when(F.col("event_type") == "error", "delete")
         .when(F.col("event_type") == "view", "expiring").when(F.col("event_type") == "signup", "staple_on")
+        .otherwise(click)
     )
     item = F.get_json_object("props", "$.k")
+    tools = F.array(F.lit("pan"), F.concat(F.lit(" tool "), item, F.lit(" ")), F.lit(" "))
     return table(spark, sf, "events").select(
         F.col("user_id").alias("kitchen_id"), F.concat(F.lit("p"), item).alias("slug"), op.alias("op"),
-        (F.col("value") > 20).alias("flag"), "ts", "event_id",
-    ).where("op is not null")
+        (F.col("value") > 20).alias("flag"), "ts", "event_id", F.when(op == "equipment", tools).alias("equipment"),
+    )
 
 
 def name_recipes(spark: SparkSession, sf: str) -> DataFrame:

@@ -82,9 +82,9 @@ def normalize_equipment(equipment: Column) -> Column:
 
 def simplify_equipment(steps: Column) -> Column:
     """Struct ``(steps, equipment, audit)`` with special tools replaced by common ones."""
-    def swap_one(state: Column, pattern: str, to: str, reason: str) -> Column:
+    def swap_one(state: Column, pattern: str, to: str) -> Column:
         used = F.exists(state["steps"], lambda s: s.rlike(rx(pattern, True)))
-        row = audit_row("equipment_simplify", pattern, to, reason)
+        row = audit_row("equipment_simplify", pattern, to, f"{to} does as well")
         return F.struct(
             F.transform(state["steps"], lambda s: swap(s, pattern, to, True)).alias("steps"),
             F.when(used, F.concat(state["audit"], F.array(row))).otherwise(state["audit"]).alias("audit"),
@@ -103,8 +103,7 @@ def simplify_equipment(steps: Column) -> Column:
             ),
         )
         row = audit_row(
-            "equipment_simplify", "multiple pans", "one-pan strategy",
-            "Collapsed multi-pan wording where no bake stage conflicts",
+            "equipment_simplify", "several pans", "one pan", "nothing is baked meanwhile",
         )
         return F.when(
             ~baked & parallel,
@@ -130,8 +129,8 @@ def simplify_equipment(steps: Column) -> Column:
         )
 
     state = F.struct(steps.alias("steps"), empty_audit().alias("audit"))
-    for pattern, to, reason in C.EQUIPMENT_SWAPS:
-        state = let(state, lambda s: swap_one(s, pattern, to, reason))
+    for pattern, to in C.EQUIPMENT_SWAPS:
+        state = let(state, lambda s: swap_one(s, pattern, to))
     return let(let(state, one_pan), with_equipment)
 
 
@@ -145,8 +144,8 @@ def collapse_steps(steps: Column) -> Column:
                 F.slice(out, 1, F.size(out) - 1),
                 F.array(F.concat(F.regexp_replace(last, r"\.$", ""), F.lit("; "), text)),
             )
-            holding = audit_row("step_collapse", text, "", "Removed low-value holding step")
-            tiny = audit_row("step_collapse", text, "merged with previous", "Merged tiny stir/mix step")
+            holding = audit_row("step_collapse", text, "", "only waiting")
+            tiny = audit_row("step_collapse", text, "joined to the step before", "only stirring")
             can_merge = (F.size(out) > 0) & has(text, r"^(stir|mix|combine)( well)?\.?$", True)
             short = F.coalesce(F.length(F.try_element_at(out, F.lit(-1))) < 120, F.lit(False))
             return (

@@ -140,7 +140,3 @@ def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
-
-def random_order_key(key: Column, seed: int) -> Column:
-    """A reproducible shuffle key."""
-    return F.xxhash64(F.lit(seed), key)

@@ -116,10 +116,10 @@ def curate_diverse(pool: DataFrame, rules: C.CurateRules = C.CurateRules()) -> D
 
 def curation_manifest(pool: DataFrame, picked: DataFrame) -> DataFrame:
     """Pool size, picks, make-now picks, score range and picks by band, as one row."""
-    size = pool.agg(F.count(F.lit(1)).alias("pool_size")).withColumn("_one", F.lit(1))
+    size = pool.agg(F.count(F.lit(1)).alias("pool_size"))
     kept = picked.agg(
         F.count(F.lit(1)).alias("kept"), F.count_if("make_now").alias("make_now"),
         F.min("score.total").alias("min_score"), F.max("score.total").alias("max_score"),
         *[F.count_if(F.col("band") == b).alias(f"band_{b}") for b in C.BANDS],
-    ).withColumn("_one", F.lit(1))
-    return size.join(kept, "_one").drop("_one")
+    )
+    return size.crossJoin(F.broadcast(kept))

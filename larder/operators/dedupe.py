@@ -12,7 +12,6 @@ from larder.functions.text import jaccard, normalize_title
 from larder.session import materialize
 
 SIMILARITY = 0.9
-PAIRWISE_LIMIT = 2500
 
 
 def _order(score: str, ordinal: str) -> Column:
@@ -65,15 +64,37 @@ def first_seen_dedupe(df: DataFrame) -> DataFrame:
 def similar_pairs(df: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """``(earlier, later)`` rows of one level with alike items and one title inside the other.
 
-    Input: ``ordinal, first, level, title_key, concepts`` (a set). Sets below nine items reach the
+    Input: ``ordinal, first, level, title_key, concepts`` (a set). Rows that agree in level, title
+    and set are alike and have the same partners, so they shrink to the first of them before
+    anything is paired; of their links only those to that first row come out. Sets below nine items reach the
     threshold only when equal, so they are keyed by the whole set; larger ones by the shortest
     prefix, in an order of their own rarity, that two similar sets must share. Inside such a
-    block a title meets only titles that hold its opening characters. No block emits all pairs.
+    block a title meets only titles that hold its opening characters.
     """
-    size = F.size("concepts")
+    leads, copies = leads_and_copies(df)
+    return copies.unionByName(_similar_leads(leads, threshold))
+
+
+def leads_and_copies(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first row of each level, title and set, and ``(earlier, later)`` from it to the others."""
+    rows = df.withColumn("concepts", F.array_sort("concepts"))
+    same = ["level", "title_key", "concepts"]
+    firsts = materialize(rows.groupBy(*same).agg(
+        F.min(F.struct("first", "ordinal")).alias("lead"), F.count(F.lit(1)).alias("n")
+    ))
+    repeated = firsts.where("n > 1").select(*same, F.col("lead.ordinal").alias("earlier"))
+    copies = rows.join(repeated, same).where(F.col("ordinal") != F.col("earlier")).select(
+        "earlier", F.col("ordinal").alias("later")
+    )
+    return firsts.select("lead.ordinal", "lead.first", *same), copies
+
+
+def _similar_leads(df: DataFrame, threshold: float) -> DataFrame:
+    """``similar_pairs`` of rows that differ in level, title or set."""
     if threshold < SIMILARITY:
         raise ValueError("blocking relies on a threshold of at least 0.9")
-    small = df.where(size <= 8).withColumn("block", F.array_join(F.array_sort("concepts"), "\u0001"))
+    size = F.size("concepts")
+    small = df.where(size <= 8).withColumn("block", F.array_join("concepts", "\u0001"))
     large = df.where(size > 8)
     token = large.select("ordinal", F.explode("concepts").alias("token"))
     rarity = token.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
@@ -136,22 +157,23 @@ def greedy_independent(pairs: DataFrame) -> DataFrame:
 
 
 def pairwise_jaccard_dupes(df: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Drop candidates alike to one kept before, at any size."""
+    """Drop candidates alike to one kept before, at any size.
+
+    A copy of an earlier row is always alike to a kept one: to that row, or to what dropped it.
+    """
     narrow = df.select(
         "ordinal", F.struct((-F.col("score.total")).alias("s"), F.col("ordinal").alias("o")).alias("first"),
         "level", normalize_title(F.col("title")).alias("title_key"),
         F.array_distinct(F.transform("ingredients", item_name)).alias("concepts"),
     )
-    return df.join(greedy_independent(similar_pairs(narrow, threshold)), "ordinal", "left_anti")
+    leads, copies = leads_and_copies(narrow)
+    dropped = greedy_independent(_similar_leads(leads, threshold))
+    return df.join(dropped.unionByName(copies.select(F.col("later").alias("ordinal"))), "ordinal", "left_anti")
 
 
-def dedupe(df: DataFrame, pairwise_limit: int | None = PAIRWISE_LIMIT) -> DataFrame:
-    """Key dedupe, then the pairwise pass when few enough rows are left (``None``: always)."""
-    kept = first_seen_dedupe(df)
-    if pairwise_limit is None:
-        return pairwise_jaccard_dupes(kept)
-    kept = materialize(kept)
-    return pairwise_jaccard_dupes(kept) if kept.limit(pairwise_limit + 1).count() <= pairwise_limit else kept
+def dedupe(df: DataFrame) -> DataFrame:
+    """Key dedupe, then the pairwise pass over what is left, at any size."""
+    return pairwise_jaccard_dupes(materialize(first_seen_dedupe(df)))
 
 
 def near_duplicate_estimate(df: DataFrame, title: str = "title") -> DataFrame:

@@ -48,67 +48,7 @@ class DraftTemplate:
     steps: tuple[str, ...]
     description: str = ""
     choices: tuple[tuple[str, Choice], ...] = ()
-
-
-def _item(slug: str, **kw) -> DraftItem:
-    return DraftItem(slug, **kw)
-
-
-# The drafts the generator knows.
-TEMPLATES = (
-    DraftTemplate(
-        "Soy Egg Rice", (("eggs",), ("rice", "microwave-rice")),
-        (
-            _item("@rice"), _item("eggs"),
-            _item("soy-sauce", required_if_owned=True, drop_if_missing=True),
-            _item("butter", required_if_owned=True, drop_if_missing=True),
-            _item("oil", required_if_owned=True, drop_if_missing=True),
-            _item("cheese", optional=True),
-        ),
-        ("cooked-rice", "egg-rice"), ("@rice", "egg-rice"), ("rice", "egg", "one-pan"), ("pan", "hob"), 10,
-        "very_cheap",
-        ("Warm the rice.", "Scramble the eggs in a little fat.", "Fold together with soy sauce."),
-        "Egg rice with soy sauce.",
-        (("rice", Choice(("microwave-rice", "rice"), "rice", ("cook-microwave-rice", "boil-rice"))),),
-    ),
-    DraftTemplate(
-        "Egg and Cheese Muffin-Style Toast", (("bread",), ("eggs",), ("cheese",)),
-        (_item("bread"), _item("eggs"), _item("cheese"), _item("butter", required_if_owned=True)),
-        ("toast", "scrambled-egg"), ("toast-bread", "scramble-egg-butter"), ("toast", "egg", "cheese"),
-        ("toaster", "pan", "hob"), 9, "cheap",
-        ("Toast the bread.", "Scramble the eggs in butter.", "Top the toast with egg and cheese."),
-        "Toast with scrambled egg and cheese.",
-    ),
-    DraftTemplate(
-        "Hot Sauce Noodle Egg Cup", (("instant-noodles",), ("eggs",)),
-        (
-            _item("instant-noodles"), _item("eggs"), _item("@fat"), _item("hot-sauce", optional=True),
-            _item("cheese", optional=True),
-        ),
-        ("cooked-noodles", "fried-egg"), ("cook-instant-noodles", "@fat"), ("noodles", "egg", "microwave"),
-        ("kettle", "bowl", "pan"), 7, "very_cheap",
-        ("Soak the noodles in a bowl.", "Fry an egg.", "Combine with hot sauce."),
-        "Instant noodles with an egg.",
-        (("fat", Choice(("oil", "butter"), "oil", ("fry-egg-oil", "fry-egg-butter"))),),
-    ),
-    DraftTemplate(
-        "Beans Cheese Chip Bowl", (("baked-beans",), ("cheese",), ("frozen-chips",)),
-        (_item("frozen-chips"), _item("baked-beans"), _item("cheese")),
-        ("cooked-chips", "hot-beans", "loaded-beans-chips"), ("oven-chips", "heat-beans", "loaded-chips-beans"),
-        ("chips", "beans", "cheese"), ("oven", "tray", "microwave"), 22, "cheap",
-        ("Bake the chips.", "Heat the beans.", "Layer chips, beans and cheese."),
-        "Loaded chips.",
-    ),
-    DraftTemplate(
-        "Lazy Cheesy Pasta Pot", (("pasta",), ("cheese",), ("chopped-tomatoes", "tomato-pasta-sauce")),
-        (_item("pasta"), _item("cheese"), _item("@sauce"), _item("oil", optional=True)),
-        ("cooked-pasta", "cheesy-tomato-pasta"), ("boil-pasta", "pasta-tomato-cheese"),
-        ("pasta", "cheese", "vegetarian"), ("pan", "hob"), 14, "cheap",
-        ("Boil the pasta.", "Stir in the sauce.", "Melt the cheese through it."),
-        "One-pot pasta with tomato and cheese.",
-        (("sauce", Choice(("tomato-pasta-sauce", "chopped-tomatoes"), "chopped-tomatoes")),),
-    ),
-)
+    difficulty: str = "easy"
 
 
 def _has(owned: Column, slug: str) -> Column:
@@ -141,9 +81,9 @@ def _draft(owned: Column, n: int, t: DraftTemplate) -> Column:
         ready,
         F.struct(
             F.lit(n).alias("template"), F.lit(t.title).alias("title"), F.lit(t.description).alias("description"),
-            words(t.steps).alias("steps"), F.lit(t.minutes).alias("time_minutes"), F.lit("easy").alias("difficulty"),
+            words(t.steps).alias("steps"), F.lit(t.minutes).alias("time_minutes"), F.lit(t.difficulty).alias("difficulty"),
             words(t.equipment).alias("equipment"), F.lit(t.cost).alias("estimated_cost"), words(t.tags).alias("tags"),
-            F.filter(F.array(*items), lambda i: i.isNotNull()).alias("ingredients"),
+            F.filter(F.array(*items), lambda i: i.isNotNull()).cast(DRAFT_ITEM).alias("ingredients"),
             words(t.components).alias("component_slugs"), F.array(*path).alias("graph_path"),
         ),
     )
@@ -157,7 +97,7 @@ def template_slugs(templates: tuple[DraftTemplate, ...]) -> list[str]:
 
 def draft_candidates(
     kitchens: DataFrame, items: DataFrame, existing: DataFrame,
-    templates: tuple[DraftTemplate, ...] = TEMPLATES, batch_size: int = 5,
+    templates: tuple[DraftTemplate, ...], batch_size: int = 5,
 ) -> DataFrame:
     """Drafts per kitchen from the templates whose needs it owns, in template order."""
     useful = items.where(F.col("slug").isin(template_slugs(templates)))
@@ -195,7 +135,7 @@ def validate_drafts(
     fats: tuple[str, ...] = C.DRAFT_FATS,
 ) -> DataFrame:
     """Adds ``signature``, ``reasons`` (in rule order) and ``ok``."""
-    col = F.col
+    col, why = F.col, C.DRAFT_REASONS
     signed = drafts.withColumn(
         "signature",
         K.signature(col("title"), col("ingredients"), col("graph_path"), col("tags"), col("equipment"), col("component_slugs")),
@@ -220,10 +160,10 @@ def validate_drafts(
         F.transform(
             "ingredients",
             lambda i, pos: F.concat(
-                F.when(F.array_contains(F.col("_unknown_at"), pos), F.array(F.concat(F.lit("Unknown ingredient: "), i["slug"]))).otherwise(none),
+                F.when(F.array_contains(F.col("_unknown_at"), pos), F.array(F.concat(F.lit(why["item"]), i["slug"]))).otherwise(none),
                 F.when(
                     i["slug"].isin(list(specialist)),
-                    F.array(F.concat(F.lit("Specialist ingredient without justification: "), i["slug"])),
+                    F.array(F.concat(F.lit(why["specialist"]), i["slug"])),
                 ).otherwise(none),
             ),
         )
@@ -235,18 +175,18 @@ def validate_drafts(
     fried = F.exists("graph_path", lambda p: F.contains(p, F.lit("fry")) | F.contains(p, F.lit("scramble")))
     fat = F.exists("ingredients", lambda i: i["slug"].isin(list(fats)))
     reasons = F.concat(
-        reason(trim(F.coalesce("title", F.lit(""))) == "", "Missing title"),
-        reason(F.coalesce(F.size("steps"), F.lit(0)) <= 0, "Missing steps"),
-        reason(col("time_minutes") > 30, "Unnecessarily long for student cooking"),
-        reason(col("difficulty") == "hard", "Too complicated"),
-        reason(F.size("ingredients") > 10, "Too many ingredients"),
+        reason(trim(F.coalesce("title", F.lit(""))) == "", why["title"]),
+        reason(F.coalesce(F.size("steps"), F.lit(0)) <= 0, why["steps"]),
+        reason(col("time_minutes") > 30, why["time"]),
+        reason(col("difficulty") == "hard", why["difficulty"]),
+        reason(F.size("ingredients") > 10, why["size"]),
         per_item,
-        each("_components", "Unknown component: "),
-        each("_path", "Unknown transformation in graph path: "),
-        reason(~F.exists("ingredients", lambda i: ~i["optional"]), "No mandatory ingredients"),
-        reason(col("_rejected"), "Previously rejected signature"),
-        reason(col("_duplicate"), "Duplicate or trivial variation of existing recipe"),
-        reason(fried & ~fat, "Frying/scrambling without a fat source"),
+        each("_components", why["component"]),
+        each("_path", why["path"]),
+        reason(~F.exists("ingredients", lambda i: ~i["optional"]), why["mandatory"]),
+        reason(col("_rejected"), why["rejected"]),
+        reason(col("_duplicate"), why["duplicate"]),
+        reason(fried & ~fat, why["fat"]),
     )
     return (
         joined.withColumn("_unknown_at", unknown_at)

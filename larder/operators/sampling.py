@@ -8,12 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.config import PREFERRED_SOURCES
-from larder.functions.text import is_preferred_source, random_order_key, unit_hash
+from larder.functions.text import is_preferred_source, unit_hash
 from larder.operators.common import ordered_index
 
-# A sample up to this many rows is broadcast when its full rows are looked up.
-MAX_BROADCAST_SAMPLE = 100_000
-
 
 def reservoir_slots(
     df: DataFrame, limit: int, prefer: bool = True, only: bool = False,
@@ -52,10 +49,7 @@ def reservoir_sample(
 ) -> DataFrame:
     """The sampled rows; ``sample_rank`` orders them as a sequential scan would have left them."""
     chosen = preferred_then_fill(reservoir_slots(df, limit, prefer, only, labels), limit)
-    chosen = chosen.select("ordinal", "sample_rank")
-    if limit <= MAX_BROADCAST_SAMPLE:
-        chosen = F.broadcast(chosen)
-    return df.join(chosen, "ordinal")
+    return df.join(chosen.select("ordinal", "sample_rank"), "ordinal")
 
 
 def sample_metrics(df: DataFrame, sample: DataFrame, labels: Iterable[str] = PREFERRED_SOURCES) -> DataFrame:
@@ -64,13 +58,14 @@ def sample_metrics(df: DataFrame, sample: DataFrame, labels: Iterable[str] = PRE
         F.count(F.lit(1)).alias("scanned"),
         F.count_if(preferred).alias("preferred_seen"),
         F.count_if(~preferred).alias("other_seen"),
-    ).withColumn("_one", F.lit(1))
+    )
     kept = sample.agg(
         F.count_if(preferred).alias("sampled_preferred"), F.count_if(~preferred).alias("sampled_other")
-    ).withColumn("_one", F.lit(1))
-    return seen.join(kept, "_one").drop("_one")
+    )
+    return seen.crossJoin(F.broadcast(kept))
 
 
 def random_recipes(df: DataFrame, key: str, n: int = 5, seed: int = 0) -> DataFrame:
     """A reproducible uniform pick of 1 to 12 rows."""
-    return df.orderBy(random_order_key(F.col(key), seed), F.col(key)).limit(max(1, min(int(n) or 5, 12)))
+    turn = unit_hash(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return df.orderBy(turn, F.col(key)).limit(max(1, min(int(n) or 5, 12)))

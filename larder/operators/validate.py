@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder import config as C
-from larder.functions.js import among
 from larder.functions.scoring import corpus_low_effort
-from larder.sources.rules import MAX_LITERAL_ROWS
 
 
 def _status(n_missing: Column, any_known: Column, any_mapped: Column) -> Column:
@@ -21,35 +19,24 @@ def _status(n_missing: Column, any_known: Column, any_mapped: Column) -> Column:
 
 
 def validate_candidates(df: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Adds ``status`` and the distinct required items the catalog lacks (``missing``).
-
-    A small catalog is planned as a literal set, which keeps the job map-only; a larger one joins.
-    """
-    slugs = [r.slug for r in catalog.select("slug").limit(MAX_LITERAL_ROWS + 1).collect()]
+    """Adds ``status`` and the distinct required items the catalog lacks (``missing``)."""
     required = F.filter("ingredients", lambda i: ~i["optional"])
     base = df.drop("missing").withColumn("_required", required)
-    if len(slugs) <= MAX_LITERAL_ROWS:
-        known = F.filter("_required", lambda i: among(i["slug"], slugs)) if slugs else F.slice("_required", 1, 0)
-        unknown = F.filter("_required", lambda i: ~among(i["slug"], slugs)) if slugs else F.col("_required")
-        checked = base.withColumn("_known", F.size(known) > 0).withColumn(
-            "_missing", F.transform(unknown, lambda i: F.coalesce(i["slug"], i["normalized_name"]))
-        )
-    else:
-        lines = base.select("candidate_id", F.posexplode("_required").alias("pos", "item")).select(
-            "candidate_id", "pos", F.col("item.slug").alias("slug"), "item.normalized_name"
-        )
-        matched = lines.join(catalog.select("slug", F.lit(True).alias("known")), "slug", "left")
-        name = F.coalesce("slug", "normalized_name")
-        summary = matched.groupBy("candidate_id").agg(
-            F.coalesce(F.bool_or("known"), F.lit(False)).alias("_known"),
-            F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("known").isNull(), F.struct("pos", name.alias("name"))))),
-                lambda m: m["name"],
-            ).alias("_missing"),
-        )
-        checked = base.join(summary, "candidate_id", "left").withColumn(
-            "_known", F.coalesce("_known", F.lit(False))
-        ).withColumn("_missing", F.coalesce("_missing", F.array().cast("array<string>")))
+    lines = base.select("candidate_id", F.posexplode("_required").alias("pos", "item")).select(
+        "candidate_id", "pos", F.col("item.slug").alias("slug"), "item.normalized_name"
+    )
+    matched = lines.join(catalog.select("slug", F.lit(True).alias("known")), "slug", "left")
+    name = F.coalesce("slug", "normalized_name")
+    summary = matched.groupBy("candidate_id").agg(
+        F.coalesce(F.bool_or("known"), F.lit(False)).alias("_known"),
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("known").isNull(), F.struct("pos", name.alias("name"))))),
+            lambda m: m["name"],
+        ).alias("_missing"),
+    )
+    checked = base.join(summary, "candidate_id", "left").withColumn(
+        "_known", F.coalesce("_known", F.lit(False))
+    ).withColumn("_missing", F.coalesce("_missing", F.array().cast("array<string>")))
     mapped = F.exists("_required", lambda i: i["slug"].isNotNull())
     return (
         checked.withColumn("status", _status(F.size("_missing"), F.col("_known"), mapped))

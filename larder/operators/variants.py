@@ -17,8 +17,11 @@ from larder.sources.rules import Concept
 ITEM = "struct<original_text:string,normalized_name:string,slug:string,confidence:double,notes:array<string>>"
 
 
+TRIMMED = "beyond the four most useful items"
+
+
 def _rules_literal(rules: C.VariantRules) -> Column:
-    return F.array(
+    rows = F.array(
         *[
             F.struct(
                 F.lit(s.concept).alias("from"), F.lit(s.to_concept).alias("to"),
@@ -28,6 +31,9 @@ def _rules_literal(rules: C.VariantRules) -> Column:
             for s in rules.substitutions
         ]
     )
+    return rows if rules.substitutions else rows.cast(
+        "array<struct<from:string,to:string,slug:string,reason:string,levels:array<string>>>"
+    )
 
 
 def substitute_ingredients(items: Column, level: Column, rules: C.VariantRules) -> Column:
@@ -35,14 +41,12 @@ def substitute_ingredients(items: Column, level: Column, rules: C.VariantRules)
     substitutions = F.filter(_rules_literal(rules), lambda r: F.array_contains(r["levels"], level))
     has_creamy = F.exists(items, lambda i: among(i["normalized_name"], rules.creamy_present))
     loose = level.isin("student", "struggle")
-    cheese = F.struct(
-        F.lit("cheese (for creaminess)").alias("original_text"), F.lit("cheese").alias("normalized_name"),
+    joining = F.struct(
+        F.lit(rules.creamy_text).alias("original_text"), F.lit(rules.creamy_name).alias("normalized_name"),
         F.lit(rules.creamy_slug).alias("slug"), F.lit(0.7).alias("confidence"),
-        F.array(F.lit("added to replace cream body")).alias("notes"),
-    )
-    cheese_row = E.audit_row(
-        "ingredient_substitute", "cream body", "cheese", "Add cheese to approximate creaminess"
+        F.array(F.lit("joined")).alias("notes"),
     )
+    joining_row = E.audit_row("ingredient_substitute", f"body of {rules.creamy}", rules.creamy_name, "keeps it creamy")
 
     def state(kept, audit, added):
         return F.struct(kept.alias("items"), audit.alias("audit"), added.alias("added"))
@@ -52,15 +56,15 @@ def substitute_ingredients(items: Column, level: Column, rules: C.VariantRules)
         reason = (
             F.when(
                 name.isNull() | name.isin("", "null", "undefined") | has(name, r"^\?+$"),
-                "Removed empty/broken ingredient string",
+                "no usable name",
             )
             .when(
                 has(x["original_text"], C.GARNISH_PATTERN, True) | has(name, C.GARNISH_PATTERN, True),
-                "Removed optional garnish",
+                "garnish",
             )
             .when(
                 among(name, rules.luxury),
-                "Removed luxury/specialist ingredient unsuitable for student corruption",
+                "too special for this corpus",
             )
         )
         removed = E.audit_row("ingredient_remove", x["original_text"], "", reason)
@@ -69,7 +73,7 @@ def substitute_ingredients(items: Column, level: Column, rules: C.VariantRules)
             swapped = F.struct(
                 x["original_text"].alias("original_text"), rule["to"].alias("normalized_name"),
                 rule["slug"].alias("slug"), F.lit(0.9).alias("confidence"),
-                F.concat(x["notes"], F.array(F.concat(F.lit("substituted→"), rule["to"]))).alias("notes"),
+                F.concat(x["notes"], F.array(F.concat(F.lit("now "), rule["to"]))).alias("notes"),
             )
             change = E.audit_row("ingredient_substitute", name, rule["to"], rule["reason"])
             add = rule.isNotNull() & (name == rules.creamy) & ~acc["added"] & ~has_creamy & loose
@@ -90,8 +94,8 @@ def substitute_ingredients(items: Column, level: Column, rules: C.VariantRules)
             return let(
                 F.struct(
                     F.when(rule.isNotNull(), swapped).otherwise(x).alias("current"),
-                    F.when(add, F.concat(acc["items"], F.array(cheese))).otherwise(acc["items"]).alias("before"),
-                    F.when(add, F.concat(audit, F.array(cheese_row))).otherwise(audit).alias("audit"),
+                    F.when(add, F.concat(acc["items"], F.array(joining))).otherwise(acc["items"]).alias("before"),
+                    F.when(add, F.concat(audit, F.array(joining_row))).otherwise(audit).alias("audit"),
                 ),
                 dedupe,
             )
@@ -123,9 +127,7 @@ def _struggle_trim(items: Column, audit: Column, level: Column, rules: C.Variant
     def cut(order: Column) -> Column:
         dropped = F.transform(
             F.slice(order, F.lit(5), F.greatest(F.size(order) - 4, F.lit(0))),
-            lambda r: E.audit_row(
-                "ingredient_remove", r["item"]["normalized_name"], "", "Struggle trim to 2–4 core ingredients"
-            ),
+            lambda r: E.audit_row("ingredient_remove", r["item"]["normalized_name"], "", TRIMMED),
         )
         return F.struct(
             F.transform(F.slice(order, 1, 4), lambda r: r["item"]).alias("items"),
@@ -192,8 +194,8 @@ def make_variant(df: DataFrame, concepts: tuple[Concept, ...], rules: C.VariantR
     nudge = F.when(level == "struggle", 4.0).when(level == "student", 2.0).otherwise(0.0)
     total = F.round(col("_score.total") + nudge, 2)
     last_rows = F.array(
-        E.audit_row("level_variant", "source", level, F.concat(F.lit("Generated "), level, F.lit(" student variant"))),
-        E.audit_row("title_rewrite", col("title"), col("_title"), "Student-friendly title"),
+        E.audit_row("level_variant", "source", level, F.concat(F.lit("variant for level "), level)),
+        E.audit_row("title_rewrite", col("title"), col("_title"), "title of the variant"),
     )
     items = F.transform(
         "_pass.items",
@@ -207,11 +209,11 @@ def make_variant(df: DataFrame, concepts: tuple[Concept, ...], rules: C.VariantR
         return F.size(F.filter("_pass.audit", lambda a: a["kind"] == kind))
 
     out = scored.select(
-        F.concat(F.lit("recipenlg-"), col("id"), F.lit("-"), level).alias("candidate_id"),
+        F.concat(F.lit(f"{rules.dataset}-"), col("id"), F.lit("-"), level).alias("candidate_id"),
         (col("ordinal") * 3 + F.array_position(F.array(*[F.lit(v) for v in C.LEVELS]), level) - 1).alias("ordinal"),
         col("id").alias("source_id"),
         col("_title").alias("title"),
-        F.concat(level, F.lit(" student version of “"), col("title"), F.lit("”.")).alias("description"),
+        F.concat(F.lit("The "), level, F.lit(" variant of "), col("title")).alias("description"),
         col("_steps.steps").alias("steps"),
         items.alias("ingredients"),
         F.filter("_tools.equipment", lambda e: ~among(e, C.DROPPED_EQUIPMENT)).alias("equipment"),
@@ -223,9 +225,9 @@ def make_variant(df: DataFrame, concepts: tuple[Concept, ...], rules: C.VariantR
                     "equipment_reward", "equipment_penalty")], total.alias("total")).alias("score"),
         F.concat("_pass.audit", "_tools.audit", "_steps.audit", last_rows).alias("audit"),
         F.struct(
-            F.lit(C.SOURCE_DATASET).alias("source_dataset"), col("title").alias("source_title"),
+            F.lit(rules.dataset).alias("source_dataset"), col("title").alias("source_title"),
             col("link").alias("source_url"), col("source").alias("source_label"),
-            F.lit(C.TRANSFORMATION_VERSION).alias("transformation_version"),
+            F.lit(rules.version).alias("transformation_version"),
             col("ingredients").alias("original_ingredients"), col("directions").alias("original_directions"),
             col("_names").alias("transformed_ingredients"),
         ).alias("provenance"),
@@ -249,7 +251,7 @@ def make_variant(df: DataFrame, concepts: tuple[Concept, ...], rules: C.VariantR
 
 
 def variants(
-    df: DataFrame, concepts: tuple[Concept, ...], rules: C.VariantRules = C.VariantRules()
+    df: DataFrame, concepts: tuple[Concept, ...], rules: C.VariantRules
 ) -> DataFrame:
     """The accepted variants of suitable rows; needs ``normalized`` and ``suitability``.
 

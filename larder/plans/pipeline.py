@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder import config as C
-from larder.functions.text import basic_validity
+from larder.functions.text import basic_validity, is_preferred_source
 from larder.operators import dedupe as dd
 from larder.operators import sampling as sm
 from larder.operators import suitability as su
@@ -24,13 +24,12 @@ MAX_EXAMPLES = 50
 
 @dataclass(frozen=True)
 class PipelineOptions:
-    limit: int = 5000
+    limit: int = 0  # rows to sample; 0 takes the whole corpus
     prefer: bool = True
     only: bool = False
     threshold: float = 12.0
     preferred: tuple[str, ...] = C.PREFERRED_SOURCES
     rules: C.VariantRules = C.VariantRules()
-    pairwise_limit: int | None = dd.PAIRWISE_LIMIT
 
 
 @dataclass(frozen=True)
@@ -93,11 +92,11 @@ def sample_pipeline(
     options: PipelineOptions = PipelineOptions(),
 ) -> PipelineRun:
     """Corpus to validated candidates. Map-only from the sample up to the dedupe."""
-    sample = share(sm.reservoir_sample(corpus, options.limit, options.prefer, options.only, options.preferred))
+    sample = share(_sampled(corpus, options))
     in_order = sample.withColumn("ordinal", _sample_position()).drop("sample_rank")
     staged = share(staged_rows(in_order, concepts, options.threshold))
     made = materialize(accepted_variants(staged, concepts, options.rules))
-    deduped = share(va.validate_candidates(dd.dedupe(made, options.pairwise_limit), catalog))
+    deduped = share(va.validate_candidates(dd.dedupe(made), catalog))
     return PipelineRun(
         sample=sample,
         inspect=inspect(in_order, concepts),
@@ -107,6 +106,17 @@ def sample_pipeline(
     )
 
 
+def _sampled(corpus: DataFrame, options: PipelineOptions) -> DataFrame:
+    """The sample, or without a limit every row in the order that a reservoir of any size keeps."""
+    if options.limit > 0:
+        return sm.reservoir_sample(corpus, options.limit, options.prefer, options.only, options.preferred)
+    preferred = is_preferred_source(F.col("source"), options.preferred)
+    split = options.prefer or options.only
+    rows = corpus.where(preferred) if options.only else corpus
+    group = F.when(preferred, 0).otherwise(1) if split else F.lit(1)
+    return rows.withColumn("sample_rank", F.struct(group.alias("sample_class"), F.col("ordinal").alias("slot")))
+
+
 def _sample_position() -> Column:
     """One sortable number for ``sample_rank``: preferred slots, then the others."""
     return F.col("sample_rank.sample_class").cast("long") * F.lit(1 << 40) + F.col("sample_rank.slot")

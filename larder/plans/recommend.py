@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder import config as C
@@ -14,7 +14,7 @@ from larder.operators import drafts as dr
 from larder.operators import graph as gr
 from larder.operators import ranking as rk
 from larder.operators import shopping as sh
-from larder.operators.common import first_per
+from larder.operators.common import first_per, with_ordinal
 from larder.sources.tables import bridge_items
 from larder.session import materialize, share
 from larder.sources.rules import Transform, transforms_df
@@ -29,6 +29,7 @@ class RecommendOptions:
     rules: C.MatchRules = C.MatchRules()
     min_make_now: int = 3
     batch_size: int = 5
+    templates: tuple[dr.DraftTemplate, ...] = ()
 
 
 def score_candidates(
@@ -55,7 +56,7 @@ def generate_drafts(
     however many kitchens drafted them.
     """
     short = dr.generation_trigger(kitchens, scored, options.min_make_now)
-    make = generator or (lambda k, i, r: dr.draft_candidates(k, i, r, batch_size=options.batch_size))
+    make = generator or (lambda k, i, r: dr.draft_candidates(k, i, r, options.templates, options.batch_size))
     made = make(short, items, recipes).withColumn("draft_id", F.struct("kitchen_id", "template"))
     checked = share(dr.validate_drafts(made, catalog, components, transforms, recipes, rejected))
     accepted = dr.to_recipe(first_per(checked.where("ok"), ["signature"], [F.asc("draft_id")]))
@@ -94,12 +95,11 @@ def recommend_with_drafts(
         kitchens, items, scored, recipes, catalog, components, table, rejected, options
     )
     accepted = materialize(accepted)
-    last = recipes.agg((F.coalesce(F.max("ordinal"), F.lit(-1)) + 1).alias("_base")).withColumn("_one", F.lit(1))
-    # Templates bound the accepted drafts, so one small window numbers them.
-    order = F.row_number().over(Window.partitionBy("_one").orderBy("signature")) - 1
-    new = accepted.withColumn("_one", F.lit(1)).withColumn("_n", order).join(last, "_one").withColumn(
+    last = recipes.agg((F.coalesce(F.max("ordinal"), F.lit(-1)) + 1).alias("_base"))
+    numbers = with_ordinal(accepted.select("signature"), ["signature"], "_n")
+    new = accepted.join(numbers, "signature").crossJoin(F.broadcast(last)).withColumn(
         "ordinal", F.col("_base") + F.col("_n")
-    ).drop("_one", "_n", "_base")
+    ).drop("_n", "_base")
     more = recipes.unionByName(new.drop("ingredients"), allowMissingColumns=True)
     return (
         recommend(kitchens, items, more, recipe_items.unionByName(bridge_items(new)), catalog, transforms, options),
@@ -108,15 +108,12 @@ def recommend_with_drafts(
 
 
 def recommend_many(
-    spark: SparkSession, inventories: Mapping[str, tuple[str, ...]], expiring: tuple[str, ...],
-    recipes: DataFrame, recipe_items: DataFrame, catalog: DataFrame,
+    inventories: DataFrame, recipes: DataFrame, recipe_items: DataFrame, catalog: DataFrame,
     transforms: tuple[Transform, ...] = (), equipment: tuple[str, ...] = C.BASIC_EQUIPMENT,
     options: RecommendOptions = RecommendOptions(), lists: tuple[str, ...] = LISTS,
 ) -> dict[str, DataFrame]:
-    """``recommend`` over a set of named inventories."""
-    kitchens = spark.createDataFrame([(n, list(equipment)) for n in inventories], "kitchen_id string, equipment array<string>")
-    items = spark.createDataFrame(
-        [(n, s, s in expiring) for n, slugs in inventories.items() for s in dict.fromkeys(slugs)],
-        "kitchen_id string, slug string, expiring boolean",
-    )
+    """``recommend`` over named inventories ``(kitchen_id, slug, expiring)``, all with one equipment."""
+    tools = F.array(*[F.lit(e) for e in equipment])
+    kitchens = inventories.select("kitchen_id").distinct().withColumn("equipment", tools)
+    items = inventories.groupBy("kitchen_id", "slug").agg(F.bool_or("expiring").alias("expiring"))
     return recommend(kitchens, items, recipes, recipe_items, catalog, transforms, options, lists)

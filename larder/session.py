@@ -11,9 +11,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "larder") -> SparkSession:
-    """A session for tests and the benchmark. Clusters bring their own."""
-    return (
+def local_session(
+    cores: str = "*", shuffle_partitions: int = 8, app: str = "larder", folder: str | None = None
+) -> SparkSession:
+    """A session for tests and the benchmark, with its checkpoint folder. Clusters bring their own."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -23,8 +25,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lar
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.files.maxPartitionBytes", "64m")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", folder) if folder else builder).getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -52,7 +54,10 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/larder-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
+    # The files last as long as the application, as its results are read from them.
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -171,8 +171,8 @@ def import_counters(flagged: DataFrame, limit: int | None = None) -> DataFrame:
     if limit is not None:
         last = flagged.where("kept").select("ordinal").orderBy("ordinal").limit(limit).agg(
             F.max("ordinal").alias("_last"), F.count(F.lit(1)).alias("_n")
-        ).withColumn("_one", F.lit(1))
-        flagged = flagged.withColumn("_one", F.lit(1)).join(last, "_one").where(
+        )
+        flagged = flagged.crossJoin(F.broadcast(last)).where(
             (F.col("_n") < limit) | (F.col("ordinal") <= F.col("_last"))
         )
     return flagged.agg(

@@ -2,7 +2,9 @@
 
 Both are inputs. A concept table has ``(ordinal, concept, slug, reward, penalty, rarity, aliases)``,
 a transformation table ``(ordinal, slug, method, equipment, tags, output_slug, output_name, inputs)``
-where ``inputs`` is an array of ``(ingredient, component, optional, role)``.
+where ``inputs`` is an array of ``(ingredient, component, optional, role)``. They are configuration:
+whatever their size they become part of the plan. Alias tables that are data rather than
+configuration are matched by ``alias_match_joined``.
 """
 
 from __future__ import annotations
@@ -21,8 +23,6 @@ TRANSFORM_SCHEMA = (
     "equipment array<string>, tags array<string>, output_slug string, output_name string, "
     "inputs array<struct<ingredient:string,component:string,optional:boolean,role:string>>"
 )
-# Rule tables up to this many rows are planned as literals; larger alias tables join instead.
-MAX_LITERAL_ROWS = 5000
 
 
 def read_concepts(spark: SparkSession, path: str) -> DataFrame:
@@ -73,17 +73,10 @@ class Transform:
         return tuple(i for i in self.inputs if not i.optional)
 
 
-def _bounded(df: DataFrame, what: str) -> list:
-    rows = df.orderBy("ordinal").limit(MAX_LITERAL_ROWS + 1).collect()
-    if len(rows) > MAX_LITERAL_ROWS:
-        raise ValueError(f"{what} has more than {MAX_LITERAL_ROWS} rows; use the join form")
-    return rows
-
-
 def concepts_from(df: DataFrame) -> tuple[Concept, ...]:
     return tuple(
         Concept(r.concept, r.slug, r.reward, r.penalty, r.rarity, tuple(r.aliases))
-        for r in _bounded(df, "the concept table")
+        for r in df.orderBy("ordinal").toLocalIterator()
     )
 
 
@@ -95,7 +88,7 @@ def transforms_from(df: DataFrame) -> tuple[Transform, ...]:
             time_minutes=r.time_minutes or 0, difficulty=r.difficulty or "easy",
             inputs=tuple(Input(i.ingredient, i.component, bool(i.optional), i.role) for i in r.inputs),
         )
-        for r in _bounded(df, "the transformation table")
+        for r in df.orderBy("ordinal").toLocalIterator()
     )
 
 

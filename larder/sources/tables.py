@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -50,12 +51,21 @@ def write_candidates(df: DataFrame, path: str, reports: Mapping[str, DataFrame]
 
 
 def publish_tables(tables: Mapping[str, DataFrame], path: str) -> None:
-    """Full refresh of every table. Later batches lie next to the seed as further partitions."""
+    """Full refresh of every table. Later batches lie next to the seed as further partitions.
+
+    Every table is written beside its old form first, so that a failed job leaves the old ones.
+    """
+    fresh = f"new-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{fresh}/{name}/batch={SEED_BATCH}")
     for name, df in tables.items():
         spark = df.sparkSession
-        root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
-        df.write.parquet(f"{path}/{name}/batch={SEED_BATCH}")
+        made, root = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (f"{fresh}/{name}", name))
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.delete(root, True)
+        fs.rename(made, root)
+    if tables:
+        fs.delete(made.getParent(), True)
 
 
 def load_graph(spark: SparkSession, path: str) -> FoodGraph:
@@ -152,13 +162,13 @@ def load_corpus_into_graph(graph: FoodGraph, corpus: DataFrame) -> FoodGraph:
     built = with_signature(kept.withColumn("_given", given)).withColumn("signature", F.coalesce("_given", "signature")).drop("_given")
     fresh = first_per(built.join(graph.recipes.select("signature"), "signature", "left_anti"), ["signature"], [F.asc("_at")])
     index = with_ordinal(fresh.select("_at"), ["_at"], "n")
-    last = graph.recipes.agg(F.coalesce(F.max("ordinal") + 1, F.lit(0)).alias("_base")).withColumn("_one", F.lit(1))
+    last = graph.recipes.agg(F.coalesce(F.max("ordinal") + 1, F.lit(0)).alias("_base"))
     new = (
-        fresh.join(index, "_at").withColumn("_one", F.lit(1)).join(last, "_one")
+        fresh.join(index, "_at").crossJoin(F.broadcast(last))
         .withColumn("recipe_id", F.concat(F.lit("corpus-"), (F.col("n") + 1).cast("string")))
         .withColumn("ordinal", F.col("_base") + F.col("n"))
         .withColumn("source", F.lit("corpus"))
-        .drop("_one", "_base", "n", "_at")
+        .drop("_base", "n", "_at")
     )
     return FoodGraph(
         graph.catalog, graph.components, graph.transforms,
@@ -241,9 +251,9 @@ def ingest_counts(decided: DataFrame, stored: DataFrame) -> DataFrame:
         F.count_if(F.col("outcome") == "inserted").alias("inserted"),
         F.count_if(F.col("outcome") == "duplicate").alias("skipped_duplicate"),
         F.count_if(F.col("outcome") == "missing_ingredient").alias("skipped_missing"),
-    ).withColumn("_one", F.lit(1))
-    before = stored.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    return batch.join(before, "_one").select(
+    )
+    before = stored.agg(F.count(F.lit(1)).alias("_n"))
+    return batch.crossJoin(F.broadcast(before)).select(
         "inserted", "skipped_duplicate", "skipped_missing", (F.col("_n") + F.col("inserted")).alias("total_recipes")
     )
 

@@ -9,8 +9,8 @@ from larder.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("4", 4, "larder-tests")
+def spark(tmp_path_factory):
+    session = local_session("4", 4, "larder-tests", str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -1,5 +1,9 @@
-"""Small authored rule tables and rows."""
+"""Small rule tables and rows of our own."""
 
+from pyspark.sql import functions as F
+
+from larder import config as C
+from larder.operators.drafts import Choice, DraftItem, DraftTemplate
 from larder.sources.rules import Concept, Input, Transform
 
 
@@ -8,71 +12,83 @@ def c(name, slug, reward, penalty, rarity, *aliases):
 
 
 CONCEPTS = (
-    c("egg", "eggs", 8, 0, "common", "egg", "eggs"),
-    c("rice", "rice", 8, 0, "common", "rice", "white rice"),
-    c("microwave rice", "microwave-rice", 7, 0, "common", "microwave rice"),
-    c("pasta", "pasta", 8, 0, "common", "pasta", "spaghetti"),
-    c("instant noodles", "instant-noodles", 8, 0, "common", "ramen"),
-    c("bread", "bread", 8, 0, "common", "bread", "toast"),
-    c("onion", "onions", 8, 0, "common", "onion", "onions"),
-    c("shallot", "onions", 3, 1, "uncommon", "shallot", "shallots"),
-    c("garlic", "garlic", 7, 0, "common", "garlic"),
-    c("garlic powder", "garlic-powder", 6, 0, "common", "garlic powder"),
-    c("tomato", "tomatoes", 5, 0, "common", "tomato", "tomatoes"),
-    c("tinned tomato", "chopped-tomatoes", 8, 0, "common", "diced tomatoes"),
-    c("spinach", "spinach", 4, 0, "common", "spinach"),
-    c("frozen spinach", "spinach", 6, 0, "common", "frozen spinach"),
-    c("cheese", "cheese", 7, 0, "common", "cheese", "cheddar cheese"),
-    c("parmesan", "cheese", 2, 3, "uncommon", "parmesan"),
-    c("milk", "milk", 6, 0, "common", "milk"),
-    c("butter", "butter", 6, 0, "common", "butter"),
-    c("oil", "oil", 6, 0, "common", "oil", "olive oil"),
-    c("cream", "milk", 1, 3, "uncommon", "cream", "heavy cream"),
-    c("brown sugar", "brown-sugar", 3, 0, "common", "brown sugar"),
-    c("vanilla", "vanilla", 2, 1, "uncommon", "vanilla"),
-    c("soy sauce", "soy-sauce", 6, 0, "common", "soy sauce"),
-    c("chicken breast", "chicken-breast", 4, 1, "uncommon", "chicken breast"),
-    c("chicken", "cooked-chicken", 5, 0, "common", "chicken"),
-    c("salt", "salt", 1, 0, "common", "salt"),
-    c("black pepper", "pepper", 1, 0, "common", "pepper", "black pepper"),
-    c("dried herbs", "dried-herbs", 3, 0, "common", "basil", "parsley"),
-    c("saffron", None, 0, 12, "luxury", "saffron"),
-    c("truffle", None, 0, 14, "luxury", "truffle"),
-    c("mirin", None, 0, 6, "specialist", "mirin"),
+    c("leek", "leeks", 5, 0, "common", "leeks", "baby leek"),
+    c("barley", "barley", 6, 0, "common", "pearl barley"),
+    c("quick barley", "quick-barley", 4, 0, "common"),
+    c("pasta", "pasta", 7, 0, "common", "orzo"),
+    c("flatbread", "flatbreads", 5, 0, "common", "naan"),
+    c("turnip", "turnips", 3, 1, "uncommon", "turnips"),
+    c("swede", "swedes", 6, 0, "common"),
+    c("tinned tomato", "chopped-tomatoes", 6, 0, "common", "passata"),
+    c("kale", "kale", 4, 0, "common"),
+    c("frozen kale", "kale", 5, 0, "common"),
+    c("curd", "curd", 6, 0, "common", "plain curd"),
+    c("goat curd", "curd", 2, 4, "uncommon"),
+    c("milk", "milk", 5, 0, "common"),
+    c("custard", "milk", 1, 4, "uncommon", "thick custard"),
+    c("lard", "lard", 4, 0, "common"),
+    c("oil", "oil", 5, 0, "common", "rape oil"),
+    c("molasses", "molasses", 3, 0, "common", "dark molasses"),
+    c("salt", "salt", 1, 0, "common"),
+    c("pheasant", "pheasant", 1, 5, "specialist"),
+    c("gold leaf", None, 0, 9, "luxury"),
+)
+
+RULES = C.VariantRules(
+    substitutions=(
+        C.Substitution("goat curd", "curd", "curd", C.LEVELS),
+        C.Substitution("custard", "milk", "milk", C.LEVELS),
+        C.Substitution("turnip", "swede", "swedes", C.LEVELS[1:]),
+        C.Substitution("kale", "frozen kale", "kale", C.LEVELS[1:]),
+    ),
+    luxury=("gold leaf",), creamy="custard", creamy_present=("curd", "goat curd"), creamy_name="curd",
+    creamy_slug="curd", core_concepts=("pasta", "swede", "curd"), optional_concepts=("salt",), dataset="own",
 )
 
 TRANSFORMS = (
-    Transform("boil-rice", "cooked-rice", (Input("rice"),), "boil", ("carb", "meal-base"), ("pan", "hob"),
-              "Cooked rice"),
-    Transform("scramble", "scrambled-egg", (Input("eggs"), Input("butter", role="fat"), Input("oil", role="fat")),
-              "pan-fry", ("protein",), ("pan", "hob"), "Scrambled egg"),
-    Transform("egg-rice", "egg-fried-rice",
-              (Input(component="cooked-rice"), Input(component="scrambled-egg"), Input("soy-sauce", optional=True)),
-              "pan-fry", ("meal",), ("pan", "hob"), "Egg fried rice"),
-    Transform("season", "seasoned", (Input("salt"), Input("pepper")), "assemble", (), (), "Seasoning"),
-    Transform("toast-bread", "toast", (Input("bread"),), "toast", ("carb",), ("toaster",), "Toast"),
-    Transform("cheese-toast", "cheesy-toast", (Input(component="toast"), Input("cheese")), "grill", ("meal",),
-              ("grill",), "Cheesy toast"),
+    Transform("simmer-barley", "soft-barley", (Input("barley"),), "simmer", ("carb", "meal-base"), ("pan", "hob"),
+              "Soft barley"),
+    Transform("wilt-kale", "wilted-kale", (Input("kale"), Input("lard", role="fat"), Input("oil", role="fat")),
+              "pan-fry", ("green",), ("pan", "hob"), "Wilted kale"),
+    Transform("green-barley", "green-bowl",
+              (Input(component="soft-barley"), Input(component="wilted-kale"), Input("molasses", optional=True)),
+              "pan-fry", ("meal",), ("pan", "hob"), "Green barley bowl"),
+    Transform("salt-milk", "brine", (Input("salt"), Input("milk")), "assemble", (), (), "Brine"),
+    Transform("toast-flatbread", "toast", (Input("flatbreads"),), "toast", ("carb",), ("toaster",), "Toasted flatbread"),
+    Transform("curd-toast", "curd-toast", (Input(component="toast"), Input("curd")), "grill", ("meal",),
+              ("grill",), "Curd toast"),
 )
 
-CREAMY = (
-    "1", "Creamy Chicken Spinach Pasta",
-    ["spaghetti", "chicken breasts", "heavy cream", "fresh spinach", "parmesan", "garlic cloves", "olive oil"],
-    ["Boil spaghetti until al dente.", "Fry chicken breasts in olive oil in a skillet.",
-     "Add garlic and spinach.", "Pour in heavy cream and parmesan.", "Toss with pasta."],
+TEMPLATES = (
+    DraftTemplate(
+        "Barley Pot", (("leeks",), ("barley", "quick-barley")),
+        (DraftItem("@grain"), DraftItem("leeks"),
+         DraftItem("lard", required_if_owned=True, drop_if_missing=True), DraftItem("curd", optional=True)),
+        ("soft-barley",), ("@grain", "green-barley"), ("pot",), ("pan",), 12, "cheap", ("Let it stew.",), "A pot.",
+        (("grain", Choice(("quick-barley", "barley"), "barley", ("warm-barley", "simmer-barley"))),),
+    ),
+    DraftTemplate(
+        "Curd Round", (("flatbreads",), ("curd",)), (DraftItem("flatbreads"), DraftItem("curd")),
+        ("toast",), ("toast-flatbread",), ("toast",), ("grill",), 6, "cheap", ("Toast it.",),
+    ),
+)
+
+RICH = (
+    "1", "Creamy Turnip Kale Bake",
+    ["orzo", "turnips", "thick custard", "fresh kale", "goat curd", "baby leek", "rape oil"],
+    ["Boil orzo until al dente.", "Fry turnip in rape oil in a skillet.", "Put in the leeks and the kale.",
+     "Let custard and goat curd run over it.", "Turn everything over once."],
     "example.com/1", "Gathered",
-    ["spaghetti", "chicken breasts", "heavy cream", "spinach", "parmesan", "garlic", "olive oil"],
+    ["orzo", "turnip", "custard", "kale", "goat curd", "leek", "rape oil"],
 )
-TOASTIE = (
-    "2", "Cheese Toastie", ["bread", "cheddar cheese", "butter"],
-    ["Butter the bread and add cheese.", "Toast until golden.", "Stir.", "Set aside."],
-    "example.com/2", "Gathered", ["bread", "cheddar cheese", "butter"],
+PLAIN = (
+    "2", "Curd Flatbread", ["naan", "plain curd", "lard"],
+    ["Spread the lard, then the curd.", "Toast it.", "Stir.", "Set aside."],
+    "example.com/2", "Gathered", ["naan", "plain curd", "lard"],
 )
 RAW = "id string, title string, ingredients array<string>, directions array<string>, link string, source string, ner array<string>"
 
 
 def corpus(spark, rows):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], RAW + ", ordinal long")
     return df.select("ordinal", *[x for x in df.columns if x != "ordinal"])

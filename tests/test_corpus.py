@@ -4,7 +4,7 @@ import random
 
 import brute
 import pytest
-from fixtures import CONCEPTS, CREAMY, RAW, TOASTIE, TRANSFORMS, corpus
+from fixtures import CONCEPTS, PLAIN, RAW, RICH, RULES, TRANSFORMS, corpus
 from pyspark.sql import functions as F
 
 from larder import config as C
@@ -44,8 +44,8 @@ def test_unit_hash_and_titles(spark):
 
 def test_normalize(spark):
     pairs = {
-        "1 c. firmly packed brown sugar": "brown sugar", "2 large eggs": "egg", "1 can diced tomatoes": "tinned tomato",
-        "cold water": "water", "penne": "pasta", "mystery": "mystery", "eggplant": "egg",
+        "1 c. firmly packed dark molasses": "molasses", "2 large leeks": "leek", "1 can diced tomatoes": "tinned tomato",
+        "cold water": "water", "penne": "pasta", "mystery": "mystery", "swedeling": "swede",
     }
     got = column(spark, list(pairs), lambda c: normalize.normalize_text(c, CONCEPTS)["normalized_name"])
     assert got == list(pairs.values())
@@ -53,7 +53,7 @@ def test_normalize(spark):
 
 def test_joined_alias_match_equals_literal(spark):
     rnd = random.Random(3)
-    parts = ["egg", "rice", "white", "heavy", "cream", "powder", "garlic", "zz", "o", "oil"]
+    parts = ["leek", "barley", "quick", "goat", "curd", "frozen", "kale", "zz", "o", "oil"]
     texts = sorted({" ".join(rnd.sample(parts, rnd.randint(1, 4))) for _ in range(80)})
     df = spark.createDataFrame([(t,) for t in texts], "cleaned string")
     from larder.sources.rules import concepts_df
@@ -74,15 +74,17 @@ def test_bands_and_steps(spark):
 
 
 def test_variants(spark):
-    rows = su.with_suitability(su.with_normalized(corpus(spark, [CREAMY, TOASTIE]), CONCEPTS), CONCEPTS)
-    made = {r.candidate_id: r for r in vr.variants(rows, CONCEPTS).collect()}
-    assert set(made) == {f"recipenlg-1-{v}" for v in C.LEVELS} | {"recipenlg-2-practical"}
-    student = made["recipenlg-1-student"]
+    rows = su.with_suitability(su.with_normalized(corpus(spark, [RICH, PLAIN]), CONCEPTS), CONCEPTS)
+    made = {r.candidate_id: r for r in vr.variants(rows, CONCEPTS, RULES).collect()}
+    assert set(made) == {f"own-1-{v}" for v in C.LEVELS} | {"own-2-practical"}
+    student = made["own-1-student"]
     assert [i.normalized_name for i in student.ingredients] == [
-        "pasta", "chicken", "milk", "frozen spinach", "cheese", "garlic powder", "oil"]
-    assert student.title == "Student Chicken Spinach Pasta" and student.n_substitutions == 5
-    assert len(made["recipenlg-1-struggle"].ingredients) == 4
-    assert student.steps[1] == "Fry chicken in olive oil in a skillet."
+        "pasta", "swede", "milk", "frozen kale", "curd", "leek", "oil"]
+    assert student.title == "Student Turnip Kale Bake" and student.n_substitutions == 4
+    assert [i.normalized_name for i in made["own-1-struggle"].ingredients][:3] == ["pasta", "swede", "curd"]
+    assert len(made["own-1-struggle"].ingredients) == 4
+    assert student.steps[0] == "Boil orzo until cooked." and student.steps[1] == "Fry swede in rape oil in a skillet."
+    assert made["own-2-practical"].steps == ["Spread the lard, then the curd.", "Toast it; Stir."]
 
 
 @pytest.mark.parametrize("limit,prefer,only", [(37, True, False), (5, False, False), (300, True, False), (20, True, True)])
@@ -117,8 +119,14 @@ def test_similar_pairs(spark):
             u = set(a[3]) | set(b[3])
             if a[0] < b[0] and a[1] == b[1] and (a[2] in b[2] or b[2] in a[2]) and len(set(a[3]) & set(b[3])) / len(u) >= 0.9:
                 want.add((a[0], b[0]))
-    assert got == want and want
-    dropped = {r.ordinal for r in dedupe.greedy_independent(spark.createDataFrame(sorted(want), "earlier long, later long")).collect()}
+    lead = {}
+    for o, level, title, concepts in rows:
+        lead.setdefault((level, title, tuple(sorted(concepts))), o)
+    leads, copy_of = set(lead.values()), {r[0]: lead[r[1], r[2], tuple(sorted(r[3]))] for r in rows}
+    linked = {(a, b) for a, b in want if a in leads and b in leads} | {(a, o) for o, a in copy_of.items() if a != o}
+    assert got == linked and len(linked) < len(want)
+    between = spark.createDataFrame(sorted(p for p in linked if p[1] in leads), "earlier long, later long")
+    dropped = {r.ordinal for r in dedupe.greedy_independent(between).collect()} | {o for o, a in copy_of.items() if a != o}
     gone = set()
     for o in range(len(rows)):
         if any((e, o) in want and e not in gone for e in range(o)):
@@ -126,6 +134,25 @@ def test_similar_pairs(spark):
     assert dropped == gone
 
 
+def test_equal_rows_give_one_link_each(spark):
+    df = spark.range(5000).select(F.col("id").alias("ordinal"), F.struct("id").alias("first"), F.lit("x").alias("level"),
+                                  F.lit("pie").alias("title_key"), F.array(F.lit("a"), F.lit("b")).alias("concepts"))
+    links = dedupe.similar_pairs(df).collect()
+    assert len(links) == 4999 and {r.earlier for r in links} == {0}
+
+
+def test_rule_tables_of_any_size(spark):
+    from larder.sources.rules import concepts_df, concepts_from
+
+    many = CONCEPTS + tuple(
+        type(CONCEPTS[0])(f"thing {n}", f"thing-{n}", 1.0, 0.0, "common", ()) for n in range(6000)
+    )
+    assert concepts_from(concepts_df(spark, many)) == many
+    df = spark.createDataFrame([("goat curd",), ("thing 41",), ("some thing 5999 more",)], "cleaned string")
+    hits = {r.cleaned: r.concept for r in normalize.alias_match_joined(df, "cleaned", concepts_df(spark, many)).collect()}
+    assert hits == {"goat curd": "goat curd", "thing 41": "thing 41", "some thing 5999 more": "thing 5999"}
+
+
 def test_ordered_index(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("k"), (F.col("id") * 37 % 501).alias("v")).repartition(6)
     got = common.ordered_index(df, ["k"], ["v"], "n").collect()
@@ -178,10 +205,10 @@ def test_curation(spark):
 
 
 def test_csv_round_trip(spark, tmp_path):
-    rows = spark.createDataFrame([(*CREAMY, 0), (*TOASTIE, 1)], RAW + ", ordinal long")
+    rows = spark.createDataFrame([(*RICH, 0), (*PLAIN, 1)], RAW + ", ordinal long")
     src.write_corpus_csv(rows, str(tmp_path / "c"))
     back = src.scan_corpus(spark, str(tmp_path / "c")).orderBy("ordinal").collect()
-    assert [(r.id, r.title, r.ingredients) for r in back] == [(CREAMY[0], CREAMY[1], CREAMY[2]), (TOASTIE[0], TOASTIE[1], TOASTIE[2])]
+    assert [(r.id, r.title, r.ingredients) for r in back] == [(RICH[0], RICH[1], RICH[2]), (PLAIN[0], PLAIN[1], PLAIN[2])]
     (tmp_path / "f.csv").write_text('name,id,steps,ingredients\nPie,7,"[\'mix\']","[\'Egg\', \'Milk\']"\n,8,"[]","[]"\nTea,,"boil, pour","Leaf,Water"\n')
     kept, counts = src.import_corpus(spark, str(tmp_path / "f.csv"), "foodcom")
     kept = kept.orderBy("ordinal").collect()

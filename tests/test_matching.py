@@ -68,9 +68,11 @@ def frames(spark, recipes, kitchens, catalog):
     return ks, items, rs, ri, cat
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_coverage_and_candidates(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed,most", [(1, 2_000), (2, 2_000), (2, 6)])
+def test_coverage_and_candidates(spark, seed, most, monkeypatch):
     monkeypatch.setattr(cov, "SALT_ROWS", 5)
+    # Kitchens with more items take the other form, with the same results.
+    monkeypatch.setattr(cov, "MAX_ARRAY_ITEMS", most)
     recipes, kitchens, catalog = world(seed)
     ks, items, rs, ri, _ = frames(spark, recipes, kitchens, catalog)
     pairs = ks.select("kitchen_id").crossJoin(rs.select("recipe_id"))

@@ -1,6 +1,6 @@
 """Writers, ingest, inventory state, drafts and streams."""
 
-from fixtures import TRANSFORMS
+from fixtures import TEMPLATES, TRANSFORMS
 from pyspark.sql import functions as F
 
 from larder.operators import drafts, inventory
@@ -99,10 +99,11 @@ def test_ingest_stream(spark, tmp_path):
 
 def test_drafts(spark):
     kitchens = spark.createDataFrame([(1,), (2,)], "kitchen_id long")
-    owned = {1: ["eggs", "rice", "bread", "cheese"], 2: ["instant-noodles", "eggs", "butter", "microwave-rice"]}
+    owned = {1: ["leeks", "barley", "flatbreads", "curd"], 2: ["quick-barley", "leeks", "lard"]}
     items = spark.createDataFrame([(k, s) for k in owned for s in owned[k]], "kitchen_id long, slug string")
-    known = spark.createDataFrame([("egg and cheese muffin-style toast",)], "title string")
-    got = drafts.draft_candidates(kitchens, items, known).orderBy("kitchen_id", "template").collect()
-    assert [(r.kitchen_id, r.title) for r in got] == [(1, "Soy Egg Rice"), (2, "Soy Egg Rice"), (2, "Hot Sauce Noodle Egg Cup")]
-    assert [i.slug for i in got[0].ingredients] == ["rice", "eggs", "cheese"]
-    assert got[1].graph_path == ["cook-microwave-rice", "egg-rice"] and got[2].graph_path[1] == "fry-egg-butter"
+    known = spark.createDataFrame([("curd round",)], "title string")
+    got = drafts.draft_candidates(kitchens, items, known, TEMPLATES).orderBy("kitchen_id", "template").collect()
+    assert [(r.kitchen_id, r.title) for r in got] == [(1, "Barley Pot"), (2, "Barley Pot")]
+    assert [i.slug for i in got[0].ingredients] == ["barley", "leeks", "curd"]
+    assert [i.slug for i in got[1].ingredients] == ["quick-barley", "leeks", "lard", "curd"]
+    assert got[1].graph_path == ["warm-barley", "green-barley"]
