@@ -400,6 +400,7 @@ checked_cte("v_checked", "v_first")
 # The whole corpus in the order of a sample: rows of preferred sources first.
 dedupe_ctes("w", f"score DESC, NOT (lower(trim(source)) IN {lit(R.PREFERRED)}), cand")
 checked_cte("w_checked", "w_deduped")
+checked_cte("d_checked", "v_deduped")
 add(
     "missing",
     """SELECT name, count(DISTINCT cand) AS recipe_coverage, min({'c': cand, 'i': ix}) AS first_seen FROM
@@ -408,3 +409,102 @@ add(
     "v_checked",
 )
 
+
+
+# --- Refined recipes ------------------------------------------------------------------------------
+
+
+def path_ctes(prefix: str, source: str) -> None:
+    """CTE ``{prefix}_path(key, path, outs)`` over ``source(key, slugs, hay)``; needs a recursive WITH."""
+    rows = []
+    for t in R.TRANSFORMS:
+        needs = [i.ingredient for i in t.required if i.ingredient]
+        if any(i.component for i in t.required) or not needs:
+            continue
+        base = len(needs) * 10 + (20 if {"meal", "meal-base"} & set(t.tags) else 0)
+        base += (15 if set(needs) & set(R.REFINE.base_slugs) else 0) - (25 if set(needs) <= set(R.REFINE.seasoning_slugs) else 0)
+        words = [(12, t.method.replace("-", " ", 1), t.method)] + [(8, g.replace("-", " ", 1), g) for g in t.tags]
+        words += [(6, w, w) for w in t.output_name.lower().split() if len(w) > 2]
+        score = " + ".join([str(base)] + [f"CASE WHEN contains(hay, '{a}') OR contains(hay, '{b}') THEN {p} ELSE 0 END" for p, a, b in words])
+        rows.append(
+            f"SELECT key, '{t.slug}' AS slug, '{t.output_slug}' AS output, {len(needs)} AS needs, {score} AS score FROM {source} "
+            f"WHERE list_has_all(slugs, {string_list(needs)})"
+        )
+    meals = [t for t in R.TRANSFORMS if {"meal", "meal-base"} & set(t.tags)]
+    steps = ", ".join(
+        f"({n}, '{t.slug}', '{t.output_slug}', {string_list(i.ingredient for i in t.required if i.ingredient)}, "
+        f"{string_list(i.component for i in t.required if i.component)})" for n, t in enumerate(meals)
+    )
+    add(f"{prefix}_scored", " UNION ALL ".join(rows), source)
+    add(f"{prefix}_best", f"""SELECT * FROM {prefix}_scored
+        QUALIFY row_number() OVER (PARTITION BY key, output ORDER BY score DESC, needs DESC, slug) = 1""", f"{prefix}_scored")
+    add(f"{prefix}_four", f"""SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, needs DESC, slug) AS rk FROM {prefix}_best
+        QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, needs DESC, slug) <= 4""", f"{prefix}_best")
+    add(f"{prefix}_start", f"""SELECT h.key, slugs, coalesce(p, []::VARCHAR[]) AS path, coalesce(o, []::VARCHAR[]) AS outs FROM {source} h LEFT JOIN
+        (SELECT key, list(slug ORDER BY rk) AS p, list(output ORDER BY rk) AS o FROM {prefix}_four GROUP BY 1) f ON f.key = h.key""",
+        source, f"{prefix}_four")
+    add(f"{prefix}_meals", f"SELECT * FROM (VALUES {steps}) t(n, slug, output, ings, comps)")
+    add(f"{prefix}_walk", f"""SELECT key, slugs, path, outs, 0 AS i, false AS ended FROM {prefix}_start
+        UNION ALL SELECT w.key, slugs, CASE WHEN hit THEN list_append(path, slug) ELSE path END, CASE WHEN hit THEN list_append(outs, output) ELSE outs END,
+            i + 1, ended OR (hit AND len(path) >= 4) FROM (SELECT w.*, m.slug, m.output,
+                NOT ended AND NOT list_contains(outs, output) AND list_has_all(slugs, ings) AND list_has_all(outs, comps) AS hit
+            FROM {prefix}_walk w JOIN {prefix}_meals m ON m.n = w.i) w""", f"{prefix}_start", f"{prefix}_meals")
+    add(f"{prefix}_path", f"SELECT key, path, list_distinct_ordered AS outs FROM (SELECT key, path, list_filter(outs, lambda o, i: list_position(outs, o) = i) "
+        f"AS list_distinct_ordered FROM {prefix}_walk WHERE i = {len(meals)})", f"{prefix}_walk")
+
+
+def token(expr: str) -> str:
+    return collapse(sub(f"lower({expr})", r"[^a-z0-9\s-]", " "))
+
+
+def method_sql(text: str) -> str:
+    whens = [
+        "WHEN " + " OR ".join(f"contains({text}, '{needle}')" for needle in needles) + f" THEN '{name}'" for name, needles in C.METHOD_LADDER
+    ]
+    return "CASE " + " ".join(whens) + " ELSE 'mixed' END"
+
+
+def style_sql(text: str) -> str:
+    whens = [f"WHEN contains({text}, '{s_.replace('-', ' ', 1)}') OR contains({text}, '{s_}') THEN '{s_}'" for s_ in C.STYLES]
+    whens += [f"WHEN contains({text}, '{needle}') THEN '{name}'" for needle, name in C.STYLE_FALLBACKS]
+    return "CASE " + " ".join(whens) + " ELSE 'general' END"
+
+
+KIT = """CASE WHEN t = [] THEN ['pan'] ELSE t END"""
+NORMALIZED_KIT = """list_sort(list_distinct(
+        (CASE WHEN list_has_any(tools, ['frying pan', 'saucepan', 'pan']) THEN ['pan'] ELSE []::VARCHAR[] END)
+        || list_filter(tools, lambda e: e IN ('hob', 'microwave', 'toaster', 'kettle', 'bowl', 'oven', 'tray', 'grill', 'knife'))
+        || (CASE WHEN list_has_any(tools, ['dutch oven']) THEN ['oven'] ELSE []::VARCHAR[] END)
+        || (CASE WHEN list_has_any(tools, ['cast iron skillet']) THEN ['pan'] ELSE []::VARCHAR[] END)))"""
+
+
+def refined_ctes(prefix: str, source: str) -> None:
+    """CTE ``{prefix}_refined``: rows of ``source`` as recipes with path, cost and signature."""
+    band = "'struggle-' || band"
+    hay = title_key(f"title || ' ' || array_to_string(steps, ' ') || ' ' || level || ' ' || {band}", C.TITLE_WORDS_REFINE)
+    add(f"{prefix}_lines", f"""SELECT cand, slug, min(ix) AS ix, bool_and(opt) AS optional FROM (
+        SELECT cand, unnest(items).slug AS slug, unnest(items).optional AS opt, generate_subscripts(items, 1) AS ix FROM {source})
+        WHERE slug IS NOT NULL GROUP BY 1, 2""", source)
+    add(f"{prefix}_slugs", f"""SELECT cand, list(slug ORDER BY ix) AS slugs, coalesce(list(slug ORDER BY slug) FILTER (NOT optional), []::VARCHAR[]) AS cores,
+        coalesce(list(slug ORDER BY ix) FILTER (NOT optional), []::VARCHAR[]) AS needed FROM {prefix}_lines GROUP BY 1""", f"{prefix}_lines")
+    add(f"{prefix}_hay", f"""SELECT s.cand AS key, coalesce(slugs, []::VARCHAR[]) AS slugs, {hay} AS hay
+        FROM {source} s LEFT JOIN {prefix}_slugs l ON l.cand = s.cand""", source, f"{prefix}_slugs")
+    path_ctes(prefix, f"{prefix}_hay")
+    add(f"{prefix}_cost", f"""SELECT cand, max(CASE cost_category WHEN 'very_cheap' THEN 0 WHEN 'cheap' THEN 1 WHEN 'moderate' THEN 2
+        WHEN 'expensive' THEN 3 ELSE 1 END) AS worst FROM {prefix}_lines LEFT JOIN name_cat c USING (slug) GROUP BY 1""",
+        f"{prefix}_lines", "name_cat")
+    add(f"{prefix}_staged", f"""SELECT s.*, l.slugs, coalesce(l.cores, []::VARCHAR[]) AS cores, coalesce(l.needed, []::VARCHAR[]) AS needed,
+            p.path, p.outs, {KIT.replace('t ', 'kit ').replace('ELSE t', 'ELSE kit')} AS equipment,
+            CASE coalesce(c.worst, 0) WHEN 0 THEN 'very_cheap' WHEN 1 THEN 'cheap' ELSE 'moderate' END AS estimated_cost,
+            ['corpus', level, {band}] || coalesce(l.slugs, []::VARCHAR[])[1:4] || p.outs[1:2] AS tags
+        FROM (SELECT *, {NORMALIZED_KIT} AS kit FROM {source}) s JOIN {prefix}_path p ON p.key = s.cand
+        LEFT JOIN {prefix}_slugs l ON l.cand = s.cand LEFT JOIN {prefix}_cost c ON c.cand = s.cand""",
+        source, f"{prefix}_path", f"{prefix}_slugs", f"{prefix}_cost")
+    joined = "array_to_string(list_transform(tags || path || equipment, lambda x: " + token("x") + "), ' ')"
+    styled = token("array_to_string(list_filter(tags, lambda x, i: list_position(tags, x) = i), ' ') || ' ' || title")
+    add(f"{prefix}_refined", f"""SELECT *, least(25::DOUBLE, greatest(3::DOUBLE, minutes))::INT AS time_minutes,
+            CASE WHEN band >= 3 OR minutes <= 20 THEN 'easy' ELSE 'medium' END AS difficulty,
+            'cores:' || array_to_string(cores, ',') || '|method:' || {method_sql('m')} || '|style:' || {style_sql('st')}
+            || '|path:' || CASE WHEN path = [] THEN 'direct' ELSE array_to_string(list_sort(path), '+') END
+            || '|components:' || CASE WHEN outs = [] THEN 'none' ELSE array_to_string(list_sort(outs), '+') END AS signature
+        FROM (SELECT *, {joined} AS m, {styled} AS st FROM {prefix}_staged)""", f"{prefix}_staged")

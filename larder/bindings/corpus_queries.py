@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder import config as C
 from larder.bindings import corpus_oracle as O
 from larder.bindings import roles as R
-from larder.bindings.oracle import case, lit, string_list, with_
-from larder.bindings.registry import query
+from larder.bindings.oracle import case, lit, recursive, string_list, with_
+from larder.bindings.registry import ORACLES, query
 from larder.functions import equipment as E
 from larder.functions import keys as K
 from larder.functions import scoring as S
@@ -23,9 +25,9 @@ from larder.operators import sampling as sm
 from larder.operators import suitability as su
 from larder.operators import validate as va
 from larder.operators import variants as vr
-from larder.operators.common import evaluate
+from larder.operators.common import evaluate, ordered_index
 from larder.plans import pipeline as pl
-from larder.session import materialize, share
+from larder.session import checkpoint_dir, materialize, share
 from larder.sources import corpus as src
 from larder.sources.rules import concepts_df
 
@@ -373,7 +375,32 @@ def _suspicious(spark, sf):
     return ins.inspect_suspicious(R.corpus(spark, sf))
 
 
-@query("inspect")
+def _json(**fields: str) -> str:
+    """A JSON object; fields that start with a dot are text."""
+    def value(expr: str) -> str:
+        if not expr.startswith("."):
+            return f"({expr})::VARCHAR"
+        text = f"replace(replace(replace(replace(replace({expr[1:]}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'), chr(13), chr(92) || 'r')"
+        return f"'\"' || {text} || '\"'"
+
+    return "'{' || " + " || ',' || ".join(f"'\"{n}\":' || {value(e)}" for n, e in fields.items()) + " || '}'"
+
+
+REPORTS = {
+    "counts": ("inspect_counts", {c: c for c in ("total", "missing_ingredients", "missing_instructions", "extremely_long", "short_or_broken")}),
+    "by_source": ("inspect_by_source", {"source": ".source", "n": "n"}),
+    "size_buckets": ("inspect_size_buckets", {"metric": ".metric", "bucket": ".bucket", "n": "n"}),
+    "top_ingredients": ("inspect_top_ingredients", {"concept": ".concept", "n": "n"}),
+    "rare_ingredients": ("inspect_rare_ingredients", {"concept": ".concept", "n": "n"}),
+    "top_combos": ("inspect_top_combos", {"combo": ".combo", "n": "n"}),
+    "title_families": ("inspect_title_families", {"family": ".family", "n": "n"}),
+    "near_duplicates": ("near_duplicate_estimate", {"near_duplicates": "near_duplicates"}),
+    "suspicious": ("inspect_suspicious", {"kind": ".kind", "ordinal": "ordinal", "pos": "pos", "line": ".line"}),
+}
+
+
+@query("inspect", " UNION ALL ".join(
+    f"SELECT '{name}' AS report, {_json(**fields)} AS row FROM ({ORACLES[source]})" for name, (source, fields) in REPORTS.items()))
 def _inspect(spark, sf):
     reports = ins.inspect(share(R.corpus(spark, sf)), R.CONCEPTS)
     out = None
@@ -616,11 +643,7 @@ def _difficulty(spark, sf):
 
 
 @query("normalize_equipment", with_(
-    """SELECT candidate_id, CASE WHEN t = '' THEN 'pan' ELSE t END AS tools FROM (SELECT candidate_id, array_to_string(list_sort(list_distinct(
-        (CASE WHEN list_has_any(tools, ['frying pan', 'saucepan', 'pan']) THEN ['pan'] ELSE []::VARCHAR[] END)
-        || list_filter(tools, lambda e: e IN ('hob', 'microwave', 'toaster', 'kettle', 'bowl', 'oven', 'tray', 'grill', 'knife'))
-        || (CASE WHEN list_has_any(tools, ['dutch oven']) THEN ['oven'] ELSE []::VARCHAR[] END)
-        || (CASE WHEN list_has_any(tools, ['cast iron skillet']) THEN ['pan'] ELSE []::VARCHAR[] END))), ',') AS t FROM v_final)""", "v_final"))
+    f"SELECT candidate_id, array_to_string({O.KIT}, ',') AS tools FROM (SELECT candidate_id, {O.NORMALIZED_KIT} AS t FROM v_final)", "v_final"))
 def _normalize_equipment(spark, sf):
     tools = F.sort_array(E.normalize_equipment(F.col("equipment")))
     return made(spark, sf).select("candidate_id", F.array_join(tools, ",").alias("tools"))
@@ -648,48 +671,116 @@ def _distinct(spark, sf):
     return out.where(F.size("d") > 0).select("candidate_id", F.array_join(text, ",").alias("items"))
 
 
+O.refined_ctes("q", "quality")
+O.refined_ctes("p", "per_source")
+add = O.add
+add("q_signed", f"SELECT * FROM q_refined QUALIFY row_number() OVER (PARTITION BY signature ORDER BY {POOL}) = 1", "q_refined")
+add("kept", f"SELECT * FROM p_refined QUALIFY row_number() OVER (PARTITION BY signature ORDER BY {POOL}) = 1", "p_refined")
+STAGE_TABLES = {
+    "input": "v_checked", "after_fully_represented": "v_checked WHERE status = 'fully_represented'", "after_quality": "quality",
+    "after_family": "fam", "after_source": "per_source", "after_seed": "kept", "kept": "kept",
+    **{f"band:{b}": f"kept WHERE band = {b}" for b in C.BANDS}, **{f"level:{v}": f"kept WHERE level = '{v}'" for v in C.LEVELS},
+}
+
+
 def stages(spark, sf) -> dict[str, DataFrame]:
     return rf.refine_stages(materialize(checked(spark, sf)), R.name_catalog(spark, sf), R.TRANSFORMS, None, R.REFINE)
 
 
-@query("refine")
+@query("refine", recursive("SELECT candidate_id, signature, round(score, 2) AS score, estimated_cost FROM kept", "kept"))
 def refine(spark, sf):
     return stages(spark, sf)["kept"].select("candidate_id", "signature", F.round("score.total", 2).alias("score"), "estimated_cost")
 
 
-@query("refine_funnel")
+@query("refine_funnel", recursive(
+    " UNION ALL ".join(f"SELECT '{n}' AS stage, count(*) AS n FROM {t}" for n, t in STAGE_TABLES.items()),
+    "v_checked", "quality", "fam", "per_source", "kept"))
 def _refine_funnel(spark, sf):
     return rf.refine_funnel(stages(spark, sf))
 
 
-@query("to_refined")
+@query("to_refined", recursive(
+    "SELECT candidate_id, time_minutes, difficulty, array_to_string(path, ',') AS path, signature FROM q_refined", "q_refined"))
 def _to_refined(spark, sf):
     out = rf.to_refined(quality(spark, sf), R.name_catalog(spark, sf), R.TRANSFORMS, R.REFINE)
     return out.select("candidate_id", "time_minutes", "difficulty", F.array_join("graph_path", ",").alias("path"), "signature")
 
 
-@query("signature_dedupe")
+@query("signature_dedupe", recursive("SELECT candidate_id, signature FROM q_signed", "q_signed"))
 def _signature_dedupe(spark, sf):
     out = rf.to_refined(quality(spark, sf), R.name_catalog(spark, sf), R.TRANSFORMS, R.REFINE)
     return rf.signature_dedupe(out).select("candidate_id", "signature")
 
 
+@query("seed_signature_exclusion", recursive(
+    "SELECT candidate_id FROM q_refined WHERE signature NOT IN (SELECT signature FROM q_refined WHERE cand % 2 = 0)", "q_refined"))
+def _seed_exclusion(spark, sf):
+    rows = materialize(rf.to_refined(quality(spark, sf), R.name_catalog(spark, sf), R.TRANSFORMS, R.REFINE))
+    return rf.seed_signature_exclusion(rows, rows.where("ordinal % 2 = 0")).select("candidate_id")
+
+
+REAL = (
+    "len(real) > 0 AND length(array_to_string(real, ' ')) >= 80 AND "
+    + O.has("array_to_string(real, ' ')", C.COOKING_VERB, "i") + " AND NOT "
+    + O.has("array_to_string(real, ' ')", C.PLACEHOLDER_WORDS, "i") + " AND len(list_filter(real, lambda s: length(s) >= 25)) > 0"
+)
+_real_steps = f"list_filter(list_transform({{}}, lambda s: trim(s, {O.WIDE})), lambda s: s <> '')"
+
+
+@query("real_steps", with_(f"SELECT ordinal, {REAL} AS real FROM (SELECT ordinal, {_real_steps.format('dirs')} AS real FROM corpus)", "corpus"))
+def _real(spark, sf):
+    real = X.real_steps(F.col("directions"), C.COOKING_VERB, C.PLACEHOLDER_WORDS)
+    return R.corpus(spark, sf).select("ordinal", real.alias("real"))
+
+
+add(
+    "pool",
+    f"""SELECT * EXCLUDE (family), array_to_string(list_sort(needed), ',') AS family, coalesce(needed[1], 'unknown') AS prime, len(needed) AS n_required,
+        len(list_filter(needed, lambda s: s NOT IN {lit(R.CURATE.demo_slugs)})) = 0 AS demo
+    FROM (SELECT *, {_real_steps.format('steps')} AS real FROM q_refined)
+    WHERE score >= {R.CURATE.min_score} AND band <= {R.CURATE.max_band} AND len(needed) <= {R.CURATE.max_required} AND {REAL}""",
+    "q_refined",
+)
+add("pool_order", "SELECT *, row_number() OVER (ORDER BY score DESC, band, n_required, title, cand) AS n FROM pool", "pool")
+add("turns", """SELECT *, row_number() OVER (ORDER BY forced DESC, n) AS turn FROM (
+        SELECT n, cand, signature, family, prime, true AS forced FROM pool_order WHERE demo
+        UNION ALL SELECT n, cand, signature, family, prime, false FROM pool_order)""", "pool_order")
+_cap = f"CASE WHEN t.forced THEN {max(R.CURATE.max_per_family, 3)} ELSE {R.CURATE.max_per_family} END"
+add(
+    "picking",
+    f"""SELECT 0 AS turn, []::VARCHAR[] AS signatures, []::VARCHAR[] AS families, []::VARCHAR[] AS primes, []::BIGINT[] AS picked, []::BIGINT[] AS forced_ones
+    UNION ALL SELECT turn, CASE WHEN ok THEN list_append(signatures, signature) ELSE signatures END,
+        CASE WHEN ok THEN list_append(families, family) ELSE families END, CASE WHEN ok THEN list_append(primes, prime) ELSE primes END,
+        CASE WHEN ok THEN list_append(picked, cand) ELSE picked END, CASE WHEN ok AND forced THEN list_append(forced_ones, cand) ELSE forced_ones END
+    FROM (SELECT t.turn, p.signatures, p.families, p.primes, p.picked, p.forced_ones, t.signature, t.family, t.prime, t.cand, t.forced,
+            (t.forced OR len(p.picked) < {R.CURATE.target}) AND NOT list_contains(p.signatures, t.signature)
+            AND len(list_filter(p.families, lambda f: f = t.family)) < {_cap}
+            AND (t.forced OR len(list_filter(p.primes, lambda f: f = t.prime)) < {R.CURATE.max_per_primary}) AS ok
+        FROM picking p JOIN turns t ON t.turn = p.turn + 1)""",
+    "turns",
+)
+add("picks", """SELECT o.*, list_contains(forced_ones, o.cand) AS make_now FROM pool_order o, (SELECT * FROM picking ORDER BY turn DESC LIMIT 1)
+    WHERE list_contains(picked, o.cand)""", "pool_order", "picking")
+
+
 def pool(spark, sf) -> DataFrame:
     refined = rf.to_refined(quality(spark, sf), R.name_catalog(spark, sf), R.TRANSFORMS, R.REFINE)
-    # The invented prose has no cooking verbs; every step text counts as real here.
-    keyed = cu._with_keys(refined)
-    return materialize(keyed.where(
-        (F.col("score.total") >= R.CURATE.min_score) & (F.col("band") <= R.CURATE.max_band)
-        & (F.col("n_required") <= R.CURATE.max_required)
-    ))
+    return materialize(cu.curation_pool(refined, R.CURATE))
+
 
+@query("curation_pool", recursive("SELECT candidate_id, family, n_required FROM pool", "pool"))
+def _curation_pool(spark, sf):
+    return pool(spark, sf).select("candidate_id", "family", "n_required")
 
-@query("curate_diverse")
+
+@query("curate_diverse", recursive("SELECT candidate_id, make_now FROM picks", "picks"))
 def _curate(spark, sf):
     return cu.curate_diverse(pool(spark, sf), R.CURATE).select("candidate_id", "make_now")
 
 
-@query("curation_manifest")
+@query("curation_manifest", recursive(
+    """SELECT (SELECT count(*) FROM pool) AS pool_size, count(*) AS kept, count_if(make_now) AS make_now, min(score) AS min_score,
+        max(score) AS max_score, """ + ", ".join(f"count_if(band = {b}) AS band_{b}" for b in C.BANDS) + " FROM picks", "picks", "pool"))
 def _manifest(spark, sf):
     rows = pool(spark, sf)
     return cu.curation_manifest(rows, cu.curate_diverse(rows, R.CURATE))
@@ -708,6 +799,27 @@ def _pipeline(spark, sf):
     return run.candidates.select("candidate_id", "status", F.round("score.total", 2).alias("score"))
 
 
+@query("validate_stage_counts", with_(
+    f"""SELECT 'status' AS report, s AS name, (SELECT count(*) FROM d_checked WHERE status = s) AS n FROM (SELECT unnest({string_list(C.STATUSES)}) AS s)
+    UNION ALL (SELECT 'missing', name, n FROM (SELECT name, count(DISTINCT cand) AS n, min((cand, ix)) AS seen FROM (
+        SELECT cand, unnest(l) AS name, generate_subscripts(l, 1) AS ix FROM (
+            SELECT cand, list_filter(lacking, lambda x, i: list_position(lacking, x) = i) AS l FROM d_checked)) GROUP BY 1)
+        ORDER BY n DESC, seen LIMIT 15)""", "d_checked"))
+def _stage_report(spark, sf):
+    reports = pl.validate_stage_counts(materialize(made(spark, sf)), R.name_catalog(spark, sf))
+    status = reports["status"].select(F.lit("status").alias("report"), F.col("status").alias("name"), "n")
+    missing = reports["top_missing"].select(F.lit("missing").alias("report"), "name", F.col("recipe_coverage").alias("n"))
+    return status.unionByName(missing)
+
+
+@query("examples_with_source", with_(
+    """SELECT candidate_id, c.title AS original_title, array_to_string(c.ings, '|') AS original
+    FROM (SELECT * FROM v_first ORDER BY score DESC, cand LIMIT 50) v JOIN corpus c ON c.id = v.source_id""", "v_first", "corpus"))
+def _examples(spark, sf):
+    rows = pl.examples_with_source(deduped(spark, sf), R.corpus(spark, sf))
+    return rows.select("candidate_id", "original_title", F.array_join("original", "|").alias("original"))
+
+
 @query("pipeline_funnel", with_(
     f"""SELECT unnest(['scanned', 'after_basic_validity', 'after_suitability', 'after_normalization', 'after_variants', 'after_dedupe', 'valid_candidates']) AS stage,
     unnest([(SELECT count(*) FROM corpus), (SELECT count(*) FROM suit WHERE {O.VALID}), (SELECT count(*) FROM suit WHERE {O.VALID} AND total >= 12),
@@ -721,10 +833,106 @@ def _funnel(spark, sf):
     return pl.pipeline_funnel(rows, staged, variants_, final)
 
 
-@query("synthetic_corpus")
+def _csv(df: DataFrame) -> str:
+    """A CSV folder in ``ordinal`` order across its files."""
+    path = f"{checkpoint_dir(df.sparkSession)}/csv-{uuid.uuid4().hex}"
+    ordered = df.repartitionByRange("ordinal").sortWithinPartitions("ordinal").drop("ordinal")
+    ordered.write.csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return path
+
+
+def _digest(*columns: str) -> Column:
+    return F.md5(F.concat_ws("~", *[F.array_join(c, "|") for c in columns])).alias("digest")
+
+
+@query("scan_corpus", with_(
+    """SELECT row_number() OVER (ORDER BY ordinal) AS n, id, title, source,
+        md5(array_to_string(ings, '|') || '~' || array_to_string(dirs, '|') || '~' || array_to_string(ner, '|')) AS digest FROM corpus""",
+    "corpus"))
+def _scan(spark, sf):
+    """Written by the corpus sink and read again."""
+    path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    src.write_corpus_csv(R.corpus(spark, sf), path)
+    rows = src.scan_corpus(spark, path).select("ordinal", "id", "title", "source", _digest("ingredients", "directions", "ner"))
+    # Headers count as records, so only the order of the rows is compared.
+    return ordered_index(rows.withColumn("all", F.lit(0)), ["all"], ["ordinal"]).drop("all", "ordinal")
+
+
+@query("import_canonical", with_(
+    """SELECT row_number() OVER (ORDER BY ordinal) - 1 AS ordinal, id, title, source, md5(array_to_string(ings, '|') || '~' || array_to_string(dirs, '|')) AS digest
+    FROM corpus WHERE title <> '' AND len(ings) > 0""", "corpus"))
+def _import_canonical(spark, sf):
+    path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    src.write_corpus_csv(R.corpus(spark, sf), path)
+    kept, _ = src.import_corpus(spark, path, "recipenlg", preferred_only=False)
+    return kept.select("ordinal", "id", "title", "source", _digest("ingredients", "directions"))
+
+
+# Two of three rows bring no source and get the default one.
+ANNOTATED = "title <> '' AND len(ings) > 0 AND ordinal % 3 <> 0"
+
+
+def _annotated(spark, sf):
+    rows = R.corpus(spark, sf)
+    return _csv(rows.select(
+        "ordinal", F.col("title").alias("Name"), F.array_join("ingredients", ",").alias("ingredients"),
+        F.to_json("directions").alias("Steps"), F.when(F.col("ordinal") % 3 == 0, F.col("source")).otherwise("").alias("source"),
+    ))
+
+
+@query("import_annotated", with_(
+    f"""SELECT n - 1 AS ordinal, n::VARCHAR AS id, title, 'Gathered' AS source, md5(array_to_string(ings, '|') || '~' || array_to_string(dirs, '|') || '~'
+        || array_to_string(list_transform(ings, lambda x: lower(x)), '|')) AS digest
+    FROM (SELECT *, row_number() OVER (ORDER BY ordinal) AS n FROM corpus WHERE {ANNOTATED})""", "corpus"))
+def _import_annotated(spark, sf):
+    kept, _ = src.import_corpus(spark, _annotated(spark, sf), "recifine")
+    return kept.select("ordinal", "id", "title", "source", _digest("ingredients", "directions", "ner"))
+
+
+@query("import_corpus", with_(
+    f"SELECT count(*) AS scanned, count_if({ANNOTATED}) AS written, count_if(NOT ({ANNOTATED})) AS skipped FROM corpus", "corpus"))
+def _import_counters(spark, sf):
+    return src.import_corpus(spark, _annotated(spark, sf), "recifine")[1]
+
+
+@query("import_foodcom", with_(
+    """SELECT n - 1 AS ordinal, CASE WHEN ordinal % 2 = 0 THEN id ELSE n::VARCHAR END AS id, title,
+        'https://www.food.com/recipe/' || CASE WHEN ordinal % 2 = 0 THEN id ELSE n::VARCHAR END AS link,
+        md5(array_to_string(ings, '|') || '~' || array_to_string(dirs, '|')) AS digest
+    FROM (SELECT *, row_number() OVER (ORDER BY ordinal) AS n FROM corpus WHERE title <> '' AND len(ings) > 0)""", "corpus"))
+def _import_foodcom(spark, sf):
+    rows = R.corpus(spark, sf)
+    path = _csv(rows.select(
+        "ordinal", F.col("title").alias("name"), F.when(F.col("ordinal") % 2 == 0, F.col("id")).otherwise("").alias("id"),
+        F.to_json("directions").alias("steps"), F.to_json("ingredients").alias("ingredients"),
+    ))
+    kept, _ = src.import_corpus(spark, path, "foodcom")
+    return kept.select("ordinal", "id", "title", "link", _digest("ingredients", "directions"))
+
+
+ADJECTIVES, SUFFIXES, EXTRAS = ("Easy", "Quick", "Lazy"), ("", " Bowl"), (("thnd", "thnd"), ("thou extra", "thou"))
+
+
+def _cycle(values) -> str:
+    return f"list_extract({string_list(values)}, (i % {len(values)}) + 1)"
+
+
+_thinned = "CASE WHEN i % 5 = 0 AND len(ings) > 2 THEN list_filter(ings, lambda x, p: p - 1 <> i % len(ings)) ELSE ings END"
+_first = _cycle([line.split(" ")[0] for line, _ in EXTRAS])
+
+
+@query("synthetic_corpus", with_(
+    f"""SELECT id, title, source, len(thin) + CASE WHEN adds OR i % 7 = 0 THEN 1 ELSE 0 END AS n_items,
+        CASE WHEN i % 4 = 0 AND len(dirs) > 1 THEN 2 WHEN i % 6 = 0 THEN len(dirs) + 1 ELSE len(dirs) END AS n_steps
+    FROM (SELECT *, i % 3 = 0 AND len(list_filter(thin, lambda x: contains(lower(x), {_first}))) = 0 AS adds
+        FROM (SELECT i, (i + 1)::VARCHAR AS id, dirs, {_thinned} AS thin,
+            {O.collapse(f"{_cycle(ADJECTIVES)} || ' ' || title || {_cycle(SUFFIXES)}")} AS title,
+            CASE WHEN source = 'Recipes1M' OR i % 8 = 0 THEN 'Recipes1M' ELSE 'Gathered' END AS source
+          FROM (SELECT c.*, n.i FROM (SELECT unnest(range((SELECT count(*) * 3 FROM corpus))) AS i) n
+                JOIN corpus c ON c.ordinal = n.i % (SELECT count(*) FROM corpus))))""", "corpus"))
 def _synthetic(spark, sf):
     docs = R.corpus(spark, sf).select("ordinal", "title", "ingredients", "directions", "source", "ner")
     n = docs.count() * 3
-    return src.synthetic_corpus(docs, n, ("Easy", "Quick", "Lazy"), ("", " Bowl"), (("thnd", "thnd"), ("thou extra", "thou"))).select(
+    return src.synthetic_corpus(docs, n, ADJECTIVES, SUFFIXES, EXTRAS).select(
         "id", "title", "source", F.size("ingredients").alias("n_items"), F.size("directions").alias("n_steps")
     )

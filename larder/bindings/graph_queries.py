@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder import config as C
 from larder.bindings import corpus_oracle as O  # noqa: F401  (registers the shared building blocks)
 from larder.bindings import roles as R
-from larder.bindings.inventory_queries import OPTIONS, digits, shared_roles
-from larder.bindings.oracle import add, string_list, with_
+from larder.bindings.inventory_queries import shared_roles
+from larder.bindings.oracle import add, recursive, string_list, with_
 from larder.bindings.registry import query
 from larder.operators import drafts as dr
 from larder.operators import graph as gr
@@ -17,6 +19,7 @@ from larder.plans import recommend as rec
 from larder.session import checkpoint_dir, materialize
 from larder.sources import tables as tb
 from larder.sources.rules import transforms_df
+from larder.streaming import ingest as si
 
 PLAIN = [[i for i in t.required if i.role != "fat"] for t in R.TRANSFORMS]
 STEP_ROWS = ", ".join(
@@ -117,41 +120,11 @@ def _signature(spark, sf):
 def _path_sql() -> str:
     """First pass by score over item-only rules, then meals in rule order."""
     hay = O.title_key("title || ' ' || tag", C.TITLE_WORDS_REFINE)
-    rows = []
-    for t in R.TRANSFORMS:
-        needs = [i.ingredient for i in t.required if i.ingredient]
-        if any(i.component for i in t.required) or not needs:
-            continue
-        base = len(needs) * 10 + (20 if {"meal", "meal-base"} & set(t.tags) else 0)
-        base += (15 if set(needs) & set(R.REFINE.base_slugs) else 0) - (25 if set(needs) <= set(R.REFINE.seasoning_slugs) else 0)
-        words = [(12, t.method.replace("-", " ", 1), t.method)] + [(8, g.replace("-", " ", 1), g) for g in t.tags]
-        words += [(6, w, w) for w in t.output_name.lower().split() if len(w) > 2]
-        score = " + ".join([str(base)] + [f"CASE WHEN contains(hay, '{a}') OR contains(hay, '{b}') THEN {p} ELSE 0 END" for p, a, b in words])
-        rows.append(
-            f"SELECT ordinal, '{t.slug}' AS slug, '{t.output_slug}' AS output, {len(needs)} AS needs, {score} AS score FROM n_hay "
-            f"WHERE list_has_all(slugs, {string_list(needs)})"
-        )
-    meals = [t for t in R.TRANSFORMS if {"meal", "meal-base"} & set(t.tags)]
-    steps = ", ".join(
-        f"({n}, '{t.slug}', '{t.output_slug}', {string_list(i.ingredient for i in t.required if i.ingredient)}, "
-        f"{string_list(i.component for i in t.required if i.component)})" for n, t in enumerate(meals)
+    add("n_hay", f"SELECT ordinal AS key, list_transform(items, lambda i: i.slug) AS slugs, {hay} AS hay FROM n_recipes", "n_recipes")
+    O.path_ctes("n", "n_hay")
+    return recursive(
+        "SELECT key AS ordinal, array_to_string(path, ',') AS path, array_to_string(outs, ',') AS components FROM n_path", "n_path"
     )
-    head = with_("", "n_recipes").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
-    return f"""{head},
-n_hay AS (SELECT ordinal, list_transform(items, lambda i: i.slug) AS slugs, {hay} AS hay FROM n_recipes),
-scored AS ({" UNION ALL ".join(rows)}),
-best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY ordinal, output ORDER BY score DESC, needs DESC, slug) = 1),
-four AS (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY score DESC, needs DESC, slug) AS rk FROM best
-    QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY score DESC, needs DESC, slug) <= 4),
-start AS (SELECT h.ordinal, slugs, coalesce(p, []::VARCHAR[]) AS path, coalesce(o, []::VARCHAR[]) AS outs FROM n_hay h LEFT JOIN
-    (SELECT ordinal, list(slug ORDER BY rk) AS p, list(output ORDER BY rk) AS o FROM four GROUP BY 1) f ON f.ordinal = h.ordinal),
-meals AS (SELECT * FROM (VALUES {steps}) t(n, slug, output, ings, comps)),
-walk AS (SELECT ordinal, slugs, path, outs, 0 AS i, false AS ended FROM start
-    UNION ALL SELECT w.ordinal, slugs, CASE WHEN hit THEN list_append(path, slug) ELSE path END, CASE WHEN hit THEN list_append(outs, output) ELSE outs END,
-        i + 1, ended OR (hit AND len(path) >= 4) FROM (SELECT w.*, m.slug, m.output,
-            NOT ended AND NOT list_contains(outs, output) AND list_has_all(slugs, ings) AND list_has_all(outs, comps) AS hit
-        FROM walk w JOIN meals m ON m.n = w.i) w)
-SELECT ordinal, array_to_string(path, ',') AS path, array_to_string(outs, ',') AS components FROM walk WHERE i = {len(meals)}"""
 
 
 @query("infer_graph_path", _path_sql())
@@ -183,31 +156,83 @@ def cheap_catalog(spark: SparkSession, sf: str) -> DataFrame:
 CHEAP = "(SELECT slug FROM name_cat WHERE cost_category <> 'expensive')"
 add("n_flagged", f"""SELECT *, len(list_filter(items, lambda i: NOT list_contains(known, i.slug))) > 0 AS bad
     FROM n_signed, (SELECT list(slug) AS known FROM {CHEAP})""", "n_signed", "name_cat")
-add("n_decided", """SELECT *, CASE WHEN claim < ordinal THEN 'duplicate' WHEN bad THEN 'missing_ingredient' ELSE 'inserted' END AS outcome
+STORED = "SELECT signature FROM n_signed WHERE ordinal % 2 = 0"
+add("n_decided", f"""SELECT *, CASE WHEN claim < ordinal OR signature IN ({STORED}) THEN 'duplicate' WHEN bad THEN 'missing_ingredient' ELSE 'inserted' END AS outcome
     FROM (SELECT *, min(ordinal) FILTER (NOT bad) OVER (PARTITION BY signature) AS claim FROM n_flagged)""", "n_flagged")
 
 
 @query("ingest_refined", with_("SELECT ordinal, outcome FROM n_decided", "n_decided"))
 def ingest_refined(spark, sf):
     rows = batch(spark, sf)
-    none = rows.select("signature").limit(0)
-    return tb.decide_ingest(rows, none, cheap_catalog(spark, sf)).select("ordinal", "outcome")
+    return tb.decide_ingest(rows, stored(rows), cheap_catalog(spark, sf)).select("ordinal", "outcome")
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """Half of the orders are stored before a batch comes."""
+    return rows.where("ordinal % 2 = 0")
+
+
+def publish(spark: SparkSession, sf: str) -> str:
+    path = f"{checkpoint_dir(spark)}/graph-{uuid.uuid4().hex}"
+    rows = stored(batch(spark, sf)).withColumn("recipe_id", F.concat(F.lit("old-"), F.col("ordinal").cast("string")))
+    tb.publish_tables(
+        {"catalog": cheap_catalog(spark, sf), "components": tb.components_of(transforms_df(spark, R.TRANSFORMS)),
+         "transforms": transforms_df(spark, R.TRANSFORMS),
+         # Arrays may be stored as text.
+         "recipes": rows.drop("ingredients", "component_slugs").withColumn("tags", F.to_json("tags")),
+         "recipe_items": tb.bridge_items(rows), "recipe_components": tb.bridge_components(rows)}, path)
+    return path
 
 
 @query("ingest_counts", with_(
     """SELECT count_if(outcome = 'inserted') AS inserted, count_if(outcome = 'duplicate') AS skipped_duplicate,
-    count_if(outcome = 'missing_ingredient') AS skipped_missing, count_if(outcome = 'inserted') AS total_recipes FROM n_decided""", "n_decided"))
+    count_if(outcome = 'missing_ingredient') AS skipped_missing, count_if(outcome = 'inserted') + count_if(ordinal % 2 = 0) AS total_recipes
+    FROM n_decided""", "n_decided"))
 def _ingest_counts(spark, sf):
     """Publishes the tables, ingests the whole batch into them and counts."""
-    path = f"{checkpoint_dir(spark)}/graph-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    rows = batch(spark, sf).withColumn("tags", F.to_json("tags"))
+    return tb.ingest_refined(rows, publish(spark, sf), "orders")
+
+
+@query("ingest_refined_stream", with_("SELECT ordinal FROM n_decided WHERE outcome = 'inserted'", "n_decided"))
+def _ingest_stream(spark, sf):
+    """The batch as a stream of one micro-batch into the published tables."""
+    path, source = publish(spark, sf), f"{checkpoint_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    rows = batch(spark, sf).withColumn("level", F.lit("student")).withColumn("band", F.lit(1))
+    rows.coalesce(1).write.parquet(source)
+    stream = si.read_refined(spark, source).withColumn("tags", F.to_json("tags"))
+    si.ingest_refined_stream(stream, path, f"{path}/progress").awaitTermination()
+    return spark.read.parquet(f"{path}/recipes").where("batch like 'stream-%'").select(F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query("load_graph", with_(
+    """SELECT ordinal, tag AS tags, array_to_string(list_transform(items, lambda i: i.slug || CASE WHEN i.optional THEN '?' ELSE '' END), ',') AS items
+    FROM n_signed WHERE ordinal % 2 = 0""", "n_signed"))
+def _load_graph(spark, sf):
+    graph = tb.load_graph(spark, publish(spark, sf))
+    rows = tb.nest_recipes(graph.recipes, graph.recipe_items)
+    text = F.transform("ingredients", lambda i: F.concat(i["slug"], F.when(i["optional"], "?").otherwise("")))
+    return rows.select("ordinal", F.array_join("tags", ",").alias("tags"), F.array_join(text, ",").alias("items"))
+
+
+_candidate_sql = "SELECT ordinal, title, signature, len(items) AS n FROM n_signed"
+
+
+@query("scan_candidates", with_(_candidate_sql, "n_signed"))
+def _scan_candidates(spark, sf):
+    path = f"{checkpoint_dir(spark)}/candidates-{uuid.uuid4().hex}"
+    batch(spark, sf).write.json(path)
+    rows = tb.scan_candidates(spark, path, multi_line=False)
+    return rows.select("ordinal", "title", "signature", F.size("ingredients").cast("long").alias("n"))
+
+
+@query("write_candidates", with_(_candidate_sql, "n_signed"))
+def _write_candidates(spark, sf):
+    path = f"{checkpoint_dir(spark)}/candidates-{uuid.uuid4().hex}"
     rows = batch(spark, sf)
-    recipes = rows.drop("ingredients", "component_slugs").withColumn("recipe_id", F.lit("")).limit(0)
-    items = tb.bridge_items(rows.withColumn("recipe_id", F.lit(""))).limit(0)
-    links = tb.bridge_components(rows.withColumn("recipe_id", F.lit(""))).limit(0)
-    tb.publish_tables(
-        {"catalog": cheap_catalog(spark, sf), "components": tb.components_of(transforms_df(spark, R.TRANSFORMS)),
-         "recipes": recipes, "recipe_items": items, "recipe_components": links}, path)
-    return tb.ingest_refined(rows, path, "orders")
+    tb.write_candidates(rows, path, {"sizes": rows.groupBy(F.size("ingredients").alias("n")).count()})
+    back = spark.read.parquet(f"{path}/candidates")
+    return back.select("ordinal", "title", "signature", F.size("ingredients").cast("long").alias("n"))
 
 
 @query("write_recipes", with_(
@@ -219,6 +244,15 @@ def _write_recipes(spark, sf):
     return parts["recipe_items"].select("recipe_id", "slug", "optional")
 
 
+@query("write_recipes_skip", with_(
+    f"""SELECT ordinal AS recipe_id, unnest(items).slug AS slug FROM n_flagged WHERE NOT bad""", "n_flagged"))
+def _write_skip(spark, sf):
+    rows = batch(spark, sf).withColumn("recipe_id", F.col("ordinal"))
+    table = tb.components_of(transforms_df(spark, R.TRANSFORMS))
+    parts = tb.plan_write(rows, cheap_catalog(spark, sf), table, "skip_recipe")
+    return parts["recipe_items"].select("recipe_id", "slug")
+
+
 @query("resolve_ids", with_(
     f"""SELECT ordinal AS recipe_id, slug, dim_id FROM (SELECT ordinal, unnest(items).slug AS slug FROM n_signed)
     LEFT JOIN (SELECT slug, ordinal AS dim_id FROM name_cat WHERE cost_category <> 'expensive') USING (slug)""", "n_signed", "name_cat"))
@@ -229,23 +263,34 @@ def _resolve(spark, sf):
 
 @query("load_corpus_into_graph", with_(
     f"""SELECT signature, min(ordinal) AS source FROM (SELECT *, list_filter(items, lambda i: list_contains(known, i.slug)) AS kept
-    FROM n_signed, (SELECT list(slug) AS known FROM {CHEAP})) WHERE len(kept) >= 2 GROUP BY 1""", "n_signed", "name_cat"))
+    FROM n_signed, (SELECT list(slug) AS known FROM {CHEAP})) WHERE len(kept) >= 2 AND signature NOT IN ({STORED}) GROUP BY 1""", "n_signed", "name_cat"))
 def _load_corpus(spark, sf):
     rows = batch(spark, sf).withColumn("source", F.col("ordinal"))
-    seed = rows.limit(0).drop("source").withColumn("recipe_id", F.lit("")).withColumn("source", F.lit(""))
+    seed = stored(rows).drop("source").withColumn("recipe_id", F.col("ordinal").cast("string")).withColumn("source", F.lit("seed"))
     graph = tb.FoodGraph(
         cheap_catalog(spark, sf), tb.components_of(transforms_df(spark, R.TRANSFORMS)), transforms_df(spark, R.TRANSFORMS),
         seed.drop("ingredients", "component_slugs"), tb.bridge_items(seed),
     )
     corpus = rows.drop("source").withColumn("description", F.col("ordinal").cast("string"))
     loaded = tb.load_corpus_into_graph(graph, corpus)
-    return loaded.recipes.select("signature", F.col("description").cast("long").alias("source"))
+    return loaded.recipes.where("source = 'corpus'").select("signature", F.col("description").try_cast("long").alias("source"))
 
 
-@query("build_graph", with_("""SELECT output AS component, arg_min(slug, n) AS via FROM rules GROUP BY 1""", "rules"))
-def _components(spark, sf):
+@query("build_graph", with_(
+    """SELECT 'component' AS kind, output AS key, arg_min(slug, n) AS value FROM rules GROUP BY 1, 2
+    UNION ALL SELECT 'recipe', 'recipe-' || (ordinal + 1), signature FROM n_signed
+    UNION ALL SELECT 'item', 'recipe-' || (ordinal + 1), unnest(items).slug FROM n_signed
+    UNION ALL SELECT 'catalog', slug, cost_category FROM name_cat""", "rules", "n_signed", "name_cat"))
+def _build_graph(spark, sf):
     graph = tb.build_graph(R.name_catalog(spark, sf), transforms_df(spark, R.TRANSFORMS), batch(spark, sf))
-    return graph.components.select(F.col("slug").alias("component"), "via")
+
+    def part(kind: str, df: DataFrame, key: str, value: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.col(value).alias("value"))
+
+    return (
+        part("component", graph.components, "slug", "via").unionByName(part("recipe", graph.recipes, "recipe_id", "signature"))
+        .unionByName(part("item", graph.recipe_items, "recipe_id", "slug")).unionByName(part("catalog", graph.catalog, "slug", "cost_category"))
+    )
 
 
 # --- Drafts -------------------------------------------------------------------------------------
@@ -256,41 +301,82 @@ def existing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _drafts(spark, sf) -> DataFrame:
-    return dr.draft_candidates(R.kitchens(spark, sf), R.name_items(spark, sf), existing(spark, sf), R.TEMPLATES, 3)
+    return dr.draft_candidates(R.kitchens(spark, sf), R.name_items(spark, sf), existing(spark, sf), R.TEMPLATES, len(R.TEMPLATES))
 
 
 def _has(*slugs: str) -> str:
     return f"list_has_any(owned, {string_list(slugs)})"
 
 
-add("drafts", f"""SELECT * FROM (
-    SELECT kitchen_id, 0 AS template, 'Bolt Gear Bowl' AS title, array_to_string(list_filter([
-            CASE WHEN {_has('cold gear')} THEN 'cold gear' ELSE 'blue gear' END, 'red bolt', CASE WHEN {_has('red ring')} THEN 'red ring' END,
-            'hot plate?'], lambda x: x IS NOT NULL), ',') AS items FROM k_state WHERE {_has('red bolt')} AND {_has('blue gear', 'cold gear')}
-    UNION ALL SELECT kitchen_id, 1, 'Rod Toast', 'cold rod,hot plate,old anvil' || CASE WHEN {_has('old anvil')} THEN '' ELSE '?' END
-        FROM k_state WHERE {_has('cold rod')} AND {_has('hot plate')}
-    UNION ALL SELECT kitchen_id, 2, 'Ring Melt', 'new ring,old anvil?' FROM k_state WHERE {_has('new ring')}
-    UNION ALL SELECT kitchen_id, 3, 'Quiet Rings', 'small rod,old plate,mirin' FROM k_state
-        WHERE {_has('small rod')} AND {_has('old plate')} AND {_has('cold widget', 'large bolt')})
-    QUALIFY row_number() OVER (PARTITION BY kitchen_id ORDER BY template) <= 3""", "k_state")
+def _choose(choice, values) -> str:
+    whens = " ".join(f"WHEN {_has(o)} THEN {O.q(v)}" for o, v in zip(choice.options, values))
+    return f"CASE {whens} ELSE {O.q(values[choice.options.index(choice.default)])} END"
+
+
+def _template_sql(n: int, t) -> str:
+    choices, items = dict(t.choices), []
+    for i in t.items:
+        choice = choices.get(i.slug[1:]) if i.slug.startswith("@") else None
+        slug = _choose(choice, choice.options) if choice else O.q(i.slug)
+        optional = f"NOT {_has(i.slug)}" if i.required_if_owned else str(i.optional).lower()
+        entry = f"struct_pack(slug := {slug}, optional := {optional})"
+        items.append(f"CASE WHEN {_has(i.slug)} THEN {entry} END" if i.drop_if_missing else entry)
+    path = [_choose(choices[p[1:]], choices[p[1:]].steps) if p.startswith("@") else O.q(p) for p in t.path]
+    return f"""SELECT kitchen_id, {n} AS template, {O.q(t.title)} AS title, list_filter([{', '.join(items)}], lambda x: x IS NOT NULL) AS items,
+        [{', '.join(path)}]::VARCHAR[] AS path, {string_list(t.components)} AS comps, {string_list(t.tags)} AS tags,
+        {string_list(t.equipment)} AS kit, {len(t.steps)} AS n_steps, {t.minutes} AS minutes, '{t.difficulty}' AS difficulty
+    FROM k_state WHERE {' AND '.join(_has(*group) for group in t.needs)}"""
+
+
+add("drafts", " UNION ALL ".join(_template_sql(n, t) for n, t in enumerate(R.TEMPLATES)), "k_state")
+_tokens = "array_to_string(list_transform(tags || path || kit, lambda x: " + O.token("x") + "), ' ')"
+_styled = O.token("array_to_string(tags || [title], ' ')")
+add("d_signed", f"""SELECT *, 'cores:' || array_to_string(list_sort(list_transform(list_filter(items, lambda i: NOT i.optional), lambda i: i.slug)), ',')
+        || '|method:' || {O.method_sql('m')} || '|style:' || {O.style_sql('st')}
+        || '|path:' || CASE WHEN path = [] THEN 'direct' ELSE array_to_string(list_sort(path), '+') END
+        || '|components:' || CASE WHEN comps = [] THEN 'none' ELSE array_to_string(list_sort(comps), '+') END AS signature
+    FROM (SELECT *, {_tokens} AS m, {_styled} AS st FROM drafts)""", "drafts")
+_draft_items = "array_to_string(list_transform(items, lambda i: i.slug || CASE WHEN i.optional THEN '?' ELSE '' END), ',')"
 
 
-@query("draft_candidates", with_("SELECT kitchen_id, template, title, items FROM drafts", "drafts"))
+@query("draft_candidates", with_(f"SELECT kitchen_id, template, title, {_draft_items} AS items FROM drafts", "drafts"))
 def _draft_candidates(spark, sf):
     text = F.transform("ingredients", lambda i: F.concat(i["slug"], F.when(i["optional"], "?").otherwise("")))
     return _drafts(spark, sf).select("kitchen_id", "template", "title", F.array_join(text, ",").alias("items"))
 
 
-@query("validate_drafts", with_(
-    """SELECT kitchen_id, template, CASE template
-        WHEN 0 THEN '' WHEN 1 THEN 'Unnecessarily long for student cooking; Unknown transformation in graph path: scramble-rod; Frying/scrambling without a fat source'
-        WHEN 2 THEN ''
-        ELSE 'Unknown ingredient: mirin; Specialist ingredient without justification: mirin; Unknown component: unheard' END AS reasons
-    FROM drafts""", "drafts"))
+_W = C.DRAFT_REASONS
+
+
+def _if(condition: str, key: str) -> str:
+    return f"CASE WHEN {condition} THEN [{O.q(_W[key])}] ELSE []::VARCHAR[] END"
+
+
+def _stray(lst: str, known: str, key: str) -> str:
+    return f"list_transform(list_filter({lst}, lambda x: NOT list_contains({known}, x)), lambda x: {O.q(_W[key])} || x)"
+
+
+_per_item = f"""list_filter(flatten(list_transform(items, lambda i: [
+    CASE WHEN NOT list_contains(known, i.slug) THEN {O.q(_W['item'])} || i.slug END,
+    CASE WHEN list_contains({string_list(C.DRAFT_SPECIALIST)}, i.slug) THEN {O.q(_W['specialist'])} || i.slug END])), lambda x: x IS NOT NULL)"""
+_near = "array_to_string(string_split(signature, '|')[1:3], '|')"
+add("d_judged", f"""SELECT kitchen_id, template, title, signature, {" || ".join([
+        _if("trim(title) = ''", "title"), _if("n_steps = 0", "steps"), _if("minutes > 30", "time"), _if("difficulty = 'hard'", "difficulty"),
+        _if("len(items) > 10", "size"), _per_item, _stray("comps", "outputs", "component"), _stray("path", "slugs", "path"),
+        _if("len(list_filter(items, lambda i: NOT i.optional)) = 0", "mandatory"),
+        _if("signature IN (SELECT signature FROM d_signed WHERE template = 0 AND kitchen_id % 2 = 0)", "rejected"),
+        _if(f"{_near} IN (SELECT {_near} FROM n_signed) OR {O.token('title')} IN (SELECT {O.token('title')} FROM n_signed)", "duplicate"),
+        _if(f"len(list_filter(path, lambda p: contains(p, 'fry') OR contains(p, 'scramble'))) > 0 AND len(list_filter(items, lambda i: list_contains({string_list(C.DRAFT_FATS)}, i.slug))) = 0", "fat"),
+    ])} AS reasons
+    FROM d_signed, (SELECT list(slug) AS known FROM name_cat), (SELECT list(slug) AS slugs, list(output) AS outputs FROM rules)""",
+    "d_signed", "name_cat", "rules", "n_signed")
+
+
+@query("validate_drafts", with_("SELECT kitchen_id, template, array_to_string(reasons, '; ') AS reasons FROM d_judged", "d_judged"))
 def _validate(spark, sf):
-    made = _drafts(spark, sf).withColumn("draft_id", F.struct("kitchen_id", "template"))
+    made = materialize(_drafts(spark, sf).withColumn("draft_id", F.struct("kitchen_id", "template")))
     table = transforms_df(spark, R.TRANSFORMS)
-    rejected = spark.createDataFrame([("none",)], "signature string")
+    rejected = tb.with_signature(made.where("template = 0 and kitchen_id % 2 = 0")).select("signature")
     out = dr.validate_drafts(made, R.name_catalog(spark, sf), tb.components_of(table), table, existing(spark, sf), rejected)
     return out.select("kitchen_id", "template", F.array_join("reasons", "; ").alias("reasons"))
 
@@ -302,7 +388,7 @@ def _validate(spark, sf):
 def _duplicate(spark, sf):
     rows = R.name_recipes(spark, sf).select("ordinal", "title", "signature")
     mid = rows.agg(F.median("ordinal").alias("mid"))
-    sided = rows.withColumn("_one", F.lit(1)).join(mid.withColumn("_one", F.lit(1)), "_one")
+    sided = rows.crossJoin(F.broadcast(mid))
     new = sided.where("ordinal >= mid").withColumnRenamed("ordinal", "draft_id")
     return dr.duplicate_of_existing(new, sided.where("ordinal < mid")).select(F.col("draft_id").alias("ordinal"))
 
@@ -316,10 +402,10 @@ def _trigger(spark, sf):
     return dr.generation_trigger(R.kitchens(spark, sf).select("kitchen_id"), covered, 15)
 
 
-@query("to_recipe", with_("SELECT title, count(*) AS n FROM drafts GROUP BY 1", "drafts"))
+@query("to_recipe", with_("SELECT 'tmp-' || signature AS recipe_id, title, difficulty, count(*) AS n FROM d_signed GROUP BY 1, 2, 3", "d_signed"))
 def _to_recipe(spark, sf):
     signed = tb.with_signature(_drafts(spark, sf))
-    return dr.to_recipe(signed).groupBy("title").agg(F.count(F.lit(1)).alias("n"))
+    return dr.to_recipe(signed).groupBy("recipe_id", "title", "difficulty").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("union_recipes", with_(
@@ -328,23 +414,3 @@ def _union(spark, sf):
     stored = batch(spark, sf).withColumn("source", F.lit("seed"))
     drafted = dr.to_recipe(tb.with_signature(_drafts(spark, sf)))
     return tb.union_recipes(stored, drafted).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("recommend_many")
-def _many(spark, sf):
-    """One named inventory per market segment: what its customers own in common names."""
-    segments = R.table(spark, sf, "customer").select(F.col("c_custkey").alias("kitchen_id"), "c_mktsegment")
-    owned = R.items(spark, sf).join(segments, "kitchen_id").groupBy(F.col("c_mktsegment").alias("kitchen_id"), "slug").agg(
-        F.bool_or("expiring").alias("expiring")
-    )
-    kitchens = segments.select(F.col("c_mktsegment").alias("kitchen_id")).distinct().withColumn(
-        "equipment", F.array(*[F.lit(e) for e in C.BASIC_EQUIPMENT])
-    )
-    _, recipe_items = shared_roles(spark, sf)
-    lists = rec.recommend(
-        kitchens, materialize(owned), R.recipes(spark, sf), recipe_items, R.catalog(spark, sf), (), OPTIONS,
-        ("make_now",),
-    )
-    return lists["make_now"].select("kitchen_id", "recipe_id", digits("score"))
-
-

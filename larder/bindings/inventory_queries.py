@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder import config as C
 from larder.bindings import roles as R
-from larder.bindings.oracle import CLASSES, add, atom, case, lit, low_effort, with_
+from larder.bindings.oracle import CLASSES, add, atom, case, clone, lit, low_effort, string_list, with_
 from larder.bindings.registry import query
 from larder.functions import scoring as S
 from larder.operators import coverage as cov
@@ -62,7 +62,7 @@ def shared_roles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def shown(spark: SparkSession, sf: str) -> DataFrame:
     items, recipe_items = shared_roles(spark, sf)
-    return rec.score_candidates(R.kitchens(spark, sf), items, R.recipes(spark, sf), recipe_items, (), OPTIONS)[0]
+    return rec.score_candidates(R.kitchens(spark, sf), items, R.recipes(spark, sf), recipe_items, (), OPTIONS, False)[0]
 
 
 def model(spark: SparkSession, sf: str) -> sh.PurchaseModel:
@@ -137,15 +137,15 @@ def _almost(spark, sf):
           "kitchens", "cat", "k_items"),
 )
 def _set_difference(spark, sf):
-    # Catalog minus owned per kitchen, counted without pairing every kitchen with every item.
-    catalog = R.catalog(spark, sf)
-    size = catalog.agg(F.count(F.lit(1)).alias("size")).withColumn("_one", F.lit(1))
-    known = R.items(spark, sf).join(catalog.select("slug"), "slug", "left_semi")
-    owned = known.groupBy("kitchen_id").agg(F.count(F.lit(1)).alias("owned"))
-    return (
-        R.kitchens(spark, sf).join(owned, "kitchen_id", "left").withColumn("_one", F.lit(1)).join(size, "_one")
-        .select("kitchen_id", (F.col("size") - F.coalesce("owned", F.lit(0))).alias("n_unowned")).where("n_unowned > 0")
-    )
+    return inv.unowned_counts(R.kitchens(spark, sf), R.items(spark, sf), R.catalog(spark, sf))
+
+
+@query("unowned_items", with_(
+    "SELECT kitchen_id, i.slug FROM own_pairs JOIN r_items i USING (recipe_id) ANTI JOIN k_items k ON k.kitchen_id = own_pairs.kitchen_id AND k.slug = i.slug",
+    "own_pairs", "r_items", "k_items"))
+def _unowned_items(spark, sf):
+    wanted = R.own_pairs(spark, sf).join(R.recipe_items(spark, sf), "recipe_id").select("kitchen_id", "slug")
+    return inv.unowned_items(R.items(spark, sf), wanted)
 
 
 # --- Scoring and ranking ------------------------------------------------------------------------
@@ -251,15 +251,31 @@ def _low_effort(spark, sf):
     return R.catalog(spark, sf).select("slug", S.low_effort(*attributes).alias("low_effort"))
 
 
-@query("purchase_scores", with_(f"SELECT {BUY} FROM buys_ranked WHERE rank <= 20", "buys_ranked"))
+CORRECTED = "buys SEMI JOIN effects USING (kitchen_id, slug)"
+
+
+@query("purchase_scores", with_(f"SELECT {BUY} FROM {CORRECTED}", "buys", "effects"))
 def _purchase_scores(spark, sf):
-    return _buy(model(spark, sf).top(20))
+    return _buy(model(spark, sf).corrections())
+
+
+_common = """coalesce(n_single, 0) * 10.0::DOUBLE + (coalesce(n_helped, 0) - coalesce(n_single, 0)) * 3.0::DOUBLE
+    + least(shelf_life_days / 60.0::DOUBLE, 1.0::DOUBLE) * 6.0::DOUBLE + versatility * 8.0::DOUBLE + """ + case(
+    "cost_category", C.COST_BONUS, "0::DOUBLE") + " - waste_risk * 7.0::DOUBLE"
+
+
+@query("purchase_common", with_(
+    f"""SELECT c.slug, coalesce(n_single, 0) AS unlocked, coalesce(n_helped, 0) - coalesce(n_single, 0) AS improved, round({_common}, 6) AS score
+    FROM cat c LEFT JOIN (SELECT slug, count(*) AS n_helped, count_if(single) AS n_single FROM helpful GROUP BY 1) h ON h.slug = c.slug
+    WHERE c.slug NOT IN {lit(R.MATCH.never_buy)}""", "cat", "helpful"))
+def _purchase_common(spark, sf):
+    return model(spark, sf).common().select("slug", "unlocked", "improved", digits("score"))
 
 
 @query("super_food_score", with_(
-    "SELECT slug, round(max(super_score), 2) AS best FROM buys_ranked WHERE rank <= 20 GROUP BY 1", "buys_ranked"))
+    f"SELECT slug, round(max(super_score), 2) AS best FROM {CORRECTED} GROUP BY 1", "buys", "effects"))
 def _super_food_score(spark, sf):
-    return model(spark, sf).top(20).groupBy("slug").agg(F.round(F.max("super_score"), 2).alias("best"))
+    return model(spark, sf).corrections().groupBy("slug").agg(F.round(F.max("super_score"), 2).alias("best"))
 
 
 @query("good_next_buys", with_(f"SELECT {BUY} FROM buys_ranked WHERE rank <= 8", "buys_ranked"))
@@ -296,7 +312,40 @@ def _purchase_counters(spark, sf):
     return titles.select("kitchen_id", "slug", *[joined(f"{e}_titles") for e in sh.TITLE_SAMPLES])
 
 
-@query("essentials_bundle")
+_group = "CASE " + " ".join(f"WHEN slug IN {lit(g)} THEN {n}" for n, g in enumerate(R.MATCH.substitute_groups)) + " END"
+
+
+def bundle_ctes(prefix: str) -> str:
+    """CTE ``{prefix}bundle``: three picks, each later one scored in a kitchen that owns the ones before.
+
+    The substitute groups are disjoint, so greedy is the first of each group that isn't held.
+    """
+    add(f"{prefix}offers", f"""SELECT kitchen_id, slug, rank, {_group} AS grp FROM {prefix}buys_ranked WHERE rank <= 20""", f"{prefix}buys_ranked")
+    add(f"{prefix}open", f"""SELECT o.* FROM {prefix}offers o ANTI JOIN (SELECT kitchen_id, {_group} AS grp FROM {prefix}k_items) h
+        ON h.kitchen_id = o.kitchen_id AND h.grp = o.grp
+        QUALIFY row_number() OVER (PARTITION BY o.kitchen_id, coalesce('g' || o.grp, slug) ORDER BY rank) = 1""",
+        f"{prefix}offers", f"{prefix}k_items")
+    add(f"{prefix}chosen", f"""SELECT kitchen_id, slug, row_number() OVER (PARTITION BY kitchen_id ORDER BY rank) - 1 AS step FROM {prefix}open
+        QUALIFY row_number() OVER (PARTITION BY kitchen_id ORDER BY rank) <= 3""", f"{prefix}open")
+    later = f"(SELECT kitchen_id, step, kitchen_id || ':' || step AS vid FROM {prefix}chosen WHERE step > 0)"
+    virtual = clone(f"z{prefix}", "buys", {
+        "kitchens": f"SELECT vid AS kitchen_id, equipment FROM {later} JOIN {prefix}kitchens USING (kitchen_id)",
+        "k_items": f"""SELECT vid AS kitchen_id, slug, expiring FROM {later} JOIN {prefix}k_items USING (kitchen_id)
+            UNION ALL SELECT vid, c.slug, false FROM {later} l JOIN {prefix}chosen c ON c.kitchen_id = l.kitchen_id AND c.step < l.step""",
+    }, {"kitchens": (f"{prefix}chosen", f"{prefix}kitchens"), "k_items": (f"{prefix}chosen", f"{prefix}k_items")})
+    numbers = ", ".join(f"CASE WHEN v.slug IS NULL THEN b.{c} ELSE v.{c} END AS {c}" for c in ("unlocked", "improved", "fancied", "score"))
+    add(f"{prefix}bundle", f"""SELECT c.kitchen_id, c.step, c.slug, {numbers} FROM {prefix}chosen c
+        JOIN {prefix}buys b ON b.kitchen_id = c.kitchen_id AND b.slug = c.slug
+        LEFT JOIN {virtual} v ON v.kitchen_id = c.kitchen_id || ':' || c.step AND v.slug = c.slug""",
+        f"{prefix}chosen", f"{prefix}buys", virtual)
+    return f"{prefix}bundle"
+
+
+bundle_ctes("")
+
+
+@query("essentials_bundle", with_(
+    "SELECT kitchen_id, step, slug, unlocked, improved, fancied, round(score, 6) AS score FROM bundle", "bundle"))
 def essentials_bundle(spark, sf):
     out = sh.essentials_bundle(model(spark, sf))
     return out.select("kitchen_id", "step", "slug", "unlocked", "improved", "fancied", digits("score"))
@@ -350,14 +399,16 @@ def _popular(spark, sf):
 
 
 OPS = {"purchase": "upsert", "error": "delete", "view": "expiring", "signup": "staple_on"}
+_CLICK = f"list_extract({string_list(R.CLICK_OPS)}, event_id % 10 + 1)"
 
 
 @query("apply_inventory_events", f"""
 WITH ev AS (SELECT user_id AS kitchen_id, 'p' || json_extract_string(props, '$.k') AS slug,
-        {case('event_type', OPS, 'NULL')} AS op, value > 20 AS flag, (ts, event_id) AS seq
-    FROM events WHERE event_type IN {lit(OPS)}),
-cut AS (SELECT kitchen_id, slug, max(seq) FILTER (op = 'delete') AS cut FROM ev GROUP BY 1, 2),
-live AS (SELECT ev.* FROM ev JOIN cut USING (kitchen_id, slug) WHERE cut IS NULL OR seq > cut),
+        {case('event_type', OPS, _CLICK)} AS op, value > 20 AS flag, (ts, event_id) AS seq FROM events),
+wipes AS (SELECT kitchen_id, max(seq) AS wiped FROM ev WHERE op = 'clear' GROUP BY 1),
+onitem AS (SELECT ev.*, wiped FROM ev LEFT JOIN wipes USING (kitchen_id) WHERE op NOT IN ('clear', 'equipment')),
+cut AS (SELECT kitchen_id, slug, max(seq) FILTER (op IN ('delete', 'staple_off')) AS cut FROM onitem GROUP BY 1, 2),
+live AS (SELECT onitem.* FROM onitem JOIN cut USING (kitchen_id, slug) WHERE (cut IS NULL OR seq > cut) AND (wiped IS NULL OR seq > wiped)),
 made AS (SELECT kitchen_id, slug, min(seq) AS created, arg_min(flag, seq) AS flag FROM live
     WHERE op IN ('upsert', 'staple_on') GROUP BY 1, 2),
 marks AS (SELECT kitchen_id, slug, arg_max(live.flag, seq) AS flag FROM live JOIN made USING (kitchen_id, slug)
@@ -370,15 +421,33 @@ def _events(spark, sf):
     return inv.apply_inventory_events(R.events(spark, sf), None, R.KITCHEN)
 
 
+@query("apply_equipment_events", with_(
+    """SELECT kitchen_id, coalesce(tools, array_to_string(equipment, ',')) AS equipment FROM kitchens
+    LEFT JOIN (SELECT user_id AS kitchen_id, arg_max('pan,tool ' || json_extract_string(props, '$.k'), (ts, event_id)) AS tools
+        FROM events WHERE event_type = 'click' AND event_id % 10 >= 5 GROUP BY 1) USING (kitchen_id)""", "kitchens"))
+def _equipment(spark, sf):
+    out = inv.apply_equipment_events(R.kitchens(spark, sf), R.events(spark, sf))
+    return out.select("kitchen_id", joined("equipment"))
+
+
 # --- Whole recommendation jobs ------------------------------------------------------------------
 
 
-@query("recommend")
-def recommend(spark, sf):
-    items, recipe_items = shared_roles(spark, sf)
-    lists = rec.recommend(
-        R.kitchens(spark, sf), items, R.recipes(spark, sf), recipe_items, R.catalog(spark, sf), (), OPTIONS
-    )
+BUY_LISTS = {"good_next_buys": "buys_ranked WHERE rank <= 8", "super_foods": "buys_super WHERE rank <= 6", "bundle_buys": "bundle"}
+
+
+def recommend_sql(prefix: str) -> str:
+    parts = [
+        f"SELECT section, kitchen_id, recipe_id::VARCHAR AS entry, score FROM ({_section_sql(name, cond, k).replace('match_div', prefix + 'match_div')})"
+        for name, cond, k in (("make_now", "make_now", 10), ("almost_there", "almost_there", 8), ("use_soon", USE_SOON, 8))
+    ]
+    parts += [
+        f"SELECT '{name}' AS section, kitchen_id, slug AS entry, round(score, 6) AS score FROM {prefix}{table}" for name, table in BUY_LISTS.items()
+    ]
+    return with_(" UNION ALL ".join(parts), *[prefix + t for t in ("match_div", "buys_ranked", "buys_super", "bundle")])
+
+
+def entries(lists: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in lists.items():
         key = F.col("recipe_id").cast("string") if "recipe_id" in df.columns else F.col("slug")
@@ -386,3 +455,33 @@ def recommend(spark, sf):
         out = part if out is None else out.unionByName(part)
     return out
 
+
+@query("recommend", recommend_sql(""))
+def recommend(spark, sf):
+    items, recipe_items = shared_roles(spark, sf)
+    return entries(rec.recommend(
+        R.kitchens(spark, sf), items, R.recipes(spark, sf), recipe_items, R.catalog(spark, sf), (), OPTIONS
+    ))
+
+
+_segments = {
+    "kitchens": f"SELECT DISTINCT c_mktsegment AS kitchen_id, {string_list(C.BASIC_EQUIPMENT)} AS equipment FROM customer",
+    "k_items": """SELECT c_mktsegment AS kitchen_id, slug, bool_or(expiring) AS expiring FROM k_items
+        JOIN customer ON c_custkey = kitchen_id GROUP BY 1, 2""",
+}
+for _name in ("match_div", "buys_ranked", "buys_super"):
+    clone("s_", _name, _segments, {"k_items": ("k_items",)})
+bundle_ctes("s_")
+
+
+@query("recommend_many", recommend_sql("s_"))
+def _many(spark, sf):
+    """One named inventory per market segment: what its customers own between them."""
+    segments = R.table(spark, sf, "customer").select(F.col("c_custkey").alias("kitchen_id"), F.col("c_mktsegment").alias("segment"))
+    owned = R.items(spark, sf).join(segments, "kitchen_id").groupBy(F.col("segment").alias("kitchen_id"), "slug").agg(
+        F.bool_or("expiring").alias("expiring")
+    )
+    _, recipe_items = shared_roles(spark, sf)
+    return entries(rec.recommend_many(
+        materialize(owned), R.recipes(spark, sf), recipe_items, R.catalog(spark, sf), options=OPTIONS
+    ))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from larder import config as C
 from larder.bindings import roles as R
 
@@ -275,3 +277,28 @@ def with_(final: str, *names: str) -> str:
         visit(name)
     body = ",\n".join(f"{n} AS ({CTES[n]})" for n in done)
     return f"WITH {body}\n{final}" if done else final
+
+
+def recursive(final: str, *names: str) -> str:
+    return with_(final, *names).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def clone(prefix: str, target: str, changed: dict[str, str], deps: dict[str, tuple[str, ...]] | None = None) -> str:
+    """A copy of CTE ``target`` and of all that it builds on the ``changed`` ones, which get other bodies."""
+    needs: dict[str, bool] = dict.fromkeys(changed, True)
+
+    def visit(name: str) -> bool:
+        if name not in needs:
+            needs[name] = any([visit(d) for d in DEPS.get(name, ())])
+        return needs[name]
+
+    visit(target)
+    names = [n for n, new in needs.items() if new]
+    pattern = re.compile(r"\b(" + "|".join(sorted(names, key=len, reverse=True)) + r")\b")
+    for name in names:
+        if name in changed:
+            add(f"{prefix}{name}", changed[name], *(deps or {}).get(name, ()))
+        else:
+            body = pattern.sub(rf"{prefix}\1", CTES[name])
+            add(f"{prefix}{name}", body, *[f"{prefix}{d}" if d in names else d for d in DEPS.get(name, ())])
+    return f"{prefix}{target}"

@@ -12,6 +12,7 @@ from larder.functions import keys as K
 from larder.functions.js import trim, words
 from larder.functions.text import normalize_token
 from larder.operators.common import first_per
+from larder.session import materialize
 
 DRAFT_ITEM = "array<struct<slug:string,optional:boolean>>"
 
@@ -116,8 +117,13 @@ def duplicate_of_existing(drafts: DataFrame, existing: DataFrame) -> DataFrame:
     keyed = drafts.select(
         "draft_id", K.near_signature(F.col("signature")).alias("near"), normalize_token(F.col("title")).alias("title")
     )
-    near = existing.select(K.near_signature(F.col("signature")).alias("near")).distinct()
-    title = existing.select(normalize_token(F.col("title")).alias("title")).distinct()
+    # Of what exists only what some draft may repeat is left.
+    near = existing.select(K.near_signature(F.col("signature")).alias("near")).join(
+        keyed.select("near").distinct(), "near", "left_semi"
+    ).distinct()
+    title = existing.select(normalize_token(F.col("title")).alias("title")).join(
+        keyed.select("title").distinct(), "title", "left_semi"
+    ).distinct()
     by_near = keyed.join(near, "near", "left_semi").select("draft_id")
     by_title = keyed.join(title, "title", "left_semi").select("draft_id")
     return by_near.unionByName(by_title).distinct()
@@ -134,7 +140,22 @@ def validate_drafts(
     existing: DataFrame, rejected: DataFrame, specialist: tuple[str, ...] = C.DRAFT_SPECIALIST,
     fats: tuple[str, ...] = C.DRAFT_FATS,
 ) -> DataFrame:
-    """Adds ``signature``, ``reasons`` (in rule order) and ``ok``."""
+    """Adds ``signature``, ``reasons`` (in rule order) and ``ok``.
+
+    Every kitchen drafts the same few recipes, so each distinct draft is judged once.
+    """
+    content = [c for c in drafts.columns if c not in ("draft_id", "kitchen_id", "template")]
+    keyed = drafts.withColumn("_draft", F.sha2(F.to_json(F.struct(*content)), 256))
+    once = materialize(keyed.select("_draft", *content).dropDuplicates(["_draft"]).withColumnRenamed("_draft", "draft_id"))
+    judged = _judged(once, catalog, components, transforms, existing, rejected, specialist, fats)
+    judged = judged.select(F.col("draft_id").alias("_draft"), "signature", "reasons", "ok")
+    return keyed.drop("signature").join(judged, "_draft").drop("_draft")
+
+
+def _judged(
+    drafts: DataFrame, catalog: DataFrame, components: DataFrame, transforms: DataFrame,
+    existing: DataFrame, rejected: DataFrame, specialist: tuple[str, ...], fats: tuple[str, ...],
+) -> DataFrame:
     col, why = F.col, C.DRAFT_REASONS
     signed = drafts.withColumn(
         "signature",

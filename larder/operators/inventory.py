@@ -43,6 +43,25 @@ def cold_start_kitchens(
     return kitchens.select("kitchen_id").join(visible_inventory(items, defaults), "kitchen_id", "left_anti")
 
 
+def unowned_counts(kitchens: DataFrame, items: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Size of the catalog minus what a kitchen owns, for kitchens that lack something.
+
+    The difference itself has kitchens times items rows; its size follows from counts.
+    """
+    size = catalog.agg(F.count(F.lit(1)).alias("size"))
+    known = items.join(catalog.select("slug"), "slug", "left_semi")
+    owned = known.groupBy("kitchen_id").agg(F.count(F.lit(1)).alias("owned"))
+    return (
+        kitchens.select("kitchen_id").join(owned, "kitchen_id", "left").crossJoin(F.broadcast(size))
+        .select("kitchen_id", (F.col("size") - F.coalesce("owned", F.lit(0))).alias("n_unowned")).where("n_unowned > 0")
+    )
+
+
+def unowned_items(items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Set difference: the ``(kitchen_id, slug)`` rows of ``wanted`` that the kitchen does not own."""
+    return wanted.join(items.select("kitchen_id", "slug"), ["kitchen_id", "slug"], "left_anti")
+
+
 def popular_unowned(
     kitchens: DataFrame, items: DataFrame, catalog: DataFrame, defaults: KitchenDefaults = KitchenDefaults()
 ) -> DataFrame:

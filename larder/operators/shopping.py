@@ -171,14 +171,25 @@ class PurchaseModel:
         )
         return scored_counters(counted).drop("pair_unlocked", "pair_fancied")
 
-    def _global_list(self, order: str, super_only: bool) -> DataFrame:
-        """Items by their common score, with a dense ``pos``."""
+    def common(self) -> DataFrame:
+        """Counters and scores of every item for a kitchen that lacks its atom and has no correction."""
         zero = F.lit(0).cast("long")
-        common = scored_counters(
+        return scored_counters(
             self.base.withColumn("unlocked", F.col("n_single"))
             .withColumn("improved", F.col("n_helped") - F.col("n_single"))
             .withColumn("fancied", zero)
         )
+
+    def corrections(self) -> DataFrame:
+        """Counters and scores of every (kitchen, item) that differs from the common ones.
+
+        With ``common`` and ``covered_slugs`` these are the scores of every kitchen and item.
+        """
+        return self.counters(self.sparse.select("kitchen_id", "slug"))
+
+    def _global_list(self, order: str, super_only: bool) -> DataFrame:
+        """Items by their common score, with a dense ``pos``."""
+        common = self.common()
         common = common.where("is_super_food") if super_only else common.where("n_helped > 0 or is_essential")
         keyed = common.select("slug", F.lit(0).alias("_all"), (-F.col(order)).alias("_o"), "ordinal")
         return ordered_index(keyed, ["_all"], ["_o", "ordinal"], "pos").select("slug", "pos")

@@ -39,9 +39,11 @@ class FoodGraph:
     recipe_items: DataFrame
 
 
-def scan_candidates(spark: SparkSession, path: str, schema: str = REFINED_SCHEMA) -> DataFrame:
-    """Candidate or refined recipes from JSON; prefer Parquet for large hand-offs."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def scan_candidates(
+    spark: SparkSession, path: str, schema: str = REFINED_SCHEMA, multi_line: bool = True
+) -> DataFrame:
+    """Candidate or refined recipes from JSON: one array per file, or one row per line (splittable)."""
+    return spark.read.schema(schema).json(path, multiLine=multi_line)
 
 
 def write_candidates(df: DataFrame, path: str, reports: Mapping[str, DataFrame] | None = None) -> None:
@@ -56,8 +58,11 @@ def publish_tables(tables: Mapping[str, DataFrame], path: str) -> None:
     Every table is written beside its old form first, so that a failed job leaves the old ones.
     """
     fresh = f"new-{uuid.uuid4().hex}"
+    if "recipes" in tables:
+        tables = {**tables, "signatures": signature_rows(tables["recipes"])}
     for name, df in tables.items():
-        df.write.parquet(f"{path}/{fresh}/{name}/batch={SEED_BATCH}")
+        writer = df.write.partitionBy("prefix") if name == "signatures" else df.write
+        writer.parquet(f"{path}/{fresh}/{name}/batch={SEED_BATCH}")
     for name, df in tables.items():
         spark = df.sparkSession
         made, root = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (f"{fresh}/{name}", name))
@@ -68,6 +73,11 @@ def publish_tables(tables: Mapping[str, DataFrame], path: str) -> None:
         fs.delete(made.getParent(), True)
 
 
+def signature_rows(recipes: DataFrame) -> DataFrame:
+    """``signature`` and the two hex digits that its folder is named by."""
+    return recipes.select("signature", F.substring(F.sha2("signature", 256), 1, 2).alias("prefix"))
+
+
 def load_graph(spark: SparkSession, path: str) -> FoodGraph:
     """The published tables; arrays that were stored as JSON text are decoded."""
     def table(name: str) -> DataFrame:
@@ -269,13 +279,20 @@ def ingest_refined(recipes: DataFrame, graph_path: str, batch: str) -> DataFrame
     def others(name: str) -> DataFrame:
         return spark.read.parquet(f"{graph_path}/{name}").where(F.col("batch") != batch)
 
-    stored, catalog, components = others("recipes"), others("catalog"), others("components")
-    decided = share(decide_ingest(recipes, stored, catalog))
+    stored, catalog, components = others("recipes").select("batch"), others("catalog"), others("components")
+    # Only folders that a signature of the batch can lie in are read.
+    prefixes = [r.prefix for r in signature_rows(recipes).select("prefix").distinct().collect()]
+    schema = "signature string, batch string, prefix string"
+    known = spark.read.schema(schema).parquet(f"{graph_path}/signatures").where(
+        (F.col("batch") != batch) & F.col("prefix").isin(prefixes)
+    )
+    decided = share(decide_ingest(recipes, known, catalog))
     counts = ingest_counts(decided, stored).collect()
     new = decided.where("outcome = 'inserted'").drop("outcome").withColumn(
         "recipe_id", F.concat(F.lit("r-"), F.sha2("signature", 256))
     )
     for name, part in plan_write(new, catalog, components, "skip_recipe", "omit").items():
         part.write.mode("overwrite").parquet(f"{graph_path}/{name}/batch={batch}")
+    signature_rows(new).write.mode("overwrite").partitionBy("prefix").parquet(f"{graph_path}/signatures/batch={batch}")
     decided.unpersist()
     return spark.createDataFrame(counts)
