@@ -175,27 +175,33 @@ def test_chaining(spark):
         assert got.get(k, set()) == set(brute.chain(owned[k], tools, TRANSFORMS))
 
 
-def test_curation(spark):
+@pytest.mark.parametrize("n,tight", [(300, False), (1500, True)])
+def test_curation(spark, n, tight):
+    """The tight rules bound what the fold reads by 275 rows, a fifth of the pool."""
     rnd = random.Random(6)
     rows = []
-    for i in range(300):
+    for i in range(n):
         req = rnd.sample(list("abcdef"), rnd.randint(1, 3))
         rows.append((i, [(s, False) for s in req] + [("z", True)], f"{'+'.join(sorted(req))}|{rnd.randint(0, 3)}",
                      (float(rnd.randint(1, 5)),), rnd.randint(1, 2), f"t{rnd.randint(0, 9)}"))
     df = spark.createDataFrame(rows, "ordinal long, ingredients array<struct<slug:string,optional:boolean>>, signature string, score struct<total:double>, band int, title string")
     rules = C.CurateRules(target=25, max_per_family=2, max_per_primary=4, demo_slugs=("a", "b"))
+    if tight:
+        rules = C.CurateRules(target=5, max_per_family=1, max_per_primary=1, demo_slugs=("f",))
+    demo = set(rules.demo_slugs)
     picked = {(r.ordinal, r.make_now) for r in curate.curate_diverse(curate._with_keys(df), rules).collect()}
     order = sorted(rows, key=lambda r: (-r[3][0], r[4], sum(not o for _, o in r[1]), r[5], r[0]))
     seen, fam, prim, want = set(), {}, {}, []
     for forced in (True, False):
         for r in order:
             req = [s for s, o in r[1] if not o]
-            if forced and not set(req) <= {"a", "b"}:
+            if forced and not set(req) <= demo:
                 continue
             if not forced and len(want) >= rules.target:
                 break
             key, first = ",".join(sorted(req)), req[0]
-            if r[2] in seen or fam.get(key, 0) >= (3 if forced else 2) or (not forced and prim.get(first, 0) >= 4):
+            cap = max(rules.max_per_family, 3) if forced else rules.max_per_family
+            if r[2] in seen or fam.get(key, 0) >= cap or (not forced and prim.get(first, 0) >= rules.max_per_primary):
                 continue
             seen.add(r[2])
             fam[key] = fam.get(key, 0) + 1

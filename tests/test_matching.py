@@ -145,3 +145,33 @@ def test_purchases(spark, seed):
             (x["slug"], x["unlocked"], x["improved"], x["fancied"])
             for x in brute.bundle(recipes, catalog, k, RULES)
         ]
+
+
+def test_drafts_fill_thin_kitchens(spark):
+    from larder.operators.drafts import DraftItem, DraftTemplate
+    from larder.plans.recommend import RecommendOptions, recommend_with_drafts
+    from larder.sources.rules import Input, Transform, transforms_df
+    from larder.sources.tables import components_of
+
+    recipes, kitchens, catalog = world(9, 40, 12)
+    ks, items, rs, ri, cat = frames(spark, recipes, kitchens, catalog)
+    steps = (Transform("warm", "warmed", (Input("a"),), "boil", (), (), "Warmed"),)
+    templates = (
+        DraftTemplate("Warm A", (("a",),), (DraftItem("a"),), ("warmed",), ("warm",), ("pot",), (), 5, "cheap", ("Warm it.",)),
+        DraftTemplate("Odd B", (("b",),), (DraftItem("b"), DraftItem("nowhere")), (), (), ("pan",), (), 5, "cheap", ("Fry it.",)),
+    )
+    table = transforms_df(spark, steps)
+    refused_before = spark.createDataFrame([("none",)], "signature string")
+    options = RecommendOptions(rules=RULES, min_make_now=1000, templates=templates)
+    text = F.col("recipe_id").cast("string")  # accepted drafts have ids of text
+    rs, ri = rs.withColumn("recipe_id", text), ri.withColumn("recipe_id", text)
+    lists, accepted, refused = recommend_with_drafts(
+        ks, items, rs, ri.select("recipe_id", "slug", "optional", "ordinal"), cat, components_of(table), steps, refused_before, options
+    )
+    ready = {k.id: sum(brute.ready(brute.cover(r, k.owned, RULES)) for r in recipes) for k in kitchens}
+    thin = [k for k in kitchens if ready[k.id] < 1000]
+    assert {r.title for r in accepted.collect()} == ({"Warm A"} if any("a" in k.owned for k in thin) else set())
+    reasons = {r.reason for r in refused.collect()}
+    assert reasons == ({"Unknown ingredient: nowhere"} if any("b" in k.owned for k in thin) else set()) and thin
+    shown = {(r.kitchen_id, r.title) for r in lists["make_now"].collect() if r.title == "Warm A"}
+    assert shown <= {(k.id, "Warm A") for k in kitchens if "a" in k.owned} and shown
