@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import base64
 import functools
-from collections.abc import Iterable
-from itertools import chain
+import re
+import struct
+from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +24,12 @@ from larder.llm.common import map_batches, vocabulary
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces kept of either generation of an encoder's memory, and the longest piece that is kept.
-MEMORY_PIECES, MEMORY_LENGTH = 150_000, 64
+MEMORY_PIECES, MEMORY_LENGTH = 300_000, 64
+#: Nodes below an inner node of the segment tree.
+FAN = 16
+#: A space before white space or the end. ``\s`` of ``re`` has every character that it has in the split pattern.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]
+_RUN_AFTER_SPACE = re.compile(r" (?:\s|\Z)")
 
 
 def pattern() -> str:
@@ -34,8 +42,9 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """The ids of one piece: while two neighbours form a token, the leftmost pair of the least rank merges.
 
     Leaf ``i`` of the tree is the pair that starts at byte ``i``, as ``rank * n + i``, so that the
-    root is the leftmost minimum. A merge changes three leaves: its own, the one of the part that
-    it swallowed, and the one of the live neighbour on the left.
+    root is the leftmost minimum. Every inner node is the minimum of ``FAN`` nodes below it, and a
+    change of a leaf passes up one path, as long as it changes minima. A merge changes three
+    leaves: its own, the one of the part that it swallowed, and that of the live neighbour on the left.
     """
     whole = ranks.get(piece)
     if whole is not None:
@@ -43,44 +52,36 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     n = len(piece)
     if n < 2:
         return (ranks[piece],) if n else ()
-    size = 1 << (n - 1).bit_length()
-    none = (1 << 62) * n
-    tree = [none] * (2 * size)
-    find = ranks.get
+    none, find = (1 << 62) * n, ranks.get
+    leaves = []
     for i in range(n - 1):
         rank = find(piece[i : i + 2])
-        if rank is not None:
-            tree[size + i] = rank * n + i
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
+        leaves.append(none if rank is None else rank * n + i)
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[k : k + FAN]) for k in range(0, len(below), FAN)])
+    top = levels[-1]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def put(i: int, start: int, end: int) -> None:
-        rank = None if end < 0 else find(piece[start:end])
-        i += size
-        tree[i] = none if rank is None else rank * n + start
-        while i > 1:
-            i >>= 1
-            a, b = tree[2 * i], tree[2 * i + 1]
-            least = a if a < b else b
-            if tree[i] == least:
-                break
-            tree[i] = least
-
-    while (least := tree[1]) < none:
+    while (least := min(top)) < none:
         i = least % n
         gone = after[i]
-        end = after[gone]
-        after[i] = end
-        put(gone, gone, -1)
+        after[i] = end = after[gone]
+        left = before[i]
+        if gone < n - 1:
+            leaves[gone] = none
         if end < n:
             before[end] = i
-            put(i, i, after[end])
+            rank = find(piece[i : after[end]])
+            leaves[i] = none if rank is None else rank * n + i
         else:
-            put(i, i, -1)
-        if before[i] >= 0:
-            put(before[i], before[i], end)
+            leaves[i] = none
+        if left >= 0:
+            rank = find(piece[left:end])
+            leaves[left] = none if rank is None else rank * n + left
+        if top is not leaves:
+            for leaf in (i, gone, left):
+                _pass_up(levels, leaf)
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
@@ -88,8 +89,25 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ids)
 
 
+def _pass_up(levels: list[list[int]], place: int) -> None:
+    """Renew the minima above a leaf, up to the first that stays."""
+    for below, above in zip(levels, levels[1:], strict=False):
+        place //= FAN
+        if place < 0 or place >= len(above):
+            return
+        least = min(below[place * FAN : place * FAN + FAN])
+        if above[place] == least:
+            return
+        above[place] = least
+
+
 class Encoder:
-    """Encodes and decodes with one rank file. Frequent pieces are remembered, in two generations."""
+    """Encodes and decodes with one rank file.
+
+    Where each space of a text is followed by a character that isn't white space, no match of the
+    split pattern reaches over the start of a space, so the text is cut there and frequent parts are
+    remembered whole, in two generations. Other texts are split as they are.
+    """
 
     def __init__(self, path: str, split: str) -> None:
         with open(path, "rb") as lines:
@@ -97,27 +115,58 @@ class Encoder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(split).findall
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.old.get(piece)
+        self.whole = split != pattern()  # nothing is known of another pattern
+        # By what follows a space; and of pieces that begin otherwise.
+        self.parts: list[dict[str, bytes]] = [{}, {}]
+        self.pieces: list[dict[str, bytes]] = [{}, {}]
+
+    def _merged(self, piece: str) -> bytes:
+        ids = merge_piece(piece.encode("utf-8"), self.ranks)
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
+    def _joined(self, part: str) -> bytes:
+        """The ids of a space and what follows it."""
+        if part.isascii() and part.isalpha():
+            return self._merged(f" {part}")  # one match of the split pattern
+        first, *rest = self.split(f" {part}")
+        if not rest:
+            return self._merged(first)
+        return b"".join(map(self.piece, (first, *rest)))
+
+    @staticmethod
+    def _known(memory: list[dict[str, bytes]], key: str, make: Callable[[str], bytes]) -> bytes:
+        young, old = memory
+        ids = young.get(key)
         if ids is None:
-            ids = merge_piece(piece.encode("utf-8"), self.ranks)
-            if len(piece) > MEMORY_LENGTH:
-                return ids
-        if len(self.young) >= MEMORY_PIECES:
-            self.old, self.young = self.young, {}
-        self.young[piece] = ids
+            ids = old.get(key)
+            if ids is None:
+                ids = make(key)
+                if len(key) > MEMORY_LENGTH:
+                    return ids
+            if len(young) >= MEMORY_PIECES:
+                memory[1], memory[0] = young, {}
+            memory[0][key] = ids
         return ids
 
+    def piece(self, piece: str) -> bytes:
+        """The ids of a piece, packed as unsigned 32-bit integers."""
+        if not self.whole and piece[0] == " " and len(piece) > 1 and not piece[1].isspace():
+            return self._known(self.parts, piece[1:], self._joined)
+        return self._known(self.pieces, piece, self._merged)
+
+    def packed(self, text: str) -> bytes:
+        if self.whole or _RUN_AFTER_SPACE.search(text):
+            return b"".join(map(self.piece, self.split(text)))
+        first, *rest = text.split(" ")
+        known = list(map(self.parts[0].get, rest))
+        if None in known:
+            for i, ids in enumerate(known):
+                if ids is None:
+                    known[i] = self._known(self.parts, rest[i], self._joined)
+        return b"".join([*map(self.piece, self.split(first)), *known])
+
     def encode(self, text: str) -> list[int]:
-        pieces = self.split(text)
-        known = list(map(self.young.get, pieces))
-        for i, ids in enumerate(known):
-            if ids is None:
-                known[i] = self.young.get(pieces[i]) or self.piece(pieces[i])
-        return list(chain.from_iterable(known))
+        return np.frombuffer(self.packed(text), dtype="<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -139,8 +188,11 @@ def encode_documents(
     path, split = path or vocabulary(VOCABULARY), split or pattern()
 
     def run(texts: list) -> list:
-        encode = encoder(path, split).encode
-        return [[encode(t) if t else [] for t in texts]]
+        packed = encoder(path, split).packed
+        ids = [packed(t) if t else b"" for t in texts]
+        ends = np.cumsum([0, *map(len, ids)]) // 4
+        flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
 
     return map_batches(docs, [text_col], run, f"`{out}` array<int>", [c for c in docs.columns if c != out])
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch that become Python objects at a time.
+SLICE_BYTES = 4 << 20
 #: One run of ASCII white space, where it isn't a single space already.
 _RUN = r"\x20[\x20\x09-\x0D]++|[\x09-\x0D][\x20\x09-\x0D]*+"
 
@@ -53,12 +55,23 @@ def ship(spark: SparkSession) -> None:
     context._larder_shipped = True
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in parts of about ``SLICE_BYTES``, or of one row that is larger."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.nbytes)))
+        for first in range(0, batch.num_rows, step):
+            yield batch.slice(first, step)
+
+
 def map_batches(
     df: DataFrame, columns: list[str], fn: Callable[..., list], schema: str, keep: list[str] | None = None
 ) -> DataFrame:
     """``keep`` columns as they are, and those of ``schema`` from ``fn(*lists of columns)``.
 
-    ``fn`` gets one list for each of ``columns`` and returns one list for each column of ``schema``.
+    ``fn`` gets one list for each of ``columns`` and returns one list, or
+    Arrow array, for each column of ``schema``.
+    It gets the rows of about ``SLICE_BYTES`` at a time, as Python objects take many times the room
+    of a column.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -71,9 +84,11 @@ def map_batches(
     out = StructType([*[df.schema[c] for c in keep], *made.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             values = fn(*[batch.column(c).to_pylist() for c in columns])
-            arrays = [pa.array(v, type=t) for v, t in zip(values, kinds, strict=True)]
+            arrays = [
+                v.cast(t) if isinstance(v, pa.Array) else pa.array(v, type=t) for v, t in zip(values, kinds, strict=True)
+            ]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *arrays], names=out.names)
 
     return read.mapInArrow(run, out)
@@ -84,7 +99,7 @@ def filter_batches(df: DataFrame, column: str, keeps: Callable[[list], list[bool
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(keeps(batch.column(column).to_pylist()), type=pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

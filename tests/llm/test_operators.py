@@ -134,7 +134,7 @@ def test_byte_bpe_memory_stays_bounded(monkeypatch):
     encoder = byte_bpe.Encoder(vocabulary(byte_bpe.VOCABULARY), byte_bpe.pattern())
     text = prose(3, 500)
     assert encoder.encode(text) == encoder.encode(text) == own.encode_ordinary(text)
-    assert len(encoder.young) <= 10 and len(encoder.old) <= 10
+    assert all(len(m) <= 10 for m in [*encoder.pieces, *encoder.parts])
 
 
 def brute_contamination(text, items, n=13):
