@@ -385,14 +385,17 @@ def test_toxicity_on_held_out_rows_and_neutral_mentions(spark, empty):
     assert {i for i, r in got.items() if r.held_out} == {i for i, _ in held}
     assert sum(got[i].predicted == y for i, y in held) >= 0.97 * len(held)
     assert all(r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for r in got.values())
-    model = toxicity.train(df, labels)
-    plain = toxicity.fit([(toxicity.words(t), y) for i, t, y in data], swap=0.0, sets=())
+    model = toxicity.train(df, labels.where("doc_id != 3"))
+    plain = toxicity.fit_texts([(t, y) for i, t, y in data], sets=())
+    held_in = [(t, y) for i, t, y in data if zlib.crc32(str(i).encode()) % 3 != 1]
+    local = toxicity.fit_texts(held_in)
+    assert all(abs(local.score(t) - model.score(t)) < 0.02 for t, _ in held_in[:50])
     text = "w1 w2 w3 {} w4 w5"
     change = [abs(model.score(text.format(g)) - model.score(text.format("people"))) for g in ("muslims", "women", "immigrants")]
     before = [abs(plain.score(text.format(g)) - plain.score(text.format("people"))) for g in ("muslims", "women", "immigrants")]
     assert max(change) < 0.1 < max(before)
     assert all(model.score(text.format(g)) < 0.7 for g in toxicity.IDENTITY_SETS[0])
-    kept = toxicity.remove_toxic(df, model)
+    kept = toxicity.remove_toxic(df, toxicity.train(df, labels))
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
     assert toxicity.toxicity(empty, labels).count() == 0
 
