@@ -170,6 +170,73 @@ from paths left join named using (doc_id)
 """
 
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": _OP1, "op4_url_reputation": _OP4, "op9_licences": _licence_sql()}
+_URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*)([^?]*)\??([\s\S]*)$"
+_OP2 = rf"""
+with cut as (
+    select page_id, html, coalesce(html, '') as body, regexp_replace(url, '#[\s\S]*$', '') as whole from pages
+), parts as (
+    select *, lower(regexp_extract(whole, '{_URL}', 1)) as scheme, lower(regexp_extract(whole, '{_URL}', 2)) as host,
+        regexp_extract(whole, '{_URL}', 3) as path,
+        list_sort(list_filter(string_split(regexp_extract(whole, '{_URL}', 4), '&'), lambda p: p <> '' and not starts_with(p, 'utm_'))) as args
+    from cut
+), named as (
+    select page_id, html, case when scheme <> '' and host <> '' then scheme || '://' || regexp_replace(host,
+            case scheme when 'http' then ':80$' when 'https' then ':443$' else '^$' end, '')
+            || case when path = '' then '/' else path end || case when len(args) > 0 then '?' || array_to_string(args, '&') else '' end end as url,
+        1704067200 + page_id * 3600 as at, 1704067200 + page_id * 3600 + case when page_id % 7 = 0 then -3600 else 180000 end as again,
+        '"' || md5(body) || '"' as etag, strftime(make_timestamp((1704067200 + page_id * 3600) * 1000000), '%Y-%m-%d') || 'T00:00:00' as modified,
+        strlen(body) as size
+    from parts
+), latest as (
+    select v.page_id, arg_max(r.page_id, (r.at, 'response-' || r.page_id)) as source
+    from named v join named r on r.url = v.url and r.at < v.again group by 1
+), asked as (
+    select v.*, r.page_id as source, r.html as payload, r.etag as stored_tag, r.size as stored_size,
+        case when r.page_id is null then 'no_response'
+            when case when v.page_id % 3 <> 0 then v.etag = r.etag else v.modified = r.modified end then 'resolved' else 'mismatch' end as outcome
+    from named v left join latest l on l.page_id = v.page_id left join named r on r.page_id = l.source
+)
+select 'response-' || page_id as record_id, url, 'response' as warc_type, 'response' as outcome, null as refers_to,
+    array_to_string(['Cache-Control: max-age=60', 'Content-Length: ' || size, 'Content-Type: text/html', 'ETag: ' || etag, 'Last-Modified: ' || modified],
+        chr(10)) as headers, sha256(html) as payload_sha256 from named
+union all
+select 'revisit-' || page_id, url, 'revisit', outcome, 'response-' || source,
+    array_to_string(list_filter(case when outcome = 'resolved' then
+        ['Age: ' || page_id % 60, 'Content-Length: ' || stored_size, 'Content-Type: text/html',
+         'ETag: ' || case when page_id % 3 <> 0 then 'W/' || etag else stored_tag end, 'Last-Modified: ' || modified, 'cache-control: max-age=600']
+        else ['Age: ' || page_id % 60, 'Content-Length: 0', case when page_id % 3 <> 0 then 'ETag: W/' || etag end, 'Last-Modified: ' || modified,
+         'cache-control: max-age=600'] end, lambda h: h is not null), chr(10)),
+    case when outcome = 'resolved' then sha256(payload) end
+from asked
+"""
+
+_WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+_OP10 = f"""
+with docs as (
+    select doc_id, {_WORDS} as w from documents
+), items as (
+    select coalesce(item_id::varchar, 'null') as name, {_WORDS} as w from benchmark
+), windows as (
+    select distinct name, s, array_to_string(w[i:i + s - 1], ' ') as gram
+    from (select name, w, least(13, len(w)) as s, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from items where len(w) > 0)
+), grams as (
+    select doc_id, i, s, array_to_string(w[i:i + s - 1], ' ') as gram
+    from (select doc_id, w, s, unnest(range(1, len(w) - s + 2)) as i from docs, (select distinct s from windows) where len(w) >= s)
+), found as (
+    select doc_id, i, s, name from grams join windows using (gram, s)
+), hits as (
+    select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(i, i + s)) as p from found) group by 1
+), named as (
+    select doc_id, count(distinct name) as n_items, string_agg(distinct name, ',' order by name) as names from found group by 1
+)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) as contaminated
+from docs left join hits using (doc_id) left join named using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op10_decontaminate": _OP10, "op1_exact_dedup": _OP1, "op2_warc_revisits": _OP2, "op4_url_reputation": _OP4, "op9_licences": _licence_sql()}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
