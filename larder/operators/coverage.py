@@ -16,7 +16,7 @@ from larder.operators.common import evaluate
 # Kitchens per salt of an atom in the candidate join.
 SALT_ROWS = 20_000
 # Items a kitchen may own for its pairs to carry them as arrays; larger kitchens are joined per line.
-MAX_ARRAY_ITEMS = 2_000
+MAX_ARRAY_ITEMS = 1_000
 ANYTHING = "\u0001any"
 FAMILY = "\u0001family"
 
