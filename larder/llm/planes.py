@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import map_batches, ship, vocabulary
+from larder.llm.common import map_batches, ship, sliced, vocabulary
 from larder.session import checkpoint_dir
 
 VOCABULARY = "word_bpe_49k.json"
@@ -39,7 +39,8 @@ LEVEL = 3
 _HEAD = struct.Struct("<4sHHII")
 _PART = np.dtype([("doc_id", "<i8"), ("none", "u1"), ("first", "<u4"), ("ids", "<u4")])
 #: Words kept of either generation of a tokenizer's memory, and the longest word that is kept, in bytes.
-MEMORY_WORDS, MEMORY_LENGTH = 150_000, 64
+MEMORY_WORDS, MEMORY_LENGTH = 250_000, 64
+_MARKS = (b".", b",", b";", b":", b"!", b"?")
 
 
 class WordTokenizer:
@@ -47,7 +48,10 @@ class WordTokenizer:
 
     The file's normaliser makes every run of white space one space and its splitter drops that, so
     no token reaches over one: the words between ASCII white space can be encoded each on its own,
-    and frequent ones are remembered. Strings of special tokens are ordinary text.
+    and frequent ones are remembered. A-Z is lower-cased beforehand, as the normaliser does, unless
+    the text may hold combining marks, which could join a letter in one case only. Words of the
+    letters a-z are one part of the splitter and go to the model as they are, and so does a mark after them;
+    others go the library's whole way. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,12 +60,46 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model.tokenize
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        # Files that treat letters otherwise get none of the short ways.
+        probes = [b"plainness", b"zq", b"plainness,", b"zq?", b"a."]
+        self.lowers = self._whole([b"Plain"]) == self._whole([b"plain"])
+        self.short = self.lowers and [self._short(w) for w in probes] == self._whole(probes)
+
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word by the library, in one call."""
+        coded = self.tokenizer.encode([w.decode("utf-8") for w in words], is_pretokenized=True, add_special_tokens=False)
+        ends = 4 * np.cumsum(np.bincount(np.array(coded.word_ids, dtype=np.int64), minlength=len(words)))
+        packed, begin, out = np.array(coded.ids, dtype="<u4").tobytes(), 0, []
+        for end in ends.tolist():
+            out.append(packed[begin:end])
+            begin = end
+        return out
+
+    def _letters(self, word: bytes) -> bytes:
+        ids = self.young.get(word) or self.old.get(word)
+        if ids is None:
+            found = [t.id for t in self.model(word.decode("ascii"))]
+            ids = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
+    def _short(self, word: bytes) -> bytes | None:
+        """The ids of letters a-z, or of these and one mark; None for other words."""
+        if word.isalpha() and word.islower():
+            return self._letters(word)
+        if word[-1:] in _MARKS and word[:-1].isalpha() and word[:-1].islower():
+            return self._letters(word[:-1]) + self._letters(word[-1:])
+        return None
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t.encode("utf-8").lower() if t.isascii() else t.encode("utf-8")).split() if t else [] for t in texts]
-        out: list[bytes | None] = []
+        split = []
+        for text in texts:
+            data = text.encode("utf-8") if text else b""
+            if self.lowers and b"\xcc" not in data and b"\xcd" not in data:  # U+0300 to U+036F begin so
+                data = data.lower()
+            split.append(data.split())
         fresh: dict[bytes, bytes] = {}
         missing: dict[bytes, None] = {}
         young, old = self.young, self.old
@@ -73,18 +111,22 @@ class WordTokenizer:
                         missing[word] = None
                     else:
                         young[word] = ids
-        unknown = list(missing)
-        for i in range(0, len(unknown), 4096):
-            some = unknown[i : i + 4096]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)
-            fresh.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(some, coded, strict=True))
+        long = []
+        for word in missing:
+            ids = self._short(word) if self.short else None
+            if ids is None:
+                long.append(word)
+            else:
+                fresh[word] = ids
+        for i in range(0, len(long), 4096):
+            fresh.update(zip(long[i : i + 4096], self._whole(long[i : i + 4096]), strict=True))
         young.update((w, ids) for w, ids in fresh.items() if len(w) <= MEMORY_LENGTH)
-        find = young.__getitem__
+        find, out = young.__getitem__, []
         for words in split:
             try:
                 out.append(b"".join(map(find, words)))
             except KeyError:
-                out.append(b"".join([young.get(w) or fresh.get(w, b"") for w in words]))
+                out.append(b"".join([young[w] if w in young else fresh[w] for w in words]))
         if len(young) > MEMORY_WORDS:
             self.old, self.young = young, {}
         return out
@@ -199,7 +241,7 @@ def write_token_files(
                 })
                 number += 1
 
-        for batch in batches:
+        for batch in sliced(batches):
             names = batch.column("doc_id").to_pylist()
             for name, ids in zip(names, tokenizer(path).batch(batch.column("text").to_pylist()), strict=True):
                 yield from rows(cut.add(name, np.frombuffer(ids + closing, dtype="<u4")))
