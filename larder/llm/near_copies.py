@@ -32,6 +32,8 @@ from larder.session import materialize
 
 WORDS, SIMILARITY = 5, 0.8
 VIEWS, SAMPLE, PAIRED = 8, 3, 8
+#: Members of a bucket that meet its centre in one group of rows; a larger bucket has several.
+SALTED = 64
 _RNG = np.random.default_rng(20)
 _MIX = _RNG.integers(1, 1 << 63, size=(2, 64), dtype=np.uint64) | np.uint64(1)
 
@@ -77,29 +79,42 @@ def _centres(members: DataFrame) -> DataFrame:
         for k in range(64):
             value = value.bitwiseOR(F.when(2 * F.col(f"{column}{k}") > F.col("of"), F.lit(_signed(1 << k))).otherwise(F.lit(0).cast("long")))
         majority.append(value.alias(f"m_{column}"))
-    counted = materialize(counted.select("t", "key", *majority))
+    counted = materialize(counted.select("t", "key", _salts(F.col("of")).alias("salt"), *majority))
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
     away = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"m_{c}"))) for c in ("fp", "second"))
-    judged = members.join(weight, "node").join(counted, ["t", "key"])
-    return judged.groupBy("t", "key").agg(
-        F.min(F.struct(away.alias("away"), (-F.col("weight")).alias("weight"), "node")).alias("near"),
-        F.max(F.struct("weight", "node")).alias("well"),
-    ).select("t", "key", F.array_distinct(F.array("near.node", "well.node")).alias("centres"))
+    judged = members.join(weight, "node").join(counted, ["t", "key", "salt"])
+    near = F.struct(away.alias("away"), (-F.col("weight")).alias("weight"), "node")
+    parts = judged.groupBy("t", "key", "salt").agg(F.min(near).alias("near"), F.max(F.struct("weight", "node", "n")).alias("well"))
+    found = parts.groupBy("t", "key").agg(F.min("near").alias("near"), F.max("well").alias("well"))
+    centres = F.array_distinct(F.array("near.node", "well.node"))
+    return found.select("t", "key", centres.alias("centres"), F.col("well.n").alias("n")).select(
+        "t", "key", "centres", _salts(F.col("n")).alias("salt")
+    )
+
+
+def _salts(n: Column) -> Column:
+    """One row for every ``SALTED`` members of a bucket, so that no task joins a whole large one."""
+    return F.explode(F.sequence(F.lit(0), F.floor((n - 1) / SALTED).cast("int")))
+
+
+def _salt(n: Column, node: Column) -> Column:
+    return F.pmod(F.xxhash64(node), F.floor((n - 1) / SALTED).cast("long") + 1).cast("int")
 
 
 def candidate_pairs(nodes: DataFrame, radius: int = RADIUS, paired: int = PAIRED) -> DataFrame:
     """a, b: distinct pairs of nodes with a < b that meet in a bucket, from node, fp, second and views."""
     covering = [F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in covering_masks(radius)]
     spread = nodes.select("node", "fp", "second", F.posexplode(F.concat("views", F.array(*covering))).alias("t", "key"))
-    company = spread.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that both sides of the join are plain shuffles, whose large keys are split at run time.
+    company = materialize(spread.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = materialize(spread.join(company, ["t", "key"]))
     few = members.where(F.col("n") <= paired).groupBy("t", "key").agg(F.sort_array(F.collect_list("node")).alias("all"))
     after = F.transform(
         F.col("all"), lambda x, i: F.struct(x.alias("a"), F.slice(F.col("all"), i + 2, paired).alias("later"))
     )
     few = few.select(F.explode(after).alias("x")).select("x.a", F.explode("x.later").alias("b"))
-    many = members.where(F.col("n") > paired)
-    many = many.select("t", "key", "node").join(_centres(many), ["t", "key"])
+    many = members.where(F.col("n") > paired).withColumn("salt", _salt(F.col("n"), F.col("node")))
+    many = many.select("t", "key", "salt", "node").join(_centres(many), ["t", "key", "salt"])
     many = many.select("node", F.explode("centres").alias("other")).where("node != other")
     many = many.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     return few.union(many).distinct()
