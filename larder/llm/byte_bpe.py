@@ -24,7 +24,7 @@ from larder.llm.common import map_batches, vocabulary
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces kept of either generation of an encoder's memory, and the longest piece that is kept.
-MEMORY_PIECES, MEMORY_LENGTH = 300_000, 64
+MEMORY_PIECES, MEMORY_LENGTH = 200_000, 64
 #: Nodes below an inner node of the segment tree.
 FAN = 16
 #: A space before white space or the end. ``\s`` of ``re`` has every character that it has in the split pattern.

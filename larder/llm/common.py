@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a batch that become Python objects at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: One run of ASCII white space, where it isn't a single space already.
 _RUN = r"\x20[\x20\x09-\x0D]++|[\x09-\x0D][\x20\x09-\x0D]*+"
 

@@ -49,7 +49,7 @@ IDENTITY_SETS: tuple[tuple[str, ...], ...] = (
 )
 _WORD = re.compile(r"\w+")
 #: Letters of a stem. Words that a model remembers at most.
-STEMS, MEMORY_WORDS = (4, 5, 6), 300_000
+STEMS, MEMORY_WORDS = (4, 5, 6), 100_000
 
 
 def words(text: str | None) -> set[str]:
