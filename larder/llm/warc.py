@@ -119,22 +119,23 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     for c in ("record_id", "etag", "modified"):
         match = match & F.col(c).eqNullSafe(F.col(f"a_{c}"))
     asked = asked.join(answers, match, "left").withColumn("outcome", F.coalesce("outcome", F.lit("no_response")))
+    asked = materialize(asked.select("record_id", "url", "warc_date", "warc_type", "headers", "outcome", "refers_to"))
     bodies = rows.where("full").groupBy(F.col("record_id").alias("source")).agg(
         F.min(F.struct("headers", "payload")).alias("body")
     )
-    wanted = F.when(F.col("outcome") == "resolved", F.col("refers_to"))
-    joined = asked.withColumn("wanted", wanted).join(bodies, F.col("wanted") == F.col("source"), "left")
-    headers = F.when(F.col("outcome") == "resolved", merged_headers(F.col("body.headers"), F.col("headers")))
+    # Only what is resolved looks for a body; the others have no key and would all meet in one task.
+    found = asked.where("outcome = 'resolved'").join(bodies, F.col("refers_to") == F.col("source"), "left")
     out = ["record_id", "url", "warc_date", "warc_type"]
-    resolved = joined.select(
-        *out, "outcome", "refers_to", F.coalesce(headers, F.array_sort("headers")).alias("headers"),
-        F.col("body.payload").alias("payload"),
+    headers = merged_headers(F.coalesce("body.headers", F.array().cast(HEADERS)), F.col("headers"))
+    resolved = found.select(*out, "outcome", "refers_to", headers.alias("headers"), F.col("body.payload").alias("payload"))
+    open_ = asked.where("outcome != 'resolved'").select(
+        *out, "outcome", "refers_to", F.array_sort("headers").alias("headers"), F.lit(None).cast("string").alias("payload")
     )
     plain = rows.where(~F.coalesce(revisit, F.lit(False))).select(
         *out, F.lit("response").alias("outcome"), F.lit(None).cast("string").alias("refers_to"),
         F.array_sort("headers").alias("headers"), "payload",
     )
-    return plain.unionByName(resolved)
+    return plain.unionByName(resolved).unionByName(open_)
 
 
 def captures(pages: DataFrame) -> DataFrame:
