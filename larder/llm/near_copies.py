@@ -8,10 +8,12 @@ several fingerprints: that of its whole text, with covering tables for ``RADIUS`
 documents of similarity J agree in a view of three shingles with a chance of about J ** 3, so a
 pair at 0.8 is missed by all eight in 3 of 1000 cases. Every proposed pair is checked exactly.
 
-A bucket of at most ``PAIRED`` documents proposes all its pairs. In a larger one each document is
-paired with two members: the bucket's centre, whose fingerprints are nearest to the majority of
-each bit over the bucket, as those of a text are from which the others were copied; and the member
-that shares most buckets with most others.
+A bucket of at most ``PAIRED`` documents proposes all its pairs. The members of larger ones are
+joined exactly. Each is first paired with two members of its bucket, which connects most of a large
+group of copies: the centre, whose fingerprints are nearest to the majority of each bit over the
+bucket, as those of a text are from which the others were copied; and the member that shares most
+buckets with most others. Then all pairs of members that are not connected yet are found by their
+rarest shingles (``crowded_pairs``), so none is lost, however many unrelated texts share a passage.
 
 Texts with the same words are one node, whatever their white space and case; null and empty texts
 are such a node. Of a group the smallest doc_id stays, a null id only where there's no other; rows
@@ -21,6 +23,8 @@ gives an empty result. All columns are kept, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +38,8 @@ WORDS, SIMILARITY = 5, 0.8
 VIEWS, SAMPLE, PAIRED = 8, 3, 8
 #: Members of a bucket that meet its centre in one group of rows; a larger bucket has several.
 SALTED = 64
+#: Rows of one shingle that meet all others of it in one group of rows.
+CROWD = 1024
 _RNG = np.random.default_rng(20)
 _MIX = _RNG.integers(1, 1 << 63, size=(2, 64), dtype=np.uint64) | np.uint64(1)
 
@@ -101,8 +107,12 @@ def _salt(n: Column, node: Column) -> Column:
     return F.pmod(F.xxhash64(node), F.floor((n - 1) / SALTED).cast("long") + 1).cast("int")
 
 
-def candidate_pairs(nodes: DataFrame, radius: int = RADIUS, paired: int = PAIRED) -> DataFrame:
-    """a, b: distinct pairs of nodes with a < b that meet in a bucket, from node, fp, second and views."""
+def candidate_pairs(nodes: DataFrame, radius: int = RADIUS, paired: int = PAIRED) -> tuple[DataFrame, DataFrame]:
+    """From node, fp, second and views: distinct pairs (a, b) with a < b that meet in a bucket, and the crowd.
+
+    The pairs are all those of small buckets, and of large ones those with its centres. The crowd is
+    the nodes of large buckets.
+    """
     covering = [F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in covering_masks(radius)]
     spread = nodes.select("node", "fp", "second", F.posexplode(F.concat("views", F.array(*covering))).alias("t", "key"))
     # Written, so that both sides of the join are plain shuffles, whose large keys are split at run time.
@@ -114,10 +124,58 @@ def candidate_pairs(nodes: DataFrame, radius: int = RADIUS, paired: int = PAIRED
     )
     few = few.select(F.explode(after).alias("x")).select("x.a", F.explode("x.later").alias("b"))
     many = members.where(F.col("n") > paired).withColumn("salt", _salt(F.col("n"), F.col("node")))
+    crowd = many.select("node").distinct()
     many = many.select("t", "key", "salt", "node").join(_centres(many), ["t", "key", "salt"])
     many = many.select("node", F.explode("centres").alias("other")).where("node != other")
     many = many.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    return few.union(many).distinct()
+    return few.union(many).distinct(), crowd
+
+
+def crowded_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: pairs of nodes of different ``root``, from node, root and shingles; none that is similar enough is missing.
+
+    With shingles in one order, rarest first, two similar sets share one of their first fifth (and one more), and
+    from the first shared one on both have as many left as they must share. Shingles of one set only can't be
+    shared, so they count but are not carried. Of a shingle's rows those of its most frequent root
+    meet only the others, so a large connected group is not paired with itself.
+    """
+    size = F.size("shingles")
+    # Rounding may lengthen a prefix by one, but not shorten it.
+    prefix = (size - F.ceil(similarity * size - F.lit(1e-6)) + 1).cast("int")
+    rows = sets.select("node", "root", size.alias("size"), prefix.alias("prefix"), F.explode("shingles").alias("s"))
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("of")).where("of > 1")
+    ordered = rows.join(often, "s").groupBy("node", "root", "size", "prefix").agg(
+        F.sort_array(F.collect_list(F.struct("of", "s"))).alias("shared")
+    )
+    alone = F.col("size") - F.size("shared")
+    first = F.slice("shared", 1, F.greatest(F.col("prefix") - alone, F.lit(0)))
+    placed = ordered.select("node", "root", "size", alone.alias("alone"), F.posexplode(first).alias("i", "x"))
+    # left: how many shingles a node has from this one on.
+    placed = materialize(placed.select("node", "root", "size", (F.col("size") - F.col("alone") - F.col("i")).alias("left"), "x.s"))
+    counted = placed.groupBy("s", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("s").agg(
+        F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all")
+    )
+    counted = counted.where(F.col("all") > F.col("most.n"))
+    mixed = materialize(counted.select("s", F.col("most.root").alias("most"), (F.col("all") - F.col("most.n")).alias("n")))
+    salts = F.floor((F.col("n") - 1) / CROWD).cast("int")
+    known = placed.join(mixed, "s")
+    others = known.where("root != most").withColumn("salt", F.pmod(F.xxhash64("node"), salts + 1).cast("int"))
+    every = known.withColumn("salt", F.explode(F.sequence(F.lit(0), salts)))
+    x = others.select("s", "salt", *[F.col(c).alias(f"{c}_x") for c in ("node", "root", "size", "left")])
+    y = every.select("s", "salt", *[F.col(c).alias(f"{c}_y") for c in ("node", "root", "size", "left")])
+    needed = F.lit(similarity / (1 + similarity)) * (F.col("size_x") + F.col("size_y")) - F.lit(1e-6)
+    near = F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y")
+    met = x.join(y, ["s", "salt"]).where((F.col("root_x") != F.col("root_y")) & near & (F.least("left_x", "left_y") >= needed))
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs whose sets are similar enough."""
+    sets = sets.select("node", "shingles")
+    both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+    shared = F.size(F.array_intersect("left", "right"))
+    enough = shared >= similarity * (F.size("left") + F.size("right") - shared)
+    return both.where(enough).select("a", "b")
 
 
 def near_copy_links(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -125,23 +183,31 @@ def near_copy_links(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR
     rows = docs.select(node_of(F.col("text")).alias("node"), "doc_id", "text")
     marks = materialize(_marks(rows, n))
     nodes = marks.groupBy("node").agg(F.first("fp").alias("fp"), F.first("second").alias("second"), F.first("views").alias("views"), F.first("size").alias("size"))
-    pairs = candidate_pairs(nodes)
+    pairs, crowd = candidate_pairs(nodes)
     sizes = nodes.select("node", "size")
     pairs = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
     # Sets whose sizes differ more can't be similar enough.
     pairs = pairs.where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
-    pairs = materialize(pairs.select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    pairs, crowd = materialize(pairs.select("a", "b")), materialize(crowd)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd).distinct()
     texts = rows.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
     def run(values: list) -> list:
-        return [[np.unique(shingle_hashes(words(t), n)).view(np.int64).tolist() for t in values]]
-
-    sets = materialize(map_batches(texts, ["text"], run, "shingles array<long>", ["node"]))
-    both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
-    shared = F.size(F.array_intersect("left", "right"))
-    enough = shared >= similarity * (F.size("left") + F.size("right") - shared)
-    return marks.select("node", "doc_id"), both.where(enough).select("a", "b")
+        found = [np.unique(shingle_hashes(words(t), n)) for t in values]
+        return [[f.view(np.int64).tolist() for f in found], [hashlib.md5(f.tobytes()).digest() for f in found]]
+
+    sets = materialize(map_batches(texts, ["text"], run, "shingles array<long>, digest binary", ["node"]))
+    marks, links = marks.select("node", "doc_id"), _similar(pairs, sets, similarity)
+    if crowd.isEmpty():
+        return marks, links
+    crowd = sets.join(crowd, "node", "left_semi")
+    # Nodes with the same shingles are one in the join.
+    firsts = crowd.groupBy("digest").agg(F.min("node").alias("a"))
+    equal = crowd.select("digest", F.col("node").alias("b")).join(firsts, "digest").where("a != b").select("a", "b")
+    links = materialize(links.union(equal))
+    crowd = crowd.join(firsts.select(F.col("a").alias("node")), "node", "left_semi")
+    crowd = crowd.join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "shingles")
+    return marks, links.union(_similar(crowded_pairs(crowd, similarity), sets, similarity))
 
 
 def remove_near_copies(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

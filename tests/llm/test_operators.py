@@ -310,6 +310,42 @@ def test_near_copies(spark, empty):
     assert near_copies.remove_near_copies(empty).count() == 0
 
 
+def test_near_copies_among_pages_of_one_template(spark):
+    """Twins of 0.8 and more are found in a bucket of hundreds that share most of their text."""
+    rng, texts = random.Random(11), []
+    template = prose(77, 200, 10**5)
+    for k in range(300):
+        texts.append(f"{template} {prose(20_000 + k, 34, 10**6)}")
+    for k in range(12):
+        twin = texts[20 * k].split()
+        for at in (202, 208, 214, 220, 226):
+            twin[at] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(twin))
+    twice = "one two three four five six seven eight nine "
+    texts += [twice * 3, twice * 4]
+    near = [(a, b) for a in range(300) for b in range(300, 312) if jaccard(texts[a], texts[b]) >= 0.8]
+    assert len(near) == 12
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in near_copies.remove_near_copies(df).collect()}
+    assert kept == set(range(313)) - {b for _, b in near}
+
+
+def test_crowded_pairs_miss_no_similar_pair(spark):
+    rng = random.Random(3)
+    base, sets = rng.sample(range(10**6), 60), []
+    for _ in range(150):
+        sets.append(sorted({*rng.sample(base, rng.randrange(40, 61)), *rng.sample(range(10**6), rng.randrange(8))}))
+    sets += [sorted(rng.sample(range(40), rng.randrange(1, 8))) for _ in range(80)]
+    rows = [(i, i if i % 3 else 0, s) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, root long, shingles array<long>")
+    got = {(r.a, r.b) for r in near_copies.crowded_pairs(df).collect()}
+    similar = {
+        (i, j) for i, p, a in rows for j, q, b in rows[i + 1 :]
+        if p != q and len({*a} & {*b}) >= 0.8 * len({*a} | {*b})
+    }
+    assert similar <= got and len(similar) > 100
+
+
 def test_token_files(spark, docs, rows, empty, tmp_path):
     from tokenizers import Tokenizer
 
