@@ -1,9 +1,11 @@
 """Licence scans: known sentences by their normalised words, then ordered rules over their identifiers.
 
 A sentence ends after ``.``, ``!`` or ``?`` before white space, at a blank line, and before a list
-mark at the start of a line. Other line ends and comment marks are white space. A sentence is
-normalised to lower-case words of a-z, 0-9, dots and hyphens, one space between them. Known
-sentences map to identifiers; others don't count. A rule is a list of identifiers; it is found
+mark at the start of a line. Other line ends and comment marks are white space inside a known
+sentence, but one may also begin and end at them: of the lines of a sentence, each run that makes a
+known one counts, from the first line on and the longest first. A sentence is normalised to
+lower-case words of a-z, 0-9, dots and hyphens, one space between them. Known sentences map to
+identifiers; others don't count. A rule is a list of identifiers; it is found
 where these follow each other in the sequence of the text's known sentences. A rule that stands
 inside a longer rule is not reported where the longer one is found.
 
@@ -120,18 +122,16 @@ STEPS: tuple[tuple[str, str], ...] = (
     (r"[\x00-\x1D\x1F-\x2C\x2F\x3A-\x60\x7B-\x7F]+", " "),
 )
 _EDGE = " .-"
-
-
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text. The whole text goes through each step once."""
-    body = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, to in STEPS:
-        body = F.regexp_replace(body, pattern, to)
-    return F.transform(F.split(body, "\x1e"), lambda s: F.btrim(s, F.lit(_EDGE)))
+#: The last step in two parts, for texts whose remaining line ends are kept as ``\\x1D``.
+LINE_STEPS: tuple[tuple[str, str], ...] = (
+    *STEPS[:-1],
+    (r"[\x00-\x09\x0B\x0C\x0E-\x1D\x1F-\x2C\x2F\x3A-\x60\x7B-\x7F]+", " "),
+    (r"\x20?[\r\n][\x20\r\n]*", "\x1d"),
+)
 
 
 def normalised(sentence: str) -> list[str]:
-    """``sentences`` for one string, for the table of known ones."""
+    """The normalised sentences of a string, for the table of known ones."""
     body = sentence.lower()
     for pattern, to in STEPS:
         body = re.sub(pattern, to, body)
@@ -150,9 +150,18 @@ def known_sentences(table: Mapping[str, str] = SENTENCES) -> dict[str, str]:
 
 
 def known_in(text: Column, table: Mapping[str, str] = SENTENCES) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
-    pairs = [F.lit(x) for pair in known_sentences(table).items() for x in pair]
-    return F.filter(F.transform(sentences(text), lambda s: F.try_element_at(F.create_map(*pairs), s)), F.isnotnull)
+    """Identifiers of the known sentences of a text, in order. The whole text goes through each step once."""
+    known = known_sentences(table)
+    if not known:
+        return F.array().cast("array<string>")
+    body = F.lower(F.coalesce(text, F.lit("")))
+    for pattern, to in LINE_STEPS:
+        body = F.regexp_replace(body, pattern, to)
+    # Longer ones first, as the first that fits is taken. Words and hyphens need no escape.
+    either = "|".join(s.replace(".", r"\.").replace(" ", r"[ \x1D]") for s in sorted(known, key=lambda s: (-len(s), s)))
+    found = F.regexp_extract_all(body, F.lit(rf"(?<![^\x1D\x1E])[ .-]*+({either})[ .-]*(?![^\x1D\x1E])"), 1)
+    pairs = [F.lit(x) for pair in known.items() for x in pair]
+    return F.transform(found, lambda s: F.try_element_at(F.create_map(*pairs), F.translate(s, "\x1d", " ")))
 
 
 def path_of(names: Sequence[str]) -> str:

@@ -607,6 +607,50 @@ def test_layout_of_huge_and_broken_pages(spark):
     assert sorted(layout.extract(df).columns) == ["page_id", "rendered", "url"]
 
 
+def test_licence_lines_after_unpunctuated_lines(spark):
+    """Against SQL that cuts the lines of each paragraph into all their runs and takes the longest known one at each place."""
+    import duckdb
+
+    texts = [
+        "Heading\nReleased under the MIT License.\nmore words", "| a | b |\nLicensed under CC BY-NC 4.0.", "MIT License\nCopyright (c) 2020 X",
+        "x = 1\r\nThis work is licensed under the\r\n  GNU General Public License,\r\nversion 3.\r\ny", "not Released under the MIT License.",
+        "text\nReleased under the MIT License for some", "the\nThe\nMIT License\n(MIT)\nx", "- item\n# Licensed under CC BY 4.0.\nnext line",
+        "MIT License", "a\n-- MIT License --\nb\n\nISC\nLicense\nc", "", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    con.execute("create table known (sentence varchar, name varchar)")
+    con.executemany("insert into known values (?, ?)", list(licences.known_sentences().items()))
+    found = con.execute(r"""
+        with recursive bodies as (
+            select doc_id, regexp_split_to_array(regexp_replace(regexp_replace(lower(coalesce(text, '')), '\r', '', 'g'),
+                '\n[ \t]*(#+|//+|\*+)', chr(10), 'g'), '\n\s*\n|[.!?]\s+|\n[ \t]*(?:[0-9]+[.)]|-)[ \t]') as paragraphs from documents
+        ), cut as (
+            select doc_id, p, list_transform(string_split(paragraphs[p], chr(10)), lambda x: trim(regexp_replace(x, '[^a-z0-9.-]+', ' ', 'g'), ' ')) as l
+            from bodies, unnest(range(1, len(paragraphs) + 1)) as u(p)
+        ), runs as (
+            select doc_id, p, i, j, trim(regexp_replace(array_to_string(l[i:j], ' '), ' +', ' ', 'g'), ' .-') as run
+            from cut, unnest(range(1, len(l) + 1)) as a(i), unnest(range(1, len(l) + 1)) as b(j) where j >= i
+        ), hits as (
+            select doc_id, p, i, max(j) as j, arg_max(name, j) as name from runs join known on run = sentence group by doc_id, p, i
+        ), longest as (select doc_id, p, i, max(j) as j, arg_max(name, j) as name from hits group by doc_id, p, i
+        ), walk as (
+            select doc_id, p, i, j, name from longest a where not exists (select 1 from longest b where b.doc_id = a.doc_id and b.p = a.p and b.i < a.i)
+            union all
+            select a.doc_id, a.p, a.i, a.j, a.name from walk w join longest a on a.doc_id = w.doc_id and a.p = w.p and a.i > w.j
+            where not exists (select 1 from longest b where b.doc_id = a.doc_id and b.p = a.p and b.i > w.j and b.i < a.i)
+        )
+        select doc_id, '>' || coalesce(string_agg(name || '>', '' order by p, i), '') from documents left join walk using (doc_id) group by doc_id
+    """).fetchall()
+    got = licences.scan_licences(df).collect()
+    assert {(r.doc_id, r.path) for r in got} == set(found)
+    assert [r.licences for r in sorted(got, key=lambda r: r.doc_id)] == [
+        "MIT", "CC-BY-NC-4.0", "MIT", "GPL-3.0-only", "", "", "MIT", "CC-BY-4.0", "MIT", "MIT", "", ""
+    ]
+
+
 def test_licences(spark, docs, rows):
     mit = "MIT License\n\nCopyright (c) 2020 Someone\n\n" + "\n\n".join(licences.SENTENCES[k] for k in ("mit-grant", "mit-notice", "as-is-software"))
     wrapped = re.sub(r"(.{50}\S*) ", r"\1\n", mit)
