@@ -6,8 +6,8 @@ sentence, but one may also begin and end at them: of the lines of a sentence, ea
 known one counts, from the first line on and the longest first. A sentence is normalised to
 lower-case words of a-z, 0-9, dots and hyphens, one space between them. Known sentences map to
 identifiers; others don't count. A rule is a list of identifiers; it is found
-where these follow each other in the sequence of the text's known sentences. A rule that stands
-inside a longer rule is not reported where the longer one is found.
+where these follow each other in the sequence of the text's known sentences. An occurrence of
+a rule that lies inside one of a longer rule is not reported; one that lies elsewhere is.
 
 Null and empty texts have no sentences and no licences. Rows, also repeated ones and those with a
 null id, are scanned one by one. An empty table gives an empty result. Other columns are ignored.
@@ -168,6 +168,11 @@ def path_of(names: Sequence[str]) -> str:
     return ">" + "".join(f"{n}>" for n in names)
 
 
+def _apart(path: str) -> str:
+    """A path with marks of its own around each name, so that neighbouring occurrences share none."""
+    return path.replace(">", ">>")[1:-1]
+
+
 def covering_rules(rules: Sequence[tuple[str, str, tuple[str, ...]]]) -> dict[str, list[str]]:
     """For each rule's path, the paths of longer rules that it stands in."""
     paths = [path_of(names) for _, _, names in rules]
@@ -189,9 +194,10 @@ def scan_licences(
     longer, found = covering_rules(rules), []
     for licence, rule, names in rules:
         own = path_of(names)
-        here = F.col("path").contains(own)
-        for other in longer[own]:
-            here = here & ~F.col("path").contains(other)
+        left = F.replace(F.col("path"), F.lit(">"), F.lit(">>"))
+        for other in sorted(longer[own], key=len, reverse=True):
+            left = F.replace(left, F.lit(_apart(other)), F.lit("|"))
+        here = left.contains(_apart(own))
         found.append(F.when(here, F.struct(F.lit(licence).alias("licence"), F.lit(f"{licence}/{rule}").alias("rule"))))
     hits = F.when(F.col("n_known") > 0, F.filter(F.array(*found), F.isnotnull))
     rows = rows.select("doc_id", "n_known", "path", hits.alias("hits"))

@@ -651,6 +651,15 @@ def test_licence_lines_after_unpunctuated_lines(spark):
     ]
 
 
+def test_a_rule_beside_a_longer_one_is_reported(spark):
+    three, two = ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"], ["bsd-grant", "bsd-source", "bsd-binary"]
+    texts = [(three + two, "BSD-2-Clause,BSD-3-Clause"), (two + three, "BSD-2-Clause,BSD-3-Clause"), (three, "BSD-3-Clause"),
+             (three + three, "BSD-3-Clause"), (two + two, "BSD-2-Clause"), (three + ["mit-spdx"] + two + three, "BSD-2-Clause,BSD-3-Clause,MIT")]
+    rows = [(i, "\n\n".join(licences.SENTENCES[k] for k in names)) for i, (names, _) in enumerate(texts)]
+    got = licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licences for r in got} == {i: found for i, (_, found) in enumerate(texts)}
+
+
 def test_licences(spark, docs, rows):
     mit = "MIT License\n\nCopyright (c) 2020 Someone\n\n" + "\n\n".join(licences.SENTENCES[k] for k in ("mit-grant", "mit-notice", "as-is-software"))
     wrapped = re.sub(r"(.{50}\S*) ", r"\1\n", mit)
