@@ -12,15 +12,16 @@ import base64
 import functools
 import re
 import struct
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from larder.llm.common import map_batches, vocabulary
+from larder.llm.common import map_batches, ship, sliced, vocabulary
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces kept of either generation of an encoder's memory, and the longest piece that is kept.
@@ -171,6 +172,23 @@ class Encoder:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    @functools.cached_property
+    def table(self) -> pa.Array:
+        """The bytes of each id, null where there's none."""
+        return pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.binary())
+
+    def decode_lists(self, rows: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids; no id becomes a Python object. A null list gives null."""
+        parts = self.table.take(rows.flatten())
+        if parts.null_count:
+            raise ValueError("an id is unknown")
+        ends = np.concatenate([[0], np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        _, offsets, data = parts.buffers()
+        cuts = np.frombuffer(offsets, dtype="<i4")[parts.offset :][ends] if len(parts) else np.zeros(len(rows) + 1)
+        valid = pa.array(rows.is_valid()).buffers()[1] if rows.null_count else None
+        cuts = pa.py_buffer(np.ascontiguousarray(cuts, dtype="<i4"))
+        return pa.Array.from_buffers(pa.binary(), len(rows), [valid, cuts, data])
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, split: str) -> Encoder:
@@ -201,13 +219,17 @@ def decode_documents(
     docs: DataFrame, path: str | None = None, ids_col: str = "token_ids", out: str = "decoded"
 ) -> DataFrame:
     """Adds ``out`` binary, the bytes of the ids in ``ids_col``; null ids give null."""
-    path, split = path or vocabulary(VOCABULARY), pattern()
+    path, split, keep = path or vocabulary(VOCABULARY), pattern(), [c for c in docs.columns if c != out]
+    ship(docs.sparkSession)
+    made = StructType([*[docs.schema[c] for c in keep], StructField(out, BinaryType())])
+    names = made.names
 
-    def run(rows: list) -> list:
-        decode = encoder(path, split).decode
-        return [[None if ids is None else decode(ids) for ids in rows]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = encoder(path, split).decode_lists(batch.column(ids_col))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], found], names=names)
 
-    return map_batches(docs, [ids_col], run, f"`{out}` binary", [c for c in docs.columns if c != out])
+    return docs.select(*dict.fromkeys([*keep, ids_col])).mapInArrow(run, made)
 
 
 def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:

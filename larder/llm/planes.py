@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -51,13 +52,18 @@ class WordTokenizer:
     and frequent ones are remembered. A-Z is lower-cased beforehand, as the normaliser does, unless
     the text may hold combining marks, which could join a letter in one case only. Words of the
     letters a-z are one part of the splitter and go to the model as they are, and so does a mark after them;
-    others go the library's whole way. Strings of special tokens are ordinary text.
+    others go the library's whole way. A text that holds the string of an added token goes to the
+    library as it is, which looks for such strings before it normalises.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.library = Tokenizer.from_file(path)
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        # For words: lower-casing must not make the string of an added token.
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model.tokenize
@@ -94,42 +100,45 @@ class WordTokenizer:
         return None
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        split = []
+        young, old, out = self.young, self.old, []
+        missing: dict[bytes, bytes] = {}
+        gaps: list[tuple[list, int, bytes]] = []
         for text in texts:
+            if text and self.added(text):
+                ids = self.library.encode(text, add_special_tokens=False).ids
+                out.append([np.array(ids, dtype="<u4").tobytes()])
+                continue
             data = text.encode("utf-8") if text else b""
             if self.lowers and b"\xcc" not in data and b"\xcd" not in data:  # U+0300 to U+036F begin so
                 data = data.lower()
-            split.append(data.split())
-        fresh: dict[bytes, bytes] = {}
-        missing: dict[bytes, None] = {}
-        young, old = self.young, self.old
-        for words in split:
-            for word in words:
-                if word not in young:
-                    ids = old.get(word)
+            words = data.split()
+            known = list(map(young.get, words))
+            if None in known:
+                for i, ids in enumerate(known):
                     if ids is None:
-                        missing[word] = None
-                    else:
-                        young[word] = ids
+                        word = words[i]
+                        known[i] = ids = old.get(word)
+                        if ids is None:
+                            missing[word] = b""
+                            gaps.append((known, i, word))
+                        else:
+                            young[word] = ids
+            out.append(known)
         long = []
         for word in missing:
             ids = self._short(word) if self.short else None
             if ids is None:
                 long.append(word)
             else:
-                fresh[word] = ids
+                missing[word] = ids
         for i in range(0, len(long), 4096):
-            fresh.update(zip(long[i : i + 4096], self._whole(long[i : i + 4096]), strict=True))
-        young.update((w, ids) for w, ids in fresh.items() if len(w) <= MEMORY_LENGTH)
-        find, out = young.__getitem__, []
-        for words in split:
-            try:
-                out.append(b"".join(map(find, words)))
-            except KeyError:
-                out.append(b"".join([young[w] if w in young else fresh[w] for w in words]))
+            missing.update(zip(long[i : i + 4096], self._whole(long[i : i + 4096]), strict=True))
+        young.update((w, ids) for w, ids in missing.items() if len(w) <= MEMORY_LENGTH)
+        for known, i, word in gaps:
+            known[i] = missing[word]
         if len(young) > MEMORY_WORDS:
             self.old, self.young = young, {}
-        return out
+        return list(map(b"".join, out))
 
 
 @functools.lru_cache(maxsize=2)

@@ -12,7 +12,7 @@ from larder.llm import (
     byte_bpe, decontaminate, exact_dedup, layout, licences, planes, simhash, toxicity, url_reputation, warc,
 )
 from larder.llm.common import table
-from larder.llm.licences import STEPS, covering_rules, known_sentences, path_of
+from larder.llm.licences import _apart, covering_rules, known_sentences, path_of
 from larder.llm.url_reputation import DEVIATIONS, FLOOR, LEAST_RHO, MOST_RHO, RULES, SUFFIXES
 
 
@@ -138,24 +138,42 @@ from parsed
 
 
 def _licence_sql() -> str:
-    body = "lower(coalesce(text, ''))"
-    for pattern, to in STEPS:
-        body = f"regexp_replace({body}, '{pattern}', {'chr(30)' if to == chr(30) else 'chr(10)' if to == chr(10) else repr(to)}, 'g')"
-    known = " ".join(f"when '{sentence}' then '{name}'" for sentence, name in known_sentences().items())
+    """Known sentences end to end in runs of whole lines, from each line on the longest, and rules in their order.
+
+    Unlike the operator, which scans once by one pattern, this looks up the lines and joins what may follow them.
+    """
+    rows = ", ".join(f"('{sentence}', '{name}')" for sentence, name in known_sentences().items())
+    most = max(len(sentence.split()) for sentence in known_sentences())
     longer, hits = covering_rules(licences.RULES), []
     for licence, rule, names in licences.RULES:
-        clear = "".join(f" and not contains(path, '{q}')" for q in longer[path_of(names)])
+        own, left = path_of(names), "replace(path, '>', '>>')"
+        for other in sorted(longer[own], key=len, reverse=True):
+            left = f"replace({left}, '{_apart(other)}', '|')"
         hits.append(f"select doc_id, '{licence}' as licence, '{licence}/{rule}' as rule from paths "
-                    f"where contains(path, '{path_of(names)}'){clear}")
-    return f"""
-with sentences as (
-    select doc_id, unnest(string_split({body}, chr(30))) as sentence, generate_subscripts(string_split({body}, chr(30)), 1) as i
+                    f"where contains({left}, '{_apart(own)}')")
+    return rf"""
+with known(sentence, name) as (values {rows}
+), bodies as (
+    select doc_id, regexp_split_to_array(regexp_replace(regexp_replace(lower(coalesce(text, '')), '\r', chr(10), 'g'),
+        '\n[ \t]*(#+|//+|\*+)', chr(10), 'g'), '\n[ \t]*\n[ \t\n]*|[.!?][ \t\n]+|\n[ \t]*(?:[0-9]+[.)]|-)[ \t]') as paragraphs
     from documents
-), known as (
-    select doc_id, i, case trim(sentence, ' .-') {known} end as name from sentences
+), paragraphs as (
+    select doc_id, p, list_filter(list_transform(string_split(paragraphs[p], chr(10)),
+        lambda x: trim(regexp_replace(x, '[^a-z0-9.-]+', ' ', 'g'), ' ')), lambda x: x <> '') as l
+    from bodies, unnest(range(1, len(paragraphs) + 1)) as u(p)
+), starts as (
+    select doc_id, p, l, i, ltrim(l[i], ' .-') as line from paragraphs, unnest(range(1, len(l) + 1)) as a(i)
+), runs as (
+    select doc_id, p, i, j, name from starts join known on left(line, 3) = left(sentence, 3)
+        and (starts_with(sentence, line) or rtrim(line, ' .-') = sentence), unnest(range(i, least(len(l), i + {most}) + 1)) as b(j)
+    where rtrim(ltrim(array_to_string(l[i:j], ' '), ' .-'), ' .-') = sentence
+), longest as (
+    select doc_id, p, i, max(j) as j, arg_max(name, j) as name from runs group by doc_id, p, i
+), free as (
+    select * from longest a where not exists (
+        select 1 from longest b where b.doc_id = a.doc_id and b.p = a.p and b.i < a.i and b.j >= a.i)
 ), joined as (
-    select doc_id, count(name) as n_known, string_agg(name || '>', '' order by i) as tail
-    from known where name is not null group by doc_id
+    select doc_id, count(*) as n_known, string_agg(name || '>', '' order by p, i) as tail from free group by doc_id
 ), paths as (
     select doc_id, coalesce(n_known, 0) as n_known, '>' || coalesce(tail, '') as path
     from documents left join joined using (doc_id)

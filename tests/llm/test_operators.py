@@ -390,10 +390,10 @@ def test_words_are_encoded_as_in_the_whole_text():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(vocabulary(planes.VOCABULARY))
-    library.encode_special_tokens = True
     rng, own = random.Random(8), planes.WordTokenizer(vocabulary(planes.VOCABULARY))
     pool = [chr(c) for c in [*range(1, 384), 0x301, 0x30C, 0x307, 0x3A3, 0x2028, 0x3000, 0x85, 0xA0, 0x1F600]] + ["J\u030c", " ", "<|endoftext|>", "'s"]
     texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    texts += ["x<|startoftext|>Y <|endoftext|>", "<|STARTOFTEXT|> a", "<|endoftext|>", "é<|endoftext|>\u0301e", "<| endoftext |>"]
     for text, ids in zip(texts, own.batch(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
