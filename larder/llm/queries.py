@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from larder.llm import (
-    byte_bpe, decontaminate, exact_dedup, layout, licences, planes, simhash, toxicity, url_reputation, warc,
+    byte_bpe, conversations, decontaminate, exact_dedup, layout, licences, planes, simhash, toxicity, url_reputation, warc,
 )
 from larder.llm.common import table
 from larder.llm.licences import _apart, covering_rules, known_sentences, path_of
@@ -61,11 +61,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_repairs(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_warc_revisits, op3_byte_bpe, op4_url_reputation, op5_layout, op6_simhash, op7_toxicity,
-        op8_token_planes, op9_licences, op10_decontaminate,
+        op8_token_planes, op9_licences, op10_decontaminate, op11_conversations,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -255,6 +259,85 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
 from docs left join hits using (doc_id) left join named using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op10_decontaminate": _OP10, "op1_exact_dedup": _OP1, "op2_warc_revisits": _OP2, "op4_url_reputation": _OP4, "op9_licences": _licence_sql()}
+
+
+def _crc32(key: str) -> str:
+    """The CRC-32 of a string of ASCII characters."""
+    octets = f"[4294967295::bigint] || list_transform(string_split({key}, ''), lambda x: ascii(x)::bigint)"
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: xor(d >> 1, 3988292384 * (d & 1)))"
+    return f"xor(4294967295, list_reduce({octets}, lambda c, b: {bits}))"
+
+
+def _then(state: str, cost: str, edit: str) -> str:
+    return f"case when {state} is not null then {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}'}} end"
+
+
+def _turned(initial: str, state: str) -> str:
+    return f"case when initial = '{initial}' then {_then(state, 'x', 'K')} else {_then(state, '1 + x', 'R')} end"
+
+
+_OP11 = rf"""
+with recursive fated as (
+    select *, {_crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as fate from conversations
+), damaged as (
+    select conv_id, turn, case when fate = 4 then 'user' else coalesce(role, ' ') end as role,
+        case fate when 1 then '' when 2 then regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') else coalesce(text, ' ') end as text,
+        unnest(case when fate = 3 then [1, 2] else [1] end) as copy
+    from fated where fate <> 0
+), numbered as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
+        rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body, left(role, 1) as initial from damaged
+), judged as (
+    select *, body = '' as blank, body <> '' and row_number() over (partition by conv_id, role, text order by i) > 1 as duplicate,
+        lag(initial) over (partition by conv_id order by i) || initial as pair from numbered
+), rows as (
+    select *, not blank and not duplicate and right(body, 1) not in ('.', '!', '?') as truncated from judged
+), counts as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank,
+        count(*) filter (duplicate) as duplicate, count(*) filter (truncated) as truncated,
+        count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, max(i) as n
+    from rows group by conv_id
+), best as (
+    select conv_id, 0::bigint as j, {{'c': 0::bigint, 'a': ''}} as s0, null::struct(c bigint, a varchar) as s1,
+        {{'c': 5::bigint, 'a': 'I'}} as s2, {{'c': 10::bigint, 'a': 'II'}} as s3 from counts
+    union all
+    select conv_id, j, n0, n1, list_min([m2, {_then("m3", "5", "I")}]), m3 from (
+        select *, list_min([n3, {_then("m2", "5", "I")}]) as m3 from (
+            select *, list_min([n2, {_then("n0", "5", "I")}, {_then("n1", "5", "I")}, {_then("n3", "5", "I")}]) as m2 from (
+                select conv_id, j, {_then("s0", "2", "D")} as n0,
+                    case when gone then {_then("s1", "2", "D")}
+                        else list_min([{_then("s1", "2", "D")}, case when initial = 's' then {_then("s0", "x", "K")} end]) end as n1,
+                    case when gone then {_then("s2", "2", "D")}
+                        else list_min([{_then("s2", "2", "D")}, {_turned("u", "s0")}, {_turned("u", "s1")}, {_turned("u", "s3")}]) end as n2,
+                    case when gone then {_then("s3", "2", "D")} else list_min([{_then("s3", "2", "D")}, {_turned("a", "s2")}]) end as n3
+                from (
+                    select b.* exclude (j), b.j + 1 as j, r.initial, r.blank or r.duplicate as gone, case when r.truncated then 5 else 0 end as x
+                    from best b join rows r on r.conv_id is not distinct from b.conv_id and r.i = b.j + 1
+                )
+            )
+        )
+    )
+), chosen as (
+    select c.*, list_min([s0, s3]) as won from counts c join best b on b.conv_id is not distinct from c.conv_id and b.j = c.n
+), letters as (
+    select conv_id, k, won.a[k] as edit, count(*) filter (won.a[k] <> 'I') over w as i, count(*) filter (won.a[k] <> 'D') over w as place,
+        len(won.a) - len(replace(won.a, 'D', '')) as gone, len(won.a) as n
+    from chosen, unnest(range(1, len(won.a) + 1)) as u(k)
+    window w as (partition by conv_id order by k)
+), lines as (
+    select l.conv_id, place, case when edit = 'K' then role when (n - gone - place) % 2 = 0 then 'assistant' else 'user' end
+        || ':' || case when edit = 'I' then '' else text end as line
+    from letters l left join rows r on r.conv_id is not distinct from l.conv_id and r.i = l.i where edit <> 'D'
+), texts as (
+    select conv_id, string_agg(line, chr(10) order by place) as body from lines group by conv_id
+)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+    coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(won.c, 0) as cost, coalesce(won.a, '') as audit,
+    sha256(coalesce(body, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join chosen c on c.conv_id is not distinct from o.conv_id left join texts t on t.conv_id is not distinct from o.conv_id
+"""
+
+ORACLES: dict[str, str] = {"op10_decontaminate": _OP10, "op11_conversations": _OP11, "op1_exact_dedup": _OP1, "op2_warc_revisits": _OP2, "op4_url_reputation": _OP4, "op9_licences": _licence_sql()}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
