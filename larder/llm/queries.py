@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from larder.llm import (
-    byte_bpe, conversations, decontaminate, exact_dedup, layout, licences, planes, simhash, toxicity, url_reputation, warc,
+    byte_bpe, collocations, conversations, decontaminate, exact_dedup, layout, licences, planes, simhash, toxicity, url_reputation, warc,
 )
 from larder.llm.common import table
 from larder.llm.licences import _apart, covering_rules, known_sentences, path_of
@@ -65,11 +65,15 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damaged_repairs(table(spark, sf_dir, "conversations"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_warc_revisits, op3_byte_bpe, op4_url_reputation, op5_layout, op6_simhash, op7_toxicity,
-        op8_token_planes, op9_licences, op10_decontaminate, op11_conversations,
+        op8_token_planes, op9_licences, op10_decontaminate, op11_conversations, op12_collocations,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -338,6 +342,42 @@ from (select distinct conv_id from conversations) o
 left join chosen c on c.conv_id is not distinct from o.conv_id left join texts t on t.conv_id is not distinct from o.conv_id
 """
 
-ORACLES: dict[str, str] = {"op10_decontaminate": _OP10, "op11_conversations": _OP11, "op1_exact_dedup": _OP1, "op2_warc_revisits": _OP2, "op4_url_reputation": _OP4, "op9_licences": _licence_sql()}
+_OP12 = rf"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w
+    from documents
+), counts as materialized (
+    select lang, size, array_to_string(w[i:i + size - 1], ' ') as phrase, count(*) as f
+    from (select lang, w, size, unnest(range(1, len(w) - size + 2)) as i from pieces, unnest(range(1, {collocations.LONGEST} + 1)) as s(size) where len(w) >= size)
+    group by 1, 2, 3 having size = 1 or count(*) >= {collocations.LEAST}
+), totals as (
+    select lang, sum(f)::hugeint as n from counts where size = 1 group by lang
+), often as materialized (
+    select lang, size, string_split(phrase, ' ') as w, phrase, f::hugeint as f from counts where f >= {collocations.LEAST}
+), parts as (
+    select lang, f, w, size, part, unnest(range(1, size - part + 2)) as i
+    from (select lang, f, w, size, unnest(range(2, size)) as part from often where size > 2)
+), inner_ as materialized (
+    select lang, array_to_string(w[i:i + part - 1], ' ') as phrase, max(f) as most from parts group by 1, 2
+), candidates as (
+    select o.* from often o left join inner_ i on i.lang = o.lang and i.phrase = o.phrase where size > 1 and (most is null or 100 * most < 100 * f)
+), cuts as materialized (
+    select lang, phrase, f, k, array_to_string(w[1:k], ' ') as head, array_to_string(w[k + 1:], ' ') as tail
+    from (select *, unnest(range(1, size)) as k from candidates)
+), heads as materialized (
+    select c.*, o.f as l from cuts c join often o on o.lang = c.lang and o.phrase = c.head
+), tails as materialized (
+    select c.*, o.f as r from heads c join often o on o.lang = c.lang and o.phrase = c.tail
+), lowest as (
+    select t.*, n, 1000 * f * n // (l * r) as score from tails t join totals using (lang)
+    qualify row_number() over (partition by lang, phrase order by 1000 * f * n // (l * r), k) = 1
+), ranked as (
+    select *, row_number() over (partition by lang order by score desc, f desc, phrase) as rank from lowest
+)
+select lang, rank, phrase, f::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from ranked where rank <= {collocations.BEST}
+"""
+
+ORACLES: dict[str, str] = {"op10_decontaminate": _OP10, "op11_conversations": _OP11, "op12_collocations": _OP12, "op1_exact_dedup": _OP1, "op2_warc_revisits": _OP2, "op4_url_reputation": _OP4, "op9_licences": _licence_sql()}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
