@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from larder.llm import (
-    byte_bpe, collocations, conversations, decontaminate, exact_dedup, layout, licences, planes, simhash, toxicity, url_reputation, warc,
+    byte_bpe, collocations, conversations, decontaminate, exact_dedup, layout, licences, lm, planes, simhash, toxicity, url_reputation, warc,
 )
 from larder.llm.common import table
 from larder.llm.licences import _apart, covering_rules, known_sentences, path_of
@@ -69,11 +69,16 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_warc_revisits, op3_byte_bpe, op4_url_reputation, op5_layout, op6_simhash, op7_toxicity,
         op8_token_planes, op9_licences, op10_decontaminate, op11_conversations, op12_collocations,
+        op13_log_bilinear,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
