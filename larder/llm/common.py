@@ -94,6 +94,26 @@ def map_batches(
     return read.mapInArrow(run, out)
 
 
+def flags(keys: DataFrame, bits: int = 22) -> DataFrame:
+    """slot, word: a bitmap of the hashes of the only column, 64 bits a row, in 2 ** ``bits`` bits at most."""
+    hash_ = F.xxhash64(keys.columns[0])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), hash_.bitwiseAND(63).cast("int"))
+    rows = keys.select(F.shiftrightunsigned(hash_, 64 - bits + 6).cast("int").alias("slot"), bit.alias("bit"))
+    return rows.groupBy("slot").agg(F.bit_or("bit").alias("word"))
+
+
+def flagged(df: DataFrame, column: str, marks: DataFrame, bits: int = 22) -> DataFrame:
+    """Adds ``flagged``: false only where the value of ``column`` is none of those that ``flags`` marked.
+
+    The marks are broadcast, as they have 2 ** ``bits`` / 64 rows at most, whatever was marked.
+    """
+    hash_ = F.xxhash64(column)
+    hit = F.coalesce(F.getbit("word", hash_.bitwiseAND(63).cast("int")), F.lit(0)) == 1
+    slot = F.shiftrightunsigned(hash_, 64 - bits + 6).cast("int")
+    both = df.withColumn("slot", slot).join(F.broadcast(marks), "slot", "left")
+    return both.select(*df.columns, hit.alias("flagged"))
+
+
 def filter_batches(df: DataFrame, column: str, keeps: Callable[[list], list[bool]]) -> DataFrame:
     """The rows, with all their columns, for which ``keeps`` of the values of ``column`` is true."""
     ship(df.sparkSession)

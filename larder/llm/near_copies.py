@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import collapsed, map_batches
+from larder.llm.common import collapsed, flagged, flags, map_batches
 from larder.llm.components import components
 from larder.llm.simhash import RADIUS, _signed, covering_masks, fingerprint, shingle_hashes, words
 from larder.session import materialize
@@ -38,6 +38,8 @@ WORDS, SIMILARITY = 5, 0.8
 VIEWS, SAMPLE, PAIRED = 8, 3, 8
 #: Members of a bucket that meet its centre in one group of rows; a larger bucket has several.
 SALTED = 64
+#: Places of the set of a node that has more pairs than that.
+SPREAD = 32
 #: Rows of one shingle that meet all others of it in one group of rows.
 CROWD = 1024
 _RNG = np.random.default_rng(20)
@@ -86,13 +88,14 @@ def _centres(members: DataFrame) -> DataFrame:
             value = value.bitwiseOR(F.when(2 * F.col(f"{column}{k}") > F.col("of"), F.lit(_signed(1 << k))).otherwise(F.lit(0).cast("long")))
         majority.append(value.alias(f"m_{column}"))
     counted = materialize(counted.select("t", "key", _salts(F.col("of")).alias("salt"), *majority))
+    member = F.struct("node", "size")
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
     away = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"m_{c}"))) for c in ("fp", "second"))
     judged = members.join(weight, "node").join(counted, ["t", "key", "salt"])
-    near = F.struct(away.alias("away"), (-F.col("weight")).alias("weight"), "node")
-    parts = judged.groupBy("t", "key", "salt").agg(F.min(near).alias("near"), F.max(F.struct("weight", "node", "n")).alias("well"))
+    near = F.struct(away.alias("away"), (-F.col("weight")).alias("weight"), member.alias("member"))
+    parts = judged.groupBy("t", "key", "salt").agg(F.min(near).alias("near"), F.max(F.struct("weight", member.alias("member"), "n")).alias("well"))
     found = parts.groupBy("t", "key").agg(F.min("near").alias("near"), F.max("well").alias("well"))
-    centres = F.array_distinct(F.array("near.node", "well.node"))
+    centres = F.array_distinct(F.array("near.member", "well.member"))
     return found.select("t", "key", centres.alias("centres"), F.col("well.n").alias("n")).select(
         "t", "key", "centres", _salts(F.col("n")).alias("salt")
     )
@@ -107,28 +110,30 @@ def _salt(n: Column, node: Column) -> Column:
     return F.pmod(F.xxhash64(node), F.floor((n - 1) / SALTED).cast("long") + 1).cast("int")
 
 
-def candidate_pairs(nodes: DataFrame, radius: int = RADIUS, paired: int = PAIRED) -> tuple[DataFrame, DataFrame]:
-    """From node, fp, second and views: distinct pairs (a, b) with a < b that meet in a bucket, and the crowd.
+def candidate_pairs(
+    nodes: DataFrame, radius: int = RADIUS, paired: int = PAIRED, similarity: float = SIMILARITY
+) -> tuple[DataFrame, DataFrame]:
+    """From node, fp, second, views and size: distinct pairs (a, b) with a < b that meet in a bucket, and the crowd.
 
-    The pairs are all those of small buckets, and of large ones those with its centres. The crowd is
-    the nodes of large buckets.
+    The pairs are all those of small buckets, and of large ones those with its centres, but for those
+    whose sizes differ too much. The crowd is the nodes of large buckets.
     """
     covering = [F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in covering_masks(radius)]
-    spread = nodes.select("node", "fp", "second", F.posexplode(F.concat("views", F.array(*covering))).alias("t", "key"))
+    spread = nodes.select("node", "size", "fp", "second", F.posexplode(F.concat("views", F.array(*covering))).alias("t", "key"))
     # Written, so that both sides of the join are plain shuffles, whose large keys are split at run time.
     company = materialize(spread.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = materialize(spread.join(company, ["t", "key"]))
-    few = members.where(F.col("n") <= paired).groupBy("t", "key").agg(F.sort_array(F.collect_list("node")).alias("all"))
+    few = members.where(F.col("n") <= paired).groupBy("t", "key").agg(F.sort_array(F.collect_list(F.struct("node", "size"))).alias("all"))
     after = F.transform(
-        F.col("all"), lambda x, i: F.struct(x.alias("a"), F.slice(F.col("all"), i + 2, paired).alias("later"))
+        F.col("all"), lambda x, i: F.struct(x.alias("x"), F.slice(F.col("all"), i + 2, paired).alias("later"))
     )
-    few = few.select(F.explode(after).alias("x")).select("x.a", F.explode("x.later").alias("b"))
+    few = few.select(F.explode(after).alias("p")).select("p.x", F.explode("p.later").alias("y"))
     many = members.where(F.col("n") > paired).withColumn("salt", _salt(F.col("n"), F.col("node")))
     crowd = many.select("node").distinct()
-    many = many.select("t", "key", "salt", "node").join(_centres(many), ["t", "key", "salt"])
-    many = many.select("node", F.explode("centres").alias("other")).where("node != other")
-    many = many.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    return few.union(many).distinct(), crowd
+    many = many.select("t", "key", "salt", F.struct("node", "size").alias("x")).join(_centres(many), ["t", "key", "salt"])
+    many = many.select("x", F.explode("centres").alias("y")).where("x.node != y.node")
+    met = few.union(many).where(F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size"))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), crowd
 
 
 def crowded_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -170,12 +175,22 @@ def crowded_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs whose sets are similar enough."""
+    """Those of the pairs whose sets are similar enough.
+
+    A node of many pairs has its set in ``SPREAD`` places, where its pairs are dealt out.
+    """
     sets = sets.select("node", "shingles")
-    both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+    found = pairs
+    for side, other, name in (("a", "b", "left"), ("b", "a", "right")):
+        busy = flags(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SALTED).select(side))
+        dealt = flagged(sets.withColumnRenamed("node", side), side, busy)
+        places = F.when(F.col("flagged"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+        dealt = dealt.select(side, F.col("shingles").alias(name), F.explode(places).alias("place"))
+        place = F.when(F.col("flagged"), F.pmod(F.xxhash64(other), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0))
+        found = flagged(found, side, busy).withColumn("place", place).drop("flagged").join(dealt, [side, "place"]).drop("place")
     shared = F.size(F.array_intersect("left", "right"))
     enough = shared >= similarity * (F.size("left") + F.size("right") - shared)
-    return both.where(enough).select("a", "b")
+    return found.where(enough).select("a", "b")
 
 
 def near_copy_links(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -183,14 +198,13 @@ def near_copy_links(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR
     rows = docs.select(node_of(F.col("text")).alias("node"), "doc_id", "text")
     marks = materialize(_marks(rows, n))
     nodes = marks.groupBy("node").agg(F.first("fp").alias("fp"), F.first("second").alias("second"), F.first("views").alias("views"), F.first("size").alias("size"))
-    pairs, crowd = candidate_pairs(nodes)
-    sizes = nodes.select("node", "size")
-    pairs = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
-    # Sets whose sizes differ more can't be similar enough.
-    pairs = pairs.where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
-    pairs, crowd = materialize(pairs.select("a", "b")), materialize(crowd)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd).distinct()
-    texts = rows.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    pairs, crowd = candidate_pairs(nodes, similarity=similarity)
+    pairs, crowd = materialize(pairs), materialize(crowd)
+    wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd).distinct())
+    # One row of each, told by its id: only texts whose id is marked are moved.
+    one = marks.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    near = flagged(docs.select("doc_id", "text"), "doc_id", flags(one.select("doc_id"))).where("flagged")
+    texts = near.select(node_of(F.col("text")).alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
     def run(values: list) -> list:
         found = [np.unique(shingle_hashes(words(t), n)) for t in values]
@@ -222,13 +236,15 @@ def remove_near_copies(docs: DataFrame, n: int = WORDS, similarity: float = SIMI
     first = rows.groupBy("root").agg(F.min(rank).alias("first"), F.sum("rows").alias("all")).where(F.col("all") > 1)
     judged = rows.join(first.select("root", "first"), "root")
     stays = (F.col("node") == F.col("first.node")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
-    judged = materialize(judged.select("node", "doc_id", "rows", stays.alias("stays")))
+    judged = materialize(judged.select("node", "doc_id", "rows", stays.alias("stays")).where("not stays or rows > 1"))
     gone = judged.where(~F.col("stays")).select(F.col("node").alias("n"), F.col("doc_id").alias("d"))
     repeated = judged.where("stays and rows > 1").select(F.col("node").alias("n"), F.col("doc_id").alias("d"))
-    keyed = inner.withColumn("node", node_of(F.col("text")))
+    # A row whose id is that of no row to be judged stays where it is.
+    marked = flagged(inner, "doc_id", flags(gone.union(repeated).select("d")))
+    keyed = marked.where("flagged").drop("flagged").withColumn("node", node_of(F.col("text")))
     same = (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d"))
     out = keyed.join(gone, same, "left_anti")
     if not repeated.isEmpty():
         once = out.join(repeated, same, "left_semi").dropDuplicates(["node", "doc_id"])
         out = out.join(repeated, same, "left_anti").unionByName(once)
-    return out.select(*inner.columns).toDF(*names)
+    return marked.where("not flagged").select(*inner.columns).unionByName(out.select(*inner.columns)).toDF(*names)

@@ -75,7 +75,7 @@ def test_stage_names_and_entry():
     ]
     import __spark_entry__ as entry
 
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
     assert "pipeline" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
 
 
