@@ -2,19 +2,21 @@
 
 The tree builder closes what HTML closes by itself (paragraphs before blocks, list items, options,
 table rows and cells, the head before content) and ignores end tags that match nothing open.
-Hidden are the head, scripts, styles, templates and other elements that browsers don't paint,
-elements with ``hidden``, closed ``details`` but for the summary, and elements that an inline style
-or a plain selector (tag, .class, #id) of a style sheet sets to ``display: none`` or
-``visibility: hidden``.
+Hidden are the head, scripts, styles, templates and other elements that browsers don't paint, closed
+``details`` but for the summary, elements with ``hidden``, and what style sheets and inline styles
+hide (see ``styles``): ``display: none`` with all that is inside, ``visibility: hidden`` but for what
+is made visible again.
 
 Blocks start lines; paragraphs, headings, lists, tables and quotes have one blank line around them.
 List items get ``- `` or their number, and what they hold is indented to it. Quotes get ``> ``. The
 lines of a table have the cells of a row side by side, two spaces apart, and columns start at
-the same place; a cell wider than ``WIDEST`` pushes what follows in its row. White space collapses
-but in ``pre`` and ``textarea``. Images and controls have no text.
+the same place, also beside and below cells that span several; a cell wider than ``WIDEST`` pushes
+what follows in its row. White space collapses but in ``pre`` and ``textarea``. Images and controls
+have no text.
 
-Null and empty pages give an empty text. Elements nested deeper than ``DEEPEST`` become siblings, so
-that pages of any size and nesting are read whole. Rows, also repeated ones and those with a null
+Null and empty pages give an empty text. Pages of any size and nesting are read whole: tree and layout
+don't recurse, and in more than ``INDENTS`` lists, quotes and tables around each other, text is no
+further indented and cells stand below each other. Rows, also repeated ones and those with a null
 id, are read one by one. An empty table gives an empty result. Further columns are kept, but for one
 named like the new column, which is replaced.
 """
@@ -23,13 +25,18 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Generator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import map_batches
+from larder.llm.styles import Sheet, shown
 
-DEEPEST, WIDEST = 120, 60
+INDENTS, WIDEST = 40, 60
+#: The most columns and rows that HTML lets a cell span.
+COLUMNS, ROWS = 1000, 65534
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -70,29 +77,32 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"[.#]?[A-Za-z_][\w-]*\Z")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "displayed", "visible")
 
     def __init__(self, tag: str, attrs: dict[str, str]) -> None:
         self.tag, self.attrs = tag, attrs
         self.children: list[Element | str] = []
+        self.displayed = self.visible = True
 
 
-def parse(source: str) -> tuple[Element, set[str]]:
-    """The tree below a root, and the selectors that style sheets hide."""
-    root = Element("html", {})
-    stack, hidden = [root], set()
+def parse(source: str) -> Element:
+    """The tree below a root, each element with whether it is displayed and visible."""
+    root, sheet = Element("html", {}), Sheet()
+    stack, opened = [root], Counter()
 
     def close(upto: int) -> None:
+        for element in stack[upto:]:
+            opened[element.tag] -= 1
         del stack[upto:]
 
     def find(tags: frozenset[str], barrier: frozenset[str]) -> int:
+        if not any(opened[t] for t in tags):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 return i
@@ -112,11 +122,11 @@ def parse(source: str) -> tuple[Element, set[str]]:
             open_("tr", {})
         element = Element(tag, attrs)
         stack[-1].children.append(element)
-        if tag not in VOID and len(stack) < DEEPEST:
+        if tag not in VOID:
             stack.append(element)
+            opened[tag] += 1
 
     at = 0
-    for_end = source.lower()
     while at < len(source):
         found = _TOKEN.search(source, at)
         text = source[at : found.start() if found else len(source)]
@@ -152,13 +162,11 @@ def parse(source: str) -> tuple[Element, set[str]]:
             root.attrs = attrs | root.attrs
             continue
         if tag in RAW:
-            end = for_end.find(f"</{tag}", at)
-            end = len(source) if end < 0 else end
+            ended = _RAW_END[tag].search(source, at)
+            end = ended.start() if ended else len(source)
             body = source[at:end]
             if tag == "style":
-                for selectors, style in _RULE.findall(body):
-                    if _HIDING.search(style):
-                        hidden.update(s.strip() for s in selectors.split(",") if _SIMPLE.match(s.strip()))
+                sheet.add(body)
             element = Element(tag, attrs)
             if tag == "textarea":
                 element.children.append(html.unescape(body))
@@ -167,19 +175,23 @@ def parse(source: str) -> tuple[Element, set[str]]:
             at = len(source) if close_tag < 0 else close_tag + 1
             continue
         open_(tag, attrs)
-    return root, hidden
+    judge(root, sheet)
+    return root
 
 
-def visible(element: Element, hidden: set[str]) -> bool:
-    attrs = element.attrs
-    if element.tag in UNPAINTED or "hidden" in attrs or (element.tag == "dialog" and "open" not in attrs):
-        return False
-    if "style" in attrs and _HIDING.search(attrs["style"]):
-        return False
-    if hidden:
-        names = [element.tag, *(f".{c}" for c in attrs.get("class", "").split()), f"#{attrs.get('id', '')}"]
-        return hidden.isdisjoint(names)
-    return True
+def judge(root: Element, sheet: Sheet) -> None:
+    """Mark every element that is not displayed, or not visible."""
+    stack: list[tuple[Element, int, int, bool]] = [(root, 0, 0, True)]
+    while stack:
+        element, parent, above, visible = stack.pop()
+        attrs = element.attrs
+        here, won = sheet.match(element.tag, attrs, parent, above)
+        element.displayed, own = shown(won, attrs)
+        if element.tag in UNPAINTED or (element.tag == "dialog" and "open" not in attrs):
+            element.displayed = False
+        element.visible = visible if own is None else own
+        if element.displayed:
+            stack.extend((c, here, above | here, element.visible) for c in element.children if not isinstance(c, str))
 
 
 class _Flow:
@@ -229,98 +241,151 @@ class _Flow:
         self.gap |= spaced
 
 
-def _lines(element: Element, hidden: set[str], kept: bool) -> list[str]:
+#: A step of the layout that asks for others by yielding them, and gets their results.
+Step = Generator["Step", list[str], list[str]]
+
+
+def _run(step: Step) -> list[str]:
+    """The result of a step. Steps under way are on a list, so nesting is not bounded by the interpreter's."""
+    under, result = [step], None
+    while under:
+        try:
+            asked = under[-1].send(result)
+        except StopIteration as done:
+            under.pop()
+            result = done.value
+        else:
+            under.append(asked)
+            result = None
+    return result
+
+
+def _lines(element: Element, kept: bool, depth: int) -> Step:
     flow = _Flow()
-    _fill(element, flow, hidden, kept)
+    yield _fill(element, flow, kept, depth)
     flow.end()
     return flow.lines
 
 
-def _fill(element: Element, flow: _Flow, hidden: set[str], kept: bool) -> None:
+def _fill(element: Element, flow: _Flow, kept: bool, depth: int) -> Step:
     """Lay out the children of an element."""
     number = _number(element.attrs.get("start"), 1) if element.tag == "ol" else 0
     summary_only = element.tag == "details" and "open" not in element.attrs
     for child in element.children:
         if isinstance(child, str):
-            if not summary_only:
+            if element.visible and not summary_only:
                 flow.text(child, kept)
             continue
-        if not visible(child, hidden) or (summary_only and child.tag != "summary"):
+        if not child.displayed or (summary_only and child.tag != "summary"):
             continue
         tag = child.tag
+        mark = "- " if tag == "li" else ""
+        if tag == "li" and element.tag == "ol":
+            number = _number(child.attrs.get("value"), number)
+            mark, number = f"{number}. ", number + 1
         if tag == "br":
             flow.end(True)
         elif tag == "hr":
             flow.block([], True)
-        elif tag == "table":
-            flow.block(_table(child, hidden), True)
-        elif tag == "li":
-            mark = "- "
-            if element.tag == "ol":
-                number = _number(child.attrs.get("value"), number)
-                mark, number = f"{number}. ", number + 1
-            inner = _lines(child, hidden, kept) or [""]
-            pad = " " * len(mark)
-            flow.block([(mark + inner[0]).rstrip(" "), *((pad + x).rstrip(" ") for x in inner[1:])], False)
-        elif tag == "blockquote":
-            flow.block([f"> {x}".rstrip(" ") for x in _lines(child, hidden, kept)], True)
-        elif tag == "dd":
-            flow.block([f"    {x}".rstrip(" ") for x in _lines(child, hidden, kept)], False)
         elif tag in ("pre", "textarea", "listing"):
-            lines = _lines(child, hidden, True)
+            lines = yield _lines(child, True, depth)
             flow.block(lines[1:] if len(lines) > 1 and not lines[0] else lines, tag in SPACED)
+        elif tag in ("li", "blockquote", "dd", "table") and depth < INDENTS:
+            if tag == "table":
+                flow.block((yield _table(child, depth + 1)), True)
+                continue
+            lines = yield _lines(child, kept, depth + 1)
+            if tag == "li":
+                lines, pad = (lines or [""]) if child.visible else lines, " " * len(mark)
+                lines = [((pad if i or not child.visible else mark) + x).rstrip(" ") for i, x in enumerate(lines)]
+            else:
+                lines = [("> " if tag == "blockquote" else "    ") + x for x in lines]
+                lines = [x.rstrip(" ") for x in lines]
+            flow.block(lines, tag == "blockquote")
         elif tag in BLOCKS:
             nested = tag in ("ul", "ol") and element.tag == "li"
-            flow.block(_lines(child, hidden, kept), tag in SPACED and not nested)
+            flow.block([], tag in SPACED and not nested)
+            if mark and child.visible:
+                flow.text(mark, True)
+            yield _fill(child, flow, kept, depth)
+            flow.block([], tag in SPACED and not nested)
         else:
-            _fill(child, flow, hidden, kept)
+            yield _fill(child, flow, kept, depth)
+    return []
 
 
 def _number(value: str | None, other: int) -> int:
     return int(value) if value and re.fullmatch(r"-?[0-9]{1,9}", value) else other
 
 
-def _rows(table: Element, hidden: set[str], out: list[Element], around: list[Element]) -> None:
-    """The rows of a table, and its children that stand in no row."""
-    for child in table.children:
-        if isinstance(child, str):
-            if child.strip():
-                around.append(_wrapped(child))
-        elif visible(child, hidden):
-            if child.tag == "tr":
-                out.append(child)
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                _rows(child, hidden, out, around)
-            elif child.tag not in ("colgroup", "col"):
-                around.append(child)
-
-
-def _wrapped(child: Element | str) -> Element:
+def _span(cell: Element, name: str, most: int) -> int:
+    return max(1, min(most, _number(cell.attrs.get(name), 1)))
+
+
+def _rows(table: Element) -> tuple[list[tuple[Element, int]], list[Element]]:
+    """The rows of a table with the number of those that follow in their part, and its children that stand in no row."""
+    rows, left, around = [], [], []
+
+    def part(element: Element) -> None:
+        for child in element.children:
+            if isinstance(child, str):
+                if child.strip() and element.visible:
+                    around.append(_wrapped(child, element.visible))
+            elif child.displayed:
+                if child.tag == "tr":
+                    rows.append(child)
+                elif child.tag in ("thead", "tbody", "tfoot") and element is table:
+                    ended()
+                    part(child)
+                elif child.tag not in ("colgroup", "col"):
+                    around.append(_wrapped(child, element.visible))
+        ended()
+
+    def ended() -> None:
+        left.extend(len(rows) - 1 - k for k in range(len(left), len(rows)))
+
+    part(table)
+    return list(zip(rows, left, strict=True)), around
+
+
+def _wrapped(child: Element | str, visible: bool) -> Element:
     out = Element("div", {})
+    out.visible = visible
     out.children.append(child)
     return out
 
 
-def _table(table: Element, hidden: set[str]) -> list[str]:
-    rows: list[Element] = []
-    around: list[Element] = []
-    _rows(table, hidden, rows, around)
-    lines = [line for x in around for line in _lines(_wrapped(x), hidden, False)]
+def _table(table: Element, depth: int) -> Step:
+    rows, around = _rows(table)
+    lines: list[str] = []
+    for x in around:
+        lines += yield _lines(x, False, depth)
     grid: list[list[tuple[int, list[str]]]] = []
     widths: list[int] = []
-    for row in rows:
+    taken: dict[int, int] = {}  # columns in which a cell of an earlier row goes on, and for how many rows
+    for row, below in rows:
         column, cells = 0, []
+        now, taken = taken, {c: n - 1 for c, n in taken.items() if n > 1}
         for child in row.children:
-            if isinstance(child, str) and not child.strip() or not isinstance(child, str) and not visible(child, hidden):
+            if isinstance(child, str):
+                if not child.strip():
+                    continue
+                child = _wrapped(child, row.visible)
+            if not child.displayed:
                 continue
-            span = 1
-            if not isinstance(child, str):
-                span = max(1, min(100, _number(child.attrs.get("colspan"), 1)))
-            cell = _lines(child if not isinstance(child, str) else _wrapped(child), hidden, False)
+            while column in now:
+                column += 1
+            span, down = _span(child, "colspan", COLUMNS), _span(child, "rowspan", ROWS)
+            if child.attrs.get("rowspan") == "0":
+                down = ROWS
+            down = min(down - 1, below)
+            cell = yield _lines(child, False, depth)
             cells.append((column, cell))
             widths.extend([0] * (column + span - len(widths)))
             if span == 1:
                 widths[column] = max(widths[column], min(WIDEST, max(map(len, cell), default=0)))
+            if down:
+                taken.update((c, max(down, taken.get(c, 0))) for c in range(column, column + span))
             column += span
         grid.append(cells)
     starts = [0]
@@ -341,8 +406,8 @@ def render(source: str | None) -> str:
     """All visible text of a page."""
     if not source:
         return ""
-    root, hidden = parse(source)
-    lines = _lines(root, hidden, False) if visible(root, hidden) else []
+    root = parse(source)
+    lines = _run(_lines(root, False, 0)) if root.displayed else []
     while lines and not lines[-1]:
         lines.pop()
     while lines and not lines[0]:
