@@ -64,9 +64,9 @@ IMPLIED: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "td": (frozenset(["td", "th", "caption"]), frozenset(["tr", "table"])),
     "th": (frozenset(["td", "th", "caption"]), frozenset(["tr", "table"])),
     "tr": (frozenset(["tr", "caption", "colgroup"]), frozenset(["table"])),
-    "thead": (frozenset(["thead", "tbody", "tfoot", "caption", "colgroup"]), frozenset(["table"])),
-    "tbody": (frozenset(["thead", "tbody", "tfoot", "caption", "colgroup"]), frozenset(["table"])),
-    "tfoot": (frozenset(["thead", "tbody", "tfoot", "caption", "colgroup"]), frozenset(["table"])),
+    "thead": (frozenset(["thead", "tbody", "tfoot", "tr", "caption", "colgroup"]), frozenset(["table"])),
+    "tbody": (frozenset(["thead", "tbody", "tfoot", "tr", "caption", "colgroup"]), frozenset(["table"])),
+    "tfoot": (frozenset(["thead", "tbody", "tfoot", "tr", "caption", "colgroup"]), frozenset(["table"])),
     "body": (frozenset(["head"]), frozenset()),
 }
 _IN_HEAD = frozenset("head title meta link base style script template noscript".split())
