@@ -362,6 +362,7 @@ def _table(table: Element, depth: int) -> Step:
         lines += yield _lines(x, False, depth)
     grid: list[list[tuple[int, list[str]]]] = []
     widths: list[int] = []
+    spans: list[tuple[int, int, int]] = []
     taken: dict[int, int] = {}  # columns in which a cell of an earlier row goes on, and for how many rows
     for row, below in rows:
         column, cells = 0, []
@@ -382,12 +383,15 @@ def _table(table: Element, depth: int) -> Step:
             cell = yield _lines(child, False, depth)
             cells.append((column, cell))
             widths.extend([0] * (column + span - len(widths)))
-            if span == 1:
-                widths[column] = max(widths[column], min(WIDEST, max(map(len, cell), default=0)))
+            spans.append((span, column, min(WIDEST, max(map(len, cell), default=0))))
             if down:
                 taken.update((c, max(down, taken.get(c, 0))) for c in range(column, column + span))
             column += span
         grid.append(cells)
+    # What a cell over several columns needs beyond the others is added to its last one.
+    for span, column, width in sorted(spans):
+        inner = sum(w + 2 * (w > 0) for w in widths[column : column + span - 1])
+        widths[column + span - 1] = max(widths[column + span - 1], width - inner)
     starts = [0]
     for width in widths:
         starts.append(starts[-1] + width + 2 * (width > 0))
