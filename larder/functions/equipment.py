@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larder import config as C
-from larder.functions.js import ANY_BOUNDARY, among, escape_regex, fold, has, let, rx, swap, trim, words
+from larder.functions.js import ANY_BOUNDARY, among, escape_regex, fold, has, has_word, let, may_have, rx, swap, trim, word_pattern, words
 
 AUDIT = "array<struct<kind:string,from:string,to:string,reason:string>>"
 
@@ -33,15 +33,16 @@ def detect_equipment(directions: Column) -> Column:
     def body(text: Column) -> Column:
         named = F.filter(words(C.COMMON_EQUIPMENT + C.SPECIALIST_EQUIPMENT), lambda e: F.contains(text, e))
         hints = (
-            ("microwave", r"\bmicrowave\b"),
-            ("oven", r"\boven\b|\bbake\b"),
-            ("frying pan", r"\bskillet\b|\bfry\b|\bfrying pan\b"),
-            ("saucepan", r"\bsaucepan\b|\bsimmer\b|\bboil\b"),
-            ("bowl", r"\bbowl\b"),
-            ("knife", r"\bknife\b|\bchop\b|\bslice\b"),
+            ("microwave", ("microwave",)),
+            ("oven", ("oven", "bake")),
+            ("frying pan", ("skillet", "fry", "frying pan")),
+            ("saucepan", ("saucepan", "simmer", "boil")),
+            ("bowl", ("bowl",)),
+            ("knife", ("knife", "chop", "slice")),
         )
-        hinted = [_when_array(has(text, pattern), item) for item, pattern in hints]
-        many = F.regexp_count(text, F.lit(r"\b(pan|skillet|saucepan|pot)\b")) >= 3
+        hinted = [_when_array(has_word(text, named), item) for item, named in hints]
+        pans = ("pan", "skillet", "saucepan", "pot")
+        many = has_word(text, pans) & (F.regexp_count(text, F.lit(word_pattern(pans))) >= 3)
         return F.array_distinct(F.concat(named, *hinted, _when_array(many, "multiple pans")))
 
     return let(fold(F.lower(F.array_join(directions, " "))), body)
@@ -83,7 +84,7 @@ def normalize_equipment(equipment: Column) -> Column:
 def simplify_equipment(steps: Column) -> Column:
     """Struct ``(steps, equipment, audit)`` with special tools replaced by common ones."""
     def swap_one(state: Column, pattern: str, to: str) -> Column:
-        used = F.exists(state["steps"], lambda s: s.rlike(rx(pattern, True)))
+        used = F.exists(state["steps"], lambda s: may_have(s, pattern) & s.rlike(rx(pattern, True)))
         row = audit_row("equipment_simplify", pattern, to, f"{to} does as well")
         return F.struct(
             F.transform(state["steps"], lambda s: swap(s, pattern, to, True)).alias("steps"),
@@ -91,7 +92,7 @@ def simplify_equipment(steps: Column) -> Column:
         )
 
     def one_pan(state: Column) -> Column:
-        baked = has(fold(F.lower(F.array_join(state["steps"], " "))), r"\boven\b|\bbake\b")
+        baked = has_word(fold(F.lower(F.array_join(state["steps"], " "))), ("oven", "bake"))
         parallel = F.exists(
             state["steps"], lambda s: has(fold(s), r"\bin another (pan|pot|skillet)\b|\bmeanwhile\b", True)
         )
@@ -113,14 +114,14 @@ def simplify_equipment(steps: Column) -> Column:
     def with_equipment(state: Column) -> Column:
         def body(text: Column) -> Column:
             hints = (
-                ("frying pan", r"\bfrying pan\b|\bpan\b|\bfry\b"),
-                ("saucepan", r"\bsaucepan\b|\bboil\b|\bsimmer\b"),
-                ("microwave", r"\bmicrowave\b"),
-                ("oven", r"\boven\b|\bbake\b"),
-                ("toaster", r"\btoaster\b|\btoast\b"),
+                ("frying pan", ("frying pan", "pan", "fry")),
+                ("saucepan", ("saucepan", "boil", "simmer")),
+                ("microwave", ("microwave",)),
+                ("oven", ("oven", "bake")),
+                ("toaster", ("toaster", "toast")),
             )
             left = F.filter(words(C.SPECIALIST_EQUIPMENT), lambda e: F.contains(text, e))
-            found = [_when_array(has(text, pattern), item) for item, pattern in hints]
+            found = [_when_array(has_word(text, named), item) for item, named in hints]
             return F.array_distinct(F.concat(words(("bowl", "knife")), *found, left))
 
         equipment = let(fold(F.lower(F.array_join(state["steps"], " "))), body)

@@ -34,8 +34,43 @@ def fold(column: Column) -> Column:
     return F.regexp_replace(column, r"[^\x00-\x7F]+", "\u0001")
 
 
+def only_words(folded: Column, also: str = "") -> Column:
+    """Every character of folded lower-case text but letters, digits, white space and ``also`` as a space.
+
+    A character class of this kind is the slowest part of a pattern; a translation looks each character up.
+    """
+    kept = set("abcdefghijklmnopqrstuvwxyz0123456789 \t\n\x0b\x0c\r" + also)
+    others = "".join(c for c in map(chr, range(128)) if c not in kept)
+    return F.translate(folded, others, " " * len(others))
+
+
+def needles(pattern: str) -> tuple[str, ...]:
+    """Plain strings of which every match of the pattern has one; none where that isn't plain to see.
+
+    What is optional is left out, then the longest run of letters and spaces counts, else the
+    alternatives of the only group.
+    """
+    bare = re.sub(r"\([^()]*\)\?", "|", pattern.replace(r"\b", ""))
+    outside = re.split(r"\([^()]*\)|\\.[+*?]?|[^A-Za-z ]", re.sub(r".[?*]", "|", bare))
+    longest = max(outside, key=len)
+    if len(longest.strip()) > 2:
+        return (longest.lower(),)
+    groups = re.findall(r"\(([A-Za-z |-]*)\)", bare)
+    return tuple(groups[0].lower().split("|")) if len(groups) == 1 else ()
+
+
+def may_have(column: Column, pattern: str) -> Column:
+    """False only where the pattern, in any case, can't occur: a search of plain strings."""
+    found = None
+    for needle in needles(pattern):
+        one = F.contains(F.lower(column), F.lit(needle))
+        found = one if found is None else found | one
+    return F.lit(True) if found is None else found
+
+
 def swap(column: Column, pattern: str, to: str, ignore_case: bool = False) -> Column:
-    return F.regexp_replace(column, rx(pattern, ignore_case), to)
+    swapped = F.regexp_replace(column, rx(pattern, ignore_case), to)
+    return F.when(may_have(column, pattern), swapped).otherwise(column) if needles(pattern) else swapped
 
 
 def has(column: Column, pattern: str, ignore_case: bool = False) -> Column:
@@ -43,12 +78,21 @@ def has(column: Column, pattern: str, ignore_case: bool = False) -> Column:
     return F.coalesce(column.rlike(("(?i)" if ignore_case else "") + pattern), F.lit(False))
 
 
+def has_word(column: Column, words_: Iterable[str]) -> Column:
+    """Whether one of the words occurs, in folded lower-case text: a search of plain strings decides most rows."""
+    found = F.lit(False)
+    for word in words_:
+        found = found | F.contains(column, F.lit(word))
+    return F.coalesce(found & column.rlike(word_pattern(words_)), F.lit(False))
+
+
 def trim(column: Column) -> Column:
     return F.btrim(column, F.lit(SPACES))
 
 
 def collapse(column: Column) -> Column:
-    return trim(F.regexp_replace(column, r"\s+", " "))
+    """Runs of white space as one space; a single space is left as it is."""
+    return trim(F.regexp_replace(column, r"\x20\s++|[\t\n\x0B\f\r]\s*+", " "))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

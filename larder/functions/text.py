@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larder.config import PREFERRED_SOURCES, TITLE_WORDS_DEDUPE
-from larder.functions.js import collapse, fold, has, let, rx, swap, trim, word_pattern
+from larder.functions.js import collapse, fold, has, let, only_words, rx, swap, trim, word_pattern
 
 # Quantity, cup and descriptor wording that is not part of an item's name.
 QUANTITY = (
@@ -21,25 +21,46 @@ DESCRIPTORS = (
     r"|grated|optional|to taste|firmly packed|packed)\b"
 )
 
+
+
+def by_first_letter(pattern: str) -> str:
+    """A ``\\b(...|...)\\b`` of plain alternatives that tries only those of the first letter; those keep their order."""
+    groups: dict[str, list[str]] = {}
+    for word in pattern.removeprefix(r"\b(").removesuffix(r")\b").split("|"):
+        groups.setdefault(word[0], []).append(word[1:])
+    return r"\b(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items()) + r")\b"
+
+
+CUPS_AND_DESCRIPTORS = by_first_letter(CUPS.removesuffix(r")\b") + "|" + DESCRIPTORS.removeprefix(r"\b("))
+
 _STRINGS = "array<string>"
 _STRICT_JSON = {"allowSingleQuotes": "false", "allowNumericLeadingZeros": "false"}
 
 
 def strip_quantity(text: Column) -> Column:
-    """The bare item name of an ingredient line."""
-    out = F.regexp_replace(fold(F.lower(text)), "[()]", " ")
-    for pattern in (QUANTITY, CUPS, DESCRIPTORS):
-        out = F.regexp_replace(out, pattern, " ")
-    return collapse(F.regexp_replace(out, r"[^a-z0-9\s-]", " "))
+    """The bare item name of an ingredient line.
+
+    Quantities are sought only where there is a digit. Cups and descriptors go in one pass, as what
+    replaces them is a space, which neither makes nor breaks another match.
+    """
+    out = F.translate(fold(F.lower(text)), "()", "  ")
+    out = let(out, lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(t, QUANTITY, " ")).otherwise(t))
+    out = F.regexp_replace(out, CUPS_AND_DESCRIPTORS, " ")
+    return collapse(only_words(out, "-"))
+
+
+def stripped_already(text: Column) -> Column:
+    """False where ``strip_quantity`` might change one of the names in ``text``, which are stripped once and joined by line ends."""
+    return ~text.rlike(f"[0-9]|{CUPS_AND_DESCRIPTORS}")
 
 
 def normalize_title(title: Column, stop_words: Iterable[str] = TITLE_WORDS_DEDUPE) -> Column:
     bare = F.regexp_replace(fold(F.lower(title)), word_pattern(stop_words), "")
-    return collapse(F.regexp_replace(bare, r"[^a-z0-9\s]", " "))
+    return collapse(only_words(bare))
 
 
 def normalize_token(text: Column) -> Column:
-    return collapse(F.regexp_replace(F.lower(text), r"[^a-z0-9\s-]", " "))
+    return collapse(only_words(fold(F.lower(text)), "-"))
 
 
 def _non_empty(items: Column) -> Column:

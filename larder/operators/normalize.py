@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.js import fold, has, let
-from larder.functions.text import strip_quantity
+from larder.functions.text import strip_quantity, stripped_already
 from larder.operators.common import evaluate
 from larder.sources.rules import Concept, alias_literal, meta_literal
 
@@ -19,6 +19,8 @@ NORMALIZED = (
     "notes:array<string>>"
 )
 
+META = "struct<concept:string,slug:string,reward:double,penalty:double>"
+
 # Wording of the special cases.
 _WATER = r"^(cold|hot|warm|boiling|iced)?\s*water$"
 _WATER_RAW = r"^\s*(water|cold water|hot water|warm water|boiling water)\s*$"
@@ -85,8 +87,31 @@ def _same(a: Column, b: Column) -> Column:
     return a["slug"].eqNullSafe(b["slug"]) & (a["normalized_name"] == b["normalized_name"])
 
 
-def normalize_recipe(ingredients: Column, ner: Column, concepts: tuple[Concept, ...]) -> Column:
-    """Normalized lines, then confident entity tokens the lines did not yield; water dropped."""
+def normalize_recipe(
+    ingredients: Column, ner: Column, concepts: tuple[Concept, ...], known: Column | None = None
+) -> Column:
+    """Normalized lines, then confident entity tokens the lines did not yield; water dropped.
+
+    ``known`` are items that were normalized before. A line that is the text of one is not normalized
+    again, nor is a token that is the name of one without a concept, if stripping leaves such names as they are.
+    """
+    def line(text: Column) -> Column:
+        if known is None:
+            return normalize_text(text, concepts)
+        same = F.get(F.filter(known, lambda k: k["original_text"] == text), F.lit(0))
+        return F.coalesce(same, normalize_text(text, concepts))
+
+    def normalized_tokens() -> Column:
+        if known is None:
+            return F.transform(ner, lambda t: normalize_text(t, concepts))
+        loose = F.transform(
+            F.filter(known, lambda k: k["slug"].isNull() & (k["confidence"] == 0.2)), lambda k: k["normalized_name"]
+        )
+        settled = let(loose, lambda n: F.when(stripped_already(F.array_join(n, "\n")), n).otherwise(F.array().cast("array<string>")))
+        return let(settled, lambda n: F.transform(
+            F.filter(ner, lambda t: ~F.coalesce(F.array_contains(n, t), F.lit(False))), lambda t: normalize_text(t, concepts)
+        ))
+
     def with_tokens(lines: Column) -> Column:
         def merge(found: Column) -> Column:
             fresh = F.filter(found, lambda t: ~F.exists(lines, lambda x: _same(x, t)))
@@ -105,19 +130,37 @@ def normalize_recipe(ingredients: Column, ner: Column, concepts: tuple[Concept,
 
             return F.concat(lines, let(fresh, first_only))
 
-        tokens = F.transform(ner, lambda t: normalize_text(t, concepts))
         sure = F.filter(
-            tokens,
+            normalized_tokens(),
             lambda t: (t["slug"].isNotNull() | (t["normalized_name"] != "")) & (t["confidence"] >= 0.8),
         )
         return let(sure, merge)
 
-    lines = F.transform(ingredients, lambda t: normalize_text(t, concepts))
+    lines = F.transform(ingredients, line)
     return F.filter(
         let(lines, with_tokens), lambda i: (i["normalized_name"] != "") & (i["normalized_name"] != "water")
     )
 
 
+def lookup_metas(items: Column, concepts: tuple[Concept, ...]) -> Column:
+    """``lookup_meta`` of each normalized item.
+
+    A name without slug that stripping leaves as it is holds no alias, as it would have been mapped,
+    so it has no metadata. One search over all names of the row finds whether some would change.
+    """
+    none = F.lit(None).cast(META)
+
+    def body(settled: Column) -> Column:
+        return F.transform(
+            items,
+            lambda i: F.when(settled & i["slug"].isNull() & (i["confidence"] == 0.2), none).otherwise(
+                lookup_meta(i["normalized_name"], i["slug"], concepts)
+            ),
+        )
+
+    return let(stripped_already(F.array_join(F.transform(items, lambda i: i["normalized_name"]), "\n")), body)
+
+
 def lookup_meta(name: Column, slug: Column, concepts: tuple[Concept, ...]) -> Column:
     """Metadata of a concept: by re-normalized name, else the first concept with that slug."""
     metas = meta_literal(concepts)

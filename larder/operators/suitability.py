@@ -10,7 +10,7 @@ from larder.functions import text as X
 from larder.functions.equipment import detect_equipment
 from larder.functions.js import among, fold, has, let
 from larder.operators.common import evaluate
-from larder.operators.normalize import lookup_meta, normalize_recipe
+from larder.operators.normalize import lookup_metas, normalize_recipe
 from larder.sources.rules import Concept
 
 SCORE_FIELDS = (
@@ -70,7 +70,7 @@ def score_suitability(
         )
         return F.struct(*[s[f].alias(f) for f in SCORE_FIELDS], total.alias("total"))
 
-    metas = F.transform(normalized, lambda i: lookup_meta(i["normalized_name"], i["slug"], concepts))
+    metas = lookup_metas(normalized, concepts)
     inputs = F.struct(
         metas.alias("m"), detect_equipment(directions).alias("e"),
         X.estimate_minutes(directions).alias("t"), fold(F.lower(F.array_join(directions, " "))).alias("x"),

@@ -187,7 +187,7 @@ def make_variant(df: DataFrame, concepts: tuple[Concept, ...], rules: C.VariantR
         ),
     )
     scored = evaluate(staged, _lines=lines)
-    scored = evaluate(scored, _again=normalize_recipe(col("_lines"), col("_names"), concepts))
+    scored = evaluate(scored, _again=normalize_recipe(col("_lines"), col("_names"), concepts, col("normalized")))
     scored = evaluate(
         scored, _score=score_suitability(col("_lines"), col("_steps.steps"), col("_again"), concepts)
     )
