@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of a batch that become Python objects at a time.
 SLICE_BYTES = 2 << 20
+#: Bytes of a batch that Spark sends to a Python worker.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: One run of ASCII white space, where it isn't a single space already.
 _RUN = r"\x20[\x20\x09-\x0D]++|[\x09-\x0D][\x20\x09-\x0D]*+"
 
@@ -40,8 +43,13 @@ def vocabulary(name: str) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once for each application, so that their workers can import it."""
+    """Send the package to the executors, once for each application, so that their workers can import it.
+
+    Batches for Python are kept small, unless the application says how large they are: rows are texts of any length.
+    """
     context = spark.sparkContext
+    if not context.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if getattr(context, "_larder_shipped", False):
         return
     package = Path(__file__).resolve().parent.parent
@@ -56,11 +64,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in parts of about ``SLICE_BYTES``, or of one row that is larger."""
+    """The same rows in parts of about ``SLICE_BYTES``, or of one row that is larger.
+
+    At the end of the task, what Arrow holds in reserve goes back, as workers live on and share an executor's room.
+    """
     for batch in batches:
         step = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.nbytes)))
         for first in range(0, batch.num_rows, step):
             yield batch.slice(first, step)
+    batch = None
+    pa.default_memory_pool().release_unused()
 
 
 def map_batches(
