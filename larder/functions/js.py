@@ -100,13 +100,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def quoted(value: str | float | None) -> str:
+    """A value as SQL text."""
+    if value is None:
+        return "cast(null as string)"
+    if isinstance(value, str):
+        # A brace after a dollar would be taken for a variable.
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("${", "$\\u007B") + "'"
+    return f"cast({value!r} as double)"
+
+
+def table_literal(rows: Iterable[dict], schema: str) -> Column:
+    """A small table as an array of structs: one expression text, as a call for each value takes longer than to plan the query."""
+    def cell(value: object) -> str:
+        if isinstance(value, (list, tuple)):
+            return "array(" + ", ".join(map(quoted, value)) + ")"
+        return quoted(value)
+
+    structs = ["named_struct(" + ", ".join(f"'{k}', {cell(v)}" for k, v in row.items()) + ")" for row in rows]
+    return F.expr(f"cast(array({', '.join(structs)}) as array<struct<{schema}>>)")
+
+
 def words(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return F.expr(f"cast(array({', '.join(map(quoted, values))}) as array<string>)")
 
 
 def among(column: Column, values: Iterable[str]) -> Column:
     """False, not null, for a null column."""
-    return F.coalesce(column.isin(list(values)), F.lit(False))
+    return F.coalesce(F.array_contains(words(values), column), F.lit(False))
 
 
 def escape_regex(column: Column) -> Column:

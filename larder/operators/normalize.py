@@ -95,24 +95,25 @@ def normalize_recipe(
     ``known`` are items that were normalized before. A line that is the text of one is not normalized
     again, nor is a token that is the name of one without a concept, if stripping leaves such names as they are.
     """
-    def line(text: Column) -> Column:
+    def normalized(text: Column) -> Column:
         if known is None:
             return normalize_text(text, concepts)
         same = F.get(F.filter(known, lambda k: k["original_text"] == text), F.lit(0))
         return F.coalesce(same, normalize_text(text, concepts))
 
-    def normalized_tokens() -> Column:
-        if known is None:
-            return F.transform(ner, lambda t: normalize_text(t, concepts))
-        loose = F.transform(
+    def loose() -> Column:
+        names = F.transform(
             F.filter(known, lambda k: k["slug"].isNull() & (k["confidence"] == 0.2)), lambda k: k["normalized_name"]
         )
-        settled = let(loose, lambda n: F.when(stripped_already(F.array_join(n, "\n")), n).otherwise(F.array().cast("array<string>")))
-        return let(settled, lambda n: F.transform(
-            F.filter(ner, lambda t: ~F.coalesce(F.array_contains(n, t), F.lit(False))), lambda t: normalize_text(t, concepts)
-        ))
+        none = F.array().cast("array<string>")
+        return let(names, lambda n: F.when(stripped_already(F.array_join(n, "\n")), n).otherwise(none))
+
+    # Lines and tokens go through one expression, and are told apart by their place.
+    tokens_in = ner if known is None else let(loose(), lambda n: F.filter(ner, lambda t: ~F.coalesce(F.array_contains(n, t), F.lit(False))))
+
+    def with_tokens(found: Column) -> Column:
+        lines = found["lines"]
 
-    def with_tokens(lines: Column) -> Column:
         def merge(found: Column) -> Column:
             fresh = F.filter(found, lambda t: ~F.exists(lines, lambda x: _same(x, t)))
 
@@ -131,14 +132,21 @@ def normalize_recipe(
             return F.concat(lines, let(fresh, first_only))
 
         sure = F.filter(
-            normalized_tokens(),
+            found["tokens"],
             lambda t: (t["slug"].isNotNull() | (t["normalized_name"] != "")) & (t["confidence"] >= 0.8),
         )
         return let(sure, merge)
 
-    lines = F.transform(ingredients, line)
+    all_ = F.struct(
+        F.transform(F.concat(ingredients, F.coalesce(tokens_in, F.array().cast("array<string>"))), normalized).alias("x"),
+        F.size(ingredients).alias("n"),
+    )
+    split = let(all_, lambda a: F.struct(
+        F.slice(a["x"], F.lit(1), F.greatest(a["n"], F.lit(0))).alias("lines"),
+        F.slice(a["x"], F.greatest(a["n"], F.lit(0)) + 1, F.greatest(F.size(a["x"]), F.lit(0))).alias("tokens"),
+    ))
     return F.filter(
-        let(lines, with_tokens), lambda i: (i["normalized_name"] != "") & (i["normalized_name"] != "water")
+        let(split, with_tokens), lambda i: (i["normalized_name"] != "") & (i["normalized_name"] != "water")
     )
 
 

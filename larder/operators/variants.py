@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larder import config as C
 from larder.functions import equipment as E
 from larder.functions import text as X
-from larder.functions.js import ANY_BOUNDARY, among, collapse, has, let, swap
+from larder.functions.js import ANY_BOUNDARY, among, collapse, has, let, swap, table_literal
 from larder.operators.common import evaluate
 from larder.operators.normalize import normalize_recipe
 from larder.operators.suitability import score_suitability
@@ -21,19 +21,11 @@ TRIMMED = "beyond the four most useful items"
 
 
 def _rules_literal(rules: C.VariantRules) -> Column:
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(s.concept).alias("from"), F.lit(s.to_concept).alias("to"),
-                F.lit(s.to_slug).alias("slug"), F.lit(s.reason).alias("reason"),
-                F.array(*[F.lit(v) for v in s.levels]).alias("levels"),
-            )
-            for s in rules.substitutions
-        ]
-    )
-    return rows if rules.substitutions else rows.cast(
-        "array<struct<from:string,to:string,slug:string,reason:string,levels:array<string>>>"
-    )
+    rows = [
+        {"from": s.concept, "to": s.to_concept, "slug": s.to_slug, "reason": s.reason, "levels": list(s.levels)}
+        for s in rules.substitutions
+    ]
+    return table_literal(rows, "from:string,to:string,slug:string,reason:string,levels:array<string>")
 
 
 def substitute_ingredients(items: Column, level: Column, rules: C.VariantRules) -> Column:

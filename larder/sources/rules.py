@@ -12,7 +12,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from larder.functions.js import table_literal
 
 CONCEPT_SCHEMA = (
     "ordinal int, concept string, slug string, reward double, penalty double, rarity string, "
@@ -119,20 +120,12 @@ def aliases(concepts: tuple[Concept, ...]) -> list[tuple[str, Concept]]:
 
 
 def alias_literal(concepts: tuple[Concept, ...]) -> Column:
-    return F.array(
-        *[
-            F.struct(F.lit(a).alias("alias"), F.lit(c.concept).alias("concept"),
-                     F.lit(c.slug).cast("string").alias("slug"))
-            for a, c in aliases(concepts)
-        ]
-    )
+    rows = [{"alias": a, "concept": c.concept, "slug": c.slug} for a, c in aliases(concepts)]
+    return table_literal(rows, "alias:string,concept:string,slug:string")
 
 
 def meta_literal(concepts: tuple[Concept, ...]) -> Column:
-    return F.array(
-        *[
-            F.struct(F.lit(c.concept).alias("concept"), F.lit(c.slug).cast("string").alias("slug"),
-                     F.lit(c.reward).alias("reward"), F.lit(c.total_penalty).alias("penalty"))
-            for c in concepts
-        ]
-    )
+    rows = [
+        {"concept": c.concept, "slug": c.slug, "reward": float(c.reward), "penalty": float(c.total_penalty)} for c in concepts
+    ]
+    return table_literal(rows, "concept:string,slug:string,reward:double,penalty:double")
