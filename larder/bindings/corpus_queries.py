@@ -20,6 +20,7 @@ from larder.operators import curate as cu
 from larder.operators import dedupe as dd
 from larder.operators import inspect as ins
 from larder.operators import normalize as nm
+from larder.operators.dictionary import Dictionary
 from larder.operators import refine as rf
 from larder.operators import sampling as sm
 from larder.operators import suitability as su
@@ -27,7 +28,7 @@ from larder.operators import validate as va
 from larder.operators import variants as vr
 from larder.operators.common import evaluate, ordered_index
 from larder.plans import pipeline as pl
-from larder.session import checkpoint_dir, materialize, share
+from larder.session import checkpoint_dir, materialize, scratch_folder, share
 from larder.sources import corpus as src
 from larder.sources.rules import concepts_df
 
@@ -212,6 +213,20 @@ def _normalize(spark, sf):
     )
 
 
+@query("normalize_dictionary", with_(
+    "SELECT ordinal, pos, norm.name AS name, coalesce(norm.slug, '') AS slug, conf AS confidence FROM lines JOIN norm USING (line)", "lines", "norm"))
+def _dictionary(spark, sf):
+    """The lines by a kept dictionary: the first line of each row fills it, then all others add what it lacks."""
+    rows = lines(spark, sf)
+    kept = Dictionary(spark, scratch_folder(spark, "dictionary"), concepts_df(spark, R.CONCEPTS))
+    kept.extend(rows.where("pos = 0"), "line")
+    n = F.col("normalized")
+    return kept.apply(rows, "line").select(
+        "ordinal", "pos", n["normalized_name"].alias("name"), F.coalesce(n["slug"], F.lit("")).alias("slug"),
+        n["confidence"].alias("confidence"),
+    )
+
+
 @query("normalize_recipe", with_(
     "SELECT ordinal, count(*) AS n, string_agg(name, ',' ORDER BY phase, pos) AS names FROM rec GROUP BY 1", "rec"))
 def _normalize_recipe(spark, sf):

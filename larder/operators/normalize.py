@@ -50,35 +50,32 @@ def alias_hit(cleaned: Column, concepts: tuple[Concept, ...]) -> Column:
     return F.get(F.filter(alias_literal(concepts), lambda e: F.contains(cleaned, e["alias"])), F.lit(0))
 
 
+def normalize_hit(text: Column, cleaned: Column, hit: Column) -> Column:
+    """The item of a line from what is left of it and the alias in that, null where it has none."""
+    exact = cleaned == hit["alias"]
+    partial = F.array(F.concat(F.lit('matched alias "'), hit["alias"], F.lit('"')))
+    mapped = _item(
+        text, hit["concept"], hit["slug"], F.when(exact, 1.0).otherwise(0.85),
+        F.when(exact, F.array().cast("array<string>")).otherwise(partial),
+    )
+    water = has(cleaned, _WATER) | has(text, _WATER_RAW, True)
+    return (
+        F.when(water, _item(text, "water", None, 1.0, _note("ignored always-available water")))
+        .when(
+            has(fold(F.lower(text)), _TINNED_TOMATO),
+            _item(text, "tinned tomato", "chopped-tomatoes", 0.95, _note("tinned/canned tomato priority match")),
+        )
+        .when(cleaned == "", _item(text, "", None, 0.0, _note("empty after cleaning")))
+        .when(hit.isNotNull(), mapped)
+        .when(has(cleaned, _PASTA_SHAPES), _item(text, "pasta", "pasta", 0.8, _note("pasta shape family")))
+        .otherwise(_item(text, cleaned, None, 0.2, _note("unmapped")))
+    )
+
+
 def normalize_text(text: Column, concepts: tuple[Concept, ...]) -> Column:
     """One line as ``(original_text, normalized_name, slug, confidence, notes)``."""
-    def from_alias(cleaned: Column) -> Column:
-        def body(hit: Column) -> Column:
-            exact = cleaned == hit["alias"]
-            partial = F.array(F.concat(F.lit('matched alias "'), hit["alias"], F.lit('"')))
-            mapped = _item(
-                text, hit["concept"], hit["slug"], F.when(exact, 1.0).otherwise(0.85),
-                F.when(exact, F.array().cast("array<string>")).otherwise(partial),
-            )
-            return (
-                F.when(hit.isNotNull(), mapped)
-                .when(has(cleaned, _PASTA_SHAPES), _item(text, "pasta", "pasta", 0.8, _note("pasta shape family")))
-                .otherwise(_item(text, cleaned, None, 0.2, _note("unmapped")))
-            )
-
-        return let(alias_hit(cleaned, concepts), body)
-
     def body(cleaned: Column) -> Column:
-        water = has(cleaned, _WATER) | has(text, _WATER_RAW, True)
-        return (
-            F.when(water, _item(text, "water", None, 1.0, _note("ignored always-available water")))
-            .when(
-                has(fold(F.lower(text)), _TINNED_TOMATO),
-                _item(text, "tinned tomato", "chopped-tomatoes", 0.95, _note("tinned/canned tomato priority match")),
-            )
-            .when(cleaned == "", _item(text, "", None, 0.0, _note("empty after cleaning")))
-            .otherwise(from_alias(cleaned))
-        )
+        return let(alias_hit(cleaned, concepts), lambda hit: normalize_hit(text, cleaned, hit))
 
     return let(strip_quantity(text), body)
 

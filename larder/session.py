@@ -45,6 +45,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
+def scratch_folder(spark: SparkSession, prefix: str = "larder") -> str:
+    """A new name in the checkpoint folder. What is written there lasts as long as the application, as its results are read from it."""
+    path = f"{checkpoint_dir(spark)}/{prefix}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and go on from its files.
 
@@ -52,13 +60,9 @@ def materialize(df: DataFrame) -> DataFrame:
     whose content depends on physical partitioning, so that a lost executor cannot recompute them
     differently. Parquet rather than a row checkpoint: readers prune columns and know the size.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/larder-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path = scratch_folder(df.sparkSession)
     df.write.parquet(path)
-    # The files last as long as the application, as its results are read from them.
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def share(df: DataFrame) -> DataFrame:
