@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.keys import family_key, item_name, near_key
@@ -25,29 +27,73 @@ def with_dedupe_keys(df: DataFrame) -> DataFrame:
     )
 
 
-def greedy_two_keys(df: DataFrame, family: str, near: str, score: str, ordinal: str) -> DataFrame:
+#: Rows that one task settles in order. What comes first doesn't depend on the rest, so each round
+#: settles at least as many, however long the chains of conflicts are.
+SETTLED = 1 << 17
+
+
+def _settle(rows: DataFrame, schema: str, decide: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """``decide`` over rows that are in one partition, a few times ``SETTLED`` at most."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            yield decide(pd.concat(parts, ignore_index=True))
+
+    return materialize(rows.mapInPandas(run, schema))
+
+
+def greedy_two_keys(
+    df: DataFrame, family: str, near: str, score: str, ordinal: str, settled: int = SETTLED
+) -> DataFrame:
     """Ordinals kept when rows are taken by score and each uses up both of its keys.
 
     Rows that share both keys with an earlier row can never be kept, so the job first shrinks to
     one row per key pair (a partial aggregate, whatever the size of a group of copies). Then, in
     rounds, a pair is kept when it comes first at both of its keys, and takes every other pair
-    at these keys out. A dropped pair frees nothing, as a dropped row registers no key.
+    at these keys out; and the first ``settled`` pairs are decided one by one, as far as chains
+    of conflicts go. A dropped pair frees nothing, as a dropped row registers no key.
     """
     live = materialize(df.groupBy(family, near).agg(F.min(_order(score, ordinal)).alias("first")))
     kept = []
-    while not live.isEmpty():
-        first_family = live.groupBy(family).agg(F.min("first").alias("_f"))
-        first_near = live.groupBy(near).agg(F.min("first").alias("_n"))
-        won = materialize(
-            live.join(first_family, family)
-            .join(first_near, near)
-            .where((F.col("first") == F.col("_f")) & (F.col("first") == F.col("_n")))
-            .select(family, near, "first")
-        )
-        kept.append(won.select(F.col("first.o").alias(ordinal)))
-        live = materialize(
-            live.join(won.select(family), family, "left_anti").join(won.select(near), near, "left_anti")
-        )
+
+    def without(rows: DataFrame, won: DataFrame) -> DataFrame:
+        kept.append(won.select(F.col("o").alias(ordinal)))
+        return rows.join(won.select(family), family, "left_anti").join(won.select(near), near, "left_anti")
+
+    def decide(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["s", "o"], kind="stable")
+        families, nears, chosen = set(), set(), []
+        for f, n in zip(rows["f"], rows["n"], strict=True):
+            free = f not in families and n not in nears
+            chosen.append(free)
+            if free:
+                families.add(f)
+                nears.add(n)
+        return rows[chosen]
+
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = f"f {kind[family]}, n {kind[near]}, s double, o {kind[ordinal]}"
+    while left := live.count():
+        if left > settled:
+            first_family = live.groupBy(family).agg(F.min("first").alias("_f"))
+            first_near = live.groupBy(near).agg(F.min("first").alias("_n"))
+            won = materialize(
+                live.join(first_family, family)
+                .join(first_near, near)
+                .where((F.col("first") == F.col("_f")) & (F.col("first") == F.col("_n")))
+                .select(family, near, "first.o")
+            )
+            live = materialize(without(live, won))
+        last = live.select("first").orderBy("first").limit(settled).agg(F.max("first").alias("first")).first()["first"]
+        if last is None:
+            break
+        bound = F.struct(F.lit(last["s"]).alias("s"), F.lit(last["o"]).alias("o"))
+        head = live.where(F.col("first") <= bound).select(F.col(family).alias("f"), F.col(near).alias("n"), "first.s", "first.o")
+        won = _settle(head.repartition(1), schema, decide).select(F.col("f").alias(family), F.col("n").alias(near), "o")
+        if left <= settled:
+            kept.append(won.select(F.col("o").alias(ordinal)))
+            break
+        live = materialize(without(live.where(F.col("first") > bound), won))
     if not kept:
         return df.select(ordinal).limit(0)
     return reduce(DataFrame.unionByName, kept)
@@ -72,7 +118,7 @@ def similar_pairs(df: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     block a title meets only titles that hold its opening characters.
     """
     leads, copies = leads_and_copies(df)
-    return copies.unionByName(_similar_leads(leads, threshold))
+    return copies.unionByName(_similar_leads(leads, threshold).drop("rank"))
 
 
 def leads_and_copies(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +136,7 @@ def leads_and_copies(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _similar_leads(df: DataFrame, threshold: float) -> DataFrame:
-    """``similar_pairs`` of rows that differ in level, title or set."""
+    """``similar_pairs`` of rows that differ in level, title or set, with the place of the later one as ``rank``."""
     if threshold < SIMILARITY:
         raise ValueError("blocking relies on a threshold of at least 0.9")
     size = F.size("concepts")
@@ -132,25 +178,52 @@ def _similar_leads(df: DataFrame, threshold: float) -> DataFrame:
     return met.select(
         F.when(earlier, F.col("a.ordinal")).otherwise(F.col("b.ordinal")).alias("earlier"),
         F.when(earlier, F.col("b.ordinal")).otherwise(F.col("a.ordinal")).alias("later"),
+        F.greatest("a.first", "b.first").alias("rank"),
     ).distinct()
 
 
-def greedy_independent(pairs: DataFrame) -> DataFrame:
-    """``later`` rows dropped when rows are taken in order and each bars its later partners."""
-    edges = materialize(pairs)
-    dropped = []
-    while not edges.isEmpty():
+def greedy_independent(pairs: DataFrame, settled: int = SETTLED) -> DataFrame:
+    """``later`` rows dropped when rows are taken in order and each bars its later partners.
+
+    ``rank`` is the place of the later row; without it, its id is. In rounds, rows that nothing bars take their partners out;
+    and the links of the first rows, ``settled`` of them, are decided one by one. Rows of so many links that
+    these are more than twice as many wait for the rows before them.
+    """
+    def decide(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, out = rows.sort_values("place", kind="stable"), set()
+        for a, b in zip(rows["earlier"], rows["later"], strict=True):
+            if a not in out:
+                out.add(b)
+        return pd.DataFrame({"node": list(out)}, columns=["node"])
+
+    edges = materialize(pairs if "rank" in pairs.columns else pairs.withColumn("rank", F.col("later")))
+    schema, dropped = f"node {edges.schema['later'].dataType.simpleString()}", []
+
+    def without(rows: DataFrame, out: DataFrame) -> DataFrame:
+        """A dropped row bars nobody; what bars it is settled."""
+        dropped.append(out)
+        return rows.join(out, rows["later"] == out["node"], "left_anti").join(out, F.col("earlier") == out["node"], "left_anti")
+
+    def in_order(rows: DataFrame) -> DataFrame:
+        place = F.dense_rank().over(Window.orderBy("rank"))
+        return rows.repartition(1).select("earlier", "later", place.alias("place"))
+
+    while left := edges.count():
+        if left <= settled:
+            dropped.append(_settle(in_order(edges), schema, decide))
+            break
         barred = edges.select(F.col("later").alias("node")).distinct()
         sure = edges.select(F.col("earlier").alias("node")).distinct().join(barred, "node", "left_anti")
-        out = materialize(
-            edges.join(sure, edges["earlier"] == sure["node"], "left_semi").select(F.col("later").alias("node")).distinct()
-        )
-        dropped.append(out)
-        # A dropped row bars nobody; a kept row's edges are settled.
-        edges = materialize(
-            edges.join(out, edges["later"] == out["node"], "left_anti")
-            .join(out, F.col("earlier") == out["node"], "left_anti")
-        )
+        out = edges.join(sure, edges["earlier"] == sure["node"], "left_semi").select(F.col("later").alias("node")).distinct()
+        edges = materialize(without(edges, materialize(out)))
+        ranks = edges.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).orderBy("rank").limit(settled)
+        running = F.sum("n").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+        fits = ranks.select("rank", running.alias("n")).where(F.col("n") <= 2 * settled)
+        last = fits.agg(F.max("rank").alias("rank"))
+        head = materialize(edges.join(F.broadcast(last.select(F.col("rank").alias("_last"))), F.col("rank") <= F.col("_last"), "left_semi"))
+        out = _settle(in_order(head), schema, decide)
+        rest = edges.join(F.broadcast(last.select(F.col("rank").alias("_last"))), F.col("rank") <= F.col("_last"), "left_anti")
+        edges = materialize(without(rest, out))
     if not dropped:
         return pairs.select(F.col("later").alias("ordinal")).limit(0)
     return reduce(DataFrame.unionByName, dropped).select(F.col("node").alias("ordinal"))

@@ -141,6 +141,38 @@ def test_equal_rows_give_one_link_each(spark):
     assert len(links) == 4999 and {r.earlier for r in links} == {0}
 
 
+def test_long_chains_of_conflicts_end_in_few_rounds(spark, monkeypatch):
+    n, rounds = 10_000, []
+    written = dedupe.materialize
+    monkeypatch.setattr(dedupe, "materialize", lambda df: rounds.append(1) or written(df))
+    chain = spark.range(n - 1).select(F.col("id").alias("earlier"), (F.col("id") + 1).alias("later"))
+    for settled in (dedupe.SETTLED, 1500):
+        rounds.clear()
+        dropped = {r.ordinal for r in dedupe.greedy_independent(chain, settled).collect()}
+        assert dropped == set(range(1, n, 2)) and len(rounds) <= 60
+        rounds.clear()
+        rows = spark.range(n).select(
+            (F.col("id") + F.col("id") % 2).alias("f"), (F.col("id") - F.col("id") % 2).alias("n"), (-F.col("id")).cast("double").alias("score"), F.col("id").alias("ordinal")
+        )
+        kept = {r.ordinal for r in dedupe.greedy_two_keys(rows, "f", "n", "score", "ordinal", settled).collect()}
+        assert kept == set(brute.greedy_two_keys([(r.ordinal, r.score, r.f, r.n) for r in rows.collect()])) and len(rounds) <= 60
+
+
+def test_settling_in_parts_equals_brute_force(spark):
+    rnd = random.Random(9)
+    rows = [(f"f{rnd.randrange(60)}", f"n{rnd.randrange(60)}", float(rnd.randrange(9)), i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "f string, n string, score double, ordinal long").repartition(5)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in ((rnd.randrange(300), rnd.randrange(300)) for _ in range(900)) if a != b} | {(i, 299) for i in range(80)})
+    out = set()
+    for a, b in sorted(pairs, key=lambda p: p[1]):
+        if a not in out:
+            out.add(b)
+    edges = spark.createDataFrame(pairs, "earlier long, later long").repartition(3)
+    for settled in (7, 30, 10_000):
+        assert {r.ordinal for r in dedupe.greedy_two_keys(df, "f", "n", "score", "ordinal", settled).collect()} == set(brute.greedy_two_keys([(i, s, f, n) for f, n, s, i in rows]))
+        assert {r.ordinal for r in dedupe.greedy_independent(edges, settled).collect()} == out
+
+
 def test_rule_tables_of_any_size(spark):
     from larder.sources.rules import concepts_df, concepts_from
 
