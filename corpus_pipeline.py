@@ -5,15 +5,13 @@ Toxic documents go, then exact copies, near copies and contaminated documents; t
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.llm import byte_bpe, decontaminate, exact_dedup, near_copies, toxicity
 from larder.llm.common import table
-from larder.session import checkpoint_dir
+from larder.session import scratch_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +55,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other; each is written as Parquet and read again by the next one."""
     docs = table(spark, sf_dir, "documents")
-    folder = os.path.join(checkpoint_dir(spark), f"pipeline-{uuid.uuid4().hex}")
+    folder = scratch_folder(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

@@ -20,7 +20,6 @@ import functools
 import os
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.llm.common import map_batches, ship, sliced, vocabulary
-from larder.session import checkpoint_dir
+from larder.session import scratch_folder
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
@@ -361,6 +360,6 @@ def document_checks(spark: SparkSession, folder: str) -> DataFrame:
 def stored(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``docs`` to token files in the shared folder and report what is read back from them."""
     spark = docs.sparkSession
-    folder = folder or f"{checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    folder = folder or scratch_folder(spark, "token-files")
     write_token_files(docs, folder)
     return document_checks(spark, folder)

@@ -139,14 +139,14 @@ with parsed as (
     select host, n, k, mean as prior from hosts join domains2 using (domain)
 ), hosts2 as (
     select host, (s * prior + k) / (s + n) as mean, s + n as size from hosts1, (select 1 / {_RHO} - 1 as s from hosts1)
-), bad as (
-    select host from hosts2 where mean + {DEVIATIONS} * sqrt(mean * (1 - mean) / (size + 1)) < {FLOOR}
+), found as (
+    select host, n, k, mean, mean + {DEVIATIONS} * sqrt(mean * (1 - mean) / (size + 1)) as bound from hosts2 join hosts using (host)
 )
-select page_id, host, path,
+select page_id, host, path, n as n_labelled, k::bigint as n_good, round(mean, 9) as mean, round(bound, 9) as bound,
     case {" ".join(f"when {fit} then '{r[1] + r[2]}'" for r, fit in _FITS.items())} end as rule,
     case {" ".join(f"when {fit} then '{r[0]}'" for r, fit in _FITS.items())}
-        when host in (select host from bad) then 'block' else 'allow' end as verdict
-from parsed
+        when bound < {FLOOR} * (select (sum(k) + 1) / (sum(n) + 2) from hosts) then 'block' else 'allow' end as verdict
+from parsed join found using (host)
 """
 
 

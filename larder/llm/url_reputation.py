@@ -4,7 +4,8 @@ Labelled pages are draws from their host: a page is good if its quality is 1 and
 The share of good pages of a host has a beta prior whose mean is the estimate for its registered
 domain; that of a domain has the estimate for its suffix, and that of a suffix the one for all
 pages. The strength of each prior comes from the spread between the groups of its level, by the
-method of moments. A host is blocked if even the upper bound of its posterior is below a floor.
+method of moments. A host is blocked if even the upper bound of its posterior is below a floor, a
+share of the mean over all pages.
 
 A null url, or one without ``://``, has an empty host and path; the empty host is a host like any
 other. Labels that are null in both columns are ignored; where a page has several, it's good only
@@ -36,8 +37,9 @@ SUFFIXES: tuple[str, ...] = (
     "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "co.kr",
     "com.br", "com.cn", "com.mx", "com.tr", "co.in", "co.za", "github.io", "blogspot.com",
 )
-#: Posterior standard deviations to the upper bound; least share of good pages that the bound must reach.
-DEVIATIONS, FLOOR = 1.645, 0.5
+#: Posterior standard deviations to the upper bound; the share of the mean over all pages that the bound must reach.
+#: So a host is blocked that is worse than all pages together, by more than its posterior leaves open.
+DEVIATIONS, FLOOR = 1.0, 1.0
 #: Bounds of the correlation inside a group, from which the strength of a prior follows.
 LEAST_RHO, MOST_RHO = 0.001, 0.9
 
@@ -125,13 +127,22 @@ def judge_urls(
     pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, deviations: float = DEVIATIONS,
     floor: float = FLOOR, suffixes: Sequence[str] = SUFFIXES,
 ) -> DataFrame:
-    """Per page: page_id, host, path, rule, verdict; the rule's verdict, else the reputation's."""
+    """Per page: page_id, host, path, rule, verdict; the rule's verdict, else the reputation's.
+
+    And what that rests on: n_labelled and n_good pages of the host, mean and upper bound of its posterior.
+    """
     found = host_reputations(pages, page_outcomes(labels), suffixes)
-    bad = found.where(F.col("mean") + deviations * F.col("deviation") < floor).select("host", F.lit(True).alias("bad"))
+    found = found.select(
+        "host", F.col("n").alias("n_labelled"), F.col("k").alias("n_good"), "mean",
+        (F.col("mean") + deviations * F.col("deviation")).alias("bound"),
+    )
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
-    other = F.when(F.col("bad"), "block").otherwise("allow")
-    return rows.join(bad, "host", "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("ruled", other).alias("verdict")
+    every = ((F.sum("n_good") + 1) / (F.sum("n_labelled") + 2) * floor).alias("floor")
+    found = found.crossJoin(F.broadcast(found.agg(every)))
+    other = F.when(F.col("bound") < F.col("floor"), "block").otherwise("allow")
+    return rows.join(found, "host", "left").select(
+        "page_id", "host", "path", "rule", F.coalesce("ruled", other).alias("verdict"), "n_labelled", "n_good",
+        F.round("mean", 9).alias("mean"), F.round("bound", 9).alias("bound"),
     )
