@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,21 +177,23 @@ def automaton(items: tuple[tuple[str, str], ...], window: int) -> Automaton:
     return Automaton([(name, words(text)) for name, text in items], window)
 
 
-def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[tuple[tuple[str, str], ...]]:
-    """The items in blocks of at most ``block_words`` words, or of one item that is longer.
+def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[tuple[tuple[str, str], ...]]:
+    """The items in blocks of at most ``block_words`` words, or of one item that is longer; one empty block if there are none.
 
-    Items are read one after the other. Each block is bounded, and so is what its pass sends to the tasks.
+    The driver reads a partition of sorted items after the other and holds one block at a time, which
+    is what a pass sends to the tasks.
     """
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), "text")
-    blocks, block, size = [], [], 0
+    block, size, n_blocks = [], 0, 0
     for row in named.where("text is not null").orderBy("name", "text").toLocalIterator():
         n = len(words(row.text))
         if block and size + n > block_words:
-            blocks.append(tuple(block))
-            block, size = [], 0
+            yield tuple(block)
+            block, size, n_blocks = [], 0, n_blocks + 1
         block.append((row.name, row.text))
         size += n
-    return [*blocks, tuple(block)] if block or not blocks else blocks
+    if block or not n_blocks:
+        yield tuple(block)
 
 
 def _joined(spans: list, more: list) -> list[tuple[int, int]]:
@@ -247,12 +250,12 @@ def remove_contaminated(
     """The documents that aren't contaminated, with all their columns and unchanged."""
     per_cent = round(coverage * 10_000)
     blocks = benchmark_blocks(benchmark)
-    if len(blocks) > 1:
+    block = next(blocks)
+    if next(blocks, None) is not None:
         names = docs.columns
         inner = docs.toDF(*[text_col if c == text_col else f"c{i}" for i, c in enumerate(names)])
         judged = with_verdict(find_hits(inner, benchmark, window, text_col=text_col), coverage)
         return judged.where(~F.col("contaminated")).select(*inner.columns).toDF(*names)
-    block = blocks[0]
 
     def clean(texts: list) -> list[bool]:
         read, out = automaton(block, window).read, []
