@@ -358,7 +358,7 @@ def _stray(lst: str, known: str, key: str) -> str:
 
 _per_item = f"""list_filter(flatten(list_transform(items, lambda i: [
     CASE WHEN NOT list_contains(known, i.slug) THEN {O.q(_W['item'])} || i.slug END,
-    CASE WHEN list_contains({string_list(C.DRAFT_SPECIALIST)}, i.slug) THEN {O.q(_W['specialist'])} || i.slug END])), lambda x: x IS NOT NULL)"""
+    CASE WHEN list_contains({string_list(R.DRAFT_SPECIALIST)}, i.slug) THEN {O.q(_W['specialist'])} || i.slug END])), lambda x: x IS NOT NULL)"""
 _near = "array_to_string(string_split(signature, '|')[1:3], '|')"
 add("d_judged", f"""SELECT kitchen_id, template, title, signature, {" || ".join([
         _if("trim(title) = ''", "title"), _if("n_steps = 0", "steps"), _if("minutes > 30", "time"), _if("difficulty = 'hard'", "difficulty"),
@@ -377,7 +377,7 @@ def _validate(spark, sf):
     made = materialize(_drafts(spark, sf).withColumn("draft_id", F.struct("kitchen_id", "template")))
     table = transforms_df(spark, R.TRANSFORMS)
     rejected = tb.with_signature(made.where("template = 0 and kitchen_id % 2 = 0")).select("signature")
-    out = dr.validate_drafts(made, R.name_catalog(spark, sf), tb.components_of(table), table, existing(spark, sf), rejected)
+    out = dr.validate_drafts(made, R.name_catalog(spark, sf), tb.components_of(table), table, existing(spark, sf), rejected, R.DRAFT_SPECIALIST)
     return out.select("kitchen_id", "template", F.array_join("reasons", "; ").alias("reasons"))
 
 

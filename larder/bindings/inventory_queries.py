@@ -273,9 +273,17 @@ def _purchase_common(spark, sf):
 
 
 @query("super_food_score", with_(
-    f"SELECT slug, round(max(super_score), 2) AS best FROM {CORRECTED} GROUP BY 1", "buys", "effects"))
+    "SELECT slug, round(max(super_score), 2) AS best, count(*) AS kitchens FROM buys GROUP BY 1", "buys"))
 def _super_food_score(spark, sf):
-    return model(spark, sf).corrections().groupBy("slug").agg(F.round(F.max("super_score"), 2).alias("best"))
+    return model(spark, sf).best_scores().select("slug", F.round("best", 2).alias("best"), "kitchens")
+
+
+@query("purchase_total", with_(
+    "SELECT slug, sum(unlocked)::BIGINT AS unlocked, sum(improved)::BIGINT AS improved, sum(fancied)::BIGINT AS fancied, count(*) AS kitchens FROM buys GROUP BY 1",
+    "buys"))
+def _purchase_total(spark, sf):
+    """The counters of every candidate, summed over all kitchens: from the exceptions, and the common ones times the rest."""
+    return model(spark, sf).totals()
 
 
 @query("good_next_buys", with_(f"SELECT {BUY} FROM buys_ranked WHERE rank <= 8", "buys_ranked"))

@@ -113,6 +113,7 @@ CURATE = C.CurateRules(
     demo_slugs=("red bolt", "blue gear", "cold rod", "hot plate", "new ring", "old anvil"),
 )
 FANCY_UP = ("hot plate", "small rod", "new ring")
+DRAFT_SPECIALIST = ("saffron", "truffle", "gochujang", "mirin")
 PREFERRED = ("src0", "src1", "src2", "src3")
 
 TRANSFORMS = (

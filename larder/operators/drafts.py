@@ -137,7 +137,7 @@ def _unknown(drafts: DataFrame, array: str, entry: Column, known: DataFrame, out
 
 def validate_drafts(
     drafts: DataFrame, catalog: DataFrame, components: DataFrame, transforms: DataFrame,
-    existing: DataFrame, rejected: DataFrame, specialist: tuple[str, ...] = C.DRAFT_SPECIALIST,
+    existing: DataFrame, rejected: DataFrame, specialist: tuple[str, ...] = (),
     fats: tuple[str, ...] = C.DRAFT_FATS,
 ) -> DataFrame:
     """Adds ``signature``, ``reasons`` (in rule order) and ``ok``.

@@ -187,6 +187,37 @@ class PurchaseModel:
         """
         return self.counters(self.sparse.select("kitchen_id", "slug"))
 
+    def exceptions(self) -> DataFrame:
+        """``(kitchen_id, slug)`` whose scores are not the common ones: a correction, or the atom is satisfied."""
+        return self.sparse.select("kitchen_id", "slug").unionByName(self.covered_slugs().select("kitchen_id", "slug")).distinct()
+
+    def best_scores(self) -> DataFrame:
+        """``(slug, best, kitchens)``: the greatest super score of an item over all kitchens, and how many may buy it.
+
+        Kitchens and items are not paired. The exceptions are scored one by one; all other kitchens have
+        the common score, so what counts is whether there are any: kitchens less exceptions.
+        """
+        own, alike = self._apart_and_alike()
+        rows = own.withColumn("times", F.lit(1).cast("long")).unionByName(alike, allowMissingColumns=True)
+        return rows.groupBy("slug").agg(F.max("super_score").alias("best"), F.sum("times").alias("kitchens"))
+
+    def totals(self) -> DataFrame:
+        """``(slug, unlocked, improved, fancied, kitchens)``: the counters of every candidate summed over all kitchens."""
+        own, alike = self._apart_and_alike()
+        rows = own.withColumn("times", F.lit(1).cast("long")).unionByName(alike, allowMissingColumns=True)
+        sums = [F.sum(F.col(c) * F.col("times")).alias(c) for c in ("unlocked", "improved", "fancied")]
+        return rows.groupBy("slug").agg(*sums, F.sum("times").alias("kitchens"))
+
+    def _apart_and_alike(self) -> tuple[DataFrame, DataFrame]:
+        """The scores of the exceptions, and the common ones with ``times``, the number of kitchens that have them."""
+        exceptions = materialize(self.exceptions())
+        columns = ["slug", "unlocked", "improved", "fancied", "super_score"]
+        apart = exceptions.groupBy("slug").agg(F.count(F.lit(1)).alias("apart"))
+        everyone = self.kitchens.agg(F.count(F.lit(1)).alias("everyone"))
+        others = F.col("everyone") - F.coalesce("apart", F.lit(0))
+        alike = self.common().where("n_helped > 0 or is_essential").join(apart, "slug", "left").crossJoin(F.broadcast(everyone))
+        return self.counters(exceptions).select(columns), alike.select(*columns, others.alias("times")).where("times > 0")
+
     def _global_list(self, order: str, super_only: bool) -> DataFrame:
         """Items by their common score, with a dense ``pos``."""
         common = self.common()

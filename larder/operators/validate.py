@@ -60,7 +60,7 @@ def top_missing(df: DataFrame, limit: int = 15) -> DataFrame:
 
 def corpus_super_foods(
     df: DataFrame, catalog: DataFrame, limit: int = 12,
-    fancy_up: tuple[str, ...] = C.FANCY_UP_SLUGS, never: tuple[str, ...] = ("salt", "pepper"),
+    fancy_up: tuple[str, ...] = (), never: tuple[str, ...] = (),
 ) -> DataFrame:
     """Catalog items that carry or upgrade the most candidates, and names worth adding (``NEW:``)."""
     live = df.where(F.col("status") != "unrepresentable")

@@ -13,7 +13,9 @@ from larder.operators import ranking as rk
 from larder.operators import shopping as sh
 
 RULES = C.MatchRules(
-    classes=(("oil", "butter"), ("p", "q", "r")), vegetables=("a", "b"), proteins=("c",), carbs=("rice",),
+    pantry_ignore=("salt", "pepper"), classes=(("oil", "butter"), ("p", "q", "r")), family=("rice", "microwave-rice"), vegetables=("a", "b"),
+    proteins=("c",), carbs=("rice",), vegetable_tag="vegetarian", never_buy=("salt", "pepper"),
+    substitute_groups=(("rice", "microwave-rice"), ("butter", "oil"), ("cheese", "grated-cheese"), ("noodles", "instant-noodles"), ("potatoes", "microwave-potatoes")),
 )
 SLUGS = ["salt", "pepper", "oil", "butter", "rice", "microwave-rice", "p", "q", "r", "cheese", "grated-cheese",
          *"abcdefghij"]
