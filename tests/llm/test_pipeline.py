@@ -84,6 +84,10 @@ def test_every_operator_query_on_the_smallest_tables(spark):
 
     for name, query in entry.queries().items():
         if name.startswith("op"):
-            source = "pages" if name.split("_")[0] in ("op2", "op4", "op5") else "documents"
-            rows = table(spark, SMALL, source).count()
-            assert query(spark, SMALL).agg(F.count(F.lit(1)).alias("n")).first().n == rows * (2 if name.startswith("op2") else 1)
+            number = name.split("_")[0]
+            source = "pages" if number in ("op2", "op4", "op5") else "documents"
+            rows = table(spark, SMALL, source).count() * (2 if number == "op2" else 1)
+            if number == "op11":
+                rows = table(spark, SMALL, "conversations").select("conv_id").distinct().count()
+            found = query(spark, SMALL).agg(F.count(F.lit(1)).alias("n")).first().n
+            assert 0 < found <= 8000 if number == "op12" else found == rows
