@@ -177,3 +177,59 @@ def test_drafts_fill_thin_kitchens(spark):
     assert reasons == ({"Unknown ingredient: nowhere"} if any("b" in k.owned for k in thin) else set()) and thin
     shown = {(r.kitchen_id, r.title) for r in lists["make_now"].collect() if r.title == "Warm A"}
     assert shown <= {(k.id, "Warm A") for k in kitchens if "a" in k.owned} and shown
+
+
+@pytest.mark.parametrize("most", [2, 64])
+def test_lines_of_pairs_that_may_lack_one(spark, most, monkeypatch):
+    monkeypatch.setattr(cov, "MAX_CARRIED_ITEMS", most)
+    recipes, kitchens, catalog = world(11)
+    ks, items, _, ri, _ = frames(spark, recipes, kitchens, catalog)
+    got = [tuple(r) for r in cov.coverage_columns(cov.match_lines(ks, items, ri, RULES), RULES).where(
+        "make_now or almost_there").select("kitchen_id", "recipe_id", "make_now").collect()]
+    want = set()
+    for k in kitchens:
+        for r in recipes:
+            c = brute.cover(r, k.owned, RULES)
+            now = brute.ready(c)
+            if now or brute.nearly(c):
+                want.add((k.id, r.id, now))
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_that_lack_most_get_no_lines(spark):
+    ks = spark.createDataFrame([(1,)], "kitchen_id long")
+    items = spark.createDataFrame([(1, "a", False)], "kitchen_id long, slug string, expiring boolean")
+    ri = spark.createDataFrame(
+        [(r, s, False, n) for r, slugs in ((7, "abcdefgh"), (8, "ab")) for n, s in enumerate(slugs)],
+        "recipe_id long, slug string, optional boolean, ordinal int",
+    )
+    assert [r.recipe_id for r in cov.match_lines(ks, items, ri, RULES).collect()] == [8]
+
+
+def test_common_scores_match_no_pairs(spark):
+    recipes, kitchens, catalog = world(12, 20, 6)
+    ks, items, _, ri, cat = frames(spark, recipes, kitchens, catalog)
+    model = sh.PurchaseModel(ks, items, ri, cat, RULES)
+    assert model.common().count() == len(catalog) - len(RULES.never_buy)
+    assert not {"effects", "sparse"} & set(vars(model))
+
+
+def test_best_purchases_from_the_first_places(spark, monkeypatch):
+    recipes, kitchens, catalog = world(13, 40, 10)
+    ks, items, _, ri, cat = frames(spark, recipes, kitchens, catalog)
+    monkeypatch.setattr(sh, "REACH", 1)
+    model = sh.PurchaseModel(ks, items, ri, cat, RULES)
+    rows = model.top(3).collect()
+    assert "effects" not in vars(model)
+    for k in kitchens:
+        want = brute.purchases(recipes, catalog, k, RULES)[:3]
+        assert {r.slug for r in rows if r.kitchen_id == k.id} == {x["slug"] for x in want}
+
+
+def test_candidates_keep_effects_and_no_lines(spark):
+    from larder.plans.recommend import RecommendOptions, score_candidates
+
+    recipes, kitchens, catalog = world(14, 20, 6)
+    ks, items, rs, ri, _ = frames(spark, recipes, kitchens, catalog)
+    _, found = score_candidates(ks, items, rs, ri, (), RecommendOptions(rules=RULES))
+    assert "lines" not in found.columns and found.where("effect is null or size(effect_slugs) < 0").isEmpty()
