@@ -253,3 +253,9 @@ def test_csv_round_trip(spark, tmp_path):
     assert [(r.id, r.title, r.ner, r.link) for r in kept] == [
         ("7", "Pie", ["egg", "milk"], "https://www.food.com/recipe/7"), ("2", "Tea", ["leaf", "water"], "https://www.food.com/recipe/2")]
     assert tuple(counts.first()) == (3, 2, 1)
+
+
+def test_grams_meet_a_small_alias_table_where_they_are(spark):
+    df = spark.createDataFrame([("fresh egg",), ("olive oil",)], "cleaned string")
+    plan = normalize.alias_match_joined(df, "cleaned", concepts_df(spark, CONCEPTS))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
