@@ -172,9 +172,11 @@ def stored(rows: DataFrame) -> DataFrame:
     return rows.where("ordinal % 2 = 0")
 
 
-def publish(spark: SparkSession, sf: str) -> str:
+def publish(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> str:
+    """The stored half of ``rows``, all orders unless given, as published tables. They are four tables of the same rows, made once."""
     path = f"{checkpoint_dir(spark)}/graph-{uuid.uuid4().hex}"
-    rows = stored(batch(spark, sf)).withColumn("recipe_id", F.concat(F.lit("old-"), F.col("ordinal").cast("string")))
+    half = materialize(stored(batch(spark, sf) if rows is None else rows))
+    rows = half.withColumn("recipe_id", F.concat(F.lit("old-"), F.col("ordinal").cast("string")))
     tb.publish_tables(
         {"catalog": cheap_catalog(spark, sf), "components": tb.components_of(transforms_df(spark, R.TRANSFORMS)),
          "transforms": transforms_df(spark, R.TRANSFORMS),
@@ -197,9 +199,9 @@ def _ingest_counts(spark, sf):
 @query("ingest_refined_stream", with_("SELECT ordinal FROM n_decided WHERE outcome = 'inserted'", "n_decided"))
 def _ingest_stream(spark, sf):
     """The batch as a stream of one micro-batch into the published tables."""
-    path, source = publish(spark, sf), f"{checkpoint_dir(spark)}/arrivals-{uuid.uuid4().hex}"
-    rows = batch(spark, sf).withColumn("level", F.lit("student")).withColumn("band", F.lit(1))
-    rows.coalesce(1).write.parquet(source)
+    source = f"{checkpoint_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    batch(spark, sf).withColumn("level", F.lit("student")).withColumn("band", F.lit(1)).write.parquet(source)
+    path = publish(spark, sf, spark.read.parquet(source).drop("level", "band"))
     stream = si.read_refined(spark, source).withColumn("tags", F.to_json("tags"))
     si.ingest_refined_stream(stream, path, f"{path}/progress").awaitTermination()
     return spark.read.parquet(f"{path}/recipes").where("batch like 'stream-%'").select(F.col("ordinal").cast("long").alias("ordinal"))

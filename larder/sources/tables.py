@@ -61,7 +61,8 @@ def publish_tables(tables: Mapping[str, DataFrame], path: str) -> None:
     if "recipes" in tables:
         tables = {**tables, "signatures": signature_rows(tables["recipes"])}
     for name, df in tables.items():
-        writer = df.write.partitionBy("prefix") if name == "signatures" else df.write
+        # One file to a folder, whatever the number of tasks.
+        writer = df.repartition("prefix").write.partitionBy("prefix") if name == "signatures" else df.write
         writer.parquet(f"{path}/{fresh}/{name}/batch={SEED_BATCH}")
     for name, df in tables.items():
         spark = df.sparkSession
@@ -293,6 +294,6 @@ def ingest_refined(recipes: DataFrame, graph_path: str, batch: str) -> DataFrame
     )
     for name, part in plan_write(new, catalog, components, "skip_recipe", "omit").items():
         part.write.mode("overwrite").parquet(f"{graph_path}/{name}/batch={batch}")
-    signature_rows(new).write.mode("overwrite").partitionBy("prefix").parquet(f"{graph_path}/signatures/batch={batch}")
+    signature_rows(new).repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{graph_path}/signatures/batch={batch}")
     decided.unpersist()
     return spark.createDataFrame(counts)

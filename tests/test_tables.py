@@ -107,3 +107,11 @@ def test_drafts(spark):
     assert [i.slug for i in got[0].ingredients] == ["barley", "leeks", "curd"]
     assert [i.slug for i in got[1].ingredients] == ["quick-barley", "leeks", "lard", "curd"]
     assert got[1].graph_path == ["warm-barley", "green-barley"]
+
+
+def test_signatures_take_one_file_a_folder(spark, tmp_path):
+    rows = spark.range(64).select(F.concat(F.lit("s"), (F.col("id") % 8).cast("string")).alias("signature")).repartition(4)
+    tb.publish_tables({"recipes": rows}, str(tmp_path))
+    folders = [f for f in (tmp_path / "signatures").rglob("prefix=*") if f.is_dir()]
+    assert folders and all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
+    assert spark.read.parquet(str(tmp_path / "signatures")).count() == 64
