@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larder import config as C
 from larder.functions import equipment as E
+from larder.functions import js
 from larder.functions import text as X
 from larder.operators import common, curate, dedupe, graph, normalize, sampling
 from larder.operators import suitability as su
@@ -261,3 +262,45 @@ def test_grams_meet_a_small_alias_table_where_they_are(spark):
     df = spark.createDataFrame([("fresh egg",), ("olive oil",)], "cleaned string")
     plan = normalize.alias_match_joined(df, "cleaned", concepts_df(spark, CONCEPTS))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    path, key = str(tmp_path / "rows"), "spark.sql.files.maxPartitionBytes"
+    text = F.sha2(F.col("id").cast("string"), 256)
+    spark.range(4000).select("id", text.alias("text")).repartition(1).write.parquet(path)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16k")
+    try:
+        rows = spark.read.parquet(path)
+        assert rows.rdd.getNumPartitions() >= 4 and rows.select(F.spark_partition_id()).distinct().count() == 1
+        dealt = common.spread(rows).groupBy(F.spark_partition_id()).count().collect()
+        assert len(dealt) >= 8 and max(r["count"] for r in dealt) < 1000
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_file_order_runs_on_over_files(spark, tmp_path):
+    for name, ids in (("b", (3, 4, 5)), ("a", (0, 1, 2)), ("c", (6,))):
+        spark.createDataFrame([(f'x "{i}"\nx', i) for i in ids], "t string, i int").coalesce(1).write.csv(
+            str(tmp_path / name), quote='"', escape='"')
+    files = sorted(str(f) for d in "abc" for f in (tmp_path / d).glob("*.csv"))
+    raw = spark.read.schema("t string, i int").csv(files, **src._CSV)
+    rows = src._file_order(raw)
+    assert rows.where("i <> ordinal").count() == 0 and rows.count() == 7
+    assert "rangepartitioning" not in rows._jdf.queryExecution().toString() and "SortMergeJoin" not in rows._jdf.queryExecution().toString()
+
+
+def test_rules_one_by_one_find_what_earlier_ones_make(spark):
+    rules = [(r"\bheavy cream\b", "milk"), (r"\bcold milk\b", "ice"), (r"\bice\b", "water")]
+    cases = [["Cold Heavy cream", "plain"], ["an ICE", "cold milk"], [], ["nothing"], ["a", None], None]
+    df = spark.createDataFrame([(n, v) for n, v in enumerate(cases)], "n int, v array<string>")
+
+    def step(texts, n):
+        return F.transform(texts, lambda s: js.swap(s, *rules[n], True))
+
+    plain = F.col("v")
+    for n in range(len(rules)):
+        plain = step(plain, n)
+    guarded = js.one_by_one(F.col("v"), F.array_join("v", "\n"), [p for p, _ in rules], step)
+    rows = df.orderBy("n").select(plain.alias("p"), guarded.alias("g")).collect()
+    assert [r.g for r in rows] == [r.p for r in rows] and rows[0].g == ["water", "plain"]
