@@ -1,6 +1,7 @@
 """Corpus side: exact values, and sequential models on random data."""
 
 import random
+import re
 
 import brute
 import pytest
@@ -135,6 +136,52 @@ def test_similar_pairs(spark):
     assert dropped == gone
 
 
+def test_titles_of_one_block_meet_by_their_opening(spark, monkeypatch):
+    """Titles that all hold the first three characters of each other were compared pair by pair."""
+    met, written = [], dedupe.materialize
+
+    def seen(df):
+        out = written(df)
+        if "around" in df.columns:
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(dedupe, "materialize", seen)
+    long = "the " + "abcdefg " * 80
+    titles = [f"the {i:04d} words of the book that is not the other" for i in range(1500)]
+    titles += ["the 0007 words of the book that is not", long + "end", "in front of " + long + "end", "of the", ""]
+    rows = [(n, "x", t, ["a", "b"]) for n, t in enumerate(titles)]
+    df = spark.createDataFrame(rows, "ordinal long, level string, title_key string, concepts array<string>")
+    got = {tuple(r) for r in dedupe.similar_pairs(df.withColumn("first", F.struct("ordinal"))).collect()}
+    want = {(min(a, b), max(a, b)) for a, _, s, _ in rows if a >= 1500 for b, _, t, _ in rows if a != b and s in t}
+    assert got == want
+    assert len(met) == 1 and len(want) <= met[0] < 2 * len(rows) + 100
+
+
+def test_parts_of_titles(spark):
+    titles = ["", "ab", "abcabc", "x" * 255 + "yz" * 300, "0123456789" * 60]
+    lengths = [0, 1, 3, 24]
+    got = column(spark, titles, lambda t: dedupe.title_parts(t, F.array(*[F.lit(n) for n in lengths])))
+    for title, parts in zip(titles, got, strict=True):
+        assert len(parts) == len(set(parts))
+        assert set(parts) == {title[i:i + n] for n in lengths for i in range(len(title) - n + 1)}
+
+
+def test_plain_searches_stand_before_patterns(spark):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice(["a", "B", "é", "-", " ", "\t", "\n", "(", "ß", "9", "\u00a0"]) for _ in range(rnd.randint(0, 9)))
+             for _ in range(300)]
+    want = [" ".join(re.sub(r"[^a-z0-9\s-]", " ", t.lower(), flags=re.ASCII).split()) for t in texts]
+    assert column(spark, texts, X.normalize_token) == want
+    audit = [("ingredient_substitute", "cream", "milk", ""), ("ingredient_substitute", "é", "e", ""), ("ingredient_substitute", "milk", "oat", "")]
+    steps = [["Add CREAM to creams.", "É and é."], ["Only water."], ["Cream\nand milk", None]]
+    df = spark.createDataFrame([(n, s, audit) for n, s in enumerate(steps)], f"n int, s array<string>, a {E.AUDIT}")
+    got = [r[0] for r in df.orderBy("n").select(E.rewrite_steps(F.col("s"), F.col("a"))).collect()]
+    assert got[0][0] == "Add oat to creams." and got[1] == ["Only water."] and got[2] == ["oat\nand oat", None]
+    for text in ("fresh basil", "Fresh THYME", "chopped parsley", "to garnish", "for garnish", "microgreens", "edible flowers"):
+        assert re.search(C.GARNISH_PATTERN, text, re.I) and any(n in text.lower() for n in C.GARNISH_NEEDLES)
+
+
 def test_equal_rows_give_one_link_each(spark):
     df = spark.range(5000).select(F.col("id").alias("ordinal"), F.struct("id").alias("first"), F.lit("x").alias("level"),
                                   F.lit("pie").alias("title_key"), F.array(F.lit("a"), F.lit("b")).alias("concepts"))
