@@ -351,3 +351,47 @@ def test_rules_one_by_one_find_what_earlier_ones_make(spark):
     guarded = js.one_by_one(F.col("v"), F.array_join("v", "\n"), [p for p, _ in rules], step)
     rows = df.orderBy("n").select(plain.alias("p"), guarded.alias("g")).collect()
     assert [r.g for r in rows] == [r.p for r in rows] and rows[0].g == ["water", "plain"]
+
+
+def test_steps_are_rewritten_once_for_equal_substitutions(spark, monkeypatch):
+    rows = su.with_suitability(su.with_normalized(corpus(spark, [RICH, PLAIN]), CONCEPTS), CONCEPTS)
+    want = {r.candidate_id: r for r in vr.variants(rows, CONCEPTS, RULES).collect()}
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(steps):
+        runs.add(1)
+        return steps
+
+    count, collapse = F.udf(counted, "array<string>").asNondeterministic(), E.collapse_steps
+    monkeypatch.setattr(vr.E, "collapse_steps", lambda steps: collapse(count(steps)))
+    made = {r.candidate_id: r for r in vr.variants(rows, CONCEPTS, RULES).collect()}
+    # Four variants of two rows: the one as it is, the other's with or without the items of the looser levels.
+    assert made == want and len(made) == 4 and runs.value <= 3
+
+
+def test_texts_of_a_row_share_the_search_for_aliases(spark):
+    rnd = random.Random(11)
+    parts = ["leek", "2 c.", "Water", "WATER ", "boiling", "chopped", "Tomatoes", "tomato", "penne", "Quick", "goat", "curd", "é", "(kale)", "zz", "İ", ""]
+    lines = [[" ".join(rnd.choices(parts, k=rnd.randint(0, 4))) for _ in range(rnd.randint(0, 7))] + [None] * (k % 2) for k in range(60)]
+    df = spark.createDataFrame([(n, v) for n, v in enumerate(lines)] + [(99, None)], "n int, v array<string>")
+    both = df.select(
+        normalize.normalize_texts(F.col("v"), CONCEPTS).alias("a"),
+        F.transform("v", lambda t: normalize.normalize_text(t, CONCEPTS)).alias("b"),
+    ).collect()
+    assert all(r.a == r.b for r in both) and both[-1].a is None
+    names = {i.normalized_name for r in both[:-1] for i in r.a}
+    assert {"water", "tinned tomato", "pasta", "leek", "curd", "", None} <= names
+
+
+def test_own_words_take_whole_words(spark):
+    rnd = random.Random(12)
+    names = ["leek", "Oil", "a", "goat curd", "x-", "(kale)", "é", "zz"]
+    letters = ["leek", "LEEK", "oil", "a", "goat curd", "x-", "(kale)", "é", "zz", " ", " ", "_", "-", ".", "ö", "leekleek"]
+    steps = [["".join(rnd.choices(letters, k=rnd.randint(0, 9))) for _ in range(3)] for _ in range(150)]
+    edge = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    audit = [("ingredient_substitute", n, "<to>", "") for n in names] + [("ingredient_remove", "zz", "", "")]
+    df = spark.createDataFrame([(n, s, audit) for n, s in enumerate(steps)], f"n int, s array<string>, a {E.AUDIT}")
+    got = [r[0] for r in df.orderBy("n").select(E.own_words(F.col("s"), F.col("a"))).collect()]
+    for name in names:
+        steps = [[re.sub(edge + re.escape(name) + edge, "<to>", s, flags=re.I | re.A) for s in some] for some in steps]
+    assert got == steps
