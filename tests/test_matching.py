@@ -233,3 +233,58 @@ def test_candidates_keep_effects_and_no_lines(spark):
     ks, items, rs, ri, _ = frames(spark, recipes, kitchens, catalog)
     _, found = score_candidates(ks, items, rs, ri, (), RecommendOptions(rules=RULES))
     assert "lines" not in found.columns and found.where("effect is null or size(effect_slugs) < 0").isEmpty()
+
+
+def test_passes_write_each_pair_once(spark, monkeypatch):
+    # Slugs that hold the characters the short rows are told apart by, a kitchen that is listed twice, and a null slug.
+    odd = ["a", "a\u0001", "a\u0002o", "\u0001a\u0002e", "a\u0003a", None]
+    ks = spark.createDataFrame([(1,), (2,), (2,), (3,)], "kitchen_id long")
+    items = spark.createDataFrame(
+        [(1, "a", True), (2, "a\u0001", False), (2, "oil", False), (3, "a\u0002o", True)], "kitchen_id long, slug string, expiring boolean"
+    )
+    ri = spark.createDataFrame(
+        [(n, s, False, 0) for n, s in enumerate(odd)] + [(9, "butter", False, 0), (9, "a", False, 1)],
+        "recipe_id long, slug string, optional boolean, ordinal int",
+    )
+    monkeypatch.setattr(cov, "PASS_ROWS", 2)
+
+    def finish(lines):
+        return cov.coverage_columns(lines, RULES).where("make_now or almost_there").select(
+            "kitchen_id", "recipe_id", "make_now", "uses_expiring")
+
+    assert len(list(cov._passes(ks, items, ri, RULES))) > 1
+    once = sorted(tuple(r) for r in finish(cov.match_lines(ks, items, ri, RULES)).collect())
+    assert sorted(tuple(r) for r in cov.matched(ks, items, ri, RULES, finish).collect()) == once
+    assert once == [(1, 0, True, True), (1, 9, False, True), (2, 1, True, False), (2, 1, True, False),
+                    (2, 9, False, False), (2, 9, False, False), (3, 2, True, True)]
+
+
+def test_targets_keep_only_recipes_that_list_them(spark):
+    recipes, kitchens, catalog = world(15, 40, 8)
+    ks, items, _, ri, _ = frames(spark, recipes, kitchens, catalog)
+    targets = spark.createDataFrame([(k.id, "abc"[k.id % 3]) for k in kitchens], "kitchen_id long, slug string")
+
+    def finish(lines):
+        return lines.select("kitchen_id", "recipe_id")
+
+    every = {tuple(r) for r in cov.matched(ks, items, ri, RULES, finish).collect()}
+    listed = {(k.id, r.id) for k in kitchens for r in recipes if "abc"[k.id % 3] in dict(r.items)}
+    assert {tuple(r) for r in cov.matched(ks, items, ri, RULES, finish, targets).collect()} == every & listed
+
+
+def test_compact_tables_leave_no_shuffle_and_no_setting(spark):
+    import time
+
+    from larder.session import COMPACT, compact
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).endswith(".data")}
+
+    before, settings = shuffled(), {k: spark.conf.get(k, None) for k in COMPACT}
+    kept = compact(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert {k: spark.conf.get(k, None) for k in COMPACT} == settings
+    ends = time.time() + 20
+    while shuffled() - before and time.time() < ends:
+        time.sleep(0.1)
+    assert not shuffled() - before and kept.select("k").distinct().count() == 7
