@@ -288,3 +288,15 @@ def test_compact_tables_leave_no_shuffle_and_no_setting(spark):
     while shuffled() - before and time.time() < ends:
         time.sleep(0.1)
     assert not shuffled() - before and kept.select("k").distinct().count() == 7
+
+
+def test_rarest_atoms_count_all_items(spark):
+    # The recipe needs a null slug too, so only its rarer atom finds it: b, as items without a listed kitchen count for a.
+    ks = spark.createDataFrame([(1,), (2,)], "kitchen_id long")
+    items = spark.createDataFrame(
+        [(1, "a", False), (2, "b", False), (None, "a", False), (7, "a", False)], "kitchen_id long, slug string, expiring boolean"
+    )
+    ri = spark.createDataFrame(
+        [(5, s, False, n) for n, s in enumerate([None, "a", "b"])], "recipe_id long, slug string, optional boolean, ordinal int"
+    )
+    assert [r.kitchen_id for r in cov.match_lines(ks, items, ri, RULES).collect()] == [2]
